@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, neardup, packing, quality, secrets, shard, tokcount, topk
+from . import chat, fingerprint, neardup, packing, quality, secrets, sentencepieces, shard, tokcount, topk
 from .common import Scratch, table
 from .encode import public
 
 COUNTED = "byte_bpe_50k.json"
 PACKED = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -22,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(table(spark, sf_dir, "documents"), public(PIECES))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.count_tokens(table(spark, sf_dir, "documents"), public(COUNTED))
 
@@ -68,7 +73,7 @@ def op10_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_token_counts, op4_chat_format, op5_hash_ring, op6_secret_scan, op7_kd_tree_topk, op8_minhash_dedup, op9_fingerprints, op10_genetic_packing)
+    f.__name__: f for f in (op1_quality, op2_shared_prefix_pieces, op3_token_counts, op4_chat_format, op5_hash_ring, op6_secret_scan, op7_kd_tree_topk, op8_minhash_dedup, op9_fingerprints, op10_genetic_packing)
 }
 
 _ESCAPED = r"regexp_replace(text, '<\|(\\*)(im_start|im_end)\|>', '<|\\\1\2|>', 'g')"
