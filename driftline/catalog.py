@@ -1,6 +1,778 @@
-"""The engine's queries by name, and the SQL that says the same."""
+"""The engine's queries by name, on stand-in tables, and the SQL that says the same.
+
+The test tables are no crawl, so each plays a part: documents are pages (doc_id the URL, source the site, lang the file
+type, the first line the title) and, by source, a snapshot history; lineitem is the link graph; events are the crawl
+log; pages are raw responses; conversations are versions of a text.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftline.functions import formats, gemtext, urls
+from driftline.operators import archive, documents, fts, graph, reports, rules
+from driftline.plans.userquery import Page, parse, suggestion
+from driftline.streaming import state
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- stand-ins ------------------------------------------------------------------------------------------------------
+
+DOCS_SQL = r"""docs AS (
+    SELECT doc_id AS url_id, 'gemini://' || source || '/' || doc_id || '.' || lang AS url, source AS domain, '/' || doc_id || '.' || lang AS path,
+        lang AS file_extension, split_part(text, chr(10), 1) AS title, text AS body, CASE WHEN lang = 'en' THEN 1 ELSE 4 END AS content_type,
+        coalesce(n, 0) AS external_inbound_links, ln(least(100, 1 + coalesce(n, 0))) / ln(100) AS popularity_rank
+    FROM documents LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) i ON l_partkey = doc_id)"""
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    inbound = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    df = t(spark, d, "documents").join(inbound, F.col("doc_id") == F.col("l_partkey"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return df.select(
+        F.col("doc_id").alias("url_id"), F.concat(F.lit("gemini://"), "source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("url"), F.col("source").alias("domain"),
+        F.concat(F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("lang").alias("file_extension"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"),
+        F.when(F.col("lang") == "en", 1).otherwise(4).alias("content_type"), n.alias("external_inbound_links"), graph.popularity_rank(n, F.lit(True)).alias("popularity_rank"),
+    )
+
+
+SNAPSHOTS_SQL = """snapshots AS (
+    SELECT source AS url_id, doc_id AS seq, 'sha256:' || sha256(text) AS data_hash, n_chars AS size, TIMESTAMP '2020-01-01' + doc_id * INTERVAL 7 HOUR AS captured, n_chars % 7 = 0 AS is_body_truncated FROM documents),
+flagged AS (
+    SELECT *, row_number() OVER (PARTITION BY data_hash, url_id ORDER BY seq) > 1 AS is_duplicate,
+        EXISTS (SELECT 1 FROM snapshots o WHERE o.data_hash = s.data_hash AND o.url_id <> s.url_id AND o.seq < s.seq) AS is_global_duplicate,
+        first_value(seq) OVER (PARTITION BY data_hash ORDER BY seq) AS first_seq FROM snapshots s)"""
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    return t(spark, d, "documents").select(
+        F.col("source").alias("url_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("data_hash"), F.col("n_chars").alias("size"),
+        F.timestamp_add("HOUR", (F.col("doc_id") * 7).cast("int"), start).cast("timestamp").alias("captured"), (F.col("n_chars") % 7 == 0).alias("is_body_truncated"),
+    )
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    return archive.dedup_flags(snapshots(spark, d))
+
+
+LINKS_SQL = """links AS (SELECT l_orderkey AS source_url_id, l_partkey AS target_url_id, l_returnflag = 'R' AS is_external, l_linestatus AS link_text, l_linenumber AS seq FROM lineitem)"""
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_url_id"), F.col("l_partkey").alias("target_url_id"), (F.col("l_returnflag") == "R").alias("is_external"), F.col("l_linestatus").alias("link_text"), F.col("l_linenumber").alias("seq"))
+
+
+SITES_SQL = """pages_of AS (SELECT o_orderkey AS url_id, 'gemini://order/' || o_orderkey AS url, o_orderpriority AS title FROM orders), targets AS (SELECT p_partkey AS url_id, 'gemini://part/' || p_partkey AS url, p_name AS title, p_brand AS domain FROM part)"""
+
+
+def sources_of(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("url_id"), F.concat(F.lit("gemini://order/"), "o_orderkey").alias("url"), F.col("o_orderpriority").alias("title"))
+
+
+def targets_of(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("gemini://part/"), "p_partkey").alias("url"), F.col("p_name").alias("title"), F.col("p_brand").alias("domain"))
+
+
+LOG_SQL = """log AS (
+    SELECT event_id AS seq, user_id AS authority, ts AS received, event_type, value, CASE WHEN event_type = 'error' THEN 49 WHEN event_id % 11 = 0 THEN 44 WHEN event_id % 13 = 0 THEN 52 WHEN event_id % 17 = 0 THEN 51 WHEN event_id % 19 = 0 THEN 30 ELSE 20 END AS status_code,
+        event_type = 'error' AS failed, event_id % 97 = 0 AS terminal FROM events)"""
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return _log(t(spark, d, "events"))
+
+
+def _log(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    status = F.when(F.col("event_type") == "error", 49).when(e % 11 == 0, 44).when(e % 13 == 0, 52).when(e % 17 == 0, 51).when(e % 19 == 0, 30).otherwise(20)
+    return events.select(e.alias("seq"), F.col("user_id").alias("authority"), F.col("ts").alias("received"), "event_type", "value", status.alias("status_code"), (F.col("event_type") == "error").alias("failed"), (e % 97 == 0).alias("terminal"))
+
+
+# --- full-text search -----------------------------------------------------------------------------------------------
+
+_WORDS = r"'[\p{L}\p{N}]+'"
+
+
+def _fts_sql(phrases: list[str], where: str, select: str, tail: str = "") -> str:
+    """BM25 in SQL: a column f_i per phrase, its document frequency, rank, then what is asked for."""
+    n = range(len(phrases))
+    counts = ", ".join(f"len(string_split(' ' || array_to_string(b, '  ') || ' ', ' {p.replace(' ', '  ')} ')) - 1 AS f{i}" for i, p in enumerate(phrases))
+    dfs = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in n)
+    rank = " + ".join(f"greatest(ln((big_n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len_ / mean))" for i in n)
+    return rf"""
+WITH {DOCS_SQL},
+tokens AS (SELECT *, regexp_extract_all(lower(body), {_WORDS}) AS b, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
+counted AS (SELECT *, {counts} FROM tokens),
+stats AS (SELECT count(*) AS big_n, avg(len_) AS mean, {dfs} FROM counted),
+ranked AS (SELECT *, -({rank}) AS rank FROM counted, stats WHERE {where})
+SELECT {select} FROM ranked {tail}"""
+
+
+_TOTAL = "(rank + rank * 0.3 * popularity_rank) * CASE WHEN content_type = 1 THEN 1.03 ELSE 1 END"
+
+
+@query(_fts_sql(["with", "from"], "f0 > 0 OR f1 > 0", "url_id, round(rank, 6) AS rank"))
+def fts_bm25_or(spark, d):
+    return fts.matched(docs(spark, d), parse("with OR from")).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["with", "from", "der"], "(f0 > 0 AND f1 > 0) AND NOT f2 > 0", "url_id, round(rank, 6) AS rank"))
+def fts_and_not(spark, d):
+    return fts.matched(docs(spark, d), parse("with AND from NOT der")).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["of the"], "f0 > 0", "url_id, round(rank, 6) AS rank"))
+def fts_phrase(spark, d):
+    return fts.matched(docs(spark, d), parse('"of the"')).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["with", "from", "les"], "(f0 > 0 OR f2 > 0) AND f1 > 0 OR f2 > 0", "url_id, round(rank, 6) AS rank"))
+def fts_boolean(spark, d):
+    return fts.matched(docs(spark, d), parse("(with OR les) AND from OR les")).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["with", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15"))
+def fts_total_rank_top15(spark, d):
+    return fts.text_search(docs(spark, d), parse("with from")).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
+
+
+@query(_fts_sql(["with", "from"], "f0 > 0 OR f1 > 0", f"url_id, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15 OFFSET 15"))
+def fts_second_page(spark, d):
+    return fts.text_search(docs(spark, d), parse("with OR from"), Page(2)).select("url_id", F.round("total_rank", 6).alias("total_rank"))
+
+
+@query(_fts_sql(["with"], "f0 > 0 AND domain = 'src3' AND file_extension = 'en'", "url_id, round(rank, 6) AS rank"))
+def fts_scope_site_type(spark, d):
+    return fts.matched(docs(spark, d), parse("with site:src3 filetype:en")).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["with"], "f0 > 0 AND contains(lower(path), '7.')", "count(*) AS n"))
+def fts_result_count(spark, d):
+    return fts.result_count(docs(spark, d), parse("with inurl:7."))
+
+
+@query(rf"""
+WITH {DOCS_SQL},
+tokens AS (SELECT *, regexp_extract_all(lower(title), {_WORDS}) AS h, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
+counted AS (SELECT *, len(list_filter(h, lambda w: w = 'the')) AS f0, len(list_filter(h, lambda w: w = 'with')) AS f1 FROM tokens),
+stats AS (SELECT count(*) AS big_n, avg(len_) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM counted)
+SELECT url_id, round(-(greatest(ln((big_n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len_ / mean)) + greatest(ln((big_n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len_ / mean))), 6) AS rank
+FROM counted, stats WHERE f0 > 0 AND f1 > 0""")
+def fts_title_scope(spark, d):
+    return fts.matched(docs(spark, d), parse('intitle:"the with"')).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT url_id, substr(body, 1, least(100, length(body)) - 1) AS snippet FROM docs WHERE domain = 'src5' ORDER BY external_inbound_links DESC, url LIMIT 15")
+def fts_scope_only_lead(spark, d):
+    return fts.text_search(docs(spark, d), parse("site:src5")).select("url_id", "snippet")
+
+
+@query(_fts_sql(["with", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 1"))
+def fts_lucky(spark, d):
+    return fts.text_search(docs(spark, d), parse("with from"), Page(1, 1)).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
+
+
+@query(_fts_sql(["with", "from", "zzz"], "f0 > 0 OR f1 > 0 OR f2 > 0", "count(*) AS n"))
+def fts_suggestion_count(spark, d):
+    return fts.result_count(docs(spark, d), suggestion(parse("with from zzz")))
+
+
+@query()
+def fts_snippets(spark, d):
+    return fts.text_search(docs(spark, d), parse("with from")).select("url_id", "snippet")
+
+
+@query(rf"""
+WITH words AS (SELECT doc_id AS url_id, unnest(regexp_extract_all(lower(text), {_WORDS})) AS term FROM documents)
+SELECT term, count(DISTINCT url_id) AS docs, count(*) AS occurrences FROM words GROUP BY term""")
+def fts_postings(spark, d):
+    index = fts.postings(docs(spark, d)).where("field = 'body'")
+    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+_BENCH = rf"""
+WITH asked AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {_WORDS}))[1:3] AS ws FROM benchmark),
+pairs AS (SELECT item_id, unnest(ws) AS term FROM asked), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {_WORDS})) AS term FROM documents)
+SELECT item_id, count(*) AS hits FROM (SELECT item_id, doc_id FROM pairs JOIN words USING (term) GROUP BY item_id, doc_id HAVING count(*) = (SELECT len(ws) FROM asked a WHERE a.item_id = pairs.item_id)) x GROUP BY item_id"""
+
+
+@query(_BENCH)
+def fts_query_workload(spark, d):
+    """Many AND queries at once: postings of the asked terms, joined by term, counted per query and document."""
+    ws = F.array_distinct(fts.tokens(F.col("text")))
+    asked = t(spark, d, "benchmark").select("item_id", F.slice(ws, 1, 3).alias("ws")).withColumn("wanted", F.size("ws"))
+    words = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(fts.tokens(F.col("text")))).alias("term"))
+    both = asked.select("item_id", "wanted", F.explode("ws").alias("term")).join(words, "term")
+    full = both.groupBy("item_id", "doc_id", "wanted").count().where("count = wanted")
+    return full.groupBy("item_id").agg(F.count("*").alias("hits"))
+
+
+@query(f"""WITH {LINKS_SQL}, texts AS (SELECT target_url_id, string_agg(DISTINCT link_text, ' ' ORDER BY link_text) AS link_texts FROM links WHERE link_text <> '' GROUP BY 1)
+SELECT p_partkey AS url_id, trim(coalesce(link_texts, '') || ' ' || replace(p_brand, '#', ' ')) AS terms FROM part LEFT JOIN texts ON p_partkey = target_url_id""")
+def fts_file_index_terms(spark, d):
+    files = t(spark, d, "part").select(F.col("p_partkey").alias("url_id"), "p_brand")
+    return fts.file_index_terms(files, links(spark, d), F.split(F.col("p_brand"), "#"))
+
+
+@query("""WITH changed AS (SELECT doc_id AS url_id, CASE doc_id % 4 WHEN 0 THEN 'DeletePrevious' WHEN 1 THEN 'RefreshWithCurrent' ELSE 'Nothing' END AS action FROM documents)
+SELECT doc_id AS url_id, CASE WHEN action = 'RefreshWithCurrent' THEN upper(lang) ELSE lang END AS title, n_chars AS body FROM documents JOIN changed ON doc_id = url_id WHERE action <> 'DeletePrevious'""")
+def fts_upsert(spark, d):
+    base = t(spark, d, "documents").select(F.col("doc_id").alias("url_id"), F.col("lang").alias("title"), F.col("n_chars").alias("body"))
+    m = F.col("url_id") % 4
+    return fts.apply_actions(base, base.select("url_id", F.when(m == 0, "DeletePrevious").when(m == 1, "RefreshWithCurrent").otherwise("Nothing").alias("action"), F.upper("title").alias("title"), "body"))
+
+
+@query("SELECT doc_id AS url_id, lang AS title FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def fts_remove(spark, d):
+    base = t(spark, d, "documents").select(F.col("doc_id").alias("url_id"), F.col("lang").alias("title"))
+    return fts.remove(base, t(spark, d, "labels").select(F.col("doc_id").alias("url_id")))
+
+
+@query(f"WITH {DOCS_SQL} SELECT url_id, trim(regexp_replace(replace(replace(substr(body, 1, 300), chr(10), ' '), '#', ''), '\\s+', ' ', 'g')) AS shown FROM docs".replace("\\\\s", "\\s"))
+def fts_snippet_clean(spark, d):
+    return docs(spark, d).select("url_id", formats.snippet_clean(F.substring("body", 1, 300)).alias("shown"))
+
+
+_IMAGES = r"""
+WITH images AS (SELECT p_partkey AS url_id, 'gemini://img/' || p_partkey AS url, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS b, coalesce(n, 0) AS links FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) i ON l_partkey = p_partkey),
+counted AS (SELECT *, len(list_filter(b, lambda w: w = '{0}')) AS f FROM images), stats AS (SELECT count(*) AS big_n, avg(len(b)) AS mean, count(*) FILTER (f > 0) AS n FROM counted),
+ranked AS (SELECT url_id, url, -greatest(ln((big_n - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(b) / mean)) AS rank, ln(least(100, 1 + links)) / ln(100) AS pop FROM counted, stats WHERE f > 0)
+SELECT url_id, round(rank + rank * 0.3 * pop, 6) AS total_rank FROM ranked ORDER BY total_rank, url LIMIT 15""".replace("{0}", "green")
+
+
+@query(_IMAGES)
+def image_search(spark, d):
+    inbound = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    images = t(spark, d, "part").join(inbound, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("gemini://img/"), "p_partkey").alias("url"), F.lit(None).cast("string").alias("title"), F.col("p_name").alias("body"), n.alias("external_inbound_links"), graph.popularity_rank(n, F.lit(True)).alias("popularity_rank"))
+    found = fts.image_search(images, parse("green")).withColumn("total_rank", F.round("total_rank", 6))
+    return found.select("url_id", "total_rank")
+
+
+# --- archive --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT seq, is_duplicate, is_global_duplicate, first_seq FROM flagged")
+def archive_dedup_flags(spark, d):
+    return flagged(spark, d).select("seq", "is_duplicate", "is_global_duplicate", "first_seq")
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT url_id, count(*) AS captures, min(captured) AS first_capture, max(captured) AS last_capture, count(DISTINCT data_hash) AS versions, count(*) FILTER (is_body_truncated) AS truncated FROM snapshots GROUP BY url_id")
+def archive_history(spark, d):
+    return archive.history(snapshots(spark, d))
+
+
+@query(f"""WITH {SNAPSHOTS_SQL}, urls AS (SELECT DISTINCT source AS domain, 1965 AS port, ascii(right(source, 1)) % 2 = 0 AS is_public FROM documents)
+SELECT * FROM (SELECT count(*) FILTER (is_public) AS urls_public, count(*) FILTER (NOT is_public) AS urls_excluded, count(DISTINCT (domain, port)) AS domains, count(*) AS urls_total FROM urls),
+(SELECT count(*) AS captures, count(*) FILTER (NOT is_duplicate AND NOT is_global_duplicate) AS captures_unique, CAST(sum(size) AS BIGINT) AS size, CAST(sum(size) FILTER (NOT is_duplicate AND NOT is_global_duplicate) AS BIGINT) AS size_unique, min(captured) AS oldest, max(captured) AS newest FROM flagged)""")
+def archive_stats(spark, d):
+    urls_ = t(spark, d, "documents").select(F.col("source").alias("domain"), F.lit(1965).alias("port")).distinct().withColumn("is_public", F.ascii(F.substring("domain", -1, 1)) % 2 == 0)
+    return archive.statistics(urls_, flagged(spark, d))
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT url_id, captured, seq, data_hash FROM snapshots QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY captured DESC, seq DESC) = 1")
+def archive_latest(spark, d):
+    return archive.latest(snapshots(spark, d)).select("url_id", "captured", "seq", "data_hash")
+
+
+@query(f"""WITH {SNAPSHOTS_SQL}, wanted AS (SELECT DISTINCT source AS url_id, TIMESTAMP '2020-02-01 12:34:56' + k * INTERVAL 31 HOUR AS at FROM documents, (SELECT unnest([0, 1, 2]) AS k))
+SELECT w.url_id, w.at, s.captured, s.seq FROM wanted w JOIN snapshots s USING (url_id)
+QUALIFY row_number() OVER (PARTITION BY w.url_id, w.at ORDER BY abs(epoch_us(s.captured) - epoch_us(w.at)), s.captured) = 1""")
+def archive_asof_nearest(spark, d):
+    start = F.lit("2020-02-01 12:34:56").cast("timestamp_ntz")
+    wanted = t(spark, d, "documents").select(F.col("source").alias("url_id")).distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("url_id", F.timestamp_add("HOUR", F.col("k") * 31, start).cast("timestamp").alias("at"))
+    return archive.nearest(snapshots(spark, d), wanted)
+
+
+@query(f"""WITH {SNAPSHOTS_SQL} SELECT url_id, seq, lag(captured) OVER w AS previous, lead(captured) OVER w AS next, coalesce(year(lag(captured) OVER w) <> year(captured), true) AS new_year
+FROM flagged WHERE NOT is_duplicate WINDOW w AS (PARTITION BY url_id ORDER BY captured, seq)""")
+def archive_prev_next(spark, d):
+    return archive.neighbours(flagged(spark, d)).select("url_id", "seq", "previous", "next", "new_year")
+
+
+@query("SELECT url AS full_url, instr(url, 'a') AS at FROM pages WHERE page_id % 3 <> 0 AND instr(url, 'a') > 0 ORDER BY instr(url, 'a'), length(url), url LIMIT 100")
+def archive_url_search(spark, d):
+    urls_ = t(spark, d, "pages").select(F.col("url").alias("full_url"), (F.col("page_id") % 3 != 0).alias("is_public"))
+    return archive.url_search(urls_, "a").select("full_url", "at")
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT data_hash, substr(data_hash, 8, 2) AS prefix FROM snapshots GROUP BY data_hash")
+def archive_blobs(spark, d):
+    return archive.blobs(snapshots(spark, d).withColumn("body", F.lit(b""))).select("data_hash", "prefix")
+
+
+@query("""SELECT doc_id FROM documents WHERE (lang IN ('en', 'de') AND n_chars > 0 AND n_chars < 5242880) OR lang = 'fr'""")
+def archive_storable(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "fr", 30).when(F.col("lang") == "es", 51).otherwise(20).alias("status_code"), F.lit("text/gemini").alias("mime_type"), F.col("n_chars").alias("size"), F.lit(False).alias("is_body_truncated"))
+    return archive.storable(rows.where("size < 5242880")).select("doc_id")
+
+
+@query("SELECT DISTINCT user_id AS url_id, ts AS captured FROM events WHERE (user_id, ts) NOT IN (SELECT (user_id, ts) FROM events WHERE event_id % 5 = 0)")
+def archive_idempotent(spark, d):
+    rows = t(spark, d, "events").select("event_id", F.col("user_id").alias("url_id"), F.col("ts").alias("captured"))
+    return archive.new_captures(rows.select("url_id", "captured"), rows.where("event_id % 5 = 0").select("url_id", "captured"))
+
+
+@query("""WITH v AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations)
+SELECT conv_id, count(*) AS versions, count(*) FILTER (old = text) AS same FROM v WHERE old IS NOT NULL GROUP BY conv_id""")
+def archive_version_pairs(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    v = t(spark, d, "conversations").withColumn("old", F.lag("text").over(w)).where("old is not null")
+    return v.groupBy("conv_id").agg(F.count("*").alias("versions"), F.count_if(F.col("old") == F.col("text")).alias("same"))
+
+
+@query()
+def archive_line_diff(spark, d):
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("url_id"), F.col("turn").alias("captured"), F.col("turn").alias("seq"), "text")
+    return archive.versions_diff(rows)
+
+
+_ROBOTS = [("src1", "User-agent: *\nDisallow: /1\nDisallow: /2*\n"), ("src2", "# all\nUser-agent: archiver\nUser-agent: other\nDisallow: /\n"), ("src3", "User-agent: indexer\nDisallow: /\n\nUser-agent: *\nDisallow: /3\nDisallow: /a*b\nAllow: /\n")]
+
+
+def _robots(spark: SparkSession) -> DataFrame:
+    return rules.parse_robots(spark.createDataFrame(_ROBOTS, "authority string, content string"))
+
+
+_ALLOWED = "CASE WHEN source = 'src1' THEN NOT (starts_with(path, '/1') OR starts_with(path, '/2')) WHEN source = 'src2' THEN false WHEN source = 'src3' THEN NOT starts_with(path, '/3') ELSE true END"
+
+
+@query(f"SELECT doc_id, {_ALLOWED} AS allowed FROM (SELECT *, '/' || doc_id AS path FROM documents)")
+def robots_allowed(spark, d):
+    urls_ = t(spark, d, "documents").select("doc_id", F.col("source").alias("authority"), F.concat(F.lit("/"), "doc_id").alias("path"))
+    return rules.robots_allowed(urls_, _robots(spark), "archiver").select("doc_id", "allowed")
+
+
+@query(f"SELECT doc_id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN {_ALLOWED} ELSE doc_id % 2 = 0 END AS is_public FROM (SELECT *, '/' || doc_id AS path FROM documents)")
+def archive_visibility(spark, d):
+    urls_ = t(spark, d, "documents").select("doc_id", F.col("source").alias("authority"), F.concat(F.lit("/"), "doc_id").alias("path"), (F.col("doc_id") % 2 == 0).alias("is_public"))
+    return archive.visibility(urls_, snapshots(spark, d), _robots(spark)).select("doc_id", "is_public")
+
+
+# --- link graph -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINKS_SQL}, n AS (SELECT target_url_id, count(*) AS n FROM links WHERE is_external GROUP BY 1) SELECT p_partkey AS url_id, coalesce(n, 0) AS external_inbound_links, CASE WHEN p_partkey % 9 <> 0 THEN round(ln(least(100, 1 + coalesce(n, 0))) / ln(100), 9) ELSE 0 END AS popularity_rank FROM part LEFT JOIN n ON p_partkey = target_url_id")
+def popularity(spark, d):
+    found = graph.popularity(t(spark, d, "part").select(F.col("p_partkey").alias("url_id"), (F.col("p_partkey") % 9 != 0).alias("is_available")), links(spark, d))
+    return found.withColumn("popularity_rank", F.round("popularity_rank", 9))
+
+
+@query(f"WITH {LINKS_SQL} SELECT target_url_id, string_agg(DISTINCT link_text, ' ' ORDER BY link_text) AS texts FROM links GROUP BY 1")
+def link_texts(spark, d):
+    return graph.link_texts(links(spark, d))
+
+
+@query(f"""WITH {LINKS_SQL}, {SITES_SQL} SELECT t.url AS target_url, s.url AS source_url, link_text, row_number() OVER (PARTITION BY t.url ORDER BY s.url) AS place, count(*) OVER (PARTITION BY t.url) AS links, dense_rank() OVER (ORDER BY t.url) AS group_no
+FROM (SELECT DISTINCT source_url_id, target_url_id, link_text FROM links WHERE is_external) l JOIN pages_of s ON s.url_id = source_url_id JOIN targets t ON t.url_id = target_url_id WHERE domain = 'Brand#13'""")
+def backlinks(spark, d):
+    rows = links(spark, d).where("is_external").select("source_url_id", "target_url_id", "link_text", "is_external").distinct()
+    return graph.backlinks(rows, sources_of(spark, d), targets_of(spark, d), "Brand#13")
+
+
+@query(f"WITH {LINKS_SQL}, {SITES_SQL} SELECT target_url_id, source_url_id, url, title, link_text FROM links JOIN pages_of ON source_url_id = url_id WHERE is_external")
+def inbound_external(spark, d):
+    return graph.inbound(links(spark, d), sources_of(spark, d), True)
+
+
+@query(f"WITH {LINKS_SQL}, {SITES_SQL} SELECT target_url_id, source_url_id, url, title, link_text FROM links JOIN pages_of ON source_url_id = url_id WHERE NOT is_external")
+def inbound_internal(spark, d):
+    return graph.inbound(links(spark, d), sources_of(spark, d), False)
+
+
+@query(f"WITH {LINKS_SQL}, {SITES_SQL} SELECT source_url_id, target_url_id, url, title, link_text, is_external FROM links JOIN targets ON target_url_id = url_id")
+def outbound(spark, d):
+    return graph.outbound(links(spark, d), targets_of(spark, d))
+
+
+@query(f"WITH {LINKS_SQL} SELECT DISTINCT 'gemini://part/' || p_partkey AS input_url, source_url_id FROM links JOIN part ON p_partkey = target_url_id WHERE NOT is_external AND p_size < 10")
+def interactive_pages(spark, d):
+    asks = t(spark, d, "part").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("gemini://part/"), "p_partkey").alias("url"), F.when(F.col("p_size") < 10, 10).otherwise(20).alias("status_code"))
+    return graph.interactive(asks, links(spark, d))
+
+
+@query(f"WITH {LINKS_SQL} SELECT source_url_id, target_url_id, is_external, link_text FROM links QUALIFY row_number() OVER (PARTITION BY source_url_id, target_url_id ORDER BY seq) = 1")
+def first_link_per_target(spark, d):
+    return documents.one_link_per_target(links(spark, d), "seq").select("source_url_id", "target_url_id", "is_external", "link_text")
+
+
+@query(f"""WITH {LINKS_SQL}, one AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY source_url_id, target_url_id ORDER BY seq) = 1),
+old AS (SELECT * FROM one WHERE target_url_id % 5 <> 0), new AS (SELECT source_url_id, target_url_id, is_external <> (target_url_id % 7 = 0) AS is_external, CASE WHEN target_url_id % 11 = 0 THEN 'new' ELSE link_text END AS link_text FROM one WHERE target_url_id % 6 <> 0)
+SELECT coalesce(o.source_url_id, n.source_url_id) AS source_url_id, coalesce(o.target_url_id, n.target_url_id) AS target_url_id,
+    CASE WHEN o.source_url_id IS NULL THEN 'added' WHEN n.source_url_id IS NULL THEN 'removed' WHEN o.link_text <> n.link_text OR o.is_external <> n.is_external THEN 'updated' ELSE 'unchanged' END AS change,
+    CASE WHEN o.link_text IS DISTINCT FROM n.link_text THEN 3 ELSE 0 END + CASE WHEN o.is_external IS DISTINCT FROM n.is_external THEN 4 ELSE 0 END AS work
+FROM old o FULL JOIN new n ON o.source_url_id = n.source_url_id AND o.target_url_id = n.target_url_id""")
+def links_full_diff(spark, d):
+    one = documents.one_link_per_target(links(spark, d), "seq")
+    tgt = F.col("target_url_id")
+    new = one.where(tgt % 6 != 0).withColumn("is_external", F.col("is_external") != (tgt % 7 == 0)).withColumn("link_text", F.when(tgt % 11 == 0, "new").otherwise(F.col("link_text")))
+    return documents.link_changes(one.where(tgt % 5 != 0), new)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS source, event_id % 500 AS target FROM events), b(node, depth) AS (
+    SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.target, depth + 1 FROM b JOIN e ON e.source = b.node WHERE depth < 6)
+SELECT node, min(depth) AS depth FROM b GROUP BY node""")
+def bfs_depth(spark, d):
+    edges = t(spark, d, "events").select(F.col("user_id").alias("source"), (F.col("event_id") % 500).alias("target")).distinct()
+    return rules.bfs_depth(edges, spark.createDataFrame([(1,)], "node bigint"), 7)
+
+
+# --- reports and crawl log ------------------------------------------------------------------------------------------
+
+_HOSTS = "SELECT 'gemini' AS protocol, source AS domain, 1965 AS port, CASE WHEN doc_id % 50 = 49 THEN 49 ELSE 20 END AS status_code, TIMESTAMP '2020-01-01' + doc_id * INTERVAL 7 HOUR AS last_time_updated FROM documents"
+_FAVICONS = "SELECT 'gemini' AS protocol, 'src' || n_nationkey AS domain, 1965 AS port, substr(n_name, 1, 1) AS emoji FROM nation WHERE n_nationkey % 2 = 0"
+
+
+def _hosts(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots(spark, d).select(F.lit("gemini").alias("protocol"), F.col("url_id").alias("domain"), F.lit(1965).alias("port"), F.when(F.col("seq") % 50 == 49, 49).otherwise(20).alias("status_code"), F.col("captured").alias("last_time_updated"))
+
+
+def _favicons(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.lit("gemini").alias("protocol"), F.concat(F.lit("src"), "n_nationkey").alias("domain"), F.lit(1965).alias("port"), F.substring("n_name", 1, 1).alias("emoji"))
+
+
+@query(f"WITH h AS ({_HOSTS}), f AS ({_FAVICONS}) SELECT protocol, domain, port, urls, last_update, emoji FROM (SELECT protocol, domain, port, count(*) AS urls, max(last_time_updated) AS last_update FROM h WHERE status_code <> 49 GROUP BY ALL) g LEFT JOIN f USING (protocol, domain, port)")
+def known_hosts(spark, d):
+    return reports.known_hosts(_hosts(spark, d), _favicons(spark, d))
+
+
+@query(f"WITH f AS ({_FAVICONS}) SELECT emoji, count(*) AS sites FROM f GROUP BY emoji")
+def favicon_popularity(spark, d):
+    return reports.favicon_popularity(_favicons(spark, d))
+
+
+_HEALTH = f"WITH {LOG_SQL}, docs AS (SELECT seq AS url_id, 'u' || seq AS url, CAST(authority AS VARCHAR) AS domain, status_code, event_type AS meta FROM log)"
+
+
+def _health(spark: SparkSession, d: str) -> DataFrame:
+    return log(spark, d).select(F.col("seq").alias("url_id"), F.concat(F.lit("u"), "seq").alias("url"), F.col("authority").cast("string").alias("domain"), "status_code", F.col("event_type").alias("meta"), (F.col("status_code") != 49).alias("is_available"))
+
+
+@query(f"{_HEALTH} SELECT url, meta FROM docs WHERE domain = '7' AND status_code = 49")
+def health_net(spark, d):
+    return reports.unreachable(_health(spark, d), "7").select("url", "meta")
+
+
+@query(f"{_HEALTH} SELECT url, status_code FROM docs WHERE domain = '7' AND status_code BETWEEN 40 AND 59 AND status_code NOT IN (49, 52)")
+def health_page(spark, d):
+    return reports.failing(_health(spark, d), "7").select("url", "status_code")
+
+
+@query(f"{_HEALTH} SELECT url FROM docs WHERE domain = '7' AND status_code = 52")
+def health_gone(spark, d):
+    return reports.gone(_health(spark, d), "7").select("url")
+
+
+@query(f"WITH h AS ({_HOSTS}) SELECT count(DISTINCT (domain, port)) FILTER (status_code <> 49) AS domains, count(*) AS urls, count(*) FILTER (status_code = 20) AS success_urls, max(last_time_updated) AS last_updated FROM h")
+def search_stats(spark, d):
+    return reports.search_statistics(_hosts(spark, d).withColumn("last_visit", F.col("last_time_updated")))
+
+
+@query("SELECT lang AS mime_type, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total_size, CAST(sum(greatest(n_chars - 2048, 0)) AS BIGINT) AS savings FROM documents GROUP BY lang")
+def warc_mime_stats(spark, d):
+    return reports.mime_statistics(t(spark, d, "documents").select(F.col("lang").alias("mime_type"), F.col("n_chars").alias("size")), 2048)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 100")
+def bag_counts(spark, d):
+    return reports.bag(t(spark, d, "events"), "event_type", 100)
+
+
+@query(f"WITH {LOG_SQL} SELECT seq FROM log WHERE authority IN (SELECT authority FROM log WHERE status_code = 49)")
+def semi_failing_sites(spark, d):
+    return reports.of_failing_sites(log(spark, d)).select("seq")
+
+
+@query(f"WITH {LOG_SQL} SELECT seq FROM log WHERE authority NOT IN (SELECT authority FROM log WHERE status_code = 49)")
+def anti_failing_sites(spark, d):
+    return reports.of_sound_sites(log(spark, d)).select("seq")
+
+
+_CONNECTIVITY = f"WITH {LOG_SQL} SELECT authority, seq, max(CAST(terminal AS INT)) OVER (PARTITION BY authority ORDER BY seq) = 1 OR (count(*) OVER w >= 10 AND avg(CAST(failed AS INT)) OVER w > 0.7) AS down FROM log WINDOW w AS (PARTITION BY authority ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+
+
+@query(_CONNECTIVITY)
+def connectivity_window(spark, d):
+    return reports.connectivity(log(spark, d)).select("authority", "seq", "down")
+
+
+_POLITENESS = f"WITH {LOG_SQL} SELECT authority, seq, CAST(least(60000, 200 * pow(2, count(*) FILTER (status_code = 44) OVER (PARTITION BY authority ORDER BY seq))) AS BIGINT) AS wait_ms FROM log"
+
+
+@query(_POLITENESS)
+def politeness_delay(spark, d):
+    return reports.politeness(log(spark, d)).select("authority", "seq", "wait_ms")
+
+
+@query("SELECT source AS domain, 1965 AS port, min(TIMESTAMP '2020-01-01' + doc_id * INTERVAL 7 HOUR) AS first_seen FROM documents GROUP BY source")
+def first_seen_by_site(spark, d):
+    return reports.first_seen_by_site(snapshots(spark, d).select(F.col("url_id").alias("domain"), F.lit(1965).alias("port"), F.col("captured").alias("first_seen")))
+
+
+@query("""SELECT 'src' || s_suppkey AS domain, path, content FROM (SELECT s_suppkey, '/favicon.txt' AS path, substr(s_name, 1, 1) AS content FROM supplier UNION ALL SELECT s_suppkey, '/robots.txt', CASE WHEN s_suppkey % 2 = 0 THEN s_name END FROM supplier UNION ALL SELECT s_suppkey, '/.well-known/security.txt', CASE WHEN s_suppkey % 3 = 0 THEN s_name END FROM supplier) WHERE content IS NOT NULL AND s_suppkey % 5 <> 0""")
+def special_captures(spark, d):
+    k = F.col("s_suppkey")
+    sites = t(spark, d, "supplier").select(F.concat(F.lit("src"), k).alias("domain"), F.lit(1965).alias("port"), (k % 5 != 0).alias("is_reachable"), F.substring("s_name", 1, 1).alias("favicon_text"), F.when(k % 2 == 0, F.col("s_name")).alias("robots_text"), F.when(k % 3 == 0, F.col("s_name")).alias("security_text"))
+    seen = snapshots(spark, d).select(F.col("url_id").alias("domain"), F.lit(1965).alias("port"), F.col("captured").alias("first_seen"))
+    return reports.special_captures(sites, seen).select("domain", "path", "content")
+
+
+# --- rules and frontier ---------------------------------------------------------------------------------------------
+
+_RULES = ["# blocked", "", "gemini://src1/1", "gemini://src2/$", r"regex:\.fr$", "gemini://src4/2*"]
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("url_id", "url", F.col("domain").alias("authority"), F.col("url_id").alias("seq"), (F.col("url_id") % 40).cast("int").alias("depth"), (F.col("url_id") % 23 == 0).alias("is_proactive"), F.substring("path", 2, 200).alias("filename"), "file_extension")
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return rules.parse_block_rules(spark.createDataFrame(list(enumerate(_RULES)), "line_no int, line string"))
+
+
+_BLOCKED = r"CASE WHEN url LIKE '%.fr' THEN 'regex:\.fr$' WHEN starts_with(url, 'gemini://src4/2') THEN 'gemini://src4/2*' WHEN starts_with(url, 'gemini://src1/1') THEN 'gemini://src1/1' WHEN starts_with(url, 'gemini://src2/') AND url <> 'gemini://src2/' THEN 'gemini://src2/$' END"
+
+
+@query(f"WITH {DOCS_SQL} SELECT url_id, {_BLOCKED} AS blocked_by FROM docs")
+def block_rules(spark, d):
+    return rules.blocked_by(_entries(spark, d), _rules(spark)).select("url_id", "blocked_by")
+
+
+@query(f"""WITH {DOCS_SQL} SELECT url_id, CASE WHEN url_id % 10 = 3 THEN 'seen' WHEN domain = 'src9' THEN 'scope' WHEN url_id % 23 <> 0 AND url_id % 40 >= 25 THEN 'depth' WHEN {_BLOCKED} IS NOT NULL THEN 'block' END AS rejection FROM docs""")
+def frontier_chain(spark, d):
+    rows = _entries(spark, d)
+    return rules.frontier_chain(rows, rows.where("url_id % 10 = 3"), rows.where("authority <> 'src9'"), _rules(spark)).select("url_id", "rejection")
+
+
+@query(f"""WITH {DOCS_SQL} SELECT url_id, CASE WHEN url_id % 23 = 0 THEN 100 ELSE row_number() OVER (PARTITION BY domain ORDER BY url_id) + CASE WHEN file_extension IN ('gmi', 'txt') THEN 0 ELSE 5000 END END AS priority FROM docs""")
+def frontier_priority(spark, d):
+    return rules.frontier_priority(_entries(spark, d)).select("url_id", "priority")
+
+
+@query("SELECT doc_id AS url_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
+def domain_limit(spark, d):
+    return rules.within_site_limit(_entries(spark, d), 20).select("url_id")
+
+
+@query("SELECT doc_id AS url_id FROM documents WHERE doc_id % 23 = 0 OR doc_id % 40 < 25")
+def depth_filter(spark, d):
+    return rules.within_depth(_entries(spark, d)).select("url_id")
+
+
+@query("SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY event_type, user_id")
+def first_seen_url(spark, d):
+    rows = t(spark, d, "events").select(F.struct("event_type", "user_id").alias("k"), "event_id")
+    return rules.first_seen(rows, "k", "event_id").select("k.event_type", "k.user_id", "event_id")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS seen FROM documents")
+def content_seen(spark, d):
+    return rules.content_seen(t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id").select("doc_id", "seen")
+
+
+# --- document state -------------------------------------------------------------------------------------------------
+
+
+def _responses(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("authority").alias("url_id"), "seq", "received", "status_code", F.concat_ws("-", "event_type", "status_code").alias("response_hash"), F.lit(True).alias("is_text"))
+
+
+@query(f"""WITH {LOG_SQL}, r AS (SELECT *, event_type || '-' || status_code AS h FROM log),
+first AS (SELECT authority, min(received) AS first_seen, max(received) AS last_visit FROM r GROUP BY 1)
+SELECT authority AS url_id, first_seen, last_visit FROM first""")
+def doc_visits(spark, d):
+    return documents.fold(_responses(log(spark, d))).select("url_id", "first_seen", "last_visit")
+
+
+@query()
+def doc_latest_upsert(spark, d):
+    return documents.fold(_responses(log(spark, d)))
+
+
+@query("""SELECT doc_id AS url_id, 4 + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN lang = 'fr' THEN 2 ELSE 0 END AS work_types FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 23 <> 0""")
+def dirty_work(spark, d):
+    n = F.col("doc_id")
+    rows = t(spark, d, "documents").select(n.alias("url_id"), (n % 3 != 0).alias("is_new"), (n % 23 == 0).alias("is_proactive"), (F.col("n_chars") % 2 != 0).alias("is_body_indexed"), (F.col("lang") == "fr").alias("is_image"))
+    return documents.dirty(rows)
+
+
+@query("SELECT l_partkey AS url_id, bit_or(1 << (l_linenumber % 3)) AS work_types FROM lineitem GROUP BY 1")
+def merged_work(spark, d):
+    return documents.merged_work(t(spark, d, "lineitem").select(F.col("l_partkey").alias("url_id"), F.expr("shiftleft(1, cast(l_linenumber % 3 as int))").alias("work_types")))
+
+
+@query("""SELECT 'gemini' AS protocol, source AS domain, 1965 AS port, text AS content, doc_id AS source_url_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1 AND contains(lower(text), 'th')""")
+def site_contacts(spark, d):
+    rows = t(spark, d, "documents").select(F.lit("gemini").alias("protocol"), F.col("source").alias("domain"), F.lit(1965).alias("port"), F.lit("/.well-known/security.txt").alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("source_url_id"), F.lit(20).alias("status_code"), F.col("doc_id").alias("received"))
+    return documents.by_authority(rows, "/.well-known/security.txt", F.lower("content").contains("th"))
+
+
+@query(f"WITH {LOG_SQL}, first AS (SELECT DISTINCT authority FROM log WHERE status_code <> 49) SELECT authority, unnest(['/favicon.txt', '/.well-known/security.txt']) AS path FROM first")
+def proactive_links(spark, d):
+    return documents.proactive_links(log(spark, d).withColumn("is_available", F.col("status_code") != 49))
+
+
+# --- parsers --------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""")
+def link_extract(spark, d):
+    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+def page_title(spark, d):
+    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS protocol, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS domain,
+    CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)', 1) END AS path,
+    lower(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)', 1), '\.([^./]*)$', 1)) AS file_extension FROM pages""")
+def url_decompose(spark, d):
+    u = F.col("url")
+    return t(spark, d, "pages").select("page_id", urls.protocol(u).alias("protocol"), urls.domain(u).alias("domain"), urls.path(u).alias("path"), urls.extension(u).alias("file_extension"))
+
+
+@query(r"""WITH s AS (SELECT page_id, list_reverse(list_filter(string_split(CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)', 1) END, '/'), lambda x: x <> '')) AS segs FROM pages)
+SELECT page_id, array_to_string(list_filter(string_split_regex(array_to_string(list_transform(segs, lambda x: regexp_replace(x, '(?i)\.(gif|jpg|jpeg|png|webp)$', '')), '_'), '[-_.,]'), lambda w: w <> ''), ' ') AS words FROM s""")
+def path_words(spark, d):
+    return t(spark, d, "pages").select("page_id", F.array_join(urls.path_words(urls.path(F.col("url"))), " ").alias("words"))
+
+
+_GEM_SQL = r"CASE WHEN i % 9 = 4 THEN '```' WHEN i % 5 = 1 THEN '=> /x' || i || ' ' || line WHEN i % 7 = 2 THEN '# ' || line ELSE line END"
+_GEM = f"""gem AS (SELECT doc_id, list_transform(range(0, len(ls)), lambda i: {_GEM_SQL.replace('line', 'ls[i + 1]')}) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
+
+
+def _gem(spark: SparkSession, d: str) -> DataFrame:
+    def line(x, i):
+        return F.when(i % 9 == 4, "```").when(i % 5 == 1, F.concat(F.lit("=> /x"), i, F.lit(" "), x)).when(i % 7 == 2, F.concat(F.lit("# "), x)).otherwise(x)
+
+    return t(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
+
+
+@query(f"""WITH {_GEM}, each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM gem), marked AS (SELECT *, sum(CAST(line = '```' AS INT)) OVER (PARTITION BY doc_id ORDER BY n) % 2 AS inside FROM each)
+SELECT doc_id, count(*) FILTER (inside = 0 AND line <> '```') AS lines_outside FROM marked GROUP BY doc_id""")
+def fence_lines(spark, d):
+    return _gem(spark, d).select("doc_id", F.size(gemtext.outside_fences(F.col("lines"))).cast("bigint").alias("lines_outside"))
+
+
+@query(rf"""WITH {_GEM} SELECT doc_id, regexp_extract(line, '^=>\s*(\S+)', 1) AS target FROM (SELECT doc_id, unnest(lines) AS line FROM gem) WHERE regexp_matches(line, '^=>\s*\S+')""")
+def gemtext_links(spark, d):
+    return _gem(spark, d).select("doc_id", F.explode(gemtext.links(F.col("lines"))).alias("l")).select("doc_id", F.col("l.target").alias("target"))
+
+
+@query(rf"""WITH {_GEM}, heads AS (SELECT doc_id, list_filter(list_transform(list_filter(lines, lambda x: starts_with(x, '#')), lambda x: trim(regexp_extract(x, '^#{{1,3}}\s*(.*)', 1))), lambda x: x <> '') AS h FROM gem) SELECT doc_id, h[1] AS title FROM heads""")
+def gemtext_title(spark, d):
+    return _gem(spark, d).select("doc_id", gemtext.title(F.col("lines")).alias("title"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\d{4}-\d{2}-\d{2}'))) >= 2 AS is_feed FROM documents""")
+def feed_flag(spark, d):
+    dated = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("/").alias("target"), x.alias("link_text")))
+    return t(spark, d, "documents").select("doc_id", gemtext.is_feed(dated).alias("is_feed"))
+
+
+@query(r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(' ' || replace(text, ' t', ' #t'), '[,\s]#(\w+)', 1), lambda x: lower(x)), lambda x: NOT regexp_matches(x, '^([0-9]+|[0-9a-f]{3}|[0-9a-f]{6})$')))), ' ') AS tags FROM benchmark""")
+def hashtags(spark, d):
+    return t(spark, d, "benchmark").select("item_id", F.array_join(gemtext.hashtags(F.expr("replace(text, ' t', ' #t')")), " ").alias("tags"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN 'big' WHEN n_chars >= 1024 THEN CASE WHEN n_chars % 1024 = 0 THEN printf('%.0f', n_chars / 1024.0) ELSE printf('%.2f', n_chars / 1024.0) END || ' KB' ELSE n_chars || ' bytes' END AS shown FROM documents""")
+def human_sizes(spark, d):
+    return t(spark, d, "documents").select("doc_id", formats.human_size(F.col("n_chars")).alias("shown"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, array_to_string(list_filter(list_concat([source], string_split(substr(text, 1, 120), ' ')), lambda x: x <> ''), ' › ') AS w FROM documents) SELECT doc_id, CASE WHEN length(w) > 80 THEN substr(w, 1, 80) || '…' ELSE w END AS shown FROM s""")
+def shown_urls(spark, d):
+    return t(spark, d, "documents").select("doc_id", formats.shown_url(F.col("source"), F.translate(F.translate(F.substring("text", 1, 120), "/", ""), " ", "/")).alias("shown"))
+
+
+@query("SELECT doc_id, upper(substr(md5(text), 1, 2) || ':' || substr(md5(text), 3, 2)) AS start FROM documents")
+def certificate_fingerprints(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.substring(formats.fingerprint_hex(F.md5("text")), 1, 5).alias("start"))
+
+
+@query()
+def detected_languages(spark, d):
+    from driftline.functions.text import detected_language
+
+    return t(spark, d, "documents").select("doc_id", detected_language("text").alias("detected"))
+
+
+@query("SELECT event_id, CASE WHEN value < 10 THEN 49 WHEN event_type = 'error' THEN 49 ELSE 20 END AS status_code FROM events")
+def legacy_status(spark, d):
+    status, _ = formats.legacy_status(F.when(F.col("value") < 10, 0).otherwise(20), F.when(F.col("event_type") == "error", "Connect failed").otherwise("text/gemini; lang=en"))
+    return t(spark, d, "events").select("event_id", status.alias("status_code"))
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = t(spark, d, "events").schema
+    return _log(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='driftline-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_CONNECTIVITY)
+def stream_connectivity(spark, d):
+    return state.replay(state.connectivity(_stream(spark, d)), _folder(spark, "connectivity"))
+
+
+@query(_POLITENESS)
+def stream_politeness(spark, d):
+    return state.replay(state.politeness(_stream(spark, d)), _folder(spark, "politeness"))
+
+
+@query(f"WITH {LOG_SQL} SELECT DISTINCT authority AS url_id, received AS captured FROM log")
+def stream_captures(spark, d):
+    rows = _stream(spark, d).select(F.col("authority").alias("url_id"), F.col("received").alias("captured"))
+    return state.replay(state.captures(rows), _folder(spark, "captures"))
+
+
+@query()
+def stream_documents(spark, d):
+    return _latest_state(spark, d)
+
+
+def _latest_state(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of each URL after the stream has run through; equals doc_latest_upsert."""
+    folder = _folder(spark, "documents")
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    rows = state.documents(_responses(_stream(spark, d)))
+    run = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    names = [f.name for f in rows.schema.fields if f.name != "url_id"]
+    all_ = spark.read.parquet(f"{folder}/rows")
+    return all_.groupBy("url_id").agg(F.max_by(F.struct(*names), "epoch").alias("s")).select("url_id", "s.*")
