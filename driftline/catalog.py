@@ -212,7 +212,7 @@ def fts_postings(spark, d):
 
 
 _BENCH = rf"""
-WITH asked AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {_WORDS}))[1:3] AS ws FROM benchmark),
+WITH asked AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), {_WORDS})))[1:3] AS ws FROM benchmark),
 pairs AS (SELECT item_id, unnest(ws) AS term FROM asked), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {_WORDS})) AS term FROM documents)
 SELECT item_id, count(*) AS hits FROM (SELECT item_id, doc_id FROM pairs JOIN words USING (term) GROUP BY item_id, doc_id HAVING count(*) = (SELECT len(ws) FROM asked a WHERE a.item_id = pairs.item_id)) x GROUP BY item_id"""
 
@@ -220,7 +220,7 @@ SELECT item_id, count(*) AS hits FROM (SELECT item_id, doc_id FROM pairs JOIN wo
 @query(_BENCH)
 def fts_query_workload(spark, d):
     """Many AND queries at once: postings of the asked terms, joined by term, counted per query and document."""
-    ws = F.array_distinct(fts.tokens(F.col("text")))
+    ws = F.array_sort(F.array_distinct(fts.tokens(F.col("text"))))
     asked = t(spark, d, "benchmark").select("item_id", F.slice(ws, 1, 3).alias("ws")).withColumn("wanted", F.size("ws"))
     words = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(fts.tokens(F.col("text")))).alias("term"))
     both = asked.select("item_id", "wanted", F.explode("ws").alias("term")).join(words, "term")
@@ -258,7 +258,7 @@ _IMAGES = r"""
 WITH images AS (SELECT p_partkey AS url_id, 'gemini://img/' || p_partkey AS url, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS b, coalesce(n, 0) AS links FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) i ON l_partkey = p_partkey),
 counted AS (SELECT *, len(list_filter(b, lambda w: w = '{0}')) AS f FROM images), stats AS (SELECT count(*) AS big_n, avg(len(b)) AS mean, count(*) FILTER (f > 0) AS n FROM counted),
 ranked AS (SELECT url_id, url, -greatest(ln((big_n - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(b) / mean)) AS rank, ln(least(100, 1 + links)) / ln(100) AS pop FROM counted, stats WHERE f > 0)
-SELECT url_id, round(rank + rank * 0.3 * pop, 6) AS total_rank FROM ranked ORDER BY total_rank, url LIMIT 15""".replace("{0}", "green")
+SELECT url_id, round(rank + rank * 0.3 * pop, 6) AS total_rank FROM ranked ORDER BY total_rank, url LIMIT 15""".replace("{0}", "widget")
 
 
 @query(_IMAGES)
@@ -266,7 +266,7 @@ def image_search(spark, d):
     inbound = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     images = t(spark, d, "part").join(inbound, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("gemini://img/"), "p_partkey").alias("url"), F.lit(None).cast("string").alias("title"), F.col("p_name").alias("body"), n.alias("external_inbound_links"), graph.popularity_rank(n, F.lit(True)).alias("popularity_rank"))
-    found = fts.image_search(images, parse("green")).withColumn("total_rank", F.round("total_rank", 6))
+    found = fts.image_search(images, parse("widget")).withColumn("total_rank", F.round("total_rank", 6))
     return found.select("url_id", "total_rank")
 
 
@@ -412,12 +412,12 @@ def interactive_pages(spark, d):
     return graph.interactive(asks, links(spark, d))
 
 
-@query(f"WITH {LINKS_SQL} SELECT source_url_id, target_url_id, is_external, link_text FROM links QUALIFY row_number() OVER (PARTITION BY source_url_id, target_url_id ORDER BY seq) = 1")
+@query(f"WITH {LINKS_SQL} SELECT source_url_id, target_url_id, is_external, link_text FROM links QUALIFY row_number() OVER (PARTITION BY source_url_id, target_url_id ORDER BY seq, is_external, link_text) = 1")
 def first_link_per_target(spark, d):
     return documents.one_link_per_target(links(spark, d), "seq").select("source_url_id", "target_url_id", "is_external", "link_text")
 
 
-@query(f"""WITH {LINKS_SQL}, one AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY source_url_id, target_url_id ORDER BY seq) = 1),
+@query(f"""WITH {LINKS_SQL}, one AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY source_url_id, target_url_id ORDER BY seq, is_external, link_text) = 1),
 old AS (SELECT * FROM one WHERE target_url_id % 5 <> 0), new AS (SELECT source_url_id, target_url_id, is_external <> (target_url_id % 7 = 0) AS is_external, CASE WHEN target_url_id % 11 = 0 THEN 'new' ELSE link_text END AS link_text FROM one WHERE target_url_id % 6 <> 0)
 SELECT coalesce(o.source_url_id, n.source_url_id) AS source_url_id, coalesce(o.target_url_id, n.target_url_id) AS target_url_id,
     CASE WHEN o.source_url_id IS NULL THEN 'added' WHEN n.source_url_id IS NULL THEN 'removed' WHEN o.link_text <> n.link_text OR o.is_external <> n.is_external THEN 'updated' ELSE 'unchanged' END AS change,
@@ -441,7 +441,7 @@ def bfs_depth(spark, d):
 # --- reports and crawl log ------------------------------------------------------------------------------------------
 
 _HOSTS = "SELECT 'gemini' AS protocol, source AS domain, 1965 AS port, CASE WHEN doc_id % 50 = 49 THEN 49 ELSE 20 END AS status_code, TIMESTAMP '2020-01-01' + doc_id * INTERVAL 7 HOUR AS last_time_updated FROM documents"
-_FAVICONS = "SELECT 'gemini' AS protocol, 'src' || n_nationkey AS domain, 1965 AS port, substr(n_name, 1, 1) AS emoji FROM nation WHERE n_nationkey % 2 = 0"
+_FAVICONS = "SELECT 'gemini' AS protocol, 'src' || n_nationkey AS domain, 1965 AS port, right(n_name, 1) AS emoji FROM nation WHERE n_nationkey % 2 = 0"
 
 
 def _hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +449,7 @@ def _hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _favicons(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.lit("gemini").alias("protocol"), F.concat(F.lit("src"), "n_nationkey").alias("domain"), F.lit(1965).alias("port"), F.substring("n_name", 1, 1).alias("emoji"))
+    return t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.lit("gemini").alias("protocol"), F.concat(F.lit("src"), "n_nationkey").alias("domain"), F.lit(1965).alias("port"), F.substring("n_name", -1, 1).alias("emoji"))
 
 
 @query(f"WITH h AS ({_HOSTS}), f AS ({_FAVICONS}) SELECT protocol, domain, port, urls, last_update, emoji FROM (SELECT protocol, domain, port, count(*) AS urls, max(last_time_updated) AS last_update FROM h WHERE status_code <> 49 GROUP BY ALL) g LEFT JOIN f USING (protocol, domain, port)")
@@ -698,7 +698,7 @@ def hashtags(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.array_join(gemtext.hashtags(F.expr("replace(text, ' t', ' #t')")), " ").alias("tags"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN 'big' WHEN n_chars >= 1024 THEN CASE WHEN n_chars % 1024 = 0 THEN printf('%.0f', n_chars / 1024.0) ELSE printf('%.2f', n_chars / 1024.0) END || ' KB' ELSE n_chars || ' bytes' END AS shown FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN 'big' WHEN n_chars >= 1024 THEN CASE WHEN n_chars % 1024 = 0 THEN printf('%.0f', n_chars / 1024.0) ELSE printf('%.2f', round(n_chars / 1024.0 + 1e-9, 2)) END || ' KB' ELSE n_chars || ' bytes' END AS shown FROM documents""")
 def human_sizes(spark, d):
     return t(spark, d, "documents").select("doc_id", formats.human_size(F.col("n_chars")).alias("shown"))
 
@@ -754,7 +754,7 @@ def stream_politeness(spark, d):
 
 @query(f"WITH {LOG_SQL} SELECT DISTINCT authority AS url_id, received AS captured FROM log")
 def stream_captures(spark, d):
-    rows = _stream(spark, d).select(F.col("authority").alias("url_id"), F.col("received").alias("captured"))
+    rows = _stream(spark, d).select(F.col("authority").alias("url_id"), F.col("received").cast("timestamp").alias("captured"))
     return state.replay(state.captures(rows), _folder(spark, "captures"))
 
 

@@ -45,7 +45,7 @@ def dedup_flags(snapshots: DataFrame) -> DataFrame:
     return (
         df.withColumn("_other", other)
         .withColumn("is_duplicate", F.col("_n") > 1)
-        .withColumn("is_global_duplicate", (F.col("url_id") != F.col("_first")) | (F.col("_other") < F.col("seq")))
+        .withColumn("is_global_duplicate", (F.col("url_id") != F.col("_first")) | F.coalesce(F.col("_other") < F.col("seq"), F.lit(False)))
         .withColumn("first_seq", F.first("seq").over(by_hash))
         .drop("_n", "_first", "_other")
     )

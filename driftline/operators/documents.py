@@ -52,9 +52,9 @@ def valid_security_contact(content: Column) -> Column:
 
 
 def one_link_per_target(links: DataFrame, order: str) -> DataFrame:
-    """Of a source's links to one target the first."""
+    """Of a source's links to one target the first; of several with one order value the least by the other columns."""
     rest = [c for c in links.columns if c not in ("source_url_id", "target_url_id")]
-    first = links.groupBy("source_url_id", "target_url_id").agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r"))
+    first = links.groupBy("source_url_id", "target_url_id").agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("_r"))
     return first.select("source_url_id", "target_url_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 

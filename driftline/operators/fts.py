@@ -28,10 +28,17 @@ def frequency(tokens_: Column, p: Phrase) -> Column:
     """How often the phrase occurs."""
     if len(p.words) == 1:
         return F.size(F.filter(tokens_, lambda t: t == p.words[0]))
-    k = len(p.words)
-    starts = F.when(F.size(tokens_) >= k, F.sequence(F.lit(1), F.size(tokens_) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    wanted = F.array(*[F.lit(w) for w in p.words])
-    return F.size(F.filter(starts, lambda i: F.slice(tokens_, i, F.lit(k)) == wanted))
+    # side by side: the tokens, zipped with themselves moved by one, two, ... places
+    moved = [tokens_ if n == 0 else F.slice(tokens_, F.lit(n + 1), F.greatest(F.size(tokens_), F.lit(1))) for n in range(len(p.words))]
+    zipped = F.arrays_zip(*[m.alias(f"w{n}") for n, m in enumerate(moved)])
+
+    def hit(z: Column) -> Column:
+        found = F.lit(True)
+        for n, w in enumerate(p.words):
+            found = found & F.coalesce(z[f"w{n}"] == w, F.lit(False))
+        return found
+
+    return F.size(F.filter(zipped, hit))
 
 
 def matches(e: Expression, count: dict[Phrase, Column]) -> Column:
