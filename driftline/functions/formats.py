@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: how many bytes tell text from binaries.
+SNIFFED = 1445
+
+
 def human_size(n: Column) -> Column:
     """GB, MB, KB or bytes of 1024; two decimals unless whole."""
 
@@ -45,9 +49,9 @@ def savings_percent(optimized: Column, unoptimized: Column) -> Column:
 
 
 def is_text(body_hex: Column) -> Column:
-    """From the first bytes in hex (upper case): a byte order mark, or none of the bytes that only binaries hold."""
+    """From the first SNIFFED bytes in hex (upper case): a byte order mark, or none of the bytes that only binaries hold."""
     bom = body_hex.rlike("^(FEFF|FFFE|EFBBBF)")
-    binary = body_hex.rlike("^(..)*?(0[0-8BEF]|1[0-9A-F&&[^B]]|1[CDEF])")
+    binary = body_hex.rlike("^(?:..)*?(?:0[0-8BEF]|1[0-9A]|1[C-F])")
     return bom | ~binary
 
 
