@@ -187,62 +187,66 @@ class Model:
                 return self.runs.pop(marks)
         return self.runs[marks]
 
-    def split(self, text: str) -> list[tuple[int, list[str]]]:
-        """(marks before it, word parts) of each marked word; parts are cut at newlines, which are in no piece."""
-        out, marks = [], 0
-        for part in text.replace(MARK, " ").split(" ") if text else ():
-            marks += 1
-            if part:
-                out.append((marks, (MARK + part).split("\n") if self.newline else [MARK + part]))
-                marks = 0
-        if marks:
-            out.append((marks, []))
-        return out
-
-    def _packed(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word. Frequent words stay known from block to block, in two generations of bounded size."""
+    def split(self, text: str) -> list[str]:
+        """The text cut at spaces, each a mark: a part has a mark before it, unless it starts with a newline, which is
+        in no piece and so bounds words. Empty parts are marks with nothing after them."""
+        text = text.replace(MARK, " ")
+        return (text.replace("\n", " \n") if self.newline else text).split(" ") if text else []
+
+    def _learn(self, parts: set[str]) -> None:
+        """Puts the ids of all parts into kept. Frequent parts stay known from block to block, in two generations of
+        bounded size."""
         if len(self.kept) > KEPT:
             self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        out = {}
-        new = []
-        for w in words:
-            got = kept.get(w)
-            if got is None:
-                got = older.get(w)
-                if got is None:
-                    new.append(w)
-                    continue
-                kept[w] = got
-            out[w] = got
-        for w, ids in self.words(sorted(new)).items():
-            out[w] = kept[w] = array("i", ids).tobytes()
-        return out
+        kept, older, new = self.kept, self.older, []
+        for part in parts:
+            if part not in kept:
+                if part in older:
+                    kept[part] = older[part]
+                else:
+                    new.append(part)
+        breaks = array("i", [self.byte_ids[10]]).tobytes()
+        inside = {p[1:] for p in new if p[:1] == "\n" and self.newline}
+        found = self.words(sorted({MARK + p for p in new if p[:1] != "\n" or not self.newline} | inside - {""}))
+        for p in new:
+            if p[:1] == "\n" and self.newline:
+                kept[p] = breaks + array("i", found[p[1:]] if len(p) > 1 else []).tobytes()
+            else:
+                kept[p] = array("i", found[MARK + p]).tobytes()
+
+    def _with_runs(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of parts among which some are empty."""
+        mark = array("i", [self.ids[MARK]]).tobytes()
+        empty = 0
+        for part in parts:
+            if not part:
+                empty += 1
+                continue
+            ids = self.kept[part]
+            if empty:
+                if part[:1] == "\n" and self.newline:
+                    yield array("i", self.run(empty)).tobytes()
+                elif ids[:4] == mark:  # the part's own mark joined no piece of it, so it is part of the run
+                    yield array("i", self.run(empty + 1)).tobytes()
+                    ids = ids[4:]
+                else:
+                    yield array("i", self.run(empty)).tobytes()
+                empty = 0
+            yield ids
+        if empty:
+            yield array("i", self.run(empty)).tobytes()
 
     def encode(self, block: list[str]) -> list[array]:
         """The ids of each text."""
         cut = [self.split(t) for t in block]
-        packed = self._packed({w for words in cut for _, parts in words for w in parts if w})
-        breaks, mark = array("i", [self.byte_ids[10]]).tobytes(), array("i", [self.ids[MARK]]).tobytes()
-        out = []
-        for words in cut:
-            ids: list[bytes] = []
-            for marks, parts in words:
-                first = packed[parts[0]] if parts else b""
-                if marks > 1 or not parts:
-                    if first[:4] == mark:  # the word's own mark joined no piece of it, so it is part of the run
-                        ids.append(array("i", self.run(marks)).tobytes())
-                        first = first[4:]
-                    else:
-                        ids.append(array("i", self.run(marks - bool(parts))).tobytes())
-                ids.append(first)
-                for part in parts[1:]:
-                    ids.append(breaks)
-                    if part:
-                        ids.append(packed[part])
-            found = array("i")
-            found.frombytes(b"".join(ids))
-            out.append(found)
+        distinct = set().union(*cut)
+        distinct.discard("")
+        self._learn(distinct)
+        get, out = self.kept.__getitem__, []
+        for parts in cut:
+            ids = array("i")
+            ids.frombytes(b"".join(self._with_runs(parts) if "" in parts else map(get, parts)))
+            out.append(ids)
         return out
 
     def decode(self, ids) -> str:
