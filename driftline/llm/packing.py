@@ -32,7 +32,9 @@ from .common import Scratch, slices, texts
 from .encode import encoder
 
 ROOM, END_ID = 4096, 1
-GROUP, ISLANDS, MEMBERS, GENERATIONS, EVERY = 2048, 2, 3, 8, 2
+#: A group's pieces fill about so many sequences.
+BINS = 256
+ISLANDS, MEMBERS, GENERATIONS, EVERY = 2, 3, 8, 2
 WELL_FILLED = 0.995
 #: Share of a group's bins, the least filled, whose pieces are dealt anew.
 DISSOLVED = 0.08
@@ -147,19 +149,20 @@ def _packed(room: int, last: bool):
     return run
 
 
-def pack(cut: DataFrame, scratch: Scratch, room: int = ROOM, group: int = GROUP) -> DataFrame:
-    """``cut`` (as pieces() gives it) with sequence_id and offset."""
+def pack(cut: DataFrame, scratch: Scratch, room: int = ROOM, bins: int = BINS) -> DataFrame:
+    """``cut`` (as pieces() gives it) with sequence_id and offset. ``bins`` is 4 or more."""
     whole = cut.where(F.col("length") == room).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     names = [*cut.columns, "sequence_id", "offset"]
     out, left, n = whole.select(names), cut.where(F.col("length") < room), 0
     while True:
-        groups = max(1, -(-left.count() // group))
+        # by length, as many tiny pieces fit into one sequence; a group has at most room * bins pieces, of length 1
+        groups = max(1, -(-(left.agg(F.sum("length")).first()[0] or 0) // (room * bins)))
         # dealt by where rows stand in a kept table, so that no value can crowd a group
         dealt = left.withColumn("group", (F.monotonically_increasing_id() % groups).cast("bigint"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", sequence_id bigint, offset bigint, done boolean"
         got = scratch.keep(dealt.groupBy("group").applyInPandas(_packed(room, groups == 1), schema), f"round{n}")
         # a sequence's number: round, group, bin
-        numbered = got.where("done").withColumn("sequence_id", F.lit(n << 56) + F.col("group") * (1 << 20) + F.col("sequence_id"))
+        numbered = got.where("done").withColumn("sequence_id", F.lit(n << 56) + F.col("group") * (1 << 21) + F.col("sequence_id"))
         out = out.unionByName(numbered.select(names))
         if groups == 1:
             return out
