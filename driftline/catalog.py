@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import formats, gemtext, urls
-from driftline.operators import archive, documents, fts, graph, reports, rules
+from driftline.operators import archive, crawl, documents, fts, graph, reports, rules
 from driftline.plans.userquery import Page, parse, suggestion
 from driftline.streaming import state
 
@@ -726,6 +726,87 @@ def legacy_status(spark, d):
     return t(spark, d, "events").select("event_id", status.alias("status_code"))
 
 
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' END AS shown FROM documents")
+def languages_shown(spark, d):
+    return t(spark, d, "documents").select("doc_id", formats.language_shown(F.col("lang")).alias("shown"))
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (\"' || p_brand || '\")' END AS label FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'site/' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (\"' || p_brand || '\")' END FROM part WHERE p_size % 2 <> 0")
+def link_labels(spark, d):
+    title, text = F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.when(F.col("p_size") % 3 != 0, F.col("p_brand"))
+    return t(spark, d, "part").select("p_partkey", formats.link_label(title, F.lit("site"), F.concat(F.lit("/"), "p_partkey"), text).alias("label"))
+
+
+@query("SELECT event_id, event_type = 'error' OR event_id % 5 = 0 AS truncated FROM events")
+def truncated_flags(spark, d):
+    meta, size = F.when(F.col("event_type") == "error", "Requestor aborting: size").otherwise("text/gemini"), F.when(F.col("event_id") % 5 != 0, 7)
+    return t(spark, d, "events").select("event_id", formats.was_truncated(F.lit(20), meta, size).alias("truncated"))
+
+
+@query("SELECT user_id AS authority, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 100, event_id) <= 2")
+def next_entries(spark, d):
+    rows = t(spark, d, "events").select(F.col("user_id").alias("authority"), F.col("event_id").alias("seq"), (F.col("event_id") % 100).alias("priority"))
+    return crawl.next_entries(rows, 2).select("authority", "seq")
+
+
+@query(f"WITH {LOG_SQL}, n AS (SELECT *, count(*) FILTER (status_code = 44) OVER (PARTITION BY authority, seq % 2 ORDER BY seq) AS k FROM log) SELECT seq, status_code = 44 AND k <= 5 AS retry FROM n")
+def retried_requests(spark, d):
+    return crawl.retried(log(spark, d).withColumn("url", F.col("seq") % 2)).select("seq", "retry")
+
+
+@query("SELECT doc_id AS seq FROM documents WHERE doc_id % 23 <> 0 QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+def followed_responses(spark, d):
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 23 == 0).alias("is_proactive"), F.sha2("text", 256).alias("data_hash"))
+    return crawl.followed(rows).select("seq")
+
+
+@query("""WITH RECURSIVE r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT (node * 7 + k) % 1000 FROM r, (SELECT unnest([3, 11]) AS k)) SELECT node FROM r""")
+def pending_fixpoint(spark, d):
+    def step(new: DataFrame) -> DataFrame:
+        return new.select(F.explode(F.array((F.col("node") * 7 + 3) % 1000, (F.col("node") * 7 + 11) % 1000)).alias("node"))
+
+    return crawl.fixpoint(spark.createDataFrame([(0,)], "node bigint"), step, "node")
+
+
+@query(f"""WITH {SNAPSHOTS_SQL} SELECT url_id, seq, captured, lag(captured) OVER w AS old, lag(captured, 2) OVER w AS before_old, lead(captured) OVER w AS after FROM flagged WHERE NOT is_duplicate WINDOW w AS (PARTITION BY url_id ORDER BY captured, seq) QUALIFY lag(captured) OVER w IS NOT NULL""")
+def diff_navigation(spark, d):
+    return crawl.diff_navigation(flagged(spark, d).where("not is_duplicate"))
+
+
+@query("SELECT count(*) AS blobs, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT DISTINCT text FROM documents)")
+def pack_size(spark, d):
+    rows = t(spark, d, "documents").select(F.sha2("text", 256).alias("data_hash"), F.col("text").cast("binary").alias("body"))
+    return crawl.pack_size(archive.blobs(rows))
+
+
+@query("SELECT o_orderkey AS url_id, count(l_orderkey) AS n, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_day FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def urls_with_snapshots(spark, d):
+    shots = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("url_id"), F.col("l_shipdate").alias("captured"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("data_hash"))
+    both = crawl.with_snapshots(t(spark, d, "orders").select(F.col("o_orderkey").alias("url_id")), shots)
+    return both.select("url_id", F.coalesce(F.size("snapshots"), F.lit(0)).cast("bigint").alias("n"), F.try_element_at("snapshots", F.lit(1))["captured"].cast("date").cast("string").alias("first_day"))
+
+
+@query()
+def html_as_gemtext(spark, d):
+    from driftline.functions.parsers import html_to_gemtext
+
+    return t(spark, d, "pages").select("page_id", html_to_gemtext("html").alias("gemtext"))
+
+
+@query()
+def stemmed_terms(spark, d):
+    from driftline.functions.stem import stems
+
+    return t(spark, d, "benchmark").select("item_id", F.array_join(stems("text"), " ").alias("terms"))
+
+
+@query()
+def absolute_links(spark, d):
+    from driftline.functions.parsers import absolute
+
+    return link_extract(spark, d).join(t(spark, d, "pages").select("page_id", "url"), "page_id").select("page_id", absolute("url", "target").alias("target"))
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 

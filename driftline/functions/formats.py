@@ -69,3 +69,52 @@ def wayback_time(url: Column) -> Column:
 
 def wayback_source(url: Column) -> Column:
     return F.regexp_extract(url, r"/web/\d{14}[a-z_]*/(.*)$", 1)
+
+
+def filename_shown(path: Column) -> Column:
+    """The decoded file name, or a slash."""
+    name = F.try_url_decode(F.element_at(F.split(path, "/"), -1))
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("/")).otherwise(name)
+
+
+def language_shown(code: Column) -> Column:
+    """The name of a few languages; other codes as they are."""
+    names = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "sv": "Swedish", "pl": "Polish", "ru": "Russian", "ja": "Japanese", "zh": "Chinese"}
+    out = code
+    for k, v in names.items():
+        out = F.when(F.lower(code) == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def link_label(title: Column, domain: Column, path: Column, link_text: Column) -> Column:
+    """A page's title, else its place, and what the link to it says."""
+    name = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.concat(domain, path))
+    return F.when(F.coalesce(link_text, F.lit("")) != "", F.concat(name, F.lit(' ("'), link_text, F.lit('")'))).otherwise(name)
+
+
+def was_truncated(status: Column, meta: Column, size: Column) -> Column:
+    """A success whose meta says that the crawler gave up, or that has no body."""
+    return (status.between(20, 29) & meta.startswith("Requestor aborting")) | (status.between(20, 29) & (F.coalesce(size, F.lit(0)) == 0))
+
+
+def is_domain_name(name: Column) -> Column:
+    return name.rlike(r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,63}$")
+
+
+def wayback_capture(timestamp: Column, url: Column) -> Column:
+    """Where the archive holds the untouched body of a capture."""
+    return F.concat(F.lit("https://web.archive.org/web/"), timestamp, F.lit("id_/"), url)
+
+
+def wayback_wanted(url: Column, least: int = 79, before: str = "2023-01-01") -> Column:
+    """Captures of a gemini proxy from before a day; shorter addresses are the proxy's own pages."""
+    return (F.length(url) >= least) & wayback_source(url).contains("/gemini/") & (wayback_time(url) < F.lit(before).cast("timestamp"))
+
+
+def proxied_url(source: Column) -> Column:
+    """The gemini URL that a proxy page shows."""
+    return F.concat(F.lit("gemini://"), F.regexp_extract(source, "/gemini/(.*)$", 1))
+
+
+def gemtext_row(url: Column, label: Column) -> Column:
+    return F.concat(F.lit("=> "), url, F.lit(" "), one_line(label))
