@@ -22,10 +22,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows that repeat its id and text are copies as well."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi") if docs.where("doc_id is null").limit(1).count() else docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return rows
+    """One document of each group of near-duplicates. Rows that repeat a kept id with the same text are copies too, so
+    one of them stays; rows with a null id are in no group and all stay."""
+    scratch = Scratch(spark, "one-of-each")
+    kept = scratch.keep(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
+    rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if not kept.where("_kept is not null").groupBy("_kept").count().where("count > 1").limit(1).count():
+        return rows
+    return rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
