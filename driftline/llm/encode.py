@@ -143,7 +143,7 @@ class Encoder:
 
     def _runs(self, text: str) -> list[str] | None:
         """None: the library has to take the text as a whole."""
-        if not text.isascii() and ODD_SPACE.search(text) or text.isascii() and not text.isprintable() and ODD_SPACE.search(text):
+        if ODD_SPACE.search(text):
             return None
         return text.split() if self.words else RUN.findall(text)
 

@@ -14,6 +14,7 @@ counts as empty; a single document comes after itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -74,7 +75,7 @@ def edited_pairs(docs: DataFrame, parts: int, scale: int = SCALE) -> DataFrame:
     # at most `parts` ids; they are values of the table, so a split point is the first document of its range
     got = base.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("cuts"), F.max("doc_id").alias("top")).first()
     cuts, top = sorted({x for x in got["cuts"] or [] if x != got["top"]} if parts > 1 else [], reverse=True), got["top"]
-    splits = F.array(*[F.lit(x) for x in cuts]).cast(f"array<{kind}>")
+    splits = F.from_json(F.lit(json.dumps(cuts)), f"array<{kind}>")
     # range 0 holds ids over cuts[0], range p those from cuts[p - 1] down to above cuts[p]; null is in the last
     mine = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(splits, lambda c: F.col("doc_id") <= c)))
     before = F.when(F.array_contains(splits, F.col("doc_id")), mine - 1)

@@ -43,3 +43,14 @@ def test_queries_match_their_sql(spark):
         assert sorted(got.columns) == sorted(want.columns), name
         cols = sorted(got.columns)
         assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values)), name
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (None, "x"), (2, "A b c d e f"), (3, ""), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 5.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double")
+    got = corpus_pipeline.one_of_each(spark, df, DIR).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == [(-1, "x"), (-1, "x"), (1, "a b c d e f"), (3, ""), (4, "")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, DIR).columns == df.columns
+        assert stage(spark, df.limit(0), DIR).count() == 0
+    assert corpus_pipeline.packed(spark, df, DIR).count() == len(rows)
