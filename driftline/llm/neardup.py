@@ -160,12 +160,13 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, few: int = FEW) -> Data
     wanted = scratch.keep(spokes.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     chosen = docs.join(F.broadcast(wanted) if wanted.count() <= few else wanted, "doc_id", "left_semi")
     sets = scratch.keep(chosen.mapInArrow(_sets, "rep bigint, set array<bigint>"), "sets")
-    blocks = spokes.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = spokes.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # only hubs of several blocks are looked up; kept as a table, so that a hub's spokes can be split over tasks
+    large = scratch.keep(spokes.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    placed = spokes.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block")
     grouped = meets.join(sets, "rep").repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two")
     found = scratch.keep(grouped.mapInArrow(_linked, "a bigint, b bigint"), "links")
-    scratch.drop("hubs", "wanted", "sets")
+    scratch.drop("hubs", "wanted", "sets", "large")
     label = components(found, scratch)
     # digests that stand for more than a row of their own, with the component of their texts
     named = reps.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
