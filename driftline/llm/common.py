@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a Python operator holds as Python objects at a time.
 ROWS = 256
@@ -44,6 +45,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers, up to which a table may be broadcast (about 150 bytes each, so 75 MB at most).
+FEW = 500_000
+
+
+def lookup(kept: DataFrame, few: int = FEW) -> DataFrame:
+    """A kept table of a few numbers a row for the small side of a join: broadcast if its rows are few, which their
+    count shows; else as it is, to be shuffled."""
+    return F.broadcast(kept) if kept.count() <= few else kept
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

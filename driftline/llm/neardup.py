@@ -27,15 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, texts
+from .common import FEW, Scratch, lookup, slices, texts
 from .components import components
 from .shingles import WORDS, mixed, shingle_sets
 
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 SIMILAR = 75
 BLOCK = 256
-#: Representatives that share a key, up to which their ids are broadcast (16 MB); beyond, the texts are shuffled.
-FEW = 2_000_000
 COLUMNS = 4096
 
 _rng = np.random.default_rng(77)
@@ -151,14 +149,14 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, few: int = FEW) -> Data
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     drawn = scratch.keep(sketches(docs), "sketches")
     known = drawn.where("doc_id is not null and digest is not null")
-    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = scratch.keep(reps, "reps")
-    # repeated ids with different texts: a representative's row is the one with its digest
-    filed = known.join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("rep"))
+    reps = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    # rows that aren't their set's representative; a repeated id can be one of one set and not of another
+    copies = scratch.keep(known.select("digest", "doc_id").join(reps.where("copies > 1").select("digest", F.col("rep")), "digest").where("doc_id <> rep").select("digest", "doc_id"), "copies")
+    filed = known.join(lookup(copies, few), ["digest", "doc_id"], "left_anti").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("rep"))
     hubs = scratch.keep(filed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-    spokes = scratch.keep(filed.join(hubs, "key").select("hub", "rep").distinct(), "spokes")
+    spokes = scratch.keep(filed.join(lookup(hubs, few), "key").select("hub", "rep").distinct(), "spokes")
     wanted = scratch.keep(spokes.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    chosen = docs.join(F.broadcast(wanted) if wanted.count() <= few else wanted, "doc_id", "left_semi")
+    chosen = docs.join(lookup(wanted, few), "doc_id", "left_semi")
     sets = scratch.keep(chosen.mapInArrow(_sets, "rep bigint, set array<bigint>"), "sets")
     # only hubs of several blocks are looked up; kept as a table, so that a hub's spokes can be split over tasks
     large = scratch.keep(spokes.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
@@ -166,7 +164,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, few: int = FEW) -> Data
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block")
     grouped = meets.join(sets, "rep").repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two")
     found = scratch.keep(grouped.mapInArrow(_linked, "a bigint, b bigint"), "links")
-    scratch.drop("hubs", "wanted", "sets", "large")
+    scratch.drop("copies", "hubs", "wanted", "sets", "large")
     label = components(found, scratch)
     # digests that stand for more than a row of their own, with the component of their texts
     named = reps.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
