@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import neardup, packing, quality, secrets
-from driftline.llm.common import Scratch, table
+from driftline.llm.common import Scratch, lookup, table
 from driftline.llm.encode import public
 from driftline.llm.queries import PACKED
 
@@ -26,7 +26,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one of them stays; rows with a null id are in no group and all stay."""
     scratch = Scratch(spark, "one-of-each")
     kept = scratch.keep(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.join(lookup(kept), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     if not kept.where("_kept is not null").groupBy("_kept").count().where("count > 1").limit(1).count():
         return rows
     return rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
