@@ -154,12 +154,12 @@ def fts_boolean(spark, d):
 
 @query(_fts_sql(["with", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15"))
 def fts_total_rank_top15(spark, d):
-    return fts.text_search(docs(spark, d), parse("with from")).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
+    return fts.text_search(docs(spark, d), parse("with from"), stemmed=False).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(_fts_sql(["with", "from"], "f0 > 0 OR f1 > 0", f"url_id, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15 OFFSET 15"))
 def fts_second_page(spark, d):
-    return fts.text_search(docs(spark, d), parse("with OR from"), Page(2)).select("url_id", F.round("total_rank", 6).alias("total_rank"))
+    return fts.text_search(docs(spark, d), parse("with OR from"), Page(2), stemmed=False).select("url_id", F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(_fts_sql(["with"], "f0 > 0 AND domain = 'src3' AND file_extension = 'en'", "url_id, round(rank, 6) AS rank"))
@@ -169,7 +169,7 @@ def fts_scope_site_type(spark, d):
 
 @query(_fts_sql(["with"], "f0 > 0 AND contains(lower(path), '7.')", "count(*) AS n"))
 def fts_result_count(spark, d):
-    return fts.result_count(docs(spark, d), parse("with inurl:7."))
+    return fts.result_count(docs(spark, d), parse("with inurl:7."), stemmed=False)
 
 
 @query(rf"""
@@ -190,12 +190,12 @@ def fts_scope_only_lead(spark, d):
 
 @query(_fts_sql(["with", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 1"))
 def fts_lucky(spark, d):
-    return fts.text_search(docs(spark, d), parse("with from"), Page(1, 1)).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
+    return fts.text_search(docs(spark, d), parse("with from"), Page(1, 1), stemmed=False).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(_fts_sql(["with", "from", "zzz"], "f0 > 0 OR f1 > 0 OR f2 > 0", "count(*) AS n"))
 def fts_suggestion_count(spark, d):
-    return fts.result_count(docs(spark, d), suggestion(parse("with from zzz")))
+    return fts.result_count(docs(spark, d), suggestion(parse("with from zzz")), stemmed=False)
 
 
 @query()
@@ -207,7 +207,7 @@ def fts_snippets(spark, d):
 WITH words AS (SELECT doc_id AS url_id, unnest(regexp_extract_all(lower(text), {_WORDS})) AS term FROM documents)
 SELECT term, count(DISTINCT url_id) AS docs, count(*) AS occurrences FROM words GROUP BY term""")
 def fts_postings(spark, d):
-    index = fts.postings(docs(spark, d)).where("field = 'body'")
+    index = fts.postings(docs(spark, d), stemmed=False).where("field = 'body'")
     return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
@@ -220,9 +220,9 @@ SELECT item_id, count(*) AS hits FROM (SELECT item_id, doc_id FROM pairs JOIN wo
 @query(_BENCH)
 def fts_query_workload(spark, d):
     """Many AND queries at once: postings of the asked terms, joined by term, counted per query and document."""
-    ws = F.array_sort(F.array_distinct(fts.tokens(F.col("text"))))
+    ws = F.array_sort(F.array_distinct(fts.tokens(F.col("text"), stemmed=False)))
     asked = t(spark, d, "benchmark").select("item_id", F.slice(ws, 1, 3).alias("ws")).withColumn("wanted", F.size("ws"))
-    words = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(fts.tokens(F.col("text")))).alias("term"))
+    words = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(fts.tokens(F.col("text"), stemmed=False))).alias("term"))
     both = asked.select("item_id", "wanted", F.explode("ws").alias("term")).join(words, "term")
     full = both.groupBy("item_id", "doc_id", "wanted").count().where("count = wanted")
     return full.groupBy("item_id").agg(F.count("*").alias("hits"))
@@ -266,7 +266,7 @@ def image_search(spark, d):
     inbound = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     images = t(spark, d, "part").join(inbound, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("gemini://img/"), "p_partkey").alias("url"), F.lit(None).cast("string").alias("title"), F.col("p_name").alias("body"), n.alias("external_inbound_links"), graph.popularity_rank(n, F.lit(True)).alias("popularity_rank"))
-    found = fts.image_search(images, parse("widget")).withColumn("total_rank", F.round("total_rank", 6))
+    found = fts.image_search(images, parse("widget"), stemmed=False).withColumn("total_rank", F.round("total_rank", 6))
     return found.select("url_id", "total_rank")
 
 

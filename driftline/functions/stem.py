@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import fold
+from .text import TERM, fold
 
 #: The algorithm's suffix tables, (suffix, replacement), tried from the top.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+#: Longer terms stay as they are.
+LONGEST = 64
 
 
 def _form(word: str) -> str:
@@ -44,16 +46,23 @@ def _replaced(word: str, table: list[tuple[str, str]]) -> str:
 
 @lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii() or not word.isalpha():
+    """As SQLite's porter tokenizer: lengths count bytes, and bytes that are no letters count as consonants."""
+    if not word.isascii():
+        return _stem(word.encode().decode("latin-1")).encode("latin-1").decode(errors="replace")
+    return _stem(word)
+
+
+def _stem(word: str) -> str:
+    if not 3 <= len(word) <= LONGEST:
         return word
     # plurals
-    if word.endswith("sses") or word.endswith("ies"):
+    if (word.endswith("sses") and len(word) > 4) or (word.endswith("ies") and len(word) > 3):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
     # past and progressive forms
     cut = None
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         if _measure(word[:-3]) > 0:
             word = word[:-1]
     elif word.endswith("ed") and "v" in _form(word[:-2]):
@@ -87,11 +96,13 @@ def stem(word: str) -> str:
     return word
 
 
-_WORD = re.compile(r"[^\W_]+")
+@lru_cache(maxsize=100_000)
+def term(word: str) -> str:
+    return stem(fold(word))
 
 
 def analyzed(text: str | None) -> list[str]:
-    return [stem(fold(w)) for w in _WORD.findall(text or "")]
+    return list(map(term, TERM.findall(text or "")))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -7,21 +7,35 @@ import difflib
 import re
 import struct
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^\W_]+")
+#: Accents that belong to the word when written as characters of their own: those of SQLite's unicode61.
+MARKS = "".join(chr(768 + n) for n in range(50) if (0x361F808029FDF >> n) & 1)
+TERM = re.compile(rf"[^\W_]+(?:[{MARKS}]+[^\W_]*)*")
+
+
+@lru_cache(maxsize=100_000)
+def _folded(c: str) -> str:
+    if c in MARKS:
+        return ""
+    low = c.casefold() if len(c.casefold()) == 1 else c
+    parts = unicodedata.normalize("NFD", low)
+    return parts[0].lower() if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() else low
 
 
 def fold(word: str) -> str:
-    """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    """Lower case without accents, as unicode61 has it: one accent on a Latin letter goes, other letters stay."""
+    return word.lower() if word.isascii() else "".join(map(_folded, word))
 
 
-def _cut(text: str, wanted: set[str], size: int) -> str:
-    spans = [(m.start(), m.end(), fold(m[0]) in wanted) for m in _WORD.finditer(text)]
+def _cut(text: str, wanted: set[str], size: int, term: Callable[[str], str] = fold) -> str:
+    spans = [(m.start(), m.end(), term(m[0]) in wanted) for m in TERM.finditer(text)]
     if not spans:
         return ""
     best, first, run = -1, 0, 0
@@ -40,13 +54,14 @@ def _cut(text: str, wanted: set[str], size: int) -> str:
     return ("…" if first else "") + "".join(out) + tail + ("…" if last < len(spans) else "")
 
 
-def snippet_of(words: list[str], size: int = 20):
-    """The stretch of at most ``size`` words with the most hits, hits in brackets. Apply it after the limit."""
-    wanted = {fold(w) for w in words}
+def snippet_of(words: list[str], size: int = 20, term: Callable[[str], str] = fold):
+    """The stretch of at most ``size`` words with the most hits, hits in brackets; words are the same if their ``term``
+    is. Apply it after the limit."""
+    wanted = {term(w) for w in words}
 
     @F.pandas_udf(T.StringType())
     def snippet(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _cut(t or "", wanted, size))
+        return text.map(lambda t: _cut(t or "", wanted, size, term))
 
     return snippet
 

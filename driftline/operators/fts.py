@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftline.functions.text import snippet_of
+from driftline.functions.stem import analyzed, stems, term
+from driftline.functions.text import fold, snippet_of
 from driftline.plans.userquery import Expression, Page, Phrase, UserQuery, phrase
 
 #: Fixed values of the ranking: BM25's k1 and b, the least idf, weights of popularity and of gemtext.
@@ -20,7 +23,11 @@ K1, B, LEAST_IDF, POPULARITY_WEIGHT, GEMTEXT_BOOST = 1.2, 0.75, 1e-6, 0.3, 1.03
 GEMTEXT = 1
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, stemmed: bool = True) -> Column:
+    """Index terms in order: stems without accents, as the tokenizer 'porter unicode61' has them; unstemmed ones are
+    words in lower case, for comparison with plain SQL."""
+    if stemmed:
+        return stems(F.coalesce(text, F.lit("")))
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
@@ -57,23 +64,55 @@ def bm25(frequency_: Column, length: Column, mean_length: float, idf_: float) ->
     return -(F.lit(idf_) * frequency_ * (K1 + 1) / (frequency_ + K1 * (1 - B + B * length / mean_length)))
 
 
-def _counted(docs: DataFrame, q: UserQuery) -> tuple[DataFrame, dict, dict, DataFrame]:
-    body, head = tokens(F.col("body")), tokens(F.col("title"))
+def analyzed_phrase(p: Phrase, stemmed: bool) -> Phrase:
+    return Phrase(tuple(term(w) for w in p.words)) if stemmed else p
+
+
+def occurrences(terms: list[str], p: Phrase) -> int:
+    if len(p.words) == 1:
+        return terms.count(p.words[0])
+    words, n = list(p.words), len(p.words)
+    return sum(terms[i] == words[0] and terms[i : i + n] == words for i in range(len(terms) - n + 1))
+
+
+def stemmed_counts(in_body: list[Phrase], in_title: list[Phrase]):
+    """(body, title) to the number of terms of both, then how often each phrase occurs. Spark takes it as changing, so
+    that a text is split once for all uses of its counts."""
+    in_body, in_title = [analyzed_phrase(p, True) for p in in_body], [analyzed_phrase(p, True) for p in in_title]
+
+    def row(body: str | None, title: str | None) -> list[int]:
+        b, t = analyzed(body), analyzed(title)
+        return [len(b) + len(t), *[occurrences(b, p) for p in in_body], *[occurrences(t, p) for p in in_title]]
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def counts(body: pd.Series, title: pd.Series) -> pd.Series:
+        return pd.Series([row(b, t) for b, t in zip(body, title, strict=True)], dtype=object)
+
+    return counts.asNondeterministic()
+
+
+def _counted(docs: DataFrame, q: UserQuery, stemmed: bool) -> tuple[DataFrame, dict, dict, DataFrame]:
     title = phrase(q.title) if q.title else None
     # the words of a title scope belong together, wherever in the title each stands
     in_title = [Phrase((w,)) for w in title.words] if title else []
     phrases = list(dict.fromkeys(q.phrases))
-    df = docs.withColumn("_body", body).withColumn("_head", head).withColumn("_length", F.size("_body") + F.size("_head"))
-    for n, p in enumerate(phrases):
-        df = df.withColumn(f"_b{n}", frequency(F.col("_body"), p))
-    for n, p in enumerate(in_title):
-        df = df.withColumn(f"_t{n}", frequency(F.col("_head"), p))
+    if stemmed and (phrases or in_title):
+        df = docs.withColumn("_counts", stemmed_counts(phrases, in_title)("body", "title"))
+        names = ["_length", *[f"_b{n}" for n in range(len(phrases))], *[f"_t{n}" for n in range(len(in_title))]]
+        df = df.select("*", *[F.col("_counts")[n].alias(c) for n, c in enumerate(names)])
+    else:
+        df = docs.withColumn("_body", tokens(F.col("body"), False)).withColumn("_head", tokens(F.col("title"), False)).withColumn("_length", F.size("_body") + F.size("_head"))
+        for n, p in enumerate(phrases):
+            df = df.withColumn(f"_b{n}", frequency(F.col("_body"), p))
+        for n, p in enumerate(in_title):
+            df = df.withColumn(f"_t{n}", frequency(F.col("_head"), p))
     return df, {p: F.col(f"_b{n}") for n, p in enumerate(phrases)}, {p: F.col(f"_t{n}") for n, p in enumerate(in_title)}, df
 
 
-def matched(docs: DataFrame, q: UserQuery) -> DataFrame:
-    """Rows of ``docs`` (url_id, title, body and what scopes need) that match, with rank (null without terms)."""
-    df, body, head, counted = _counted(docs, q)
+def matched(docs: DataFrame, q: UserQuery, stemmed: bool = False) -> DataFrame:
+    """Rows of ``docs`` (url_id, title, body and what scopes need) that match, with rank (null without terms). The
+    searches below stem; the plain form is what the tests against unstemmed tokenizers and SQL ask for."""
+    df, body, head, counted = _counted(docs, q, stemmed)
     rank = F.lit(None).cast("double")
     keep = F.lit(True)
     if body or head:
@@ -108,42 +147,44 @@ def total_rank(rank: Column, popularity: Column, content_type: Column | None = N
     return base if content_type is None else base * F.when(content_type == GEMTEXT, GEMTEXT_BOOST).otherwise(1.0)
 
 
-def text_search(docs: DataFrame, q: UserQuery, page: Page = Page(1)) -> DataFrame:
+def text_search(docs: DataFrame, q: UserQuery, page: Page = Page(1), stemmed: bool = True) -> DataFrame:
     """A page of hits by total rank; without terms by inbound links. Snippets are made for the page's rows alone."""
-    hits = matched(docs, q).withColumn("total_rank", total_rank(F.col("rank"), F.col("popularity_rank"), F.col("content_type")))
+    hits = matched(docs, q, stemmed).withColumn("total_rank", total_rank(F.col("rank"), F.col("popularity_rank"), F.col("content_type")))
     by_terms = q.expression is not None or q.title
     order = [F.asc("total_rank"), F.asc("url")] if by_terms else [F.desc("external_inbound_links"), F.asc("url")]
     shown = hits.orderBy(*order).offset(page.offset).limit(page.size)
     words = [w for p in q.phrases for w in p.words]
-    return shown.withColumn("snippet", snippet_of(words)("body") if words else F.substring("body", F.lit(1), F.least(F.lit(100), F.length("body")) - 1)).drop("body")
+    return shown.withColumn("snippet", snippet_of(words, term=term if stemmed else fold)("body") if words else F.substring("body", F.lit(1), F.least(F.lit(100), F.length("body")) - 1)).drop("body")
 
 
-def image_search(images: DataFrame, q: UserQuery, page: Page = Page(1)) -> DataFrame:
+def image_search(images: DataFrame, q: UserQuery, page: Page = Page(1), stemmed: bool = True) -> DataFrame:
     """As text_search over image terms (in body), without the gemtext boost."""
-    hits = matched(images, q).withColumn("total_rank", total_rank(F.col("rank"), F.col("popularity_rank")))
+    hits = matched(images, q, stemmed).withColumn("total_rank", total_rank(F.col("rank"), F.col("popularity_rank")))
     order = [F.asc("total_rank"), F.asc("url")] if q.expression is not None else [F.desc("external_inbound_links"), F.asc("url")]
     return hits.orderBy(*order).offset(page.offset).limit(page.size)
 
 
-def result_count(docs: DataFrame, q: UserQuery) -> DataFrame:
-    return matched(docs, q).agg(F.count("*").alias("n"))
+def result_count(docs: DataFrame, q: UserQuery, stemmed: bool = True) -> DataFrame:
+    return matched(docs, q, stemmed).agg(F.count("*").alias("n"))
 
 
-def postings(docs: DataFrame, key: str = "url_id") -> DataFrame:
+def postings(docs: DataFrame, key: str = "url_id", stemmed: bool = True) -> DataFrame:
     """term, field, key, tf, positions, length: the inverted index; write it partitioned or bucketed by term."""
-    both = F.array(F.struct(F.lit("title").alias("field"), tokens(F.col("title")).alias("tokens")), F.struct(F.lit("body").alias("field"), tokens(F.col("body")).alias("tokens")))
-    fields = docs.select(key, F.explode(both).alias("f"), (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).alias("length"))
+    split = docs.select(key, tokens(F.col("title"), stemmed).alias("_head"), tokens(F.col("body"), stemmed).alias("_body"))
+    both = F.array(F.struct(F.lit("title").alias("field"), F.col("_head").alias("tokens")), F.struct(F.lit("body").alias("field"), F.col("_body").alias("tokens")))
+    fields = split.select(key, F.explode(both).alias("f"), (F.size("_head") + F.size("_body")).alias("length"))
     words = fields.select(key, "length", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("position", "term"))
     return words.groupBy("term", "field", key, "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def from_postings(index: DataFrame, terms: list[str], rows: int, mean_length: float, key: str = "url_id") -> DataFrame:
-    """Documents with any of the terms in the body and their BM25 rank, from a written index."""
+def from_postings(index: DataFrame, terms: list[str], rows: int, mean_length: float, key: str = "url_id", stemmed: bool = True) -> DataFrame:
+    """Documents with any of the terms in the body and their BM25 rank, from a written index (stemmed as it is)."""
+    terms = list(dict.fromkeys(w for t in terms for w in (analyzed(t) if stemmed else [t])))
     hits = index.where((F.col("field") == "body") & F.col("term").isin(terms))
     found = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.countDistinct(key).alias("n")).collect()}  # a row per term of the query
     weight = F.lit(0.0)
-    for term, n in found.items():
-        weight = F.when(F.col("term") == term, bm25(F.col("tf"), F.col("length"), mean_length, idf(rows, n))).otherwise(weight)
+    for word, n in found.items():
+        weight = F.when(F.col("term") == word, bm25(F.col("tf"), F.col("length"), mean_length, idf(rows, n))).otherwise(weight)
     return hits.withColumn("w", weight).groupBy(key).agg(F.sum("w").alias("rank"))
 
 

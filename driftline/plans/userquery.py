@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from driftline.functions.text import TERM
+
 _SCOPES = (("title", r'\bintitle:([^\s"]+)'), ("title", r'\bintitle:"([^"]*)"'), ("site", r"\bsite:(\S+)"), ("filetype", r"\bfiletype:(\S+)"), ("url", r"\binurl:(\S+)"))
 _TOKEN = re.compile(r'\s*(?:(\()|(\))|"([^"]*)(?:"|$)|((?:AND|OR|NOT)(?=[\s("]))|([^\s()"]+))')
-WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -73,7 +74,7 @@ def _phrases(e: Expression | None):
 
 
 def phrase(text: str) -> Phrase | None:
-    words = tuple(WORD.findall(text.lower()))
+    words = tuple(TERM.findall(text.lower()))
     return Phrase(words) if words else None
 
 

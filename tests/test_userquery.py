@@ -84,3 +84,32 @@ def test_stems_of_sqlite():
         con.execute("insert into fts values (?)", (w,))
         assert stem(w) == con.execute("select term from terms").fetchone()[0], w
     assert analyzed("Cafés Running") == ["cafe", "run"]
+
+
+NATURAL = [("Cafés", "cats were running over the hills"), ("two", "a cat runs; the café is closed"), ("three", "Straßen und Wege, cafés and naïve connections"), ("running", "nothing of that kind, connected or not"), ("five", "dogs sleep here")]
+
+
+@pytest.mark.parametrize("raw", ["running", "cats", "cafe", '"cat running"', "cat NOT hill", "connecting OR cafés", "naive", "straßen"])
+def test_stemmed_search_of_sqlite(spark, raw):
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table fts using fts5(title, body, tokenize='porter')")
+    con.executemany("insert into fts(rowid, title, body) values (?, ?, ?)", [(i, *r) for i, r in enumerate(NATURAL)])
+    want = {i: r for i, r in con.execute("select rowid, bm25(fts) from fts where body match ?", (raw,))}
+    docs = spark.createDataFrame([(i, *r, f"u{i}", 0, 0.0, 4) for i, r in enumerate(NATURAL)], "url_id long, title string, body string, url string, external_inbound_links int, popularity_rank double, content_type int")
+    got = {r.url_id: (r["rank"], r.snippet) for r in fts.text_search(docs, parse(raw)).collect()}
+    assert got.keys() == want.keys() and fts.result_count(docs, parse(raw)).first().n == len(want)
+    assert all(math.isclose(got[i][0], want[i], rel_tol=1e-6, abs_tol=1e-9) and "[" in got[i][1] for i in got)
+    if parse(raw).expression == P(raw):
+        lengths = [len(analyzed(f"{t} {b}")) for t, b in NATURAL]
+        index = fts.from_postings(fts.postings(docs), [raw], len(NATURAL), sum(lengths) / len(lengths))
+        assert {r.url_id: round(r["rank"], 9) for r in index.collect()} == {i: round(r, 9) for i, r in want.items()}
+
+
+def test_stems_of_odd_words():
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table fts using fts5(body, tokenize='porter unicode61')")
+    con.execute("create virtual table terms using fts5vocab(fts, 'row')")
+    for w in ["mp3s", "großes", "eed", "ies", "ệs", "Ćwiczenia", "й", "ſet", "İs", "한국", "a" * 70 + "ing"]:
+        con.execute("delete from fts")
+        con.execute("insert into fts values (?)", (w,))
+        assert analyzed(w) == [r[0] for r in con.execute("select term from terms")], w
