@@ -1,7 +1,7 @@
 """Incremental forms of the stateful operators, on Structured Streaming.
 
-State is kept per key and has a bounded size: the document state, the last ten outcomes, a set of seen ids within the
-watermark. Rows of a key arrive batch by batch; within a batch they are folded in order of ``seq``.
+State is kept per key: the document state, the last ten outcomes, the key itself of what has been seen. Nothing is
+dropped as late. Rows of a key arrive batch by batch; within a batch they are folded in order of ``seq``.
 """
 
 from __future__ import annotations
@@ -84,14 +84,15 @@ def politeness(log: DataFrame) -> DataFrame:
     return log.groupBy("authority").applyInPandasWithState(_politeness, "authority bigint, seq bigint, wait_ms bigint", "n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_seen(urls: DataFrame, event_time: str = "ts", late: str = "1 day") -> DataFrame:
-    """URLs not seen within the watermark."""
-    return urls.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["url_id"])
+def first_seen(urls: DataFrame) -> DataFrame:
+    """Each URL when it first comes. No watermark: rows are in any order of time, so the state keeps every url_id."""
+    return urls.dropDuplicates(["url_id"])
 
 
-def captures(responses: DataFrame, event_time: str = "captured", late: str = "30 days") -> DataFrame:
-    """Each (url_id, captured) once."""
-    return responses.withWatermark(event_time, late).dropDuplicates(["url_id", event_time])
+def captures(responses: DataFrame, event_time: str = "captured") -> DataFrame:
+    """Each (url_id, captured) once. No watermark, as old files are loaded after new ones too: the state keeps every key
+    (in memory unless the session sets RocksDB as its state store)."""
+    return responses.dropDuplicates(["url_id", event_time])
 
 
 def upsert_into(read_index, write_index):
