@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,20 +50,25 @@ def followed(responses: DataFrame) -> DataFrame:
     return responses.where(~F.col("is_proactive")).withColumn("_n", n).where(F.col("data_hash").isNull() | (F.col("_n") == 1)).drop("_n")
 
 
-def fixpoint(start: DataFrame, step, key: str, rounds: int = 100) -> DataFrame:
+def fixpoint(start: DataFrame, step, key: str) -> DataFrame:
     """All that is reached from ``start`` by ``step`` (DataFrame of new rows -> DataFrame of found rows), each key once.
-    Each round is checkpointed where a checkpoint folder is set."""
+    It ends when a round finds no new key, however many rounds that takes. Rounds are Parquet in the checkpoint folder
+    (or a local one, where none is set), so plans stay as small as a round's."""
     spark = start.sparkSession
-    kept = bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
-    done = fresh = start.dropDuplicates([key])
-    for _ in range(rounds):
-        fresh = step(fresh).select(start.columns).dropDuplicates([key]).join(done.select(key), key, "left_anti").select(start.columns)
-        if kept:
-            fresh = fresh.checkpoint()
-        if not fresh.limit(1).count():
-            break
-        done = done.unionByName(fresh)
-    return done
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='driftline-')}"
+    folder = f"{base}/fixpoint-{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, n: int) -> DataFrame:
+        rows.write.parquet(f"{folder}/r{n}")
+        return spark.read.schema(start.schema).parquet(f"{folder}/r{n}")
+
+    n, fresh = 0, written(start.dropDuplicates([key]), 0)
+    while not fresh.isEmpty():
+        done = spark.read.schema(start.schema).parquet(f"{folder}/r*").select(F.col(key).alias("_done"))
+        # a null key is found once like others
+        found = step(fresh).select(start.columns).dropDuplicates([key])
+        n, fresh = n + 1, written(found.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti"), n + 1)
+    return spark.read.schema(start.schema).parquet(f"{folder}/r*")
 
 
 def image_terms(images: DataFrame, link_texts: DataFrame, words_of_path: Column) -> DataFrame:

@@ -30,3 +30,13 @@ def test_small_formats(spark):
     df = spark.createDataFrame([("/a/b%20c.gmi", "https://web.archive.org/web/20210203040506id_/https://proxy.example/gemini/host.example/some/long/path")], "p string, w string")
     r = df.select(formats.filename_shown(F.col("p")).alias("f"), formats.wayback_wanted(F.col("w")).alias("w"), formats.proxied_url(formats.wayback_source(F.col("w"))).alias("g"), formats.is_domain_name(F.lit("a-b.example.org")).alias("d"), formats.is_domain_name(F.lit("-a.b")).alias("e"), formats.gemtext_row(F.lit("/x"), F.lit("a\nb")).alias("row"), formats.wayback_capture(F.lit("2021"), F.lit("u")).alias("c")).first()
     assert tuple(r) == ("b c.gmi", True, "gemini://host.example/some/long/path", True, False, "=> /x ab", "https://web.archive.org/web/2021id_/u")
+
+
+def test_fixpoint_of_a_long_chain(spark):
+    def step(new):
+        # the last page leads to nowhere: a null link
+        return new.select(F.when(F.col("node") < 104, F.col("node") + 1).alias("node"))
+
+    got = crawl.fixpoint(spark.createDataFrame([(0,)], "node bigint"), step, "node")
+    assert sorted(-1 if r.node is None else r.node for r in got.collect()) == list(range(-1, 105))
+    assert crawl.fixpoint(got.limit(0), step, "node").count() == 0
