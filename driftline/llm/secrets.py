@@ -2,7 +2,8 @@
 
 Base spans are pattern matches. Besides them, candidates in base64 or hex are decoded and reported only if what
 comes out has the structure of a secret: a private key in DER (nested lengths have to add up), an OpenSSH private
-key (length-prefixed fields), a PEM block around either, or a signed token whose header and claims are JSON.
+key (length-prefixed fields), a PEM block around either, or a signed token whose header and claims are JSON. Base64 may
+be broken into lines, by escaped breaks (\\n) too, and may hold a PEM block.
 
 Offsets count code points, ends are exclusive. Null text counts as empty and has no spans; each row gives one row.
 """
@@ -29,7 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]*){2,4}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
+BLANK = re.compile(r"\n[^\S\n]*\n")
+#: Line breaks as strings in code and JSON have them, escaped once or more.
+ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
+#: Where base64 of a key in DER, of an OpenSSH key or of a PEM block begins, and a line of it with the break before it.
+BEGIN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{6,}")
+LINE = re.compile(r"([A-Za-z0-9+/_-]+)(={0,2})")
+BREAK = re.compile(r"[ \t\r]*\n[ \t]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 OPENSSH = b"openssh-key-v1\0"
@@ -79,9 +87,13 @@ def is_der_key(raw: bytes) -> bool:
 
 
 def is_openssh_key(raw: bytes) -> bool:
+    return _openssh_size(raw) == len(raw)
+
+
+def _openssh_size(raw: bytes) -> int | None:
     """cipher, kdf, kdf options, number of keys, that many public keys, private part; each with its length."""
     if not raw.startswith(OPENSSH):
-        return False
+        return None
     at = len(OPENSSH)
 
     def field() -> bytes | None:
@@ -95,9 +107,9 @@ def is_openssh_key(raw: bytes) -> bool:
         return raw[at - size : at]
 
     if any(field() is None for _ in range(3)) or at + 4 > len(raw):
-        return False
+        return None
     keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
-    return 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) and at == len(raw)
+    return at if 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) else None
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -133,7 +145,70 @@ def is_token(text: str) -> bool:
 def _key(raw: bytes | None) -> str | None:
     if not raw:
         return None
-    return "der" if is_der_key(raw) else "openssh" if is_openssh_key(raw) else None
+    return "der" if is_der_key(raw) else "openssh" if is_openssh_key(raw) else "pem" if _pem_blocks(raw.decode("latin-1")) else None
+
+
+def _unescaped(text: str) -> str:
+    """The text with escaped line breaks as real ones, each as long as before."""
+    return ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text) if "\\" in text else text
+
+
+def _pem_blocks(text: str) -> list[tuple[int, int]]:
+    blocks = []
+    if "PRIVATE KEY-----" in text:
+        for m in PEM.finditer(text):
+            head, body = "", m[2]
+            if ":" in body:
+                at = [b.end() for b in BLANK.finditer(body)] or [0]
+                head, body = body[: at[-1]], body[at[-1] :]
+            raw = _unbase64("".join(body.replace("\\", "").split()))
+            if raw and (is_der_key(raw) or is_openssh_key(raw) or "ENCRYPTED" in head):
+                blocks.append(m.span())
+    return blocks
+
+
+def _der_size(raw: bytes) -> int | None:
+    """Bytes that the outer sequence says it has, if what it begins with can begin a key."""
+    n = raw[1] & 127 if raw[1] & 128 else 0
+    if raw[:1] != b"\x30" or n > 4 or raw[1] == 128 or raw[2 + n : 3 + n] not in (b"\x02", b"\x30"):
+        return None
+    return 2 + n + (int.from_bytes(raw[2 : 2 + n], "big") if n else raw[1])
+
+
+def _wrapped(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 over several lines without armour. Their own lengths say where they end, which has to be the end
+    of a line."""
+    out: list[tuple[str, int, int]] = []
+    for m in BEGIN.finditer(text):
+        if out and m.start() < out[-1][2]:
+            continue
+        wanted = None
+        if m[0][0] == "M" and (size := _der_size(base64.b64decode(m[0][:8].replace("-", "+").replace("_", "/")))):
+            wanted = (4 * size + 2) // 3
+        elif m[0][0] == "M":
+            continue
+        lines, ends, have, at = [], [], 0, m.start()
+        while line := LINE.match(text, at):
+            lines.append(line[1])
+            have += len(line[1])
+            ends.append((have, line.end()))
+            gap = BREAK.match(text, line.end())
+            if line[2] or not gap or (wanted and have >= wanted):
+                break
+            at = gap.end()
+        if len(lines) < 2 or (wanted and have != wanted):
+            continue
+        whole = "".join(lines)
+        raw = _unbase64(whole if wanted else whole[: have - (have % 4 == 1)])
+        if wanted:
+            if raw and is_der_key(raw):
+                out.append(("der", m.start(), ends[-1][1]))
+        elif raw and (size := _openssh_size(raw)):
+            out += [("openssh", m.start(), end) for have, end in ends if have == (4 * size + 2) // 3]
+        elif raw and (blocks := _pem_blocks(raw.decode("latin-1"))):
+            # to the end of the line with the last block's end
+            out.append(("pem", m.start(), next(end for have, end in ends if have * 3 // 4 >= blocks[-1][1])))
+    return out
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -150,16 +225,14 @@ def find(text: str) -> list[tuple[str, int, int]]:
             # a full stop may follow the token
             if is_token(whole := m[0].rstrip(".")):
                 out.append(("jwt", m.start(), m.start() + len(whole)))
-    blocks = []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            head, _, body = m[2].rpartition("\n\n") if ":" in m[2] else ("", "", m[2])
-            raw = _unbase64("".join(body.split()))
-            if raw and (_key(raw) or "ENCRYPTED" in head):
-                blocks.append(m.span())
+    plain = _unescaped(text)
+    blocks = _pem_blocks(plain)
     out += [("pem", *b) for b in blocks]
+    wrapped = [w for w in _wrapped(plain) if not any(a <= w[1] and w[2] <= z for a, z in blocks)]
+    out += wrapped
+    blocks += [(a, z) for _, a, z in wrapped]
     for pattern, decode in ((BASE64, _unbase64), (ANY_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(plain):
             if any(a <= m.start() and m.end() <= z for a, z in blocks):
                 continue
             raw = decode(m[0])
