@@ -7,6 +7,7 @@ import difflib
 import re
 import struct
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -14,7 +15,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORD = re.compile(r"[^\W_]+")
 #: Accents that belong to the word when written as characters of their own: those of SQLite's unicode61.
 MARKS = "".join(chr(768 + n) for n in range(50) if (0x361F808029FDF >> n) & 1)
 TERM = re.compile(rf"[^\W_]+(?:[{MARKS}]+[^\W_]*)*")
@@ -127,23 +127,52 @@ def is_one_emoji(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-#: The most frequent words of a few languages, enough to tell them apart.
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec mais ou son lui nous comme aux cette si leur même ses entre deux elle tout être fait",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta",
+#: A sentence or more and the frequent words of the 14 languages, from which their profiles are made.
+LANGUAGE_SAMPLES = {
+    "en": "all human beings are born free and equal in dignity and rights they are endowed with reason and conscience and should act towards one another in a spirit of brotherhood everyone has the right to life liberty and security of person no one shall be held in slavery the of and to in is that for it as was with be by on not he his but at this have from or had an which you were her she there would their we him been has when who will more if out so what about up into than them can only other time some could these two may then do first any my now such like our over me even most made after also did many before must through years where much your way well down because each just those people how too good",
+    "de": "alle menschen sind frei und gleich an würde und rechten geboren sie sind mit vernunft und gewissen begabt und sollen einander im geist der brüderlichkeit begegnen jeder hat das recht auf leben freiheit und sicherheit der person niemand darf in sklaverei gehalten werden der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er hat dass sie nach wird bei einer um am noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können ihre seine wir ich unter kann gegen vom schon hatte sehr diese dieser zwischen immer wieder heute jahr zeit weil müssen andere",
+    "fr": "tous les êtres humains naissent libres et égaux en dignité et en droits ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité tout individu a droit à la vie à la liberté et à la sûreté de sa personne nul ne sera tenu en esclavage de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec mais ou son lui nous comme aux cette si leur même ses entre deux elle tout être fait était été ont cela aussi bien peut encore sans où ces après avait vous je depuis temps toujours très faire autre années quelques beaucoup",
+    "es": "todos los seres humanos nacen libres e iguales en dignidad y derechos y dotados como están de razón y conciencia deben comportarse fraternalmente los unos con los otros todo individuo tiene derecho a la vida a la libertad y a la seguridad de su persona nadie estará sometido a esclavitud de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora cada vida otro después",
+    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza ogni individuo ha diritto alla vita alla libertà ed alla sicurezza della propria persona nessuno potrà essere tenuto in schiavitù di e il la che in un a per è una non sono con si da come le dei nel alla più della ha lo del i anche gli ma delle al se ci questo o mi suo due dalla nella tra quando era degli essere sua dal prima stato dove molto anni perché fatto ancora tutto già così solo loro può dopo questa quella cosa sempre senza tempo",
+    "pt": "todos os seres humanos nascem livres e iguais em dignidade e em direitos dotados de razão e de consciência devem agir uns para com os outros em espírito de fraternidade todo o indivíduo tem direito à vida à liberdade e à segurança pessoal ninguém será mantido em escravatura de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela entre depois sem mesmo aos seus quem nas me esse eles você essa num nem suas meu às minha têm numa foi são está há então anos tempo ainda onde fazer coisa outro nós assim",
+    "nl": "alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten en behoren zich jegens elkander in een geest van broederschap te gedragen een ieder heeft recht op leven vrijheid en onschendbaarheid van zijn persoon niemand zal in slavernij gehouden worden de van het een en in is dat op te zijn met voor niet die aan er om ook als dan maar bij nog uit door over ze naar heeft hij ik je was worden wordt kan meer al geen wel tot hebben deze moet zou werd veel haar hun jaar zo wat waar onder tegen na zich mijn onze alleen mensen tijd twee goed andere altijd omdat hier toen",
+    "sv": "alla människor är födda fria och lika i värde och rättigheter de är utrustade med förnuft och samvete och bör handla gentemot varandra i en anda av broderskap var och en har rätt till liv frihet och personlig säkerhet ingen får hållas i slaveri och i att det som en på är av för med den till inte har de om ett han men var jag sig från vi så kan när år under också efter eller nu sin där vid mot ska skulle kommer ut får finns vara hade alla andra mycket än här då sedan över bara blir upp även vad få två vill många hon någon sitt bli utan mellan själv varje tid hur måste alltid gå bra",
+    "da": "alle mennesker er født frie og lige i værdighed og rettigheder de er udstyret med fornuft og samvittighed og de bør handle mod hverandre i en broderskabets ånd enhver har ret til liv frihed og personlig sikkerhed ingen må holdes i slaveri og i at det er en til af på for med den som de der ikke et har om jeg han men var sig fra vi så kan når år under også efter eller nu sin hvor ved mod skal skulle kommer ud får vil være havde alle andre meget end her da over kun bliver op hvad to mange hun nogle sit blive uden mellem selv hver tid hvordan må altid gå godt blev hvis mig dig noget nogen efter af af uge fordi kunne ville",
+    "no": "alle mennesker er født frie og med samme menneskeverd og menneskerettigheter de er utstyrt med fornuft og samvittighet og bør handle mot hverandre i brorskapets ånd enhver har rett til liv frihet og personlig sikkerhet ingen må holdes i slaveri og i det er på som en til å av for med at den har de ikke et om jeg han men var seg fra vi så kan når år under også etter eller nå sin hvor ved mot skal skulle kommer ut får vil være hadde alle andre mye enn her da over bare blir opp hva to mange hun noen sitt bli uten mellom selv hver tid hvordan må alltid gå godt ble hvis meg deg noe uke fordi kunne ville fram gjennom etter av av dag",
+    "ru": "все люди рождаются свободными и равными в своём достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства каждый человек имеет право на жизнь на свободу и на личную неприкосновенность никто не должен содержаться в рабстве и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой её так от же для вы о год человек только себя один как ещё бы такой когда другой сказать время если самый",
+    "ja": "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である人間は理性と良心とを授けられており互いに同胞の精神をもって行動しなければならないこれはそれがあるからですますしたことものためよりとしていない何人も",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다 이 그 저 것은 있다 없다 하는 에서 으로 했다 그리고 하지만",
+    "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待人人有权享有生命自由和人身安全任何人不得使为奴隶或奴役的一是不了在有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年過發後說這個們來時會對國學",
 }
+#: Ranks of a profile that count; han and kana characters are words by themselves.
+RANKS = 400
+_LETTERS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+")
+
+
+def _ranks(text: str) -> dict[str, int]:
+    """The most frequent n-grams of 1 to 4 characters, words padded, by rank."""
+    grams: Counter[str] = Counter()
+    for w in _LETTERS.findall(unicodedata.normalize("NFC", text).lower()):
+        padded = f" {w} "
+        grams.update(padded[i : i + n] for n in range(1, 5) for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
+    return {g: r for r, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:RANKS])}
+
+
+@lru_cache(maxsize=1)
+def _profiles() -> dict[str, dict[str, int]]:
+    return {lang: _ranks(sample) for lang, sample in LANGUAGE_SAMPLES.items()}
 
 
 def language_of(text: str | None, least: int = 150, most: int = 4096) -> str | None:
-    """The language whose frequent words make up most of the text; None for short texts."""
+    """The language of 14 whose n-gram ranks are nearest; None for short texts and those without a letter."""
     if not text or len(text) < least:
         return None
-    words = _WORD.findall(text[:most].lower())
-    hits = {lang: sum(w in known for w in words) for lang, known in ((k, set(v.split())) for k, v in COMMON_WORDS.items())}
-    best = max(hits, key=lambda k: (hits[k], k))
-    return best if hits[best] else None
+    own = _ranks(text[:most])
+    if not own:
+        return None
+    away = {lang: sum(abs(r - known[g]) if g in known else RANKS for g, r in own.items()) for lang, known in _profiles().items()}
+    best = min(away, key=lambda k: (away[k], k))
+    return best if away[best] < RANKS * len(own) else None
 
 
 @F.pandas_udf(T.StringType())

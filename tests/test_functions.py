@@ -81,3 +81,25 @@ def test_html_and_archive(spark):
     assert lines == ["=> /archive/cached?url=gemini%3A%2F%2Fh%2Fa&t=5 First", "```", "=> /b", "```", "=> https://w/ web"]
     packed = spark.createDataFrame([(bytearray(gzip.compress(b"hello")),), (bytearray(b"raw"),), (bytearray(b"\x1f\x8bbad"),)], "b binary").select(parsers.gunzipped("b").alias("y")).collect()
     assert [None if r.y is None else bytes(r.y) for r in packed] == [b"hello", b"raw", None] and zlib
+
+
+def test_fourteen_languages():
+    # texts that aren't in the samples
+    texts = {
+        "en": "Yesterday we walked along the river until it started to rain, and then we sat under a bridge and talked about the books that our teacher had given us in the spring.",
+        "de": "Gestern gingen wir am Fluss entlang, bis es zu regnen begann, und dann saßen wir unter einer Brücke und sprachen über die Bücher, die uns der Lehrer im Frühling gegeben hatte.",
+        "fr": "Hier nous avons marché le long de la rivière jusqu'à ce qu'il commence à pleuvoir, puis nous nous sommes assis sous un pont et avons parlé des livres que le professeur nous avait donnés.",
+        "es": "Ayer caminamos por la orilla del río hasta que empezó a llover, y luego nos sentamos debajo de un puente y hablamos de los libros que el profesor nos había dado en la primavera.",
+        "it": "Ieri abbiamo camminato lungo il fiume finché non ha cominciato a piovere, poi ci siamo seduti sotto un ponte e abbiamo parlato dei libri che il maestro ci aveva dato in primavera.",
+        "pt": "Ontem caminhámos ao longo do rio até que começou a chover, e depois sentámo-nos debaixo de uma ponte e falámos dos livros que o professor nos tinha dado na primavera passada.",
+        "nl": "Gisteren liepen we langs de rivier totdat het begon te regenen, en daarna zaten we onder een brug en spraken we over de boeken die de leraar ons in het voorjaar had gegeven.",
+        "sv": "Igår gick vi längs floden tills det började regna, och sedan satt vi under en bro och pratade om böckerna som läraren hade gett oss på våren, innan skolan stängde för sommaren.",
+        "da": "I går gik vi langs floden, indtil det begyndte at regne, og så sad vi under en bro og talte om de bøger, som læreren havde givet os i foråret, før skolen lukkede for sommeren.",
+        "no": "I går gikk vi langs elven til det begynte å regne, og så satt vi under en bro og snakket om bøkene som læreren hadde gitt oss på våren, før skolen stengte for sommeren.",
+        "ru": "Вчера мы гуляли вдоль реки, пока не начался дождь, а потом сидели под мостом и разговаривали о книгах, которые учитель дал нам весной, перед тем как школа закрылась на лето.",
+        "ja": "昨日、私たちは雨が降り始めるまで川に沿って歩き、それから橋の下に座って、春に先生がくれた本について話しました。" * 4,
+        "ko": "어제 우리는 비가 내리기 시작할 때까지 강을 따라 걸었고, 그 다음에는 다리 밑에 앉아서 봄에 선생님이 주신 책에 대해 이야기했습니다. " * 3,
+        "zh": "昨天我们沿着河边散步，直到开始下雨，然后我们坐在桥下，谈论春天老师给我们的书。" * 5,
+    }
+    assert {k: text.language_of(v) for k, v in texts.items()} == {k: k for k in texts}
+    assert text.language_of("1234 5678 " * 20) is None and text.language_of(texts["en"][:149]) is None
