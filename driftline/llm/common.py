@@ -1,17 +1,21 @@
-"""Shared plumbing: table reading, intermediate tables in the cluster's shared folder, Arrow batches."""
+"""Shared plumbing: table reading, intermediate tables in the cluster's shared folder, screens, Arrow batches."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python operator holds as Python objects at a time.
+#: Rows that a Python operator holds as Python objects at a time. Spark cuts Arrow batches at 64 MB as well
+#: (spark.sql.execution.arrow.maxBytesPerBatch), so that is the most, or one row if that is longer.
 ROWS = 256
+#: Bits of a screen.
+SCREEN = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a session of one machine (tests) gets a
+    temporary folder; on a cluster that would lose tables, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 class Scratch:
-    """Intermediate Parquet tables in the shared folder. They cut lineage: a lost executor loses none of them."""
+    """Intermediate Parquet tables in the shared folder. They cut lineage: a lost executor loses none of them. Operators
+    drop what they don't need any more; what a result still reads goes when the program ends, or by ``clear``."""
+
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.live.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -39,20 +50,51 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def remove(self) -> None:
+        self._delete(self.root)
+        if self in self.live:
+            self.live.remove(self)
+
+    def _delete(self, where: str) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(path, True)
+
+
+def clear(since: int = 0) -> None:
+    """Deletes the tables of all but the first ``since`` scratch folders of this program."""
+    for scratch in Scratch.live[since:]:
+        scratch.remove()
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        clear()
+    except Exception as e:  # the JVM may be gone before this program
+        print(f"scratch tables stay: {type(e).__name__}")
+
+
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SCREEN))
 
 
-#: Rows of a few numbers, up to which a table may be broadcast (about 150 bytes each, so 75 MB at most).
-FEW = 500_000
+def screen(rows: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the keys' hashes, as rows of a word's place and its 64 bits: at most 2^20 rows of two numbers (16 MB),
+    however many keys there are, so it may be broadcast. The more keys, the more others pass by chance."""
+    return rows.select(_place(key).alias("h")).groupBy(F.expr("h div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("__bits"))
 
 
-def lookup(kept: DataFrame, few: int = FEW) -> DataFrame:
-    """A kept table of a few numbers a row for the small side of a join: broadcast if its rows are few, which their
-    count shows; else as it is, to be shuffled."""
-    return F.broadcast(kept) if kept.count() <= few else kept
+def screened(rows: DataFrame, key: str, screen_: DataFrame, within: bool = True) -> DataFrame:
+    """The rows whose key may be among the screen's; with ``within`` false those whose key can't be, nulls too. Neither
+    moves a row; an exact join of the few that may be follows."""
+    placed = rows.withColumn("__h", _place(key)).withColumn("__word", F.expr("__h div 64"))
+    met = placed.join(F.broadcast(screen_), "__word", "left")
+    may = F.coalesce(F.getbit("__bits", F.expr("cast(__h % 64 as int)")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return met.where(may if within else ~may).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,15 @@ under some key. With 12 chunks of 5 values and 1 error that is a distance of 23
 is further apart by chance still meets unless all 12 chunks have two errors: it is missed once in 160,000 times.
 
 Equal sets are one representative from the start, the smallest doc_id. The smallest representative under a key is its
-hub, and every pair that meets under the key is among the hub's texts; those are fetched once per hub, and compared
-exactly. Hubs with many texts are cut into blocks, and blocks meet in pairs, so a task holds two blocks at most. A
-task reports a spanning forest of the links it found: rows stay in proportion to texts, not pairs. Components of the
-links give the result.
+hub, and every pair that meets under the key is among the hub's texts. A hub with few texts has all of its pairs compared
+in one task. One with many is a star first: each text meets the hub's own, in as many tasks as there are blocks of texts,
+and one set is held at a time. Near copies mostly end there, linked with the hub. The texts that aren't linked with it
+then meet all others, block by block; what is linked with the hub is one group already and isn't compared again. A task
+reports a spanning forest of the links it found: rows stay in proportion to texts, not pairs. Blocks are bounded by the
+sets' size. Components of the links give the result.
+
+Tables are joined by shuffling. Where a few rows of a large table are wanted, a screen (a bitmap of fixed size, broadcast)
+first drops most others where they lie, at every size alike.
 
 Null texts and texts without words have no shingles and no links. Rows that repeat a doc_id are copies of each other
 as far as their texts are; rows with a null doc_id are linked with nothing and have no component.
@@ -26,15 +31,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import FEW, Scratch, lookup, slices, texts
+from .common import Scratch, screen, screened, slices, texts
 from .components import components
 from .shingles import WORDS, mixed, shingle_sets
 
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 SIMILAR = 75
-BLOCK = 256
+#: A block weighs this much at most; a text weighs 1 and 1 more per WEIGHT shingles.
+BLOCK, WEIGHT = 256, 4096
 COLUMNS = 4096
+#: As a group's second block: the group is a star, its first row the hub's own set.
+STAR = -1
 
 _rng = np.random.default_rng(77)
 _A = (_rng.integers(0, 1 << 32, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -62,13 +71,17 @@ def keys(sigs: np.ndarray, chunks: int = CHUNKS, width: int = WIDTH, errors: int
     return np.concatenate(out, axis=1).view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null: empty), keys (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(texts(b.column("text")))
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            digests = [_digest(s) for s in sets]
             filed = [k if len(s) else None for k, s in zip(keys(np.array([signature(s) for s in sets])), sets, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(filed, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
 
@@ -109,15 +122,28 @@ def links(sets: list[np.ndarray], side: np.ndarray | None = None, similar: int =
     return out
 
 
+def alike(one: np.ndarray, other: np.ndarray, similar: int = SIMILAR) -> bool:
+    """Whether two sets (ascending) reach the similarity."""
+    if len(one) > len(other):
+        one, other = other, one
+    if not len(one) or 100 * len(one) < similar * len(other):
+        return False
+    shared = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
+    return 100 * shared >= similar * (len(one) + len(other) - shared)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows stand group by group: (hub, one, two), with rep, block and the set's hashes."""
+    """Rows stand group by group: (hub, one, two), with rep, block and the set's hashes; a star's hub is its first row."""
     group, ids, sides, sets = None, [], [], []
 
     def made() -> pa.RecordBatch | None:
-        found = links(sets, None if group[1] == group[2] else np.array(sides)) if len(ids) > 1 else []
+        if group[2] == STAR:
+            found = [(0, i) for i in range(1, len(ids))]
+        else:
+            found = links(sets, None if group[1] == group[2] else np.array(sides)) if len(ids) > 1 else []
         if found:
             a, b = zip(*((ids[i], ids[j]) for i, j in found), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["hub", "a", "b"])
         return None
 
     for b in batches:
@@ -130,9 +156,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if group and (out := made()):
                     yield out
                 group, ids, sides, sets = mine, [], [], []
+            own = flat[at[i] : at[i + 1]]
+            if two[i] != STAR:
+                sides.append(block[i])
+                sets.append(own.copy())
+            elif not sets:
+                sets.append(own.copy())
+            elif rep[i] == ids[0] or not alike(sets[0], own):
+                continue
             ids.append(rep[i])
-            sides.append(block[i])
-            sets.append(flat[at[i] : at[i + 1]].copy())
     if group and (out := made()):
         yield out
 
@@ -140,36 +172,99 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         own = [s.view(np.int64) for s in shingle_sets(texts(b.column("text")))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], ["rep", "set"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([1 + len(s) // WEIGHT for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["rep", "weight", "set"])
+
+
+def _blocks(weight: F.Column, block: int) -> F.Column:
+    return F.ceil(F.coalesce(weight, F.lit(0)) / block).cast("int")
+
+
+def _compared(meets: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, a, b: the links found in groups (hub, one, two) of ``meets``."""
+    grouped = meets.join(sets.select("rep", "set"), "rep").repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two", F.col("rep") != F.col("hub"))
+    return grouped.select("hub", "one", "two", "rep", "block", "set").mapInArrow(_linked, "hub bigint, a bigint, b bigint")
+
+
+def _spokes(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """hub, rep: the representatives that meet under some key, each with the smallest one under it."""
+    filed = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "rep")
+    hubs = scratch.keep(filed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub"), "hubs")
+    shared = screened(filed, "key", scratch.keep(screen(hubs, "key"), "hub_screen"))
+    return scratch.keep(shared.join(hubs, "key").select("hub", "rep").distinct(), "spokes")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (it is the row's own) of each row."""
+def _links(docs: DataFrame, spokes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """a, b: links among each hub's texts, enough of them to connect all that are connected."""
+    wanted = scratch.keep(spokes.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    chosen = screened(docs, "doc_id", scratch.keep(screen(wanted, "doc_id"), "wanted_screen")).join(wanted, "doc_id", "left_semi")
+    sets = scratch.keep(chosen.mapInArrow(_sets, "rep bigint, weight bigint, set array<bigint>"), "sets")
+    # a repeated id can have several sets; the heaviest counts
+    weighed = scratch.keep(spokes.join(sets.groupBy("rep").agg(F.max("weight").alias("weight")), "rep").select("hub", "rep", "weight"), "weighed")
+    blocks = weighed.groupBy("hub").agg(_blocks(F.sum("weight"), block).alias("blocks"))
+    large = scratch.keep(blocks.where("blocks > 1"), "large")
+    place = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    few = weighed.join(large, "hub", "left_anti").select("hub", F.lit(0).alias("one"), F.lit(0).alias("two"), "rep", F.lit(0).alias("block"))
+    stars = weighed.where("rep <> hub").join(large, "hub").select("hub", place.alias("one"), F.lit(STAR).alias("two"), "rep", F.lit(0).alias("block"))
+    centres = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), F.lit(STAR).alias("two"), F.col("hub").alias("rep"), F.lit(0).alias("block"))
+    found = scratch.keep(_compared(few.unionByName(stars).unionByName(centres), sets), "links")
+    # of large hubs: far texts aren't linked with the hub, near ones are
+    near = found.join(large, "hub").select("hub", F.col("b").alias("rep"), F.lit(True).alias("near")).distinct()
+    sides = weighed.join(large.select("hub"), "hub").join(near, ["hub", "rep"], "left").withColumn("near", F.coalesce("near", F.col("rep") == F.col("hub")))
+    sides = scratch.keep(sides, "sides")
+    counts = sides.groupBy("hub").agg(_blocks(F.sum(F.when(~F.col("near"), F.col("weight"))), block).alias("far"), _blocks(F.sum(F.when(F.col("near"), F.col("weight"))), block).alias("close"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("close")).otherwise(F.col("far"))).cast("int")
+    placed = sides.join(scratch.keep(counts.where("far > 0"), "counts"), "hub").withColumn("block", F.when(F.col("near"), F.col("far") + own).otherwise(own))
+    # far blocks meet all, near ones the far ones
+    last = F.when(F.col("near"), F.col("far")).otherwise(F.col("far") + F.col("close")) - 1
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block")
+    more = scratch.keep(_compared(meets, sets), "more_links")
+    scratch.drop("wanted", "wanted_screen", "sets", "weighed", "large", "sides", "counts")
+    return found.unionByName(more).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (it is the row's own) and digest of the set
+    (null: empty) of each row."""
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     drawn = scratch.keep(sketches(docs), "sketches")
     known = drawn.where("doc_id is not null and digest is not null")
-    reps = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    # rows that aren't their set's representative; a repeated id can be one of one set and not of another
-    copies = scratch.keep(known.select("digest", "doc_id").join(reps.where("copies > 1").select("digest", F.col("rep")), "digest").where("doc_id <> rep").select("digest", "doc_id"), "copies")
-    filed = known.join(lookup(copies, few), ["digest", "doc_id"], "left_anti").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("rep"))
-    hubs = scratch.keep(filed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-    spokes = scratch.keep(filed.join(lookup(hubs, few), "key").select("hub", "rep").distinct(), "spokes")
-    wanted = scratch.keep(spokes.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    chosen = docs.join(lookup(wanted, few), "doc_id", "left_semi")
-    sets = scratch.keep(chosen.mapInArrow(_sets, "rep bigint, set array<bigint>"), "sets")
-    # only hubs of several blocks are looked up; kept as a table, so that a hub's spokes can be split over tasks
-    large = scratch.keep(spokes.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
-    placed = spokes.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block")
-    grouped = meets.join(sets, "rep").repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two")
-    found = scratch.keep(grouped.mapInArrow(_linked, "a bigint, b bigint"), "links")
-    scratch.drop("copies", "hubs", "wanted", "sets", "large")
-    label = components(found, scratch)
+    # equal sets have equal keys, so any copy's will do; a group of copies is one row before it is shuffled
+    reps = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "reps")
+    spokes = _spokes(reps, scratch)
+    scratch.drop("hubs", "hub_screen")
+    label = components(_links(docs, spokes, scratch, block), scratch)
     # digests that stand for more than a row of their own, with the component of their texts
     named = reps.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
-    named = named.where("copies > 1 or component_id <> rep").select("digest", "component_id")
+    named = scratch.keep(named.where("copies > 1 or component_id <> rep").select("digest", "component_id"), "named")
+    scratch.drop("reps", "spokes", "links", "more_links")
     # rows without a set have digests of their own, so that they don't crowd one task
-    own = drawn.withColumn("digest", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("digest"))).withColumn("digest", F.coalesce("digest", F.concat(F.lit("-").cast("binary"), F.monotonically_increasing_id().cast("string").cast("binary"))))
-    out = own.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    sought = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("digest")), F.concat(F.lit("-").cast("binary"), F.monotonically_increasing_id().cast("string").cast("binary")))
+    own = drawn.select("doc_id", "n_shingles", "digest", sought.alias("sought"))
+    out = own.join(named.withColumnRenamed("digest", "sought"), "sought", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest")
+
+
+def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, one for each group; of rows with a repeated id, those whose own
+    set is kept, and one of those alike in id and set (the least, by all columns). Rows with a null id all stay."""
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    found = scratch.keep(near_duplicates(docs, block).select("doc_id", "kept", F.coalesce("digest", F.lit("").cast("binary")).alias("digest")), "found")
+    # ids that aren't simply kept: most rows have another one and stay where they are
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    unsure = scratch.keep(ids.where("rows > 1 or stay = 0").select(F.col("doc_id").alias("__id"), (F.col("rows") > 1).alias("__again")), "unsure")
+    marks = scratch.keep(screen(unsure, "__id"), "screen")
+    known = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    met = screened(known, "__id", marks).join(unsure, "__id", "left")
+    sure = screened(known, "__id", marks, within=False).select(docs.columns).unionByName(met.where("__again is null").select(docs.columns))
+
+    def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = shingle_sets(texts(b.column("text")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(s) or b"" for s in sets], pa.binary())], [*b.schema.names, "__digest"])
+
+    again = met.where("__again").drop("__again")
+    again = again.mapInArrow(with_digest, T.StructType([*again.schema.fields, T.StructField("__digest", T.BinaryType())]))
+    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    one = again.join(stay, ["__id", "__digest"], "left_semi").groupBy("__id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return sure.unionByName(one.select("row.*"))

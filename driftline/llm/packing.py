@@ -1,17 +1,23 @@
-"""Best-fit packing by a grouping genetic algorithm, in islands with elite migration.
+"""Best-fit packing by a grouping genetic algorithm, distributed as islands with elite migration.
 
 A document's ids and an end id are cut into pieces of at most ``room`` ids; a piece of just ``room`` is a sequence of
-its own, the others are packed. They are dealt evenly over groups of bounded size, a task each. In a group, islands
-hold populations of packings (best fit by falling length, and variants of that order). A child takes whole
-well-filled bins of one parent, drops the other parent's bins that hold any of their pieces, and best-fits what that
-displaced. Fitness is the mean square of fill, so that space gathers in few bins. Every few generations the best
-packing of each island moves on to the next. An island stops at the bound: total length over room, rounded up.
+its own, the others are packed. They are dealt evenly over groups of bounded size, and each group over ``ISLANDS``
+islands: an island is a task of its own with a population of packings of the group's pieces. The first island starts
+from best fit by falling length, all from best fits in other orders as well. A child takes whole well-filled bins of one
+parent, drops the other parent's bins that hold any of their pieces, and best-fits what that displaced. Fewer bins are
+fitter; among as many bins fitness is the mean square of fill, so that free space gathers in few bins.
 
-Among groups, elites are the well-filled bins: these stay, and the pieces of each group's least filled bins are dealt
-anew, with those of other groups, until one group is left. So the space that each group can't use adds up only once.
+Islands evolve for an epoch and write their populations as a table; each then reads its neighbour's best packing from
+it (the elite moves on) and evolves for another epoch. The best packing of all islands is the group's. A population
+can't get worse, so a group never takes more sequences than best fit by falling length. An island only stops before its
+time when all free space is in one bin: nothing is left to gain then.
+
+Among groups, well-filled bins stay, and the pieces of each group's least filled bins are dealt anew, with those of
+other groups, until one group is left. So the space that each group can't use adds up only once.
 
 Null text counts as empty: it holds the end id alone. Every row gives at least one piece; repeated rows each have
-their own. The draws follow the group's number, so a task that runs again gives the same result.
+their own. Columns besides doc_id and text are not read. The draws follow the group's number, so a task that runs again
+gives the same result.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from .encode import encoder
 ROOM, END_ID = 4096, 1
 #: A group's pieces fill about so many sequences.
 BINS = 256
-ISLANDS, MEMBERS, GENERATIONS, EVERY = 2, 3, 8, 2
+ISLANDS, MEMBERS, GENERATIONS, EPOCHS = 2, 4, 4, 2
 WELL_FILLED = 0.995
 #: Share of a group's bins, the least filled, whose pieces are dealt anew.
 DISSOLVED = 0.08
@@ -82,6 +88,11 @@ def fitness(bins: Bins, size: list[int], room: int) -> float:
     return sum((sum(size[i] for i in b) / room) ** 2 for b in bins) / max(len(bins), 1)
 
 
+def best(packings: list[Bins], size: list[int], room: int, members: int = MEMBERS) -> list[Bins]:
+    """The fittest, best first."""
+    return sorted(packings, key=lambda b: (len(b), -fitness(b, size, room)))[:members]
+
+
 def cross(one: Bins, other: Bins, size: list[int], room: int, rnd: random.Random) -> Bins:
     """``one`` with some of the well-filled bins of ``other`` put in."""
     good = [b for b in other if sum(size[i] for i in b) >= WELL_FILLED * room] or other
@@ -99,43 +110,81 @@ def cross(one: Bins, other: Bins, size: list[int], room: int, rnd: random.Random
     for _, n in sorted(weak)[: max(2, len(weak) // 50)]:
         displaced += stay[n]
         stay[n] = []
-    displaced.sort(key=lambda i: -size[i])
+    spread = rnd.choice((0.0, 0.1, 0.4))
+    displaced.sort(key=lambda i: -size[i] * (1 + spread * rnd.uniform(-1, 1)))
     return best_fit(displaced, size, room, [b for b in stay if b])
 
 
-def evolve(size: list[int], room: int, seed: int, islands: int = ISLANDS, members: int = MEMBERS, generations: int = GENERATIONS) -> Bins:
-    """A packing of items of the given sizes, each 1 to room."""
-    rnd = random.Random(seed)
-    bound = -(-sum(size) // room)
+def settle(size: list[int], room: int, rnd: random.Random, members: int = MEMBERS, plain: bool = True) -> list[Bins]:
+    """An island's first population: best fit in perturbed orders of falling length; with ``plain`` in that order too."""
     order = sorted(range(len(size)), key=lambda i: -size[i])
-    first = best_fit(order, size, room, [])
-    if len(first) <= bound:
-        return first
+    first = [best_fit(order, size, room, [])] if plain else []
+    spreads = [0.1 * 2**n for n in range(members - len(first))]
+    others = (sorted(order, key=lambda i, by=by: -size[i] * (1 + by * rnd.uniform(-1, 1))) for by in spreads)
+    return best([*first, *(best_fit(o, size, room, []) for o in others)], size, room, members)
 
-    def variant() -> Bins:
-        return best_fit(sorted(order, key=lambda i: -size[i] * rnd.uniform(0.9, 1.1)), size, room, [])
 
-    def ranked(packings: list[Bins]) -> list[Bins]:
-        return sorted(packings, key=lambda b: (len(b), -fitness(b, size, room)))[:members]
-
-    homes = [ranked([first] + [variant() for _ in range(members - 1)]) for _ in range(islands)]
-    for generation in range(generations):
-        if min(len(h[0]) for h in homes) <= bound:
+def evolve(population: list[Bins], size: list[int], room: int, rnd: random.Random, generations: int = GENERATIONS) -> list[Bins]:
+    """The population after an epoch, best first."""
+    members = len(population)
+    for _ in range(generations):
+        if members < 2 or sum(sum(size[i] for i in b) < room for b in population[0]) <= 1:
             break
-        homes = [ranked([*h, *(cross(*rnd.sample(h, 2), size, room, rnd) for _ in range(members))]) if len(h) > 1 else h for h in homes]
-        if generation % EVERY == EVERY - 1:
-            elites = [h[0] for h in homes]
-            homes = [ranked([*h, elites[n - 1]]) for n, h in enumerate(homes)]
-    return ranked([h[0] for h in homes])[0]
+        children = [cross(*rnd.sample(population, 2), size, room, rnd) for _ in range(members - 1)]
+        population = best([*population, *children], size, room, members)
+    return population
+
+
+def _bins(numbers: list[int]) -> Bins:
+    """A packing from its items' bin numbers."""
+    bins: Bins = [[] for _ in range(max(numbers, default=-1) + 1)]
+    for i, n in enumerate(numbers):
+        bins[n].append(i)
+    return bins
+
+
+def _numbers(bins: Bins, items: int) -> list[int]:
+    out = [0] * items
+    for n, b in enumerate(bins):
+        for i in b:
+            out[i] = n
+    return out
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    # an order of its own, so that the result doesn't hang on the order in which rows arrive; rows that tie are alike
+    return pdf.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=False, na_position="last", kind="stable").reset_index(drop=True)
+
+
+def _epoch(room: int, epoch: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _ordered(pdf[pdf["at_home"]])
+        size = own["length"].astype(int).tolist()
+        group, island = int(own["group"].iloc[0]), int(own["island"].iloc[0])
+        rnd = random.Random(group * 1000 + island * 100 + epoch)
+        if epoch:
+            # a member of the table: each item's bin numbers, one per packing
+            population = [_bins(list(map(int, n))) for n in zip(*own["packings"], strict=True)]
+            guests = _ordered(pdf[~pdf["at_home"]])
+            if len(guests):
+                population = best([*population, _bins([int(n[0]) for n in guests["packings"]])], size, room)
+        else:
+            population = settle(size, room, rnd, plain=island == 0)
+        population = evolve(population, size, room, rnd)
+        numbers = zip(*(_numbers(bins, len(size)) for bins in population), strict=True)
+        return own.assign(packings=pd.Series([list(n) for n in numbers], index=own.index, dtype=object)).drop(columns="at_home")
+
+    return run
 
 
-def _packed(room: int, last: bool):
+def _placed(room: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # an order of its own, so that the result doesn't hang on the order in which rows arrive
-        pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=False, na_position="last").reset_index(drop=True)
-        size = pdf["length"].astype(int).tolist()
-        group = int(pdf["group"].iloc[0])
-        bins = evolve(size, room, group)
+        """Of one group: the best island's best packing."""
+        islands = {n: _ordered(own) for n, own in pdf.groupby("island")}
+        size = next(iter(islands.values()))["length"].astype(int).tolist()
+        found = {n: _bins([int(x[0]) for x in own["packings"]]) for n, own in islands.items()}
+        chosen = min(found, key=lambda n: (len(found[n]), -fitness(found[n], size, room), n))
+        own, bins = islands[chosen], found[chosen]
         fill = [sum(size[i] for i in b) for b in bins]
         weak = set() if last else set(sorted(range(len(bins)), key=lambda n: fill[n])[: max(1, int(len(bins) * DISSOLVED))])
         sequence, offset, done = (np.zeros(len(size), t) for t in (np.int64, np.int64, bool))
@@ -144,23 +193,32 @@ def _packed(room: int, last: bool):
             for i in b:
                 sequence[i], offset[i], done[i] = n, at, n not in weak
                 at += size[i]
-        return pdf.assign(sequence_id=sequence, offset=offset, done=done)
+        return own.drop(columns=["island", "packings"]).assign(sequence_id=sequence, offset=offset, done=done)
 
     return run
 
 
-def pack(cut: DataFrame, scratch: Scratch, room: int = ROOM, bins: int = BINS) -> DataFrame:
+def pack(cut: DataFrame, scratch: Scratch, room: int = ROOM, bins: int = BINS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """``cut`` (as pieces() gives it) with sequence_id and offset. ``bins`` is 4 or more."""
     whole = cut.where(F.col("length") == room).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     names = [*cut.columns, "sequence_id", "offset"]
     out, left, n = whole.select(names), cut.where(F.col("length") < room), 0
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", group bigint"
     while True:
         # by length, as many tiny pieces fit into one sequence; a group has at most room * bins pieces, of length 1
         groups = max(1, -(-(left.agg(F.sum("length")).first()[0] or 0) // (room * bins)))
         # dealt by where rows stand in a kept table, so that no value can crowd a group
-        dealt = left.withColumn("group", (F.monotonically_increasing_id() % groups).cast("bigint"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", sequence_id bigint, offset bigint, done boolean"
-        got = scratch.keep(dealt.groupBy("group").applyInPandas(_packed(room, groups == 1), schema), f"round{n}")
+        dealt = left.select(*cut.columns, (F.monotonically_increasing_id() % groups).cast("bigint").alias("group"))
+        living = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("at_home", F.lit(True))
+        for epoch in range(epochs):
+            evolved = living.groupBy("group", "island").applyInPandas(_epoch(room, epoch), f"{own}, island int, packings array<int>")
+            evolved = scratch.keep(evolved, f"round{n}.epoch{epoch}")
+            # the elite moves on: each island also reads its neighbour's rows, of which it takes the best packing
+            moved = evolved.withColumn("island", (F.col("island") + 1) % islands).withColumn("packings", F.slice("packings", 1, 1)).withColumn("at_home", F.lit(False))
+            living = evolved.withColumn("at_home", F.lit(True))
+            living = living.unionByName(moved) if islands > 1 else living
+        got = scratch.keep(evolved.groupBy("group").applyInPandas(_placed(room, groups == 1), f"{own}, sequence_id bigint, offset bigint, done boolean"), f"round{n}")
+        scratch.drop(*(f"round{n}.epoch{epoch}" for epoch in range(epochs)))
         # a sequence's number: round, group, bin
         numbered = got.where("done").withColumn("sequence_id", F.lit(n << 56) + F.col("group") * (1 << 21) + F.col("sequence_id"))
         out = out.unionByName(numbered.select(names))

@@ -59,7 +59,7 @@ def op7_kd_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

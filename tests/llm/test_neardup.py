@@ -84,7 +84,7 @@ def test_components_against_plain(spark, seed):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, rep int")
     want = brute(rows)
     for block in (256, 3):
-        got = neardup.near_duplicates(df, block=block, few=10).collect()
+        got = neardup.near_duplicates(df, block=block).collect()
         assert {r.doc_id: r.component_id for r in got} == want
         assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(brute_set(dict(rows)[r.doc_id])) for r in got)
 
@@ -94,3 +94,35 @@ def test_odd_rows(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (-1, -1, True), (1, 1, True), (2, 2, True), (3, 3, True), (3, 3, True), (5, 3, False), (7, 7, True), (8, 7, False)]
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_hubs_of_far_texts(spark):
+    """One group by a shared beginning, whose texts aren't all like the hub's but in part like each other."""
+    rnd = random.Random(9)
+    rows, n = [], 0
+    for _ in range(4):
+        base = [f"w{rnd.randint(0, 999)}" for _ in range(60)]
+        for _ in range(40):
+            base[rnd.randrange(len(base))] = f"x{rnd.randint(0, 999)}"
+            rows.append((n, " ".join(base)))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, block=4).collect()} == brute(rows)
+
+
+def test_alike_against_plain():
+    rnd = np.random.default_rng(3)
+    for _ in range(500):
+        a, b = (np.unique(rnd.integers(0, 30, rnd.integers(0, 25))).astype(np.uint64) for _ in range(2))
+        x, y = set(a.tolist()), set(b.tolist())
+        assert neardup.alike(a, b) == bool(x and y and 100 * len(x & y) >= 75 * len(x | y))
+
+
+def test_deduplicated(spark):
+    a, b = "a b c d e f g", "other words stand here now"
+    rows = [(1, a), (5, a), (5, b), (5, b.upper()), (None, a), (None, a), (7, ""), (7, None), (8, b), (9, b + " x")]
+    df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id int, text string, rep int, digest string")
+    got = neardup.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, a), (-1, a), (1, a), (5, b.upper()), (7, ""), (9, b + " x")]
+    assert neardup.deduplicated(df.limit(0)).count() == 0

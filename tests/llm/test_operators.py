@@ -319,14 +319,63 @@ def test_packing_whole(spark):
     assert packing.pack(scratch.keep(cut.limit(0), "pieces"), scratch).count() == 0
 
 
+def islands_of(size, room, seed, islands=2, epochs=3):
+    """What the tasks do, one after the other: epochs, with the best of each island moving to the next between them."""
+    draws = [random.Random(seed * 10 + n) for n in range(islands)]
+    homes = [packing.settle(size, room, draws[n], plain=n == 0) for n in range(islands)]
+    for epoch in range(epochs):
+        if epoch:
+            elites = [h[0] for h in homes]
+            homes = [packing.best([*h, elites[n - 1]], size, room) for n, h in enumerate(homes)]
+        homes = [packing.evolve(h, size, room, draws[n]) for n, h in enumerate(homes)]
+    return packing.best([h[0] for h in homes], size, room)[0]
+
+
 def test_evolution_beats_best_fit():
     rnd = random.Random(3)
     better = worse = 0
     for seed in range(12):
         size = [rnd.randint(20, 70) for _ in range(150)]
         first = packing.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 100, [])
-        found = packing.evolve(size, 100, seed, generations=12)
+        found = islands_of(size, 100, seed)
         assert sorted(i for b in found for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 100 for b in found)
         better += len(found) < len(first)
         worse += len(found) > len(first)
     assert better and not worse
+
+
+def fewest(size, room):
+    """The least number of bins, by trying all ways (bins in order of their first item)."""
+    least = len(size)
+
+    def place(i, free):
+        nonlocal least
+        if len(free) >= least:
+            return
+        if i == len(size):
+            least = len(free)
+            return
+        for n in range(len(free)):
+            if free[n] >= size[i]:
+                place(i + 1, [f - size[i] if k == n else f for k, f in enumerate(free)])
+        place(i + 1, [*free, room - size[i]])
+
+    place(0, [])
+    return least
+
+
+def test_evolution_against_the_optimum():
+    rnd = random.Random(11)
+    cases = [[rnd.randint(1, 12) for _ in range(rnd.randint(1, 9))] for _ in range(150)] + [[6, 5, 5, 4, 4, 3, 3], [7, 6, 4, 4, 3, 3, 3]]
+    assert all(len(islands_of(size, 12 if max(size) > 10 else 15, n)) == fewest(size, 12 if max(size) > 10 else 15) for n, size in enumerate(cases))
+
+
+def test_packing_small_rooms_and_clashing_columns(spark):
+    """Many rounds and tiny groups; the input's own columns with the output's names aren't read."""
+    docs = spark.createDataFrame([(i, "word " * (i % 37), 7, "g", "d") for i in range(400)], "doc_id int, text string, length int, group string, done string")
+    cut = packing.pieces(docs, public("word_bpe_49k.json"), room=32)
+    for islands, epochs in ((2, 2), (1, 1), (3, 3)):
+        scratch = Scratch(spark, "test")
+        rows = packing.pack(scratch.keep(cut, "pieces"), scratch, room=32, bins=4, islands=islands, epochs=epochs).collect()
+        assert len(rows) == cut.count()
+        assert check_packing(rows, 32) <= 1.05 * -(-sum(r.length for r in rows) // 32) + 2
