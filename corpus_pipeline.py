@@ -7,10 +7,9 @@ shared folder and gives them to the next. All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftline.llm import neardup, packing, quality, secrets
-from driftline.llm.common import Scratch, lookup, table
+from driftline.llm.common import Scratch, clear, table
 from driftline.llm.encode import public
 from driftline.llm.queries import PACKED
 
@@ -22,14 +21,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Rows that repeat a kept id with the same text are copies too, so
+    """One document of each group of near-duplicates. Rows that repeat a kept id with the same words are copies too, so
     one of them stays; rows with a null id are in no group and all stay."""
-    scratch = Scratch(spark, "one-of-each")
-    kept = scratch.keep(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    rows = docs.join(lookup(kept), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if not kept.where("_kept is not null").groupBy("_kept").count().where("count > 1").limit(1).count():
-        return rows
-    return rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return neardup.deduplicated(docs)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    scratch, last = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = len(Scratch.live)
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        clear(before)  # what the stage's rows were read from
+        if last:
+            scratch.drop(last)
+        last = name
     return docs
