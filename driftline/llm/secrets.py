@@ -5,6 +5,9 @@ comes out has the structure of a secret: a private key in DER (nested lengths ha
 key (length-prefixed fields), a PEM block around either, or a signed token whose header and claims are JSON. Base64 may
 be broken into lines, by escaped breaks (\\n) too, and may hold a PEM block.
 
+The work follows the text's length, whatever is in it: a footer belongs to the last header before it, lines of base64 are
+cut once for all keys that may begin in them, and only the length fields of a candidate are decoded until they add up.
+
 Offsets count code points, ends are exclusive. Null text counts as empty and has no spans; each row gives one row.
 """
 
@@ -14,7 +17,9 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,10 +35,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]*){2,4}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
+MARKER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,64}?PRIVATE KEY)-----")
+BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\\-]*")
 BLANK = re.compile(r"\n[^\S\n]*\n")
 #: Line breaks as strings in code and JSON have them, escaped once or more.
-ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
+ESCAPED = re.compile(r"(?<!\\)(?:(?:\\+r)?\\+n|\\+r)")
 #: Where base64 of a key in DER, of an OpenSSH key or of a PEM block begins, and a line of it with the break before it.
 BEGIN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{6,}")
 LINE = re.compile(r"([A-Za-z0-9+/_-]+)(={0,2})")
@@ -41,20 +47,25 @@ BREAK = re.compile(r"[ \t\r]*\n[ \t]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 OPENSSH = b"openssh-key-v1\0"
+#: The outer sequence of a private key has fewer fields than this.
+FIELDS = 16
+#: Gives bytes from one place to another of what may be decoded piece by piece.
+Reader = Callable[[int, int], bytes]
 
 
-def _fields(der: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the fields that fill der[at:end] exactly."""
-    out = []
+def _fields(read: Reader, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the fields that fill at to end exactly."""
+    out: list[tuple[int, int, int]] = []
     while at < end:
-        if at + 2 > end:
+        head = read(at, min(at + 6, end))
+        if len(head) < 2 or len(out) == FIELDS:
             return None
-        tag, size, at = der[at], der[at + 1], at + 2
+        tag, size, at = head[0], head[1], at + 2
         if size & 128:
             n = size & 127
-            if not 1 <= n <= 4 or at + n > end:
+            if not 1 <= n <= 4 or 2 + n > len(head):
                 return None
-            size, at = int.from_bytes(der[at : at + n], "big"), at + n
+            size, at = int.from_bytes(head[2 : 2 + n], "big"), at + n
         if at + size > end:
             return None
         out.append((tag, at, at + size))
@@ -62,54 +73,59 @@ def _fields(der: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     return out
 
 
-def is_der_key(raw: bytes) -> bool:
-    """A private key: PKCS#1, DSA, SEC 1, PKCS#8, or PKCS#8 encrypted."""
-    outer = _fields(raw, 0, len(raw)) if raw[:1] == b"\x30" else None
+def _der_key(read: Reader, size: int) -> bool:
+    outer = _fields(read, 0, size) if read(0, 1) == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
-    inner = _fields(raw, *outer[0][1:])
+    inner = _fields(read, *outer[0][1:])
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _, _ in inner]
-    small = inner[0][2] - inner[0][1] == 1 and raw[inner[0][1]] <= 1
+    small = inner[0][2] - inner[0][1] == 1 and read(inner[0][1], inner[0][2])[0] <= 1
     if tags[0] == 2 and small:
         if len(tags) >= 6 and all(t in (2, 0x30) for t in tags):
             return True
         if tags[1] == 4:
             return inner[1][2] - inner[1][1] >= 16
         if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 4:
-            algorithm = _fields(raw, *inner[1][1:])
+            algorithm = _fields(read, *inner[1][1:])
             return bool(algorithm) and algorithm[0][0] == 6
     if tags == [0x30, 4]:
-        algorithm = _fields(raw, *inner[0][1:])
+        algorithm = _fields(read, *inner[0][1:])
         return bool(algorithm) and algorithm[0][0] == 6 and inner[1][2] - inner[1][1] >= 16
     return False
 
 
+def is_der_key(raw: bytes) -> bool:
+    """A private key: PKCS#1, DSA, SEC 1, PKCS#8, or PKCS#8 encrypted."""
+    return _der_key(lambda a, z: raw[a:z], len(raw))
+
+
 def is_openssh_key(raw: bytes) -> bool:
-    return _openssh_size(raw) == len(raw)
+    return _openssh_size(lambda a, z: raw[a:z], len(raw)) == len(raw)
 
 
-def _openssh_size(raw: bytes) -> int | None:
+def _openssh_size(read: Reader, size: int) -> int | None:
     """cipher, kdf, kdf options, number of keys, that many public keys, private part; each with its length."""
-    if not raw.startswith(OPENSSH):
+    if read(0, len(OPENSSH)) != OPENSSH:
         return None
     at = len(OPENSSH)
 
-    def field() -> bytes | None:
+    def number() -> int | None:
         nonlocal at
-        if at + 4 > len(raw):
-            return None
-        size = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + size > len(raw):
-            return None
-        at += 4 + size
-        return raw[at - size : at]
+        at += 4
+        return int.from_bytes(read(at - 4, at), "big") if at <= size else None
+
+    def field() -> bool:
+        nonlocal at
+        if (n := number()) is None or at + n > size:
+            return False
+        at += n
+        return True
 
-    if any(field() is None for _ in range(3)) or at + 4 > len(raw):
+    if not all(field() for _ in range(3)) or (keys := number()) is None:
         return None
-    keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
-    return at if 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) else None
+    return at if 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) else None
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -154,16 +170,21 @@ def _unescaped(text: str) -> str:
 
 
 def _pem_blocks(text: str) -> list[tuple[int, int]]:
-    blocks = []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            head, body = "", m[2]
+    """Blocks of a footer and the last header before it, if they are of a kind and a key stands between them."""
+    blocks, begin = [], None
+    for m in MARKER.finditer(text) if "PRIVATE KEY-----" in text else ():
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin and begin[2] == m[2] and BODY.fullmatch(text, begin.end(), m.start()):
+            head, body = "", text[begin.end() : m.start()]
             if ":" in body:
                 at = [b.end() for b in BLANK.finditer(body)] or [0]
                 head, body = body[: at[-1]], body[at[-1] :]
             raw = _unbase64("".join(body.replace("\\", "").split()))
             if raw and (is_der_key(raw) or is_openssh_key(raw) or "ENCRYPTED" in head):
-                blocks.append(m.span())
+                blocks.append((begin.start(), m.end()))
+        begin = None
     return blocks
 
 
@@ -175,42 +196,87 @@ def _der_size(raw: bytes) -> int | None:
     return 2 + n + (int.from_bytes(raw[2 : 2 + n], "big") if n else raw[1])
 
 
+class _Lines:
+    """A chain of base64 lines, each right after the break that ends the one before. ``before[i]`` characters stand in
+    the lines before line i."""
+
+    def __init__(self, text: str, at: int):
+        self.starts, self.ends, lines = [], [], []
+        while line := LINE.match(text, at):
+            self.starts.append(at)
+            self.ends.append(line.end())
+            lines.append(line[1])
+            gap = BREAK.match(text, line.end())
+            if line[2] or not gap:
+                break
+            at = gap.end()
+        self.said, self.before = "".join(lines), [0, *accumulate(map(len, lines))]
+        #: places modulo 4 from which all that follows was searched for PEM blocks
+        self.searched: set[int] = set()
+
+
 def _wrapped(text: str) -> list[tuple[str, int, int]]:
     """Keys in base64 over several lines without armour. Their own lengths say where they end, which has to be the end
     of a line."""
     out: list[tuple[str, int, int]] = []
+    chain_at: dict[int, tuple[_Lines, int]] = {}
     for m in BEGIN.finditer(text):
         if out and m.start() < out[-1][2]:
             continue
         wanted = None
-        if m[0][0] == "M" and (size := _der_size(base64.b64decode(m[0][:8].replace("-", "+").replace("_", "/")))):
+        if m[0][0] == "M":
+            size = _der_size(base64.b64decode(m[0][:8].replace("-", "+").replace("_", "/")))
+            if not size:
+                continue
             wanted = (4 * size + 2) // 3
-        elif m[0][0] == "M":
+        first = LINE.match(text, m.start())
+        gap = BREAK.match(text, first.end())
+        if first[2] or not gap:
             continue
-        lines, ends, have, at = [], [], 0, m.start()
-        while line := LINE.match(text, at):
-            lines.append(line[1])
-            have += len(line[1])
-            ends.append((have, line.end()))
-            gap = BREAK.match(text, line.end())
-            if line[2] or not gap or (wanted and have >= wanted):
-                break
-            at = gap.end()
-        if len(lines) < 2 or (wanted and have != wanted):
+        if gap.end() not in chain_at:
+            made = _Lines(text, gap.end())
+            chain_at |= {start: (made, i) for i, start in enumerate(made.starts) if start not in chain_at}
+        if gap.end() not in chain_at:  # the next line isn't base64
             continue
-        whole = "".join(lines)
-        raw = _unbase64(whole if wanted else whole[: have - (have % 4 == 1)])
+        chain, i = chain_at[gap.end()]
+        own, skipped = first[1], chain.before[i]
+        have = len(own) + len(chain.said) - skipped
+
+        def read(a: int, z: int, own: str = own, chain: _Lines = chain, skipped: int = skipped) -> bytes:
+            """Bytes a to z of what own and the lines of the chain say."""
+            x, y, n = a // 3 * 4, -(-z // 3) * 4, len(own)
+            said = own[x:y] + chain.said[skipped + max(0, x - n) : skipped + max(0, y - n)]
+            raw = _unbase64(said[: len(said) - (len(said) % 4 == 1)]) or b""
+            return raw[a - x // 4 * 3 : z - x // 4 * 3]
+
+        def end_of(chars: int, chain: _Lines = chain, i: int = i, n: int = len(own) - skipped) -> int | None:
+            """Where the line ends that ends with so many characters, if one does."""
+            at = bisect_left(chain.before, chars - n, i + 1)
+            return chain.ends[at - 1] if at < len(chain.before) and chain.before[at] == chars - n else None
+
         if wanted:
-            if raw and is_der_key(raw):
-                out.append(("der", m.start(), ends[-1][1]))
-        elif raw and (size := _openssh_size(raw)):
-            out += [("openssh", m.start(), end) for have, end in ends if have == (4 * size + 2) // 3]
-        elif raw and (blocks := _pem_blocks(raw.decode("latin-1"))):
-            # to the end of the line with the last block's end
-            out.append(("pem", m.start(), next(end for have, end in ends if have * 3 // 4 >= blocks[-1][1])))
+            if (end := end_of(wanted)) and _der_key(read, wanted * 3 // 4):
+                out.append(("der", m.start(), end))
+        elif m[0].startswith("b3Bl"):
+            if (size := _openssh_size(read, have * 3 // 4)) and (end := end_of((4 * size + 2) // 3)):
+                out.append(("openssh", m.start(), end))
+        elif (place := (skipped - len(own)) % 4) not in chain.searched:
+            # what begins later at the same place modulo 4 is searched along
+            chain.searched.add(place)
+            if blocks := _pem_blocks(read(0, have * 3 // 4).decode("latin-1")):
+                # to the end of the line with the last block's end
+                at = next(k for k in range(i + 1, len(chain.before)) if (len(own) + chain.before[k] - skipped) * 3 // 4 >= blocks[-1][1])
+                out.append(("pem", m.start(), chain.ends[at - 1]))
     return out
 
 
+def _within(blocks: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span lies in one of the blocks."""
+    blocks = sorted(blocks)
+    starts, reach = [a for a, _ in blocks], list(accumulate((z for _, z in blocks), max))
+    return lambda a, z: (n := bisect_right(starts, a)) > 0 and z <= reach[n - 1]
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans, by start, then kind as in KINDS."""
     out: list[tuple[str, int, int]] = []
@@ -228,12 +294,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
     plain = _unescaped(text)
     blocks = _pem_blocks(plain)
     out += [("pem", *b) for b in blocks]
-    wrapped = [w for w in _wrapped(plain) if not any(a <= w[1] and w[2] <= z for a, z in blocks)]
+    known = _within(blocks)
+    wrapped = [w for w in _wrapped(plain) if not known(*w[1:])]
     out += wrapped
-    blocks += [(a, z) for _, a, z in wrapped]
+    known = _within(blocks + [(a, z) for _, a, z in wrapped])
     for pattern, decode in ((BASE64, _unbase64), (ANY_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
         for m in pattern.finditer(plain):
-            if any(a <= m.start() and m.end() <= z for a, z in blocks):
+            if known(*m.span()):
                 continue
             raw = decode(m[0])
             if kind := _key(raw):
