@@ -33,8 +33,8 @@ _SYMBOLS = [*range(33, 48), *range(58, 65), *range(91, 127), *range(0x80, 0xC0),
 CODED = [b in set(_SYMBOLS) for b in range(256)]
 CODES = bytes(_SYMBOLS.index(b) if CODED[b] else 127 for b in range(256))
 LAST = [bytes([CODES[b] | 128]) for b in range(256)]
-#: Runs kept per generation; two generations are held.
-KEPT = 150_000
+#: Runs kept per generation; two generations are held. Longer runs than LONG aren't kept, so that memory is bounded.
+KEPT, LONG = 150_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +52,8 @@ class Runs(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, run: str):
+        if len(run) > LONG:
+            return self.make(run)
         value = self.old.get(run)
         if value is None:
             value = self.make(run)
@@ -160,28 +162,45 @@ class Encoder:
             return len(self.library.encode(text, add_special_tokens=False).ids)
         return sum(map(self.n_by_run.__getitem__, runs))
 
-    def cuts(self, text: str) -> tuple[list[int], list[int]]:
-        """Places where a pre-token starts, ascending, and the tokens before each; the last place is the end.
-
-        Only pre-token starts count: a token border within one can move when the text around it changes.
-        """
+    def cuts(self, text: str) -> tuple[list[int], list[int], list[tuple[int, int] | None]]:
+        """Places where a token starts, ascending, the tokens before each, and what proves a common place stable (see
+        ``same``): None where a pre-token starts, else the token and the pre-token's end. The last place is the end."""
         runs = None if self.words else self._runs(text)
-        at, n, places, before = 0, 0, [], []
-        if runs is None:
-            got = self.library.encode(text, add_special_tokens=False)
-            word = object()
-            for n, (mine, (start, _)) in enumerate(zip(got.word_ids, got.offsets, strict=True)):
-                if mine != word:
-                    places.append(start)
-                    before.append(n)
-                    word = mine
-            return [*places, len(text)], [*before, len(got.ids)]
-        for run, tokens in zip(runs, map(self.n_by_run.__getitem__, runs), strict=True):
-            places.append(at)
-            before.append(n)
+        at, n, places, before, marks = 0, 0, [], [], []
+        for run in [text] if runs is None else runs:
+            if runs is not None and len(run) <= LONG:
+                places.append(at)
+                before.append(n)
+                marks.append(None)
+                n += self.n_by_run[run]
+            else:
+                got = self.library.encode(run, add_special_tokens=False)
+                word_ids, offsets, ids = got.word_ids, got.offsets, got.ids
+                ends = {w: z for w, (_, z) in zip(word_ids, offsets, strict=True)}
+                word, last = object(), -1
+                for k, (mine, (start, end)) in enumerate(zip(word_ids, offsets, strict=True)):
+                    # a character of several tokens has no place within
+                    if mine != word or start == last:
+                        places.append(at + start)
+                        before.append(n + k)
+                        marks.append(None if mine != word else (ids[k], at + ends[mine]))
+                    word, last = mine, end
+                n += len(ids)
             at += len(run)
-            n += tokens
-        return [*places, at], [*before, n]
+        return [*places, at], [*before, n], [*marks, None]
+
+
+def same(left: tuple[int, int] | None, right: tuple[int, int] | None, shift: int, end: int) -> bool:
+    """Whether a place that both windows have splices them; right's places are ``shift`` less, left ends at ``end``.
+
+    It does where both start a pre-token: what follows doesn't depend on what came before. Within a pre-token it does if
+    both have the same token there and the pre-token ends alike (or goes on where left ends). Merging gives a sequence of
+    tokens if and only if it gives each two neighbours for their own text. The neighbours up to the place and across it
+    are neighbours in the left window, those after it in the right one.
+    """
+    if left is None or right is None:
+        return left is None and right is None
+    return left[0] == right[0] and left[1] in (right[1] + shift, end)
 
 
 _made: dict[str, Encoder] = {}

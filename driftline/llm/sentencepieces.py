@@ -34,6 +34,8 @@ MARK = "▁"
 ROWS, CHARS = 1024, 4_000_000
 #: Pairs of pieces whose test is kept, and words per generation.
 PAIRS, KEPT = 500_000, 250_000
+#: Longer words are forgotten after their block, so that memory is bounded.
+LONG = 64
 SHORT = (2, 1)
 
 
@@ -247,6 +249,9 @@ class Model:
             ids = array("i")
             ids.frombytes(b"".join(self._with_runs(parts) if "" in parts else map(get, parts)))
             out.append(ids)
+        for part in distinct:
+            if len(part) > LONG:
+                del self.kept[part]
         return out
 
     def decode(self, ids) -> str:

@@ -1,11 +1,11 @@
 """Token counts: overlap resynchronisation.
 
-A text of more than ``huge`` characters is encoded in windows that overlap. Two neighbours are spliced at the
-first place, well inside both, where both start a pre-token. Such a place is stable: what a window finds after a
-pre-token start depends on the text after it alone, and what it finds before a place depends on no more than
-``MARGIN`` characters after it (one character of lookahead, or a special string not seen whole). Where the overlap
-holds no such place the right window starts earlier, and so on until the windows agree or the left one's whole
-length is covered; then the left one grows. Memory follows the window, not the text.
+A text of more than ``huge`` characters is encoded in windows that overlap. Two neighbours are spliced at the first
+place, well inside both, that is proven stable (``encode.same``): a pre-token starts there in both, or both have the same
+token there within the same pre-token, so texts without spaces splice too. What a window finds before a place depends on
+no more than ``MARGIN`` characters after it (one character of lookahead, or a special string not seen whole). Where the
+overlap holds no such place the right window starts earlier, and so on until the windows agree or the left one's whole
+length is covered; then the left one grows. Memory follows the window, not the text, unless nothing ever agrees.
 
 Null text counts as empty and has no tokens. Every row gives one row, repeated rows and null ids included.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts
-from .encode import Encoder, encoder
+from .encode import Encoder, encoder, same
 
 HUGE, WINDOW, OVERLAP, MARGIN = 32_768, 16_384, 512, 32
 
@@ -27,25 +27,28 @@ HUGE, WINDOW, OVERLAP, MARGIN = 32_768, 16_384, 512, 32
 def count_huge(enc: Encoder, text: str, window: int = WINDOW, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
     """``enc.count(text)``, window by window."""
     total, start, end = 0, 0, min(window, len(text))
-    places, before = enc.cuts(text[start:end])
+    places, before, marks = enc.cuts(text[start:end])
     used = 0  # tokens of this window that stand before the splice to its left
     while end < len(text):
         lap, found = overlap, None
         while found is None:
             left = max(start, end - lap)
             stop = min(len(text), left + max(window, 2 * lap))
-            right_places, right_before = enc.cuts(text[left:stop])
-            mine = {p + start: n for p, n in zip(places, before, strict=True) if left + margin <= p + start <= end - margin}
-            found = next(((p + left, n) for p, n in zip(right_places, right_before, strict=True) if p + left in mine), None)
+            right = enc.cuts(text[left:stop])
+            mine = {p + start: (n, m) for p, n, m in zip(places, before, marks, strict=True) if left + margin <= p + start <= end - margin}
+            for p, n, m in zip(*right, strict=True):
+                if p + left in mine and same(mine[p + left][1], m, left - start, end - start):
+                    found = mine[p + left][0], n
+                    break
             if found is None and left == start:
                 break
             lap *= 2
-        if found is None:  # one unbroken stretch: the left window has to grow
+        if found is None:  # no place agrees: the left window has to grow
             end = min(len(text), start + 2 * (end - start))
-            places, before = enc.cuts(text[start:end])
+            places, before, marks = enc.cuts(text[start:end])
             continue
-        total += mine[found[0]] - used
-        start, end, places, before, used = left, stop, right_places, right_before, found[1]
+        total += found[0] - used
+        start, end, used, (places, before, marks) = left, stop, found[1], right
     return total + before[-1] - used
 
 

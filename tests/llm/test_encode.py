@@ -1,4 +1,6 @@
 import random
+import struct
+import zlib
 from array import array
 
 import pytest
@@ -50,6 +52,25 @@ def test_windows_agree_with_the_whole(enc, window, overlap):
         assert tokcount.count_huge(enc, t, window, overlap) == enc.count(t)
 
 
+def test_texts_without_spaces_are_cut_too():
+    """Windows stay as long as they are where no white space and, in the last texts, no pre-token border ever comes."""
+    enc, rnd = Encoder(public("byte_bpe_50k.json")), random.Random(4)
+    pools = ["あいうえおかきくけこ日本語の文章漢字、。", "abcdefgh01239+/", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこ日本語の文章漢字", "éàöüaeiñ"]
+    for pool in pools:
+        text = "".join(rnd.choices(pool, k=60_000))
+        longest, cuts = [], enc.cuts
+        enc.cuts = lambda t, longest=longest, cuts=cuts: longest.append(len(t)) or cuts(t)
+        assert tokcount.count_huge(enc, text, 4096, 256) == enc.count(text), pool
+        del enc.cuts
+        assert max(longest) <= 4096 and sum(longest) < 1.3 * len(text), pool
+
+
+def test_long_runs_are_not_kept(enc, pieces):
+    text = "x" * 5000 + " " + "y" * 70 + " z"
+    enc.count(text), enc.ids(text), pieces.encode([text])
+    assert max(map(len, [*enc.by_run, *enc.n_by_run, *pieces.kept])) <= 65
+
+
 def test_pieces_are_the_librarys(pieces):
     texts = mixed_texts(seed=2)
     for t, ids, want in zip(texts, pieces.encode(texts), pieces.library.encode(texts), strict=True):
@@ -101,6 +122,9 @@ def test_queries_on_odd_rows(spark):
     assert tokcount.count_tokens(df.limit(0), public("byte_bpe_50k.json")).count() == 0
     sp = sentencepieces.digests(df, public("piece_bpe_32k.model")).collect()
     assert len(sp) == len(rows) and all(r.round_trip for r in sp)
+    plain = sentencepieces.Model(public("piece_bpe_32k.model")).library
+    want = [(i or -1, len(x := plain.encode(t or "")), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for i, t in rows]
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in sp) == sorted(want)
     ids = sentencepieces.encode(df, public("piece_bpe_32k.model"))
     back = sentencepieces.decode(ids, public("piece_bpe_32k.model")).collect()
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((i or -1, t or "") for i, t in rows)
