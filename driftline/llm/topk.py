@@ -4,14 +4,17 @@ Vectors are dealt evenly over shards of about ``per_shard`` rows. Each shard is
 widest dimension, and for every node the tight box around its vectors. A box bounds a query's score from above by
 the sum, over dimensions, of the larger product with the box's two sides. Search is best first: the node with the
 highest bound next, until no bound reaches the kth score found. Queries travel in blocks; a block is first searched
-in one shard, and the kth scores found there go along to all others, which report only what reaches them.
+in one shard, and the kth scores found there go along to all others. These stand in groups: a task unpacks a group's
+trees once and streams all blocks past them, and a block goes from tree to tree with the kth scores found so far, which
+bound the next search. So a block travels once per group, and a group reports k rows per query at most.
 
-A shard's tree and a block of queries are single rows of a size bounded by parameters. The blocks meet every shard:
-that is the query set against all rows, in blocks.
+A shard's tree and a block of queries are single rows of a size bounded by parameters; a task holds the trees of one
+group and one block. The blocks meet every shard: that is the query set against all rows, in blocks.
 
-Scores are exact integers; ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
-components take no part, nor do rows with a null vec_id. Shorter vectors count as padded with zeros. A query id that
-repeats asks once, with its smallest vector; rows that carry the query's own id are never its candidates.
+Scores are exact integers; those beyond 64 bits count as the nearest 64-bit number. Ties go to the smaller vec_id.
+Vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id. Shorter
+vectors count as padded with zeros. A query id that repeats asks once, with its smallest vector; rows that carry the
+query's own id are never its candidates. Rows that repeat a vec_id are candidates of their own.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 PER_SHARD, PER_BLOCK, LEAF = 8192, 512, 64
+#: Shards whose trees a task holds.
+GROUP = 8
 EXACT = float(1 << 53)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantized(df: DataFrame, vector: str, factor: int = 1024) -> DataFrame:
@@ -89,7 +95,9 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, q: np.ndarray, least: n
     else:
         q, v, lo, hi = (x.astype(object) for x in (q, v, lo, hi))
     zero = q * 0
-    bound = np.maximum(q, zero) @ hi.T + np.minimum(q, zero) @ lo.T
+    # numbers that aren't exact in doubles are Python's, cut to 64 bits
+    cut = (lambda x: np.minimum(np.maximum(x, LEAST), MOST)) if q.dtype == object else lambda x: x
+    bound = cut(np.maximum(q, zero) @ hi.T + np.minimum(q, zero) @ lo.T)
     first, end, child, own_ids = tree["first"].tolist(), tree["end"].tolist(), tree["child"].tolist(), tree["ids"]
     out = []
     for i in range(len(q)):
@@ -106,7 +114,7 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, q: np.ndarray, least: n
                         heapq.heappush(heap, (-own[c], c))
                 continue
             a, z = first[node], end[node]
-            scores = v[a:z] @ q[i]
+            scores = cut(v[a:z] @ q[i])
             near = np.arange(z - a) if kth is None else np.flatnonzero(scores >= kth)
             for j in near:
                 if own_ids[a + j] == ids[i]:
@@ -122,11 +130,40 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, q: np.ndarray, least: n
     return out
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
+def _streamed(k: int):
+    """Rows stand part by part (a group of shards): first the trees (kind 0), then the blocks (kind 1). A block isn't
+    searched again in its home, if it has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, trees = None, {}
+        for b in batches:
+            for p, kind, shard, block, home, raw in zip(*(b.column(n).to_pylist() for n in ("part", "kind", "shard", "block", "home", "data")), strict=True):
+                if p != part:
+                    part, trees = p, {}
+                if kind == 0:
+                    trees[shard] = unpack(raw)
+                    continue
+                a = unpack(raw)
+                best: list[list[tuple[int, int]]] = [[] for _ in a["ids"]]
+                for n in sorted(set(trees) - {home}):
+                    hits = search(trees[n], a["ids"], a["q"], a["least"], a["known"], k)
+                    best = [heapq.nlargest(k, own + more) for own, more in zip(best, hits, strict=True)]
+                    for i, own in enumerate(best):
+                        if len(own) == k:
+                            a["least"][i] = max(a["least"][i], own[-1][0]) if a["known"][i] else own[-1][0]
+                            a["known"][i] = True
+                flat = [(block, int(i), -n, s) for i, own in zip(a["ids"], best, strict=True) for s, n in own]
+                cols = list(zip(*flat, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["block", "query_id", "vec_id", "score"])
+
+    return run
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK, group: int = GROUP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score; ``rows`` and ``queries`` have vec_id and v (array<bigint>)."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "topk")
-    rows = scratch.keep(rows, "rows")
+    rows = scratch.keep(rows.select("vec_id", "v"), "rows")
     shards = max(1, -(-rows.count() // per_shard))
 
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,18 +185,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, per_shard: int = PER
 
     dealt = asked.withColumn("block", (F.monotonically_increasing_id() % blocks).cast("int"))
     blocks_df = scratch.keep(dealt.groupBy("block").applyInPandas(packed, "block int, home int, asked binary"), "blocks")
+    scratch.drop("rows", "queries")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, shard, raw, tree in zip(*(b.column(n).to_pylist() for n in ("block", "shard", "asked", "tree")), strict=True):
-                a = unpack(raw)
-                hits = search(unpack(tree), a["ids"], a["q"], a["least"], a["known"], k)
-                flat = [(block, shard, int(i), -n, s) for i, own in zip(a["ids"], hits, strict=True) for s, n in own]
-                cols = list(zip(*flat, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["block", "shard", "query_id", "vec_id", "score"])
+    def streamed(trees_: DataFrame, blocks_: DataFrame) -> DataFrame:
+        """Both have part, kind, shard, block, home and data."""
+        tape = trees_.unionByName(blocks_).repartition("part").sortWithinPartitions("part", "kind", "block")
+        return tape.mapInArrow(_streamed(k), "block int, query_id bigint, vec_id bigint, score bigint")
+
+    none = F.lit(None).cast("int")
+
+    def as_trees(part: F.Column) -> DataFrame:
+        return index.select(part.cast("int").alias("part"), F.lit(0).alias("kind"), "shard", none.alias("block"), none.alias("home"), F.col("tree").alias("data"))
 
-    schema = "block int, shard int, query_id bigint, vec_id bigint, score bigint"
-    at_home = scratch.keep(blocks_df.withColumn("shard", F.col("home")).join(index, "shard").select("block", "shard", "asked", "tree").mapInArrow(found, schema), "home")
+    at_home = blocks_df.select(F.col("home").alias("part"), F.lit(1).alias("kind"), none.alias("shard"), "block", none.alias("home"), F.col("asked").alias("data"))
+    at_home = scratch.keep(streamed(as_trees(F.col("shard")), at_home), "home")
 
     def bounded(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -172,8 +211,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, per_shard: int = PER
         return pd.DataFrame({"block": left["block"], "home": left["home"], "asked": [pack(**a)]})
 
     told = blocks_df.groupBy("block").cogroup(at_home.groupBy("block")).applyInPandas(bounded, "block int, home int, asked binary")
-    others = told.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    elsewhere = others.join(index, "shard").select("block", "shard", "asked", "tree").mapInArrow(found, schema)
+    parts = -(-shards // group)
+    others = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("part", F.lit(1).alias("kind"), none.alias("shard"), "block", "home", F.col("asked").alias("data"))
+    elsewhere = streamed(as_trees(F.floor(F.col("shard") / group)), others)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     every = at_home.unionByName(elsewhere).select("query_id", "vec_id", "score")
     return every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 import base64
 import json
+import math
 import random
 import re
 import struct
@@ -9,7 +10,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
-from driftline.llm import chat, fingerprint, packing, quality, secrets, shard, topk
+from driftline.llm import chat, fingerprint, packing, quality, secrets, shard, shingles, topk
 from driftline.llm.common import Scratch
 from driftline.llm.encode import Encoder, public
 from pyspark.sql import functions as F
@@ -32,6 +33,44 @@ def test_quality_on_held_out_rows(spark):
     assert (test.predicted == test.quality).mean() > 0.95
 
 
+def test_quality_against_plain():
+    """Plain gradient steps on the loss of all pairs come to the same scores, and so to the same threshold."""
+    rnd = random.Random(5)
+    x = np.array([[1.0, rnd.gauss(k, 1.0), rnd.gauss(-k, 2.0), rnd.gauss(0, 1)] for k in (0, 1) for _ in range(12)])
+    y = np.array([k for k in (0, 1) for _ in range(12)])
+    got = quality.learn(x, y, ridge=0.05, steps=200)
+    centre, spread = x.mean(0), [s if s > 1e-9 else 1.0 for s in x.std(0)]
+    pairs = [[(a - b) / s for a, b, s in zip(g, l, spread, strict=True)] for g in x[y == 1] for l in x[y == 0]]
+    w = [0.0] * 4
+    for _ in range(4000):
+        grad = [0.05 * v for v in w]
+        for d in pairs:
+            p = 1 / (1 + math.exp(sum(a * b for a, b in zip(d, w, strict=True))))
+            for n, v in enumerate(d):
+                grad[n] -= p * v / len(pairs)
+        w = [a - 0.5 * g for a, g in zip(w, grad, strict=True)]
+    assert np.allclose(got.weights, w, atol=1e-4)
+    raw = sorted(sum((a - c) / s * b for a, c, s, b in zip(row, centre, spread, w, strict=True)) for row in x)
+    assert got.threshold == pytest.approx((raw[11] + raw[12]) / 2, abs=1e-3)
+    # as many are rejected as were bad
+    assert (got.score(x) < quality.CUT).sum() == 12
+
+
+def test_quality_sample_is_bounded(spark):
+    """Repeated ids, in the labels and in the texts, are one document of the sample; an id of both kinds is none."""
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "BAD!!") for i in kept] * 3 + [(kept[0], "other")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in kept] * 2 + [(kept[1], 1 - kept[1] % 2)], "doc_id long, quality int")
+    seen, learn = [], quality.learn
+    try:
+        quality.learn = lambda x, y: seen.append(len(x)) or learn(x, y)
+        for sample in (10, 10_000):
+            quality.fit(docs, labels, sample)
+    finally:
+        quality.learn = learn
+    assert seen == [10, len(kept) - 1]
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5.0, "x"), (2, "", 1.0, "x"), (None, "a", 1.0, "x"), (4, "A!! " * 30_000, 1.0, "x"), (4, "A!! " * 30_000, 1.0, "x")], "doc_id long, text string, score double, predicted string")
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -277,32 +316,64 @@ def test_topk_odd_rows(spark):
     q = topk.quantized(df, "embedding")
     assert {r.vec_id: r.v for r in q.collect()} == {0: [512, -256], 1: [102, 102], 100: [0], 200: []}
     got = topk.top_k(q, q.where("vec_id % 100 = 0"), 2).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)[:2] == [(0, 1, 1, 26112), (0, 2, 100, 0)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_topk([(0, [512, -256]), (1, [102, 102]), (100, [0]), (200, [])], [(0, [512, -256]), (100, [0]), (200, [])], 2)
     assert topk.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_topk_of_large_numbers_and_repeated_ids(spark):
+    """Scores beyond 64 bits count as the nearest 64-bit number; repeated ids are candidates of their own."""
+    rnd = random.Random(7)
+    rows = [(i, [rnd.choice([-1, 1]) * 10 ** rnd.choice([1, 9, 12, 16]) for _ in range(3)]) for i in range(60)] + [(7, [5, 5, 5])] * 3 + [(10, [-9, 1, 1])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    cut = lambda s: max(topk.LEAST, min(topk.MOST, s))
+    want = []
+    for qid in range(0, 60, 10):
+        own = min(v for i, v in rows if i == qid)
+        scored = sorted((-cut(sum(a * b for a, b in zip(own, v, strict=True))), i) for i, v in rows if i != qid)
+        want += [(qid, n + 1, i, -s) for n, (s, i) in enumerate(scored[:10])]
+    for sizes in ((8192, 512, 8), (9, 2, 2), (5, 100, 3)):
+        got = topk.top_k(df, df.where("vec_id % 10 = 0"), 10, *sizes).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    raw = spark.createDataFrame([(0, [1e13, 1e300]), (1, [1e13, -1e13])], "vec_id long, embedding array<double>")
+    q = topk.quantized(raw, "embedding")
+    assert topk.top_k(q, q, 1).count() == 2
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
+def plain_sketch(t):
+    """The kept hashes: each distinct shingle is hashed as a text of its own."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    own = {" ".join(words[i : i + 5]).translate({c: c + 32 for c in range(65, 91)}) for i in range(max(len(words) - 4, 1))} if words else set()
+    hashes = sorted(int(h[0]) for h in shingles.shingle_sets(sorted(own)))
+    kept = [h for h in hashes if h * 8 < 1 << 64] or hashes[:1]
+    return {f"{h:016x}"[:12] for h in kept}
+
+
+def plain_likeness(a, b):
+    return float(a == b) if not a or not b else len(a & b) / min(len(a), len(b))
+
+
 def plain_fingerprints(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    out = {}
+    out = []
     for n, (i, t) in enumerate(order):
         t, after = t or "", order[(n + 1) % len(order)][1] or ""
-        new = fingerprint.edited(t, after)
-        a, b, c = fingerprint.fingerprints([t, new, after])
-        out[i] = (len(t), sha256(new.encode()).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c))
-    return out
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = plain_sketch(t), plain_sketch(new), plain_sketch(after)
+        out.append((i, len(t), sha256(new.encode()).hexdigest(), "".join(sorted(a)), "".join(sorted(b)), plain_likeness(a, b), plain_likeness(a, c)))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("parts", [1, 2, 7, 64])
 def test_fingerprints_against_plain(spark, parts):
     docs = [(r.doc_id * 3 - 7, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(60).collect()]
-    docs += [(9001, None), (9002, ""), (9003, "a"), (None, "x y z"), (9005, "long " * 30_000)]
+    docs += [(9001, None), (9002, ""), (9003, "a"), (None, "x y z"), (9005, "long " * 30_000), (9003, "a"), (-7, docs[0][1])]
     df = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, part int")
     got = fingerprint.edited_pairs(df, parts).collect()
     assert len(got) == len(docs)
-    assert {r.doc_id: tuple(r)[1:] for r in got} == plain_fingerprints(docs)
+    assert sorted(map(tuple, got), key=str) == plain_fingerprints(docs)
 
 
 def test_fingerprint_properties(spark):
