@@ -78,7 +78,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESCAPED = r"regexp_replace(text, '<\|(\\*)(im_start|im_end)\|>', '<|\\\1\2|>', 'g')"
 
+#: The ring's arcs, the crc32 of texts by a table of 256 entries, then the walk over the arcs step by step.
+_RING = r"""
+WITH RECURSIVE ring AS (
+    SELECT point, shard, row_number() OVER (ORDER BY point, shard) - 1 AS arc
+    FROM (SELECT CAST('0x' || substr(md5('shard ' || s || ' place ' || v), 1, 8) AS BIGINT) AS point, s AS shard FROM range(16) a(s), range(64) b(v))),
+crcs AS (
+    SELECT list(c ORDER BY i) AS crc FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+rows_ AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT), 0) AS point FROM documents),
+sized AS (
+    SELECT doc_id, point, CAST(strlen(text) + 1 AS BIGINT) AS size,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+            lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32
+    FROM rows_, crcs),
+placed AS (
+    SELECT s.*, coalesce((SELECT min(arc) FROM ring WHERE ring.point >= s.point), 0) AS arc FROM sized s),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY arc ORDER BY point, doc_id, size, text_crc32) - 1 AS rank FROM placed),
+given AS (
+    SELECT list(r.shard + 1 ORDER BY r.arc) AS owner, list(coalesce(n, 0) ORDER BY r.arc) AS per_arc,
+        (SELECT list(c // 16 + CASE WHEN s < c % 16 THEN 1 ELSE 0 END ORDER BY s) FROM (SELECT count(*) AS c FROM documents), range(16) x(s)) AS room
+    FROM ring r LEFT JOIN (SELECT arc, count(*) AS n FROM placed GROUP BY arc) p USING (arc)),
+walk AS (
+    SELECT 0 AS arc, 0 AS place_, 0::BIGINT AS rank, per_arc[1] AS left_, list_transform(range(16), lambda x: 0::BIGINT) AS used,
+        least(per_arc[1], room[owner[1]]) AS take, owner[1] AS shard, 0::BIGINT AS slot FROM given
+    UNION ALL
+    SELECT n.arc, n.place_, n.rank, n.left_, n.used, least(n.left_, room[owner[n.place_ + 1]] - n.used[owner[n.place_ + 1]]), owner[n.place_ + 1], n.used[owner[n.place_ + 1]]
+    FROM (
+        SELECT CASE WHEN take = left_ THEN arc + 1 ELSE arc END AS arc, CASE WHEN take = left_ THEN arc + 1 ELSE (place_ + 1) % 1024 END AS place_,
+            CASE WHEN take = left_ THEN 0 ELSE rank + take END AS rank, CASE WHEN take = left_ THEN per_arc[arc + 2] ELSE left_ - take END AS left_,
+            list_transform(used, lambda u, i: CASE WHEN i = shard THEN u + take ELSE u END) AS used, owner, room
+        FROM walk, given WHERE arc < 1024) n
+    WHERE n.arc < 1024)
+SELECT r.doc_id, r.size, r.text_crc32, 'rows' AS law, CAST(w.shard - 1 AS INTEGER) AS shard, w.slot + r.rank - w.rank AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM ranked r JOIN walk w ON r.arc = w.arc AND w.rank <= r.rank AND r.rank < w.rank + w.take"""
+
 ORACLES = {
+    "op5_hash_ring": _RING,
     "op4_chat_format": rf"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

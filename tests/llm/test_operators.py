@@ -161,6 +161,20 @@ def test_ring_odd_rows(spark):
     assert shard.shard(df.limit(0), "doc_id", 16).count() == 0
 
 
+def test_ring_query_on_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and long texts, null and repeated ids, and a column named as the output's: as the SQL says."""
+    import duckdb
+
+    from driftline.llm import queries
+
+    rows = [(1, None), (2, ""), (3, "é" * 5000), (3, "é" * 5000), (None, "x"), (None, None), (5, "日本")] + [(n, "same") for n in range(10, 60)]
+    spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, shard int").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in queries.op5_hash_ring(spark, f"file://{tmp_path}").collect()), key=str)
+    assert len(got) == len(rows) and got == sorted(con.sql(queries.ORACLES["op5_hash_ring"]).fetchall(), key=str)
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 
