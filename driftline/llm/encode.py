@@ -33,8 +33,8 @@ _SYMBOLS = [*range(33, 48), *range(58, 65), *range(91, 127), *range(0x80, 0xC0),
 CODED = [b in set(_SYMBOLS) for b in range(256)]
 CODES = bytes(_SYMBOLS.index(b) if CODED[b] else 127 for b in range(256))
 LAST = [bytes([CODES[b] | 128]) for b in range(256)]
-#: Runs kept per generation; two generations are held. Longer runs than LONG aren't kept, so that memory is bounded.
-KEPT, LONG = 150_000, 64
+#: Runs kept per generation; two generations are held. Longer runs than LONG aren't kept, so a worker holds 300 MB at most.
+KEPT, LONG = 300_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -84,6 +84,7 @@ class Encoder:
                 self.ranked = None
         if self.words:  # the merges alone; what stands before them in the library is done in _word_ids
             self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None})).model
+        self.stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in ".,;:!?"} if self.words else {}
         self.by_run = Runs(lambda run: array("I", self.make(run)).tobytes())
         self.n_by_run = Runs(lambda run: len(self.make(run)))
 
@@ -119,7 +120,7 @@ class Encoder:
         return ranks
 
     def _sound(self, ranks) -> bool:
-        return all(self.ranked._encode_single_piece(raw) == [rank] for raw, rank in ranks.items())
+        return all(self.ranked._core_bpe.encode_single_piece(raw) == [rank] for raw, rank in ranks.items())
 
     def _byte_ids(self, run: str) -> list[int]:
         if self.ranked and "<|" not in run and PLAIN.fullmatch(run):
@@ -130,10 +131,13 @@ class Encoder:
         if "<|" in run or not run.isascii() and not PLAIN.fullmatch(run):
             return self.library.encode(run, add_special_tokens=False).ids
         low = run.lower()
-        one = self.ranked and self.ranked._encode_single_piece
+        one = self.ranked and self.ranked._core_bpe.encode_single_piece
         if one and low.isalpha():
             raw = low.encode()
             return one(raw[:-1].translate(CODES) + LAST[raw[-1]])
+        if one and low[-1:] in self.stops and low[:-1].isalpha():  # a word and a stop after it are words of their own
+            raw = low[:-1].encode()
+            return one(raw[:-1].translate(CODES) + LAST[raw[-1]]) + self.stops[low[-1]]
         out: list[int] = []
         for piece in WORD_PIECES.findall(low):
             raw = piece.encode()

@@ -12,8 +12,8 @@ it (the elite moves on) and evolves for another epoch. The best packing of all i
 can't get worse, so a group never takes more sequences than best fit by falling length. An island only stops before its
 time when all free space is in one bin: nothing is left to gain then.
 
-Among groups, well-filled bins stay, and the pieces of each group's least filled bins are dealt anew, with those of
-other groups, until one group is left. So the space that each group can't use adds up only once.
+Among groups, full bins stay, and the pieces of each group's least filled bins are dealt anew, with those of other
+groups, until one group is left. So the space that each group can't use adds up only once.
 
 Null text counts as empty: it holds the end id alone. Every row gives at least one piece; repeated rows each have
 their own. Columns besides doc_id and text are not read. The draws follow the group's number, so a task that runs again
@@ -22,11 +22,13 @@ gives the same result.
 
 from __future__ import annotations
 
+import heapq
 import random
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -42,7 +44,8 @@ ROOM, END_ID = 4096, 1
 BINS = 256
 ISLANDS, MEMBERS, GENERATIONS, EPOCHS = 2, 4, 4, 2
 WELL_FILLED = 0.995
-#: Share of a group's bins, the least filled, whose pieces are dealt anew.
+#: Share of a group's bins, the least filled, whose pieces are dealt anew: so many at least, and up to half of them if so
+#: many aren't full. So each round has half as many groups or fewer.
 DISSOLVED = 0.08
 
 
@@ -65,87 +68,99 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID) -
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-Bins = list[list[int]]
+class Packing(NamedTuple):
+    """The items of each bin, and how full it is."""
 
+    bins: list[list[int]]
+    fill: list[int]
 
-def best_fit(items: list[int], size: list[int], room: int, bins: Bins) -> Bins:
-    """Put each item into the fullest bin that takes it, or a new one; ``bins`` is changed and returned."""
-    free = sorted((room - sum(size[i] for i in b), n) for n, b in enumerate(bins))
+
+def best_fit(items: list[int], size: list[int], room: int, start: Packing | None = None) -> Packing:
+    """Put each item into the fullest bin that takes it, or a new one; the bins of ``start`` are filled on."""
+    bins, fill = start or Packing([], [])
+    free = sorted((room - f, n) for n, f in enumerate(fill))
     for i in items:
-        at = bisect_left(free, (size[i], -1))
+        need = size[i]
+        at = bisect_left(free, (need, -1))
         if at == len(free):
             bins.append([i])
-            insort(free, (room - size[i], len(bins) - 1))
+            fill.append(need)
+            insort(free, (room - need, len(bins) - 1))
         else:
             left, n = free.pop(at)
             bins[n].append(i)
-            if left > size[i]:
-                insort(free, (left - size[i], n))
-    return bins
+            fill[n] += need
+            if left > need:
+                insort(free, (left - need, n))
+    return Packing(bins, fill)
 
 
-def fitness(bins: Bins, size: list[int], room: int) -> float:
-    return sum((sum(size[i] for i in b) / room) ** 2 for b in bins) / max(len(bins), 1)
+def fitness(packing: Packing) -> tuple[int, int]:
+    """The least is the fittest: the fewest bins, then the largest mean square of fill."""
+    return len(packing.fill), -sum(f * f for f in packing.fill)
 
 
-def best(packings: list[Bins], size: list[int], room: int, members: int = MEMBERS) -> list[Bins]:
+def best(packings: list[Packing], members: int = MEMBERS) -> list[Packing]:
     """The fittest, best first."""
-    return sorted(packings, key=lambda b: (len(b), -fitness(b, size, room)))[:members]
+    return sorted(packings, key=lambda p: fitness(p))[:members]
 
 
-def cross(one: Bins, other: Bins, size: list[int], room: int, rnd: random.Random) -> Bins:
+def cross(one: Packing, other: Packing, size: list[int], room: int, rnd: random.Random) -> Packing:
     """``one`` with some of the well-filled bins of ``other`` put in."""
-    good = [b for b in other if sum(size[i] for i in b) >= WELL_FILLED * room] or other
+    good = [n for n, f in enumerate(other.fill) if f >= WELL_FILLED * room] or list(range(len(other.fill)))
     taken = rnd.sample(good, max(1, len(good) // 2))
-    held = {i for b in taken for i in b}
-    stay, displaced = [list(b) for b in taken], []
-    weak = []
-    for b in one:
+    stay, fill = [other.bins[n][:] for n in taken], [other.fill[n] for n in taken]
+    held = set().union(*stay)
+    displaced, weak = [], []
+    for b, f in zip(one.bins, one.fill, strict=True):
         if held.isdisjoint(b):
-            stay.append(list(b))
-            weak.append((sum(size[i] for i in b), len(stay) - 1))
+            weak.append((f, len(stay)))
+            stay.append(b[:])
+            fill.append(f)
         else:
             displaced += [i for i in b if i not in held]
     # the least filled bins are given up as well, so that what is displaced finds other company
-    for _, n in sorted(weak)[: max(2, len(weak) // 50)]:
+    given_up = {n for _, n in heapq.nsmallest(max(2, len(weak) // 50), weak)}
+    for n in given_up:
         displaced += stay[n]
-        stay[n] = []
     spread = rnd.choice((0.0, 0.1, 0.4))
-    displaced.sort(key=lambda i: -size[i] * (1 + spread * rnd.uniform(-1, 1)))
-    return best_fit(displaced, size, room, [b for b in stay if b])
+    displaced.sort(key=(lambda i: -size[i] * (1 + spread * rnd.uniform(-1, 1))) if spread else lambda i: -size[i])
+    kept = [n for n in range(len(stay)) if n not in given_up]
+    return best_fit(displaced, size, room, Packing([stay[n] for n in kept], [fill[n] for n in kept]))
 
 
-def settle(size: list[int], room: int, rnd: random.Random, members: int = MEMBERS, plain: bool = True) -> list[Bins]:
+def settle(size: list[int], room: int, rnd: random.Random, members: int = MEMBERS, plain: bool = True) -> list[Packing]:
     """An island's first population: best fit in perturbed orders of falling length; with ``plain`` in that order too."""
     order = sorted(range(len(size)), key=lambda i: -size[i])
-    first = [best_fit(order, size, room, [])] if plain else []
+    first = [best_fit(order, size, room)] if plain else []
     spreads = [0.1 * 2**n for n in range(members - len(first))]
     others = (sorted(order, key=lambda i, by=by: -size[i] * (1 + by * rnd.uniform(-1, 1))) for by in spreads)
-    return best([*first, *(best_fit(o, size, room, []) for o in others)], size, room, members)
+    return best([*first, *(best_fit(o, size, room) for o in others)], members)
 
 
-def evolve(population: list[Bins], size: list[int], room: int, rnd: random.Random, generations: int = GENERATIONS) -> list[Bins]:
+def evolve(population: list[Packing], size: list[int], room: int, rnd: random.Random, generations: int = GENERATIONS) -> list[Packing]:
     """The population after an epoch, best first."""
     members = len(population)
     for _ in range(generations):
-        if members < 2 or sum(sum(size[i] for i in b) < room for b in population[0]) <= 1:
+        if members < 2 or sum(f < room for f in population[0].fill) <= 1:
             break
         children = [cross(*rnd.sample(population, 2), size, room, rnd) for _ in range(members - 1)]
-        population = best([*population, *children], size, room, members)
+        population = best([*population, *children], members)
     return population
 
 
-def _bins(numbers: list[int]) -> Bins:
+def _from_numbers(numbers, size: list[int]) -> Packing:
     """A packing from its items' bin numbers."""
-    bins: Bins = [[] for _ in range(max(numbers, default=-1) + 1)]
+    out = Packing([[] for _ in range(max(numbers, default=-1) + 1)], [0] * (max(numbers, default=-1) + 1))
     for i, n in enumerate(numbers):
-        bins[n].append(i)
-    return bins
+        out.bins[n].append(i)
+        out.fill[n] += size[i]
+    return out
 
 
-def _numbers(bins: Bins, items: int) -> list[int]:
+def _numbers(packing: Packing, items: int) -> list[int]:
     out = [0] * items
-    for n, b in enumerate(bins):
+    for n, b in enumerate(packing.bins):
         for i in b:
             out[i] = n
     return out
@@ -164,15 +179,15 @@ def _epoch(room: int, epoch: int):
         rnd = random.Random(group * 1000 + island * 100 + epoch)
         if epoch:
             # a member of the table: each item's bin numbers, one per packing
-            population = [_bins(list(map(int, n))) for n in zip(*own["packings"], strict=True)]
+            population = [_from_numbers(n, size) for n in np.stack(own["packings"].to_numpy()).T.tolist()]
             guests = _ordered(pdf[~pdf["at_home"]])
             if len(guests):
-                population = best([*population, _bins([int(n[0]) for n in guests["packings"]])], size, room)
+                population = best([*population, _from_numbers([int(n[0]) for n in guests["packings"]], size)])
         else:
             population = settle(size, room, rnd, plain=island == 0)
         population = evolve(population, size, room, rnd)
-        numbers = zip(*(_numbers(bins, len(size)) for bins in population), strict=True)
-        return own.assign(packings=pd.Series([list(n) for n in numbers], index=own.index, dtype=object)).drop(columns="at_home")
+        numbers = np.array([_numbers(p, len(size)) for p in population], np.int32).T
+        return own.assign(packings=pd.Series(list(numbers), index=own.index, dtype=object)).drop(columns="at_home")
 
     return run
 
@@ -182,11 +197,12 @@ def _placed(room: int, last: bool):
         """Of one group: the best island's best packing."""
         islands = {n: _ordered(own) for n, own in pdf.groupby("island")}
         size = next(iter(islands.values()))["length"].astype(int).tolist()
-        found = {n: _bins([int(x[0]) for x in own["packings"]]) for n, own in islands.items()}
-        chosen = min(found, key=lambda n: (len(found[n]), -fitness(found[n], size, room), n))
-        own, bins = islands[chosen], found[chosen]
-        fill = [sum(size[i] for i in b) for b in bins]
-        weak = set() if last else set(sorted(range(len(bins)), key=lambda n: fill[n])[: max(1, int(len(bins) * DISSOLVED))])
+        found = {n: _from_numbers([int(x[0]) for x in own["packings"]], size) for n, own in islands.items()}
+        chosen = min(found, key=lambda n: (fitness(found[n]), n))
+        own, (bins, fill) = islands[chosen], found[chosen]
+        poor = sum(f < room for f in fill)
+        share = max(1, int(len(bins) * DISSOLVED), min(poor, len(bins) // 2))
+        weak = set() if last else set(sorted(range(len(bins)), key=lambda n: fill[n])[:share])
         sequence, offset, done = (np.zeros(len(size), t) for t in (np.int64, np.int64, bool))
         for n, b in enumerate(bins):
             at = 0

@@ -450,9 +450,9 @@ def islands_of(size, room, seed, islands=2, epochs=3):
     for epoch in range(epochs):
         if epoch:
             elites = [h[0] for h in homes]
-            homes = [packing.best([*h, elites[n - 1]], size, room) for n, h in enumerate(homes)]
+            homes = [packing.best([*h, elites[n - 1]]) for n, h in enumerate(homes)]
         homes = [packing.evolve(h, size, room, draws[n]) for n, h in enumerate(homes)]
-    return packing.best([h[0] for h in homes], size, room)[0]
+    return packing.best([h[0] for h in homes])[0].bins
 
 
 def test_evolution_beats_best_fit():
@@ -460,7 +460,7 @@ def test_evolution_beats_best_fit():
     better = worse = 0
     for seed in range(12):
         size = [rnd.randint(20, 70) for _ in range(150)]
-        first = packing.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 100, [])
+        first = packing.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 100).bins
         found = islands_of(size, 100, seed)
         assert sorted(i for b in found for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 100 for b in found)
         better += len(found) < len(first)
