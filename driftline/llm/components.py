@@ -19,9 +19,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         n += 1
         both = left.union(left.select("b", "a"))
         parent = scratch.keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), f"parent{n}")
-        for hop in range(2):
-            up = parent.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
-            parent = scratch.keep(parent.join(up, F.col("up") == F.col("_n"), "left").select("node", F.coalesce("_u", "up").alias("up")), f"parent{n}.{hop}")
+        up = parent.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+        parent = scratch.keep(parent.join(up, F.col("up") == F.col("_n"), "left").select("node", F.coalesce("_u", "up").alias("up")), f"hop{n}")
         to = parent.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
         if label is None:
             label = parent.select("node", F.col("up").alias("component"))
@@ -29,6 +28,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             label = label.join(to, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_u", "component").alias("component"))
         label = scratch.keep(label, f"label{n}")
         moved = left.join(to, F.col("a") == F.col("_n")).select(F.col("_u").alias("a"), "b").join(to, F.col("b") == F.col("_n")).select("a", F.col("_u").alias("b"))
+        scratch.drop(f"parent{n}", f"label{n - 1}")
         left = scratch.keep(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"edges{n}")
     if label is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))

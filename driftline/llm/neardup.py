@@ -172,7 +172,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         own = [s.view(np.int64) for s in shingle_sets(texts(b.column("text")))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([1 + len(s) // WEIGHT for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["rep", "weight", "set"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], ["rep", "set"])
 
 
 def _blocks(weight: F.Column, block: int) -> F.Column:
@@ -181,44 +181,43 @@ def _blocks(weight: F.Column, block: int) -> F.Column:
 
 def _compared(meets: DataFrame, sets: DataFrame) -> DataFrame:
     """hub, a, b: the links found in groups (hub, one, two) of ``meets``."""
-    grouped = meets.join(sets.select("rep", "set"), "rep").repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two", F.col("rep") != F.col("hub"))
+    grouped = meets.join(sets, "rep").repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two", F.col("rep") != F.col("hub"))
     return grouped.select("hub", "one", "two", "rep", "block", "set").mapInArrow(_linked, "hub bigint, a bigint, b bigint")
 
 
 def _spokes(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """hub, rep: the representatives that meet under some key, each with the smallest one under it."""
+    """hub, rep, weight: the representatives that meet under some key, each with the smallest one under it."""
     filed = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "rep")
     hubs = scratch.keep(filed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-    shared = screened(filed, "key", scratch.keep(screen(hubs, "key"), "hub_screen"))
-    return scratch.keep(shared.join(hubs, "key").select("hub", "rep").distinct(), "spokes")
+    weighed = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "rep", (1 + F.expr(f"n_shingles div {WEIGHT}")).alias("weight"))
+    met = screened(weighed, "key", screen(hubs, "key")).join(hubs, "key")
+    # a repeated id can stand for several sets; the heaviest counts
+    return scratch.keep(met.groupBy("hub", "rep").agg(F.max("weight").alias("weight")), "spokes")
 
 
 def _links(docs: DataFrame, spokes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """a, b: links among each hub's texts, enough of them to connect all that are connected."""
-    wanted = scratch.keep(spokes.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    chosen = screened(docs, "doc_id", scratch.keep(screen(wanted, "doc_id"), "wanted_screen")).join(wanted, "doc_id", "left_semi")
-    sets = scratch.keep(chosen.mapInArrow(_sets, "rep bigint, weight bigint, set array<bigint>"), "sets")
-    # a repeated id can have several sets; the heaviest counts
-    weighed = scratch.keep(spokes.join(sets.groupBy("rep").agg(F.max("weight").alias("weight")), "rep").select("hub", "rep", "weight"), "weighed")
-    blocks = weighed.groupBy("hub").agg(_blocks(F.sum("weight"), block).alias("blocks"))
-    large = scratch.keep(blocks.where("blocks > 1"), "large")
+    wanted = spokes.select(F.col("rep").alias("doc_id"))
+    chosen = screened(docs, "doc_id", screen(wanted, "doc_id")).join(wanted.distinct(), "doc_id", "left_semi")
+    sets = scratch.keep(chosen.mapInArrow(_sets, "rep bigint, set array<bigint>"), "sets")
+    large = scratch.keep(spokes.groupBy("hub").agg(_blocks(F.sum("weight"), block).alias("blocks")).where("blocks > 1"), "large")
     place = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    few = weighed.join(large, "hub", "left_anti").select("hub", F.lit(0).alias("one"), F.lit(0).alias("two"), "rep", F.lit(0).alias("block"))
-    stars = weighed.where("rep <> hub").join(large, "hub").select("hub", place.alias("one"), F.lit(STAR).alias("two"), "rep", F.lit(0).alias("block"))
+    few = spokes.join(large, "hub", "left_anti").select("hub", F.lit(0).alias("one"), F.lit(0).alias("two"), "rep", F.lit(0).alias("block"))
+    stars = spokes.where("rep <> hub").join(large, "hub").select("hub", place.alias("one"), F.lit(STAR).alias("two"), "rep", F.lit(0).alias("block"))
     centres = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), F.lit(STAR).alias("two"), F.col("hub").alias("rep"), F.lit(0).alias("block"))
     found = scratch.keep(_compared(few.unionByName(stars).unionByName(centres), sets), "links")
     # of large hubs: far texts aren't linked with the hub, near ones are
     near = found.join(large, "hub").select("hub", F.col("b").alias("rep"), F.lit(True).alias("near")).distinct()
-    sides = weighed.join(large.select("hub"), "hub").join(near, ["hub", "rep"], "left").withColumn("near", F.coalesce("near", F.col("rep") == F.col("hub")))
+    sides = spokes.join(large.select("hub"), "hub").join(near, ["hub", "rep"], "left").withColumn("near", F.coalesce("near", F.col("rep") == F.col("hub")))
     sides = scratch.keep(sides, "sides")
     counts = sides.groupBy("hub").agg(_blocks(F.sum(F.when(~F.col("near"), F.col("weight"))), block).alias("far"), _blocks(F.sum(F.when(F.col("near"), F.col("weight"))), block).alias("close"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("close")).otherwise(F.col("far"))).cast("int")
-    placed = sides.join(scratch.keep(counts.where("far > 0"), "counts"), "hub").withColumn("block", F.when(F.col("near"), F.col("far") + own).otherwise(own))
+    placed = sides.join(counts.where("far > 0"), "hub").withColumn("block", F.when(F.col("near"), F.col("far") + own).otherwise(own))
     # far blocks meet all, near ones the far ones
     last = F.when(F.col("near"), F.col("far")).otherwise(F.col("far") + F.col("close")) - 1
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block")
     more = scratch.keep(_compared(meets, sets), "more_links")
-    scratch.drop("wanted", "wanted_screen", "sets", "weighed", "large", "sides", "counts")
+    scratch.drop("sets", "large", "sides")
     return found.unionByName(more).select("a", "b")
 
 
@@ -230,9 +229,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     drawn = scratch.keep(sketches(docs), "sketches")
     known = drawn.where("doc_id is not null and digest is not null")
     # equal sets have equal keys, so any copy's will do; a group of copies is one row before it is shuffled
-    reps = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "reps")
+    reps = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "reps")
     spokes = _spokes(reps, scratch)
-    scratch.drop("hubs", "hub_screen")
+    scratch.drop("hubs")
     label = components(_links(docs, spokes, scratch, block), scratch)
     # digests that stand for more than a row of their own, with the component of their texts
     named = reps.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
@@ -253,7 +252,7 @@ def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # ids that aren't simply kept: most rows have another one and stay where they are
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
     unsure = scratch.keep(ids.where("rows > 1 or stay = 0").select(F.col("doc_id").alias("__id"), (F.col("rows") > 1).alias("__again")), "unsure")
-    marks = scratch.keep(screen(unsure, "__id"), "screen")
+    marks = screen(unsure, "__id")
     known = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
     met = screened(known, "__id", marks).join(unsure, "__id", "left")
     sure = screened(known, "__id", marks, within=False).select(docs.columns).unionByName(met.where("__again is null").select(docs.columns))
