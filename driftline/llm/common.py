@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that a Python operator holds as Python objects at a time. Spark cuts Arrow batches at 64 MB as well
 #: (spark.sql.execution.arrow.maxBytesPerBatch), so that is the most, or one row if that is longer.
 ROWS = 256
+#: Rows of an Arrow batch while an intermediate table is written: both sides hold a batch or two of them at a time.
+BATCH = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a screen.
 SCREEN = 1 << 26
 
@@ -45,8 +48,12 @@ class Scratch:
         self.live.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, BATCH)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -33,8 +33,8 @@ _SYMBOLS = [*range(33, 48), *range(58, 65), *range(91, 127), *range(0x80, 0xC0),
 CODED = [b in set(_SYMBOLS) for b in range(256)]
 CODES = bytes(_SYMBOLS.index(b) if CODED[b] else 127 for b in range(256))
 LAST = [bytes([CODES[b] | 128]) for b in range(256)]
-#: Runs kept per generation; two generations are held. Longer runs than LONG aren't kept, so a worker holds 300 MB at most.
-KEPT, LONG = 300_000, 64
+#: Runs kept per generation; two generations are held. Longer runs than LONG aren't kept, so a worker holds 150 MB at most.
+KEPT, LONG = 150_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
