@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import formats, gemtext, urls
-from driftline.operators import archive, crawl, documents, fts, graph, reports, rules
+from driftline.operators import archive, crawl, documents, fts, graph, index, reports, rules
 from driftline.plans.userquery import Page, parse, suggestion
 from driftline.streaming import state
 
@@ -112,6 +112,29 @@ def _log(events: DataFrame) -> DataFrame:
 # --- full-text search -----------------------------------------------------------------------------------------------
 
 _WORDS = r"'[\p{L}\p{N}]+'"
+#: The forms in the test tables of asked words that share a stem with others. SQL has no stemmer.
+_FORMS = {"the": ["the", "thes"], "les": ["le", "les"], "la": ["la", "las"]}
+
+
+def _terms_sql(text: str) -> str:
+    """The words of a text, with all forms of an asked word as that word."""
+    cases = " ".join(f"WHEN w IN ({', '.join(repr(f) for f in forms)}) THEN '{word}'" for word, forms in _FORMS.items())
+    return f"list_transform(regexp_extract_all(lower({text}), {_WORDS}), lambda w: CASE {cases} ELSE w END)"
+
+
+_indexes: dict[tuple[str, str, str], index.Index] = {}
+
+
+def kept_index(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame], anew: bool = False) -> index.Index:
+    """The index of the tables of ``d``, written once a session; searches answer from it as they do from any other."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if anew or key not in _indexes:
+        _indexes[key] = index.build(make(), _folder(spark, f"index-{name}"))
+    return _indexes[key]
+
+
+def text_index(spark: SparkSession, d: str, anew: bool = False) -> index.Index:
+    return kept_index(spark, d, "text", lambda: docs(spark, d), anew)
 
 
 def _fts_sql(phrases: list[str], where: str, select: str, tail: str = "") -> str:
@@ -122,7 +145,7 @@ def _fts_sql(phrases: list[str], where: str, select: str, tail: str = "") -> str
     rank = " + ".join(f"greatest(ln((big_n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len_ / mean))" for i in n)
     return rf"""
 WITH {DOCS_SQL},
-tokens AS (SELECT *, regexp_extract_all(lower(body), {_WORDS}) AS b, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
+tokens AS (SELECT *, {_terms_sql('body')} AS b, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
 counted AS (SELECT *, {counts} FROM tokens),
 stats AS (SELECT count(*) AS big_n, avg(len_) AS mean, {dfs} FROM counted),
 ranked AS (SELECT *, -({rank}) AS rank FROM counted, stats WHERE {where})
@@ -132,70 +155,70 @@ SELECT {select} FROM ranked {tail}"""
 _TOTAL = "(rank + rank * 0.3 * popularity_rank) * CASE WHEN content_type = 1 THEN 1.03 ELSE 1 END"
 
 
-@query(_fts_sql(["with", "from"], "f0 > 0 OR f1 > 0", "url_id, round(rank, 6) AS rank"))
+@query(_fts_sql(["the", "la", "with"], "f0 > 0 OR f1 > 0 OR f2 > 0", "url_id, round(rank, 6) AS rank"))
 def fts_bm25_or(spark, d):
-    return fts.matched(docs(spark, d), parse("with OR from")).select("url_id", F.round("rank", 6).alias("rank"))
+    return index.matched(text_index(spark, d), parse("thes OR LAS OR with")).select("url_id", F.round("rank", 6).alias("rank"))
 
 
 @query(_fts_sql(["with", "from", "der"], "(f0 > 0 AND f1 > 0) AND NOT f2 > 0", "url_id, round(rank, 6) AS rank"))
 def fts_and_not(spark, d):
-    return fts.matched(docs(spark, d), parse("with AND from NOT der")).select("url_id", F.round("rank", 6).alias("rank"))
+    return index.matched(text_index(spark, d), parse("with AND from NOT der")).select("url_id", F.round("rank", 6).alias("rank"))
 
 
 @query(_fts_sql(["of the"], "f0 > 0", "url_id, round(rank, 6) AS rank"))
 def fts_phrase(spark, d):
-    return fts.matched(docs(spark, d), parse('"of the"')).select("url_id", F.round("rank", 6).alias("rank"))
+    return index.matched(text_index(spark, d), parse('"of the"')).select("url_id", F.round("rank", 6).alias("rank"))
 
 
 @query(_fts_sql(["with", "from", "les"], "(f0 > 0 OR f2 > 0) AND f1 > 0 OR f2 > 0", "url_id, round(rank, 6) AS rank"))
 def fts_boolean(spark, d):
-    return fts.matched(docs(spark, d), parse("(with OR les) AND from OR les")).select("url_id", F.round("rank", 6).alias("rank"))
+    return index.matched(text_index(spark, d), parse("(with OR les) AND from OR les")).select("url_id", F.round("rank", 6).alias("rank"))
 
 
-@query(_fts_sql(["with", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15"))
+@query(_fts_sql(["les", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15"))
 def fts_total_rank_top15(spark, d):
-    return fts.text_search(docs(spark, d), parse("with from"), stemmed=False).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
+    return index.text_search(text_index(spark, d), parse("le from")).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(_fts_sql(["with", "from"], "f0 > 0 OR f1 > 0", f"url_id, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 15 OFFSET 15"))
 def fts_second_page(spark, d):
-    return fts.text_search(docs(spark, d), parse("with OR from"), Page(2), stemmed=False).select("url_id", F.round("total_rank", 6).alias("total_rank"))
+    return index.text_search(text_index(spark, d), parse("with OR from"), Page(2)).select("url_id", F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(_fts_sql(["with"], "f0 > 0 AND domain = 'src3' AND file_extension = 'en'", "url_id, round(rank, 6) AS rank"))
 def fts_scope_site_type(spark, d):
-    return fts.matched(docs(spark, d), parse("with site:src3 filetype:en")).select("url_id", F.round("rank", 6).alias("rank"))
+    return index.matched(text_index(spark, d), parse("with site:src3 filetype:en")).select("url_id", F.round("rank", 6).alias("rank"))
 
 
 @query(_fts_sql(["with"], "f0 > 0 AND contains(lower(path), '7.')", "count(*) AS n"))
 def fts_result_count(spark, d):
-    return fts.result_count(docs(spark, d), parse("with inurl:7."), stemmed=False)
+    return index.result_count(text_index(spark, d), parse("with inurl:7."))
 
 
 @query(rf"""
 WITH {DOCS_SQL},
-tokens AS (SELECT *, regexp_extract_all(lower(title), {_WORDS}) AS h, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
+tokens AS (SELECT *, {_terms_sql('title')} AS h, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
 counted AS (SELECT *, len(list_filter(h, lambda w: w = 'the')) AS f0, len(list_filter(h, lambda w: w = 'with')) AS f1 FROM tokens),
 stats AS (SELECT count(*) AS big_n, avg(len_) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM counted)
 SELECT url_id, round(-(greatest(ln((big_n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len_ / mean)) + greatest(ln((big_n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len_ / mean))), 6) AS rank
 FROM counted, stats WHERE f0 > 0 AND f1 > 0""")
 def fts_title_scope(spark, d):
-    return fts.matched(docs(spark, d), parse('intitle:"the with"')).select("url_id", F.round("rank", 6).alias("rank"))
+    return index.matched(text_index(spark, d), parse('intitle:"the with"')).select("url_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT url_id, substr(body, 1, least(100, length(body)) - 1) AS snippet FROM docs WHERE domain = 'src5' ORDER BY external_inbound_links DESC, url LIMIT 15")
 def fts_scope_only_lead(spark, d):
-    return fts.text_search(docs(spark, d), parse("site:src5")).select("url_id", "snippet")
+    return index.text_search(text_index(spark, d), parse("site:src5")).select("url_id", "snippet")
 
 
 @query(_fts_sql(["with", "from"], "f0 > 0 AND f1 > 0", f"url_id, url, round({_TOTAL}, 6) AS total_rank", "ORDER BY total_rank, url LIMIT 1"))
 def fts_lucky(spark, d):
-    return fts.text_search(docs(spark, d), parse("with from"), Page(1, 1), stemmed=False).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
+    return index.text_search(text_index(spark, d), parse("with from"), Page(1, 1)).select("url_id", "url", F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(_fts_sql(["with", "from", "zzz"], "f0 > 0 OR f1 > 0 OR f2 > 0", "count(*) AS n"))
 def fts_suggestion_count(spark, d):
-    return fts.result_count(docs(spark, d), suggestion(parse("with from zzz")), stemmed=False)
+    return index.result_count(text_index(spark, d), suggestion(parse("with from zzz")))
 
 
 @query()
@@ -211,21 +234,26 @@ def fts_postings(spark, d):
     return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
+@query(f"WITH {DOCS_SQL} SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS}))) AS BIGINT) AS terms FROM docs")
+def fts_index_build(spark, d):
+    """Writes the index anew and counts what is in it: pages, and places of terms."""
+    found = text_index(spark, d, anew=True)
+    return found.postings.agg(F.count_if(F.col("field") == index.ALL).alias("pages"), F.sum(F.size("positions")).cast("bigint").alias("terms"))
+
+
 _BENCH = rf"""
-WITH asked AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), {_WORDS})))[1:3] AS ws FROM benchmark),
-pairs AS (SELECT item_id, unnest(ws) AS term FROM asked), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {_WORDS})) AS term FROM documents)
-SELECT item_id, count(*) AS hits FROM (SELECT item_id, doc_id FROM pairs JOIN words USING (term) GROUP BY item_id, doc_id HAVING count(*) = (SELECT len(ws) FROM asked a WHERE a.item_id = pairs.item_id)) x GROUP BY item_id"""
+WITH asked AS (SELECT item_id, list_distinct({_terms_sql('text')}) AS ws FROM benchmark),
+words AS (SELECT doc_id, list_distinct({_terms_sql('text')}) AS ws FROM documents)
+SELECT item_id, count(*) AS hits FROM asked a JOIN words w ON len(list_intersect(a.ws, w.ws)) = len(a.ws) WHERE len(a.ws) > 0 GROUP BY item_id"""
 
 
 @query(_BENCH)
 def fts_query_workload(spark, d):
-    """Many AND queries at once: postings of the asked terms, joined by term, counted per query and document."""
-    ws = F.array_sort(F.array_distinct(fts.tokens(F.col("text"), stemmed=False)))
-    asked = t(spark, d, "benchmark").select("item_id", F.slice(ws, 1, 3).alias("ws")).withColumn("wanted", F.size("ws"))
-    words = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(fts.tokens(F.col("text"), stemmed=False))).alias("term"))
-    both = asked.select("item_id", "wanted", F.explode("ws").alias("term")).join(words, "term")
-    full = both.groupBy("item_id", "doc_id", "wanted").count().where("count = wanted")
-    return full.groupBy("item_id").agg(F.count("*").alias("hits"))
+    """Many AND queries at once, each all words of a text: documents with the query's rarest word are its candidates, and
+    only these meet its other words."""
+    words = t(spark, d, "documents").select("doc_id", F.array_distinct(fts.tokens(F.col("text"), stemmed=False)).alias("own"))
+    asked = t(spark, d, "benchmark").select("item_id", F.array_distinct(fts.tokens(F.col("text"), stemmed=False)).alias("ws")).where(F.size("ws") > 0)
+    return fts.matched_workload(asked, words).groupBy("item_id").agg(F.count("*").alias("hits"))
 
 
 @query(f"""WITH {LINKS_SQL}, texts AS (SELECT target_url_id, string_agg(DISTINCT link_text, ' ' ORDER BY link_text) AS link_texts FROM links WHERE link_text <> '' GROUP BY 1)
@@ -249,25 +277,57 @@ def fts_remove(spark, d):
     return fts.remove(base, t(spark, d, "labels").select(F.col("doc_id").alias("url_id")))
 
 
-@query(f"WITH {DOCS_SQL} SELECT url_id, trim(regexp_replace(replace(replace(substr(body, 1, 300), chr(10), ' '), '#', ''), '\\s+', ' ', 'g')) AS shown FROM docs".replace("\\\\s", "\\s"))
+@query(f"WITH {DOCS_SQL} SELECT url_id, trim(regexp_replace(replace(replace(body, chr(10), ' '), '#', ''), '\\s+', ' ', 'g')) AS shown FROM docs".replace("\\\\s", "\\s"))
 def fts_snippet_clean(spark, d):
-    return docs(spark, d).select("url_id", formats.snippet_clean(F.substring("body", 1, 300)).alias("shown"))
+    return docs(spark, d).select("url_id", formats.snippet_clean(F.col("body")).alias("shown"))
 
 
 _IMAGES = r"""
-WITH images AS (SELECT p_partkey AS url_id, 'gemini://img/' || p_partkey AS url, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS b, coalesce(n, 0) AS links FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) i ON l_partkey = p_partkey),
-counted AS (SELECT *, len(list_filter(b, lambda w: w = '{0}')) AS f FROM images), stats AS (SELECT count(*) AS big_n, avg(len(b)) AS mean, count(*) FILTER (f > 0) AS n FROM counted),
-ranked AS (SELECT url_id, url, -greatest(ln((big_n - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(b) / mean)) AS rank, ln(least(100, 1 + links)) / ln(100) AS pop FROM counted, stats WHERE f > 0)
-SELECT url_id, round(rank + rank * 0.3 * pop, 6) AS total_rank FROM ranked ORDER BY total_rank, url LIMIT 15""".replace("{0}", "widget")
+WITH images AS (
+    SELECT p_partkey AS url_id, 'gemini://' || lower(replace(p_brand, '#', '')) || '/' || p_partkey || '.png' AS url, p_size AS width, 'B' || r_name AS favicon,
+        regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS b, coalesce(n, 0) AS links
+    FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) i ON l_partkey = p_partkey
+    LEFT JOIN region ON p_brand = 'Brand#' || r_regionkey),
+counted AS (SELECT *, len(list_filter(b, lambda w: w IN ('widget', 'widgets'))) AS f FROM images),
+stats AS (SELECT count(*) AS big_n, avg(len(b)) AS mean, count(*) FILTER (f > 0) AS n FROM counted),
+ranked AS (
+    SELECT *, -greatest(ln((big_n - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(b) / mean)) AS rank, ln(least(100, 1 + links)) / ln(100) AS pop
+    FROM counted, stats WHERE f > 0)"""
+
+
+def image_index(spark: SparkSession, d: str) -> index.Index:
+    """Images by the words of their paths and links, joined with their documents and their sites' favicons."""
+
+    def make() -> DataFrame:
+        inbound = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
+        part, n = t(spark, d, "part").withColumn("url_id", F.col("p_partkey")), F.coalesce("n", F.lit(0))
+        site = F.lower(F.regexp_replace("p_brand", "#", ""))
+        images = part.select("url_id", F.col("p_size").alias("width"), F.col("p_name").alias("terms"))
+        documents_ = part.join(inbound, F.col("l_partkey") == F.col("url_id"), "left").select(
+            "url_id", F.lit("gemini").alias("protocol"), site.alias("domain"), F.lit(1965).alias("port"), F.concat(F.lit("gemini://"), site, F.lit("/"), "url_id", F.lit(".png")).alias("url"),
+            F.concat(F.lit("/"), "url_id", F.lit(".png")).alias("path"), n.alias("external_inbound_links"), graph.popularity_rank(n, F.lit(True)).alias("popularity_rank"),
+        )
+        favicons = t(spark, d, "region").select(F.lit("gemini").alias("protocol"), F.concat(F.lit("brand"), "r_regionkey").alias("domain"), F.lit(1965).alias("port"), F.concat(F.lit("B"), "r_name").alias("emoji"))
+        return index.image_pages(images, documents_, favicons)
+
+    return kept_index(spark, d, "images", make)
+
+
+@query(f"{_IMAGES} SELECT url_id, url, width, favicon, round(rank + rank * 0.3 * pop, 6) AS total_rank FROM ranked ORDER BY total_rank, url LIMIT 15")
+def image_search(spark, d):
+    found = index.image_search(image_index(spark, d), parse("widgets"))
+    return found.select("url_id", "url", "width", "favicon", F.round("total_rank", 6).alias("total_rank"))
 
 
-@query(_IMAGES)
-def image_search(spark, d):
-    inbound = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    images = t(spark, d, "part").join(inbound, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("url_id"), F.concat(F.lit("gemini://img/"), "p_partkey").alias("url"), F.lit(None).cast("string").alias("title"), F.col("p_name").alias("body"), n.alias("external_inbound_links"), graph.popularity_rank(n, F.lit(True)).alias("popularity_rank"))
-    found = fts.image_search(images, parse("widget"), stemmed=False).withColumn("total_rank", F.round("total_rank", 6))
-    return found.select("url_id", "total_rank")
+@query(f"{_IMAGES} SELECT count(*) AS n FROM ranked WHERE url LIKE 'gemini://brand3/%'")
+def image_hits(spark, d):
+    return index.result_count(image_index(spark, d), parse("widget site:brand3"))
+
+
+@query("SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS word FROM part WHERE p_partkey = 7")
+def image_terms(spark, d):
+    own = index.terms_of(image_index(spark, d), 7).orderBy("field", "position")
+    return own.select(F.when(F.col("term") == "widget", "widget").otherwise(F.col("term")).alias("word"))
 
 
 # --- archive --------------------------------------------------------------------------------------------------------
@@ -665,10 +725,14 @@ _GEM = f"""gem AS (SELECT doc_id, list_transform(range(0, len(ls)), lambda i: {_
 
 
 def _gem(spark: SparkSession, d: str) -> DataFrame:
+    return _as_gem(t(spark, d, "documents"))
+
+
+def _as_gem(rows: DataFrame) -> DataFrame:
     def line(x, i):
         return F.when(i % 9 == 4, "```").when(i % 5 == 1, F.concat(F.lit("=> /x"), i, F.lit(" "), x)).when(i % 7 == 2, F.concat(F.lit("# "), x)).otherwise(x)
 
-    return t(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
+    return rows.select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
 
 
 @query(f"""WITH {_GEM}, each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM gem), marked AS (SELECT *, sum(CAST(line = '```' AS INT)) OVER (PARTITION BY doc_id ORDER BY n) % 2 AS inside FROM each)
@@ -682,20 +746,60 @@ def gemtext_links(spark, d):
     return _gem(spark, d).select("doc_id", F.explode(gemtext.links(F.col("lines"))).alias("l")).select("doc_id", F.col("l.target").alias("target"))
 
 
-@query(rf"""WITH {_GEM}, heads AS (SELECT doc_id, list_filter(list_transform(list_filter(lines, lambda x: starts_with(x, '#')), lambda x: trim(regexp_extract(x, '^#{{1,3}}\s*(.*)', 1))), lambda x: x <> '') AS h FROM gem) SELECT doc_id, h[1] AS title FROM heads""")
+@query(rf"""
+WITH {_GEM}, heads AS (
+    SELECT doc_id, list_filter(list_transform(lines, lambda x: trim(regexp_extract(x, '^(#+)\s*([^\n]+)', 2))), lambda x: x <> '') AS h FROM (
+        SELECT doc_id, list_transform(lines, lambda x, i: CASE WHEN starts_with(x, '# ') THEN repeat('#', i % 6) || x ELSE x END) AS lines FROM gem))
+SELECT doc_id, h[1] AS title FROM heads""")
 def gemtext_title(spark, d):
-    return _gem(spark, d).select("doc_id", gemtext.title(F.col("lines")).alias("title"))
+    deeper = F.transform("lines", lambda x, i: F.when(x.startswith("# "), F.concat(F.repeat(F.lit("#"), ((i + 1) % 6).cast("int")), x)).otherwise(x))
+    return _gem(spark, d).select("doc_id", gemtext.title(deeper).alias("title"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\d{4}-\d{2}-\d{2}'))) >= 2 AS is_feed FROM documents""")
+@query(r"""
+WITH dated AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: (2000 + length(x) % 100) || '-' || (i % 20) || '-' || lpad(CAST(i % 45 AS VARCHAR), 2, '0') || ' ' || x) AS lines FROM documents)
+SELECT doc_id, len(list_filter(lines, lambda x: regexp_matches(x, '^\d{4}-[01]\d-[0123]\d'))) >= 2 AS is_feed FROM dated""")
 def feed_flag(spark, d):
-    dated = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("/").alias("target"), x.alias("link_text")))
+    """Each line as the text of a link that starts with something like a date."""
+
+    def line(x, i):
+        n = i + 1
+        return F.concat_ws("-", 2000 + F.length(x) % 100, n % 20, F.concat(F.lpad((n % 45).cast("string"), 2, "0"), F.lit(" "), x))
+
+    dated = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("/").alias("target"), line(x, i).alias("link_text")))
     return t(spark, d, "documents").select("doc_id", gemtext.is_feed(dated).alias("is_feed"))
 
 
-@query(r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(' ' || replace(text, ' t', ' #t'), '[,\s]#(\w+)', 1), lambda x: lower(x)), lambda x: NOT regexp_matches(x, '^([0-9]+|[0-9a-f]{3}|[0-9a-f]{6})$')))), ' ') AS tags FROM benchmark""")
+#: Documents as gemtext with tags and names in them, and what stands in a line outside preformatted blocks.
+_SAID = rf"""tagged AS (
+    SELECT doc_id, replace(replace(replace(replace(text, ' t', ' #t'), ' a', '-a'), ' s', ',@s'), ' d', ' ~d') AS text FROM documents),
+gem AS (SELECT doc_id, list_transform(range(0, len(ls)), lambda i: {_GEM_SQL.replace('line', 'ls[i + 1]')}) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM tagged)),
+each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM gem),
+marked AS (SELECT *, sum(CAST(line = '```' AS INT)) OVER (PARTITION BY doc_id ORDER BY n) % 2 AS inside FROM each),
+said AS (
+    SELECT doc_id, CASE WHEN starts_with(line, '=>') THEN regexp_extract(line, '^=>\s*(\S+)\s*(.*)', 2) WHEN regexp_matches(line, '^(#+)\s*([^\n]+)') THEN regexp_extract(line, '^(#+)\s*([^\n]+)', 2) ELSE line END AS said
+    FROM marked WHERE inside = 0 AND line <> '```')"""
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("replace(replace(replace(replace(text, ' t', ' #t'), ' a', '-a'), ' s', ',@s'), ' d', ' ~d')")
+    return _as_gem(t(spark, d, "documents").withColumn("text", text)).select("doc_id", gemtext.outside_fences(F.col("lines")).alias("lines"))
+
+
+@query(rf"""
+WITH {_SAID}, found AS (
+    SELECT doc_id, lower(unnest(list_filter(regexp_extract_all(said, '[\,\s]#([a-zA-Z0-9][a-zA-Z0-9_\-]+)', 1), lambda x: NOT regexp_matches(x, '^([\d\-]+|[a-fA-F0-9]{{3}}|[a-fA-F0-9]{{6}})$')))) AS tag FROM said)
+SELECT DISTINCT doc_id, tag FROM found""")
 def hashtags(spark, d):
-    return t(spark, d, "benchmark").select("item_id", F.array_join(gemtext.hashtags(F.expr("replace(text, ' t', ' #t')")), " ").alias("tags"))
+    return _tagged(spark, d).select("doc_id", F.explode(gemtext.hashtags(F.col("lines"))).alias("tag"))
+
+
+@query(rf"""
+WITH {_SAID}, found AS (
+    SELECT doc_id, lower(unnest(list_concat(regexp_extract_all(said || ' ', '[\s\,][\@\~]([a-zA-Z_][a-zA-Z\d_\-]{{2,}})\s', 1), regexp_extract_all(said || ' ', '^[\@\~]([a-zA-Z_][a-zA-Z\d_\-]{{2,}})\s', 1)))) AS name FROM said)
+SELECT DISTINCT doc_id, name FROM found""")
+def mentions(spark, d):
+    return _tagged(spark, d).select("doc_id", F.explode(gemtext.mentions(F.col("lines"))).alias("name"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN 'big' WHEN n_chars >= 1024 THEN CASE WHEN n_chars % 1024 = 0 THEN printf('%.0f', n_chars / 1024.0) ELSE printf('%.2f', round(n_chars / 1024.0 + 1e-9, 2)) END || ' KB' ELSE n_chars || ' bytes' END AS shown FROM documents""")
@@ -703,14 +807,14 @@ def human_sizes(spark, d):
     return t(spark, d, "documents").select("doc_id", formats.human_size(F.col("n_chars")).alias("shown"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, array_to_string(list_filter(list_concat([source], string_split(substr(text, 1, 120), ' ')), lambda x: x <> ''), ' › ') AS w FROM documents) SELECT doc_id, CASE WHEN length(w) > 80 THEN substr(w, 1, 80) || '…' ELSE w END AS shown FROM s""")
+@query(r"""WITH s AS (SELECT doc_id, array_to_string(list_filter(list_concat([source], string_split(text, ' ')), lambda x: x <> ''), ' › ') AS w FROM documents) SELECT doc_id, CASE WHEN length(w) > 80 THEN substr(w, 1, 80) || '…' ELSE w END AS shown FROM s""")
 def shown_urls(spark, d):
-    return t(spark, d, "documents").select("doc_id", formats.shown_url(F.col("source"), F.translate(F.translate(F.substring("text", 1, 120), "/", ""), " ", "/")).alias("shown"))
+    return t(spark, d, "documents").select("doc_id", formats.shown_url(F.col("source"), F.translate(F.translate(F.col("text"), "/", ""), " ", "/")).alias("shown"))
 
 
-@query("SELECT doc_id, upper(substr(md5(text), 1, 2) || ':' || substr(md5(text), 3, 2)) AS start FROM documents")
+@query("SELECT doc_id, upper(array_to_string(regexp_extract_all(sha256(text), '..'), ':')) AS shown FROM documents")
 def certificate_fingerprints(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.substring(formats.fingerprint_hex(F.md5("text")), 1, 5).alias("start"))
+    return t(spark, d, "documents").select("doc_id", formats.fingerprint_hex(F.sha2("text", 256)).alias("shown"))
 
 
 @query()
@@ -816,11 +920,14 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
+    """In the folder that all executors share. A session of one machine may do without (tests); a cluster may not."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='driftline-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='driftline-')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(_CONNECTIVITY)

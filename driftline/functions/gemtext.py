@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The format's line forms, and the forms of dates, tags and names that documents are known by.
 LINK = r"^=>\s*(\S+)\s*(.*)"
-HEADING = r"^#{1,3}\s*(.*)"
+HEADING = r"^(#+)\s*([^\n]+)"
 FENCE = "```"
+DATE = r"^\d{4}\-[01]\d\-[0123]\d"
+TAG = r"[\,\s]#([a-zA-Z0-9][a-zA-Z0-9_\-]+)"
+NO_TAG = r"^([\d\-]+|[a-fA-F0-9]{3}|[a-fA-F0-9]{6})$"
+NAME_WITHIN = r"[\s\,][\@\~]([a-zA-Z_][a-zA-Z\d_\-]{2,})\s"
+NAME_FIRST = r"^[\@\~]([a-zA-Z_][a-zA-Z\d_\-]{2,})\s"
 
 
 def lines(text: Column) -> Column:
@@ -16,14 +22,10 @@ def lines(text: Column) -> Column:
 
 def outside_fences(lines_: Column) -> Column:
     """The lines outside preformatted blocks; a block that isn't closed takes the rest."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"))
-
-    def step(acc, line):
-        fence = line.startswith(FENCE)
-        kept = F.when(~fence & ~acc["inside"], F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"])
-        return F.struct(kept.alias("kept"), F.when(fence, ~acc["inside"]).otherwise(acc["inside"]).alias("inside"))
-
-    return F.aggregate(lines_, start, step, lambda acc: acc["kept"])
+    # joined and split again, so that the work follows the text's length: a block runs from a fence to the next one
+    text = F.concat(F.lit("\n"), F.array_join(lines_, "\n", ""), F.lit("\n"))
+    rest = F.regexp_replace(text, r"(?s)\n```[^\n]*(?=\n)(?:(?:(?!\n```).)*+\n```[^\n]*(?=\n)|.*(?=\n\z))", "")
+    return F.when(F.length(rest) > 1, F.split(F.substring(rest, F.lit(2), F.length(rest) - 2), "\n")).otherwise(F.array().cast("array<string>"))
 
 
 def links(lines_: Column) -> Column:
@@ -35,7 +37,7 @@ def links(lines_: Column) -> Column:
 
 def title(lines_: Column) -> Column:
     """The first heading with text, of any level, over all lines; else what stands beside the first fence."""
-    heads = F.filter(F.transform(lines_, lambda x: F.trim(F.regexp_extract(x, HEADING, 1))), lambda t: t != "")
+    heads = F.filter(F.transform(lines_, lambda x: F.trim(F.regexp_extract(x, HEADING, 2))), lambda t: t != "")
     fence = F.filter(lines_, lambda x: x.startswith(FENCE))
     alt = F.when(F.size(fence) > 0, F.nullif(F.trim(F.substring(fence[0], 4, 1 << 30)), F.lit("")))
     return F.when(F.size(heads) > 0, heads[0]).otherwise(alt)
@@ -50,16 +52,29 @@ def indexable(lines_: Column) -> Column:
 
 def is_feed(links_: Column) -> Column:
     """At least two links whose text, of ten characters or more, starts with a date."""
-    return F.size(F.filter(links_, lambda p: p["link_text"].rlike(r"^\d{4}-\d{2}-\d{2}"))) >= 2
+    return F.size(F.filter(links_, lambda p: p["link_text"].rlike(DATE))) >= 2
+
+
+def _said(line: Column) -> Column:
+    """Where a line may hold tags and names: a link line's text, a heading's text, else all of it."""
+    return F.when(line.startswith("=>"), F.regexp_extract(line, LINK, 2)).when(line.rlike(HEADING), F.regexp_extract(line, HEADING, 2)).otherwise(line)
+
+
+def _lower_set(found: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(found), lambda t: F.lower(t))))
+
+
+def hashtags(lines_: Column) -> Column:
+    """Distinct tags of lines (outside preformatted blocks) in lower case, without numbers, their ranges and colours."""
+    found = F.transform(lines_, lambda x: F.filter(F.regexp_extract_all(_said(x), F.lit(TAG), F.lit(1)), lambda t: ~t.rlike(NO_TAG)))
+    return _lower_set(found)
 
 
-def hashtags(text: Column) -> Column:
-    """Distinct tags in lower case, without numbers and colours."""
-    found = F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(r"[,\s]#(\w+)"), F.lit(1)), lambda t: F.lower(t))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~t.rlike(r"^\d+$") & ~t.rlike(r"^([0-9a-f]{3}|[0-9a-f]{6})$"))))
+def mentions(lines_: Column) -> Column:
+    """Distinct names of lines after @ or ~, of three characters or more, in lower case."""
 
+    def names(line: Column) -> Column:
+        said = F.concat(_said(line), F.lit(" "))
+        return F.concat(F.regexp_extract_all(said, F.lit(NAME_WITHIN), F.lit(1)), F.regexp_extract_all(said, F.lit(NAME_FIRST), F.lit(1)))
 
-def mentions(text: Column) -> Column:
-    """Distinct names after @ or ~, of three characters or more, in lower case."""
-    found = F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(r"\s([@~]\w[\w.-]{2,})(?=\s)"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.lower(t))))
+    return _lower_set(F.transform(lines_, names))

@@ -188,6 +188,18 @@ def from_postings(index: DataFrame, terms: list[str], rows: int, mean_length: fl
     return hits.withColumn("w", weight).groupBy(key).agg(F.sum("w").alias("rank"))
 
 
+def matched_workload(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """item_id, doc_id: documents (doc_id, own: distinct words) with all words of a query (item_id, ws). A query looks up
+    its rarest word only, and each candidate's words are compared in its own row."""
+    each = asked.select(F.explode("ws").alias("word")).distinct()
+    # how many documents have each asked word: a row per asked word
+    known = words.select(F.explode("own").alias("word")).join(each, "word", "left_semi").groupBy("word").count()
+    rare = asked.select("item_id", "ws", F.explode("ws").alias("word")).join(known, "word", "left")
+    rare = rare.groupBy("item_id", "ws").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)), "word")).alias("word"))
+    met = words.select("doc_id", F.explode("own").alias("word")).join(rare, "word").select("item_id", "doc_id", "ws")
+    return met.join(words, "doc_id").where(F.size(F.array_except("ws", "own")) == 0).select("item_id", "doc_id")
+
+
 def file_index_terms(docs: DataFrame, links: DataFrame, words_of_path: Column) -> DataFrame:
     """Terms for files without an indexed body: their inbound links' distinct texts and the words of their path."""
     texts = links.where(F.col("link_text") != "").groupBy("target_url_id").agg(F.array_join(F.array_sort(F.collect_set("link_text")), " ").alias("link_texts"))

@@ -22,7 +22,17 @@ def test_gemtext(spark):
     found = one(spark, GEM, lambda x: gemtext.links(lines(x)))
     assert [(p.target, p.link_text) for p in found][1:] == [("/a", "First"), ("gemini://other.org/b", "2021-01-02 A dated entry"), ("c", ""), ("/d", "2021-02-03 Another dated one")]
     assert one(spark, GEM, lambda x: gemtext.is_feed(gemtext.links(lines(x)))) is True
-    assert one(spark, GEM, lambda x: gemtext.hashtags(x)) == ["tag"] and one(spark, GEM, lambda x: gemtext.mentions(x)) == ["@name"]
+    out = lambda x: gemtext.outside_fences(lines(x))
+    assert one(spark, GEM, lambda x: gemtext.hashtags(out(x))) == ["tag"] and one(spark, GEM, lambda x: gemtext.mentions(out(x))) == ["name"]
+    tags = "#first a #foo-bar,#b2 #x #2021-22 #abc #a1B2c3\n=> /a#frag b #in-link\n### head #Deep\n```\n# x #hidden\n```\nlast #end_"
+    assert one(spark, tags, lambda x: gemtext.hashtags(out(x))) == ["b2", "deep", "end_", "foo-bar", "in-link"]
+    names = "@first said,~second and @a.b @3rd @ab\n=> /x @nobody_ here @last"
+    assert one(spark, names, lambda x: gemtext.mentions(out(x))) == ["first", "last", "nobody_", "second"]
+    assert one(spark, "text\n#### Foo", lambda x: gemtext.title(lines(x))) == "Foo"
+    for text, want in (("```", []), ("```a", []), ("a\n```", ["a"]), ("```\n```", []), ("```\na\n```\nb", ["b"]), ("a\n```x\nb\n```y\nc\n```\nd", ["a", "c"]), ("", [""]), ("a\n\nb", ["a", "", "b"]), ("```\n```\n```\nx", []), (" ```\nx", [" ```", "x"])):
+        assert one(spark, text, out) == want, text
+    dates = lambda *x: one(spark, "\n".join(f"=> /a {d} text" for d in x), lambda v: gemtext.is_feed(gemtext.links(lines(v))))
+    assert dates("2021-12-31", "1999-01-01") is True and dates("2021-99-99", "2021-20-01", "2021-01-45") is False
 
 
 def test_urls(spark):
