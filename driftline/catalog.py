@@ -904,13 +904,6 @@ def stemmed_terms(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.array_join(stems("text"), " ").alias("terms"))
 
 
-@query()
-def absolute_links(spark, d):
-    from driftline.functions.parsers import absolute
-
-    return link_extract(spark, d).join(t(spark, d, "pages").select("page_id", "url"), "page_id").select("page_id", absolute("url", "target").alias("target"))
-
-
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
@@ -946,11 +939,6 @@ def stream_captures(spark, d):
     return state.replay(state.captures(rows), _folder(spark, "captures"))
 
 
-@query()
-def stream_documents(spark, d):
-    return _latest_state(spark, d)
-
-
 def _latest_state(spark: SparkSession, d: str) -> DataFrame:
     """The last state of each URL after the stream has run through; equals doc_latest_upsert."""
     folder = _folder(spark, "documents")
@@ -964,3 +952,6 @@ def _latest_state(spark: SparkSession, d: str) -> DataFrame:
     names = [f.name for f in rows.schema.fields if f.name != "url_id"]
     all_ = spark.read.parquet(f"{folder}/rows")
     return all_.groupBy("url_id").agg(F.max_by(F.struct(*names), "epoch").alias("s")).select("url_id", "s.*")
+
+
+from driftline import catalog_intake  # noqa: E402, F401  more queries, which use what stands above

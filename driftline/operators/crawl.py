@@ -25,7 +25,7 @@ def stored(responses: DataFrame, most: int = MOST_STORED) -> DataFrame:
 def next_entries(frontier: DataFrame, per_site: int = 1, most: int = MOST_URLS) -> DataFrame:
     """Each site's entries of least priority, as many as are asked for at a time."""
     n = F.row_number().over(Window.partitionBy("authority").orderBy("priority", "seq"))
-    return frontier.withColumn("_n", n).where(F.col("_n") <= per_site).drop("_n").limit(most)
+    return frontier.withColumn("_n", n).where(F.col("_n") <= per_site).orderBy("priority", "seq").drop("_n").limit(most)
 
 
 def by_worker(entries: DataFrame, workers: int) -> DataFrame:
@@ -55,7 +55,10 @@ def fixpoint(start: DataFrame, step, key: str) -> DataFrame:
     It ends when a round finds no new key, however many rounds that takes. Rounds are Parquet in the checkpoint folder
     (or a local one, where none is set), so plans stay as small as a round's."""
     spark = start.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='driftline-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='driftline-')}"
     folder = f"{base}/fixpoint-{uuid.uuid4().hex}"
 
     def written(rows: DataFrame, n: int) -> DataFrame:

@@ -62,7 +62,9 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 def object_key(id_: Column) -> Column:
     """Where a stored body lies: two levels of two digits of the id's MD5, then the whole."""
-    digest = F.md5(F.reverse(F.unhex(F.lpad(F.hex(id_), 16, "0"))))
+    # the id's bytes, the lowest first
+    pairs = F.regexp_extract_all(F.lpad(F.hex(id_), 16, "0"), F.lit(".."), F.lit(0))
+    digest = F.md5(F.unhex(F.array_join(F.reverse(pairs), "")))
     return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
 
 

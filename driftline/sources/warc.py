@@ -1,7 +1,8 @@
-"""WARC archives: records of files that Spark can read, responses of records, and a writer.
+"""WARC archives: records of files, responses of records, and a writer.
 
-A file is read by Spark (any store it knows), and parsed record by record in an Arrow-batched generator. A damaged
-end of a file ends that file; what came before is kept.
+``read`` streams files of stores that Arrow reads (a task per file, a record at a time, whatever the file's size);
+``read_whole`` takes any store that Spark reads, a file at a time as one row. Both inflate and parse piece by piece. A
+damaged end of a file ends that file; what came before is kept.
 """
 
 from __future__ import annotations
@@ -9,48 +10,77 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RECORD_SCHEMA = "file string, record_no bigint, record_type string, url string, record_date timestamp, content_type string, truncated string, headers map<string,string>, block binary"
 _ROWS = 200
 
 
-def _inflated(raw: bytes) -> bytes:
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        try:
-            out.append(d.decompress(raw) + d.flush())
-        except zlib.error:
-            break
-        raw = d.unused_data
-    return b"".join(out)
-
-
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each whole record."""
-    raw, at = _inflated(raw), 0
-    while True:
-        while raw[at : at + 2] == b"\r\n":
-            at += 2
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0 or not raw.startswith(b"WARC/", at):
+#: Bytes read at a time, and the longest header.
+_PIECE, _HEAD = 1 << 20, 1 << 20
+
+
+def _inflated(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """What the members of a gzip file hold, one after the other; other files as they are."""
+    d, start = None, b""
+    for piece in pieces:
+        if start is not None:
+            start += piece
+            if len(start) < 2:
+                continue
+            piece, start = start, None
+            d = zlib.decompressobj(31) if piece[:2] == b"\x1f\x8b" else None
+        while d is not None and piece:
+            try:
+                yield d.decompress(piece)
+            except zlib.error:
+                return
+            piece = d.unused_data if d.eof else b""
+            if d.eof:
+                d = zlib.decompressobj(31)
+        if d is None:
+            yield piece
+    if start:
+        yield start
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each whole record of a file's bytes."""
+    more, buffer = iter(_inflated(pieces)), bytearray()
+
+    def filled(size: int) -> bool:
+        while len(buffer) < size:
+            piece = next(more, None)
+            if piece is None:
+                return False
+            buffer.extend(piece)
+        return True
+
+    while filled(2):
+        if buffer[:2] == b"\r\n":
+            del buffer[:2]
+            continue
+        seen = 0
+        while (end := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0 and len(buffer) < _HEAD:
+            seen = len(buffer)
+            if not filled(seen + 1):
+                return
+        if end < 0 or not buffer.startswith(b"WARC/"):
             return
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = headers.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(raw):
+        if not size.isdigit() or not filled(end + 4 + int(size)):
             return
-        yield headers, raw[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
+        yield headers, bytes(buffer[end + 4 : end + 4 + int(size)])
+        del buffer[: end + 4 + int(size)]
 
 
 def _date(text: str | None) -> datetime | None:
@@ -60,26 +90,61 @@ def _date(text: str | None) -> datetime | None:
         return None
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record; see RECORD_SCHEMA."""
+_NAMES = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+
+
+def _rows(file: str, pieces: Iterable[bytes]) -> Iterator[tuple]:
+    for n, (h, block) in enumerate(records(pieces)):
+        url = h.get("warc-target-uri", "").strip("<>") or None
+        yield file, n, h.get("warc-type"), url, _date(h.get("warc-date")), h.get("content-type"), h.get("warc-truncated"), h, block
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record; see RECORD_SCHEMA. A file is a row first, so it has to fit in memory (2 GB at most)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                for n, (h, block) in enumerate(records(bytes(content))):
-                    url = h.get("warc-target-uri", "").strip("<>") or None
-                    rows.append((file, n, h.get("warc-type"), url, _date(h.get("warc-date")), h.get("content-type"), h.get("warc-truncated"), h, block))
-                    if len(rows) == _ROWS:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                rows = _rows(file, [bytes(content)])
+                while own := list(islice(rows, _ROWS)):
+                    yield pd.DataFrame(own, columns=_NAMES)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORD_SCHEMA)
 
 
+class _File(InputPartition):
+    def __init__(self, file: str):
+        self.file = file
+
+
+class _Reader(DataSourceReader):
+    """A task per file, which holds a piece of it and a record at a time."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.path)
+        found = store.get_file_info(base)
+        files = [found] if found.is_file else store.get_file_info(fs.FileSelector(base, recursive=True))
+        return [_File(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
+
+    def read(self, partition):
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(self.path)
+        with store.open_input_stream(partition.file, compression=None) as stream:
+            yield from _rows(partition.file, iter(lambda: stream.read(_PIECE), b""))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record; see RECORD_SCHEMA. ``path`` is the URI of a file or folder."""
+    register(spark)
+    return spark.read.format("warc").option("path", path).load()
+
+
 def responses(records_: DataFrame) -> DataFrame:
     """Captures of gemini response records: status and meta from the header line, the rest is the body."""
     block = F.col("block")
@@ -112,14 +177,41 @@ def first_records(records_: DataFrame, n: int) -> DataFrame:
     return records_.orderBy("file", "record_no").limit(n)
 
 
-def record(kind: str, url: str | None, date: datetime, content_type: str, block: bytes, **more: str) -> bytes:
-    headers = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {url} {date}')}>", "WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}"}
+def record_id(kind: str, url: str | None, date: datetime) -> str:
+    """The same for the same capture, so that a task that runs again writes the same file."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {url} {date}')}>"
+
+
+def record(kind: str, url: str | None, date: datetime, content_type: str, block: bytes, **more: str | None) -> bytes:
+    headers = {"WARC-Type": kind, "WARC-Record-ID": record_id(kind, url, date), "WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}"}
     if url:
         headers["WARC-Target-URI"] = url
     headers |= {k.replace("_", "-"): v for k, v in more.items() if v} | {"Content-Type": content_type, "Content-Length": str(len(block))}
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in headers.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
+_NEEDED = ("url", "received", "status_code", "meta", "body", "is_body_truncated")
+#: Columns that a capture may have besides those it must have.
+_OPTIONAL = ("remote_address", "tls_protocol", "tls_cipher", "certificate_pem", "mime_type")
+
+
+def capture(r: dict, certificates: set[str]) -> bytes:
+    """The records of a capture: request, response, and the site's certificate where it's the first of the file."""
+    url, date = r["url"], r["received"]
+    more = {"WARC_IP_Address": r.get("remote_address"), "WARC_Protocol": r.get("tls_protocol"), "WARC_Cipher_Suite": r.get("tls_cipher")}
+    body = bytes(r["body"] or b"")
+    out = record("request", url, date, "application/gemini; msgtype=request", f"{url}\r\n".encode(), **more)
+    more |= {"WARC_Concurrent_To": record_id("request", url, date), "WARC_Identified_Payload_Type": r.get("mime_type"), "WARC_Truncated": "length" if r["is_body_truncated"] else None}
+    if body:
+        more["WARC_Payload_Digest"] = f"sha256:{hashlib.sha256(body).hexdigest()}"
+    out += record("response", url, date, "application/gemini; msgtype=response", f"{r['status_code']} {r['meta'] or ''}\r\n".encode() + body, **more)
+    site = "/".join(url.split("/")[:3])
+    if r.get("certificate_pem") and site not in certificates:
+        certificates.add(site)
+        out += record("metadata", url, date, "application/x-pem-file", r["certificate_pem"].encode(), WARC_Refers_To=record_id("response", url, date))
+    return out
+
+
 class _Writer(DataSourceWriter):
     """A file per task, under a name of its own until the job commits."""
 
@@ -135,11 +227,9 @@ class _Writer(DataSourceWriter):
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}"
         with store.open_output_stream(f"{base}/_{name}-{task.taskAttemptId()}") as out:
+            certificates: set[str] = set()
             for r in iterator:
-                request = f"{r['url']}\r\n".encode()
-                out.write(record("request", r["url"], r["received"], "application/gemini; msgtype=request", request))
-                block = f"{r['status_code']} {r['meta'] or ''}\r\n".encode() + bytes(r["body"] or b"")
-                out.write(record("response", r["url"], r["received"], "application/gemini; msgtype=response", block, WARC_Truncated="length" if r["is_body_truncated"] else ""))
+                out.write(capture({n: r[n] for n in (*_NEEDED, *_OPTIONAL) if n in r}, certificates))
         return _Done(f"_{name}-{task.taskAttemptId()}", f"{name}.warc")
 
     def commit(self, messages):
@@ -163,16 +253,23 @@ class _Done(WriterCommitMessage):
         self.temporary, self.final = temporary, final
 
 
-class WarcSink(DataSource):
-    """``df.write.format("warc").save(uri)`` for rows of url, received, status_code, meta, body, is_body_truncated."""
+class Warc(DataSource):
+    """``spark.read.format("warc")`` and ``df.write.format("warc").save(uri)``, the latter for rows of url, received,
+    status_code, meta, body, is_body_truncated and, if there are any, _OPTIONAL."""
 
     @classmethod
     def name(cls) -> str:
         return "warc"
 
+    def schema(self) -> str:
+        return RECORD_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(WarcSink)
+    spark.dataSource.register(Warc)

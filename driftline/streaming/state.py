@@ -89,6 +89,12 @@ def first_seen(urls: DataFrame) -> DataFrame:
     return urls.dropDuplicates(["url_id"])
 
 
+def robots_fetches(requests: DataFrame) -> DataFrame:
+    """For each site the first request of it (authority, seq): the one for which the robots file is fetched; what it says
+    is kept for all later ones. The state is a flag per site."""
+    return requests.select("authority", "seq").dropDuplicates(["authority"])
+
+
 def captures(responses: DataFrame, event_time: str = "captured") -> DataFrame:
     """Each (url_id, captured) once. No watermark, as old files are loaded after new ones too: the state keeps every key
     (in memory unless the session sets RocksDB as its state store)."""
@@ -125,4 +131,4 @@ def replay(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-__all__ = ["captures", "connectivity", "documents", "first_seen", "link_changes_per_batch", "politeness", "replay", "upsert_into"]
+__all__ = ["captures", "connectivity", "documents", "first_seen", "link_changes_per_batch", "politeness", "replay", "robots_fetches", "upsert_into"]

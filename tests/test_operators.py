@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import gzip
+
 import pytest
 from driftline.functions import parsers
 from driftline.operators import archive, documents, graph, reports, rules
@@ -88,19 +90,44 @@ def test_reports(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     warc.register(spark)
-    rows = [("gemini://h/a", T0, 20, "text/gemini; charset=utf-8; lang=en", bytearray(b"# hi\r\nbody"), False), ("gemini://h/b", T0, 51, "gone", None, False), ("gemini://h/c", T0, 20, "image/png", bytearray(b"\x00\xff"), True)]
-    df = spark.createDataFrame(rows, "url string, received timestamp, status_code int, meta string, body binary, is_body_truncated boolean")
+    rows = [
+        ("gemini://h/a", T0, 20, "text/gemini; charset=utf-8; lang=en", bytearray(b"# hi\r\nbody"), False, "PEM h", "1.2.3.4", "TLS", None), ("gemini://h/b", T0, 51, "gone", None, False, "PEM h", None, "TLS", None),
+        ("gemini://h/c", T0, 20, "image/png", bytearray(b"\x00\xff"), True, None, None, None, "image/png"), ("gemini://i/", T0, 49, "no", None, False, "PEM i", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "url string, received timestamp, status_code int, meta string, body binary, is_body_truncated boolean, certificate_pem string, remote_address string, tls_protocol string, mime_type string")
     df.coalesce(1).write.format("warc").mode("append").save(f"file://{tmp_path}/w")
     file = next((tmp_path / "w").glob("*.warc"))
     with file.open("ab") as f:
         f.write(b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut off")
-    records = warc.read(spark, f"file://{tmp_path}/w")
-    assert records.count() == 6
-    got = {r.url: r for r in warc.responses(records).collect()}
-    a = got["gemini://h/a"]
-    assert (a.status_code, a.mime_type, a.charset, a.language, bytes(a.body), a.is_body_truncated) == (20, "text/gemini", "utf-8", "en", b"# hi\r\nbody", False)
-    assert got["gemini://h/b"].mime_type is None and got["gemini://h/c"].is_body_truncated and bytes(got["gemini://h/c"].body) == b"\x00\xff"
-    assert warc.cleaned(records).count() == 6 and warc.first_records(records, 2).count() == 2
+    members = [gzip.compress(x) for x in file.read_bytes().split(b"WARC/1.1") if x]
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "a.warc.gz").write_bytes(b"".join(gzip.compress(b"WARC/1.1" + gzip.decompress(m)) for m in members) + b"\x1f\x8bbroken")
+    for records in (warc.read(spark, f"file://{tmp_path}/w"), warc.read_whole(spark, f"file://{tmp_path}/w"), warc.read(spark, f"file://{tmp_path}/z/a.warc.gz"), warc.read_whole(spark, f"file://{tmp_path}/z")):
+        assert [r.record_type for r in records.orderBy("record_no").collect()] == ["request", "response", "metadata", "request", "response", "request", "response", "request", "response", "metadata"]
+        got = {r.url: r for r in warc.responses(records).collect()}
+        a = got["gemini://h/a"]
+        assert (a.status_code, a.mime_type, a.charset, a.language, bytes(a.body), a.is_body_truncated) == (20, "text/gemini", "utf-8", "en", b"# hi\r\nbody", False)
+        assert got["gemini://h/b"].mime_type is None and got["gemini://h/c"].is_body_truncated and bytes(got["gemini://h/c"].body) == b"\x00\xff"
+        heads = {(r.record_type, r.url): r.headers for r in records.collect()}
+        answer, asked, sealed = (heads[k, "gemini://h/a"] for k in ("response", "request", "metadata"))
+        assert answer["warc-concurrent-to"] == asked["warc-record-id"] and sealed["warc-refers-to"] == answer["warc-record-id"]
+        assert answer["warc-ip-address"] == "1.2.3.4" and answer["warc-protocol"] == "TLS" and "warc-cipher-suite" not in answer and answer["warc-payload-digest"].startswith("sha256:")
+        assert heads["response", "gemini://h/c"]["warc-identified-payload-type"] == "image/png" and heads["response", "gemini://h/c"]["warc-truncated"] == "length"
+        # the certificate of a site that never answered goes, that of the other stays
+        assert sorted((r.record_type, r.url) for r in warc.cleaned(records).where("record_type = 'metadata'").collect()) == [("metadata", "gemini://h/a")]
+        assert warc.first_records(records, 2).count() == 2
+
+
+def test_warc_pieces():
+    """However a file's bytes are cut, the records are the same."""
+    whole = b"".join(warc.record("response", f"gemini://h/{n}", T0, "x/y", bytes([n]) * n * 7, note="v" * n) for n in range(40))
+    want = [(h["warc-target-uri"], b) for h, b in warc.records([whole])]
+    assert len(want) == 40
+    packed = b"".join(gzip.compress(whole[at : at + 500]) for at in range(0, len(whole), 500))
+    for data in (whole, packed):
+        for size in (1, 2, 3, 64, 1000, 1 << 20):
+            assert [(h["warc-target-uri"], b) for h, b in warc.records(data[i : i + size] for i in range(0, len(data), size))] == want
+    assert len(list(warc.records([packed[:-30]]))) == 39 and list(warc.records([])) == [] and list(warc.records([b"x"])) == []
 
 
 def test_text_sources(spark, tmp_path):
