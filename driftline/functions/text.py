@@ -7,10 +7,10 @@ import difflib
 import re
 import struct
 import unicodedata
-from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,30 +149,44 @@ RANKS = 400
 _LETTERS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+")
 
 
-def _ranks(text: str) -> dict[str, int]:
-    """The most frequent n-grams of 1 to 4 characters, words padded, by rank."""
-    grams: Counter[str] = Counter()
-    for w in _LETTERS.findall(unicodedata.normalize("NFC", text).lower()):
-        padded = f" {w} "
-        grams.update(padded[i : i + n] for n in range(1, 5) for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
-    return {g: r for r, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:RANKS])}
+def _ranked(text: str) -> np.ndarray:
+    """The most frequent n-grams of 1 to 4 characters, words padded, as numbers, most frequent first."""
+    said = f" {' '.join(_LETTERS.findall(unicodedata.normalize('NFC', text).lower()))} "
+    c = np.frombuffer(said.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    inner = c != 32
+    two = c[:-1] << np.uint64(21) | c[1:]
+    three = two[:-1] << np.uint64(21) | c[2:]
+    four = (three[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[3:]) | np.uint64(1 << 63)
+    # a space is at an n-gram's ends only
+    grams = np.concatenate([c[inner], two if inner.any() else two[:0], three[inner[1:-1]], four[inner[1:-2] & inner[2:-1]]])
+    found, count = np.unique(grams, return_counts=True)
+    return found[np.lexsort((found, -count))[:RANKS]]
 
 
 @lru_cache(maxsize=1)
-def _profiles() -> dict[str, dict[str, int]]:
-    return {lang: _ranks(sample) for lang, sample in LANGUAGE_SAMPLES.items()}
+def _profiles() -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages, all n-grams of their profiles ascending, and for each language their ranks (-1: not in it)."""
+    own = {lang: _ranked(sample) for lang, sample in sorted(LANGUAGE_SAMPLES.items())}
+    known = np.unique(np.concatenate(list(own.values())))
+    ranks = np.full((len(own), len(known)), -1)
+    for n, grams in enumerate(own.values()):
+        ranks[n, np.searchsorted(known, grams)] = np.arange(len(grams))
+    return list(own), known, ranks
 
 
 def language_of(text: str | None, least: int = 150, most: int = 4096) -> str | None:
     """The language of 14 whose n-gram ranks are nearest; None for short texts and those without a letter."""
     if not text or len(text) < least:
         return None
-    own = _ranks(text[:most])
-    if not own:
+    own = _ranked(text[:most])
+    if not len(own):
         return None
-    away = {lang: sum(abs(r - known[g]) if g in known else RANKS for g, r in own.items()) for lang, known in _profiles().items()}
-    best = min(away, key=lambda k: (away[k], k))
-    return best if away[best] < RANKS * len(own) else None
+    languages, known, ranks = _profiles()
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    mine = np.where(known[at] == own, ranks[:, at], -1)
+    away = np.where(mine >= 0, np.abs(mine - np.arange(len(own))), RANKS).sum(1)
+    best = int(away.argmin())
+    return languages[best] if away[best] < RANKS * len(own) else None
 
 
 @F.pandas_udf(T.StringType())

@@ -35,19 +35,21 @@ def dedup_flags(snapshots: DataFrame) -> DataFrame:
     """is_duplicate (an earlier one of the same URL and hash), is_global_duplicate (an earlier one of the same hash and
     another URL), first_seq (whose blob is reused).
 
-    Of a hash's earlier rows only two facts matter, so running aggregates do and no set is collected: the first URL,
-    and the first place where another one came in.
+    Of a hash's rows only three facts matter: the first URL, its place, and the first place where another one came in.
+    They come from aggregates, which are made per task before rows move, and are joined back; so a hash that a third of
+    all rows have (an empty body) is no window in one task, and its rows can be split over tasks in the join.
     """
-    by_hash = Window.partitionBy("data_hash").orderBy("seq")
-    by_url = Window.partitionBy("data_hash", "url_id").orderBy("seq")
-    df = snapshots.withColumn("_n", F.row_number().over(by_url)).withColumn("_first", F.first("url_id").over(by_hash))
-    other = F.min(F.when(F.col("url_id") != F.col("_first"), F.col("seq"))).over(by_hash)
-    return (
-        df.withColumn("_other", other)
-        .withColumn("is_duplicate", F.col("_n") > 1)
-        .withColumn("is_global_duplicate", (F.col("url_id") != F.col("_first")) | F.coalesce(F.col("_other") < F.col("seq"), F.lit(False)))
-        .withColumn("first_seq", F.first("seq").over(by_hash))
-        .drop("_n", "_first", "_other")
+    h = F.col("data_hash").eqNullSafe(F.col("_h"))
+    of_url = snapshots.groupBy(F.col("data_hash").alias("_h"), F.col("url_id").alias("_u")).agg(F.min("seq").alias("_own"))
+    first = of_url.groupBy("_h").agg(F.min_by("_u", "_own").alias("_first"), F.min("_own").alias("first_seq"))
+    other = of_url.join(first.select(F.col("_h").alias("_h2"), "_first"), F.col("_h").eqNullSafe(F.col("_h2"))).where(~F.col("_u").eqNullSafe(F.col("_first"))).groupBy("_h").agg(F.min("_own").alias("_other"))
+    facts = first.join(other.withColumnRenamed("_h", "_h3"), F.col("_h").eqNullSafe(F.col("_h3")), "left").drop("_h3")
+    df = snapshots.join(of_url, h & F.col("url_id").eqNullSafe(F.col("_u"))).drop("_h", "_u").join(facts, h).drop("_h")
+    return df.select(
+        *snapshots.columns,
+        (F.col("seq") > F.col("_own")).alias("is_duplicate"),
+        (~F.col("url_id").eqNullSafe(F.col("_first")) | F.coalesce(F.col("_other") < F.col("seq"), F.lit(False))).alias("is_global_duplicate"),
+        "first_seq",
     )
 
 
