@@ -44,8 +44,8 @@ ROOM, END_ID = 4096, 1
 BINS = 256
 ISLANDS, MEMBERS, GENERATIONS, EPOCHS = 2, 4, 4, 2
 WELL_FILLED = 0.995
-#: Share of a group's bins, the least filled, whose pieces are dealt anew: so many at least, and up to a quarter of them if
-#: so many aren't full. So each round has a quarter of the groups or fewer, but for groups of few bins.
+#: Share of a group's bins, the least filled, whose pieces are dealt anew: so many at least, and up to a quarter of them (or
+#: half, if that is 16 or fewer) if so many aren't full. So each round has fewer groups than the one before.
 DISSOLVED = 0.08
 
 
@@ -201,7 +201,7 @@ def _placed(room: int, last: bool):
         chosen = min(found, key=lambda n: (fitness(found[n]), n))
         own, (bins, fill) = islands[chosen], found[chosen]
         poor = sum(f < room for f in fill)
-        share = max(1, int(len(bins) * DISSOLVED), min(poor, len(bins) // 4))
+        share = max(1, int(len(bins) * DISSOLVED), min(poor, max(len(bins) // 4, min(len(bins) // 2, 16))))
         weak = set() if last else set(sorted(range(len(bins)), key=lambda n: fill[n])[:share])
         sequence, offset, done = (np.zeros(len(size), t) for t in (np.int64, np.int64, bool))
         for n, b in enumerate(bins):
