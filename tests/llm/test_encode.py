@@ -2,6 +2,7 @@ import random
 import struct
 import zlib
 from array import array
+from functools import cache
 
 import pytest
 from driftline.llm import sentencepieces, tokcount
@@ -36,10 +37,15 @@ def test_ids_are_the_librarys(enc):
         assert enc.count(t) == len(want)
 
 
+@cache
+def byte_encoder():
+    return Encoder(public("byte_bpe_50k.json"))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(t):
-    enc = test_any_text.__dict__.setdefault("enc", Encoder(public("byte_bpe_50k.json")))
+    enc = byte_encoder()
     assert list(array("I", enc.ids(t))) == enc.library.encode(t, add_special_tokens=False).ids
 
 
