@@ -21,6 +21,14 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SCREEN = 1 << 26
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't among the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
