@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import formats, gemtext, urls
 from driftline.operators import archive, crawl, documents, fts, graph, index, reports, rules
+from driftline.shared import folder
 from driftline.plans.userquery import Page, parse, suggestion
 from driftline.streaming import state
 
@@ -122,29 +123,50 @@ def _terms_sql(text: str) -> str:
     return f"list_transform(regexp_extract_all(lower({text}), {_WORDS}), lambda w: CASE {cases} ELSE w END)"
 
 
-_indexes: dict[tuple[str, str, str], index.Index] = {}
+_indexes: dict[tuple[str, str], tuple[list, index.Index]] = {}
 
 
-def kept_index(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame], anew: bool = False) -> index.Index:
-    """The index of the tables of ``d``, written once a session; searches answer from it as they do from any other."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if anew or key not in _indexes:
-        _indexes[key] = index.build(make(), _folder(spark, f"index-{name}"))
-    return _indexes[key]
+def _files(spark: SparkSession, d: str, names: list[str]) -> list[tuple[str, int, int]]:
+    """Names, sizes and times of the tables' files."""
+    jvm = spark._jvm
+    found = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        listed = path.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).listFiles(path, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def kept_index(spark: SparkSession, d: str, name: str, tables: list[str], make: Callable[[], DataFrame], anew: bool = False) -> index.Index:
+    """The index of the tables of ``d``, written once a session and again when their files change; searches answer from it
+    as they do from any other."""
+    key, now = (spark.sparkContext.applicationId, f"{d}/{name}"), _files(spark, d, tables)
+    if anew or key not in _indexes or _indexes[key][0] != now:
+        _indexes[key] = (now, index.build(make(), folder(spark, f"index-{name}")))
+    return _indexes[key][1]
+
+
+def text_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What a text search shows, with the texts."""
+    more = {"protocol": F.lit("gemini"), "port": F.lit(1965), "body_size": F.octet_length("body"), "line_count": F.size(F.split("body", "\n")), "mime_type": F.when(F.col("content_type") == 1, "text/gemini").otherwise("text/plain"), "detected_language": F.col("file_extension"), "is_body_truncated": F.octet_length("body") % 7 == 0}
+    favicons = t(spark, d, "region").select(F.lit("gemini").alias("protocol"), F.concat(F.lit("src"), "r_regionkey").alias("domain"), F.lit(1965).alias("port"), F.concat(F.lit("B"), "r_name").alias("emoji"))
+    return index.with_favicons(docs(spark, d).withColumns(more), favicons)
 
 
 def text_index(spark: SparkSession, d: str, anew: bool = False) -> index.Index:
-    return kept_index(spark, d, "text", lambda: docs(spark, d), anew)
+    return kept_index(spark, d, "text", ["documents", "lineitem", "region"], lambda: text_pages(spark, d), anew)
 
 
-def _fts_sql(phrases: list[str], where: str, select: str, tail: str = "") -> str:
+def _fts_sql(phrases: list[str], where: str, select: str, tail: str = "", docs: str = DOCS_SQL) -> str:
     """BM25 in SQL: a column f_i per phrase, its document frequency, rank, then what is asked for."""
     n = range(len(phrases))
     counts = ", ".join(f"len(string_split(' ' || array_to_string(b, '  ') || ' ', ' {p.replace(' ', '  ')} ')) - 1 AS f{i}" for i, p in enumerate(phrases))
     dfs = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in n)
     rank = " + ".join(f"greatest(ln((big_n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len_ / mean))" for i in n)
     return rf"""
-WITH {DOCS_SQL},
+WITH {docs},
 tokens AS (SELECT *, {_terms_sql('body')} AS b, len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS})) AS len_ FROM docs),
 counted AS (SELECT *, {counts} FROM tokens),
 stats AS (SELECT count(*) AS big_n, avg(len_) AS mean, {dfs} FROM counted),
@@ -223,7 +245,16 @@ def fts_suggestion_count(spark, d):
 
 @query()
 def fts_snippets(spark, d):
-    return fts.text_search(docs(spark, d), parse("with from")).select("url_id", "snippet")
+    """The snippets of a page, from the texts of its rows alone."""
+    return index.text_search(text_index(spark, d), parse('with OR "of the" OR les'), texts=docs(spark, d)).select("url_id", "snippet")
+
+
+@query(_fts_sql(["with", "les"], "f0 > 0 OR f1 > 0", f"""url_id, url, title, file_extension AS detected_language, CAST(len(string_split(body, chr(10))) AS INTEGER) AS line_count, CASE WHEN content_type = 1 THEN 'text/gemini' ELSE 'text/plain' END AS mime_type,
+    strlen(body) AS body_size, strlen(body) % 7 = 0 AS is_body_truncated, (SELECT 'B' || r_name FROM region WHERE domain = 'src' || r_regionkey) AS favicon, round({_TOTAL}, 6) AS total_rank""", "ORDER BY total_rank, url LIMIT 15"))
+def fts_result_rows(spark, d):
+    """A page of results with all that is shown beside a hit."""
+    shown = ["url_id", "url", "title", "detected_language", "line_count", "mime_type", "body_size", "is_body_truncated", "favicon"]
+    return index.text_search(text_index(spark, d), parse("with OR les")).select(*shown, F.round("total_rank", 6).alias("total_rank"))
 
 
 @query(rf"""
@@ -263,18 +294,59 @@ def fts_file_index_terms(spark, d):
     return fts.file_index_terms(files, links(spark, d), F.split(F.col("p_brand"), "#"))
 
 
-@query("""WITH changed AS (SELECT doc_id AS url_id, CASE doc_id % 4 WHEN 0 THEN 'DeletePrevious' WHEN 1 THEN 'RefreshWithCurrent' ELSE 'Nothing' END AS action FROM documents)
-SELECT doc_id AS url_id, CASE WHEN action = 'RefreshWithCurrent' THEN upper(lang) ELSE lang END AS title, n_chars AS body FROM documents JOIN changed ON doc_id = url_id WHERE action <> 'DeletePrevious'""")
+#: The documents after a batch that removes a quarter, replaces a quarter (with the title as a word more) and adds what is new
+#: to the index, one that brings back half of what was removed, and one that leaves all as it is.
+_OLD_SQL = DOCS_SQL.replace("docs AS", "old AS", 1)
+_UPDATED_SQL = _OLD_SQL + """,
+docs AS (
+    SELECT * REPLACE (CASE WHEN url_id % 4 = 1 THEN 'from with from' WHEN url_id % 8 = 0 THEN 'back' ELSE title END AS title, CASE WHEN url_id % 4 = 1 THEN body || ' with with' ELSE body END AS body)
+    FROM old WHERE url_id % 4 <> 0 OR url_id % 8 = 0)"""
+
+
+def _updated(spark: SparkSession, d: str) -> index.Index:
+    rows, n = docs(spark, d), F.col("url_id")
+    held = index.build(rows.where(n % 5 != 1), folder(spark, "index-updated"))
+    action = F.when(n % 4 == 0, "DeletePrevious").when(n % 4 == 1, "RefreshWithCurrent").when(n % 5 == 1, "AddCurrent").otherwise("Nothing")
+    changed = n % 4 == 1
+    first = rows.withColumns({"action": action, "title": F.when(changed, "from with from").otherwise(F.col("title")), "body": F.when(changed, F.concat("body", F.lit(" with with"))).otherwise(F.col("body"))})
+    held = index.update(held, first, "crawl", 1)
+    second = rows.where(n % 8 == 0).withColumns({"action": F.lit("AddCurrent"), "title": F.lit("back")})
+    held = index.update(held, second, "crawl", 2)
+    held = index.update(held, first, "crawl", 1)  # a batch that comes again
+    return index.update(held, rows.withColumn("action", F.lit("Nothing")), "crawl", 3)
+
+
+@query(_fts_sql(["with", "from", "back"], "f0 > 0 OR f1 > 0 OR f2 > 0", "url_id, title, round(rank, 6) AS rank", docs=_UPDATED_SQL))
 def fts_upsert(spark, d):
-    base = t(spark, d, "documents").select(F.col("doc_id").alias("url_id"), F.col("lang").alias("title"), F.col("n_chars").alias("body"))
-    m = F.col("url_id") % 4
-    return fts.apply_actions(base, base.select("url_id", F.when(m == 0, "DeletePrevious").when(m == 1, "RefreshWithCurrent").otherwise("Nothing").alias("action"), F.upper("title").alias("title"), "body"))
+    """A search after three batches of index actions, each a generation of the written index."""
+    return index.matched(_updated(spark, d), parse("with OR from OR back")).select("url_id", "title", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["with", "from", "back"], "f0 > 0 OR f1 > 0 OR f2 > 0", "url_id, title, round(rank, 6) AS rank", docs=_UPDATED_SQL))
+def fts_merged(spark, d):
+    """The same search after the generations were made one, from their postings."""
+    held = _updated(spark, d)
+    return index.matched(index.merge(index.merge(held, 1)), parse("with OR from OR back")).select("url_id", "title", F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT doc_id AS url_id, lang AS title FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(_fts_sql(["with", "of the"], "f0 > 0 OR f1 > 0", "url_id, round(rank, 6) AS rank", docs=_OLD_SQL + ", docs AS (SELECT * FROM old WHERE url_id NOT IN (SELECT doc_id FROM labels))"))
 def fts_remove(spark, d):
-    base = t(spark, d, "documents").select(F.col("doc_id").alias("url_id"), F.col("lang").alias("title"))
-    return fts.remove(base, t(spark, d, "labels").select(F.col("doc_id").alias("url_id")))
+    held = index.build(docs(spark, d), folder(spark, "index-removed"))
+    held = index.remove(held, t(spark, d, "labels").select(F.col("doc_id").alias("url_id")))
+    return index.matched(held, parse('with OR "of the"')).select("url_id", F.round("rank", 6).alias("rank"))
+
+
+@query(_fts_sql(["with", "from"], "f0 > 0 OR f1 > 0", "url_id, round(rank, 6) AS rank"))
+def stream_index(spark, d):
+    """A search of an index that a stream of actions filled, batch by batch, with merges."""
+    place = folder(spark, "index-stream")
+    rows = docs(spark, d).withColumn("action", F.lit("AddCurrent"))
+    index.build(rows.drop("action").limit(0), f"{place}/index")
+    rows.repartition(4, "url_id").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    run = stream.writeStream.foreachBatch(index.taking(f"{place}/index", "crawl")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return index.matched(index.opened(spark, f"{place}/index"), parse("with OR from")).select("url_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT url_id, trim(regexp_replace(replace(replace(body, chr(10), ' '), '#', ''), '\\s+', ' ', 'g')) AS shown FROM docs".replace("\\\\s", "\\s"))
@@ -310,7 +382,7 @@ def image_index(spark: SparkSession, d: str) -> index.Index:
         favicons = t(spark, d, "region").select(F.lit("gemini").alias("protocol"), F.concat(F.lit("brand"), "r_regionkey").alias("domain"), F.lit(1965).alias("port"), F.concat(F.lit("B"), "r_name").alias("emoji"))
         return index.image_pages(images, documents_, favicons)
 
-    return kept_index(spark, d, "images", make)
+    return kept_index(spark, d, "images", ["part", "lineitem", "region"], make)
 
 
 @query(f"{_IMAGES} SELECT url_id, url, width, favicon, round(rank + rank * 0.3 * pop, 6) AS total_rank FROM ranked ORDER BY total_rank, url LIMIT 15")
@@ -324,10 +396,10 @@ def image_hits(spark, d):
     return index.result_count(image_index(spark, d), parse("widget site:brand3"))
 
 
-@query("SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS word FROM part WHERE p_partkey = 7")
+@query("SELECT p_partkey AS url_id, p_name AS terms FROM part WHERE p_partkey IN (7, 8, 40)")
 def image_terms(spark, d):
-    own = index.terms_of(image_index(spark, d), 7).orderBy("field", "position")
-    return own.select(F.when(F.col("term") == "widget", "widget").otherwise(F.col("term")).alias("word"))
+    """The text that images are found by, as it was stored."""
+    return index.stored(image_index(spark, d), [7, 8, 40], "terms")
 
 
 # --- archive --------------------------------------------------------------------------------------------------------
@@ -912,45 +984,34 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """In the folder that all executors share. A session of one machine may do without (tests); a cluster may not."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='driftline-')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(_CONNECTIVITY)
 def stream_connectivity(spark, d):
-    return state.replay(state.connectivity(_stream(spark, d)), _folder(spark, "connectivity"))
+    return state.replay(state.connectivity(_stream(spark, d)), folder(spark, "connectivity"))
 
 
 @query(_POLITENESS)
 def stream_politeness(spark, d):
-    return state.replay(state.politeness(_stream(spark, d)), _folder(spark, "politeness"))
+    return state.replay(state.politeness(_stream(spark, d)), folder(spark, "politeness"))
 
 
 @query(f"WITH {LOG_SQL} SELECT DISTINCT authority AS url_id, received AS captured FROM log")
 def stream_captures(spark, d):
     rows = _stream(spark, d).select(F.col("authority").alias("url_id"), F.col("received").cast("timestamp").alias("captured"))
-    return state.replay(state.captures(rows), _folder(spark, "captures"))
+    return state.replay(state.captures(rows), folder(spark, "captures"))
 
 
 def _latest_state(spark: SparkSession, d: str) -> DataFrame:
     """The last state of each URL after the stream has run through; equals doc_latest_upsert."""
-    folder = _folder(spark, "documents")
+    place = folder(spark, "documents")
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{place}/rows/epoch={epoch}")
 
     rows = state.documents(_responses(_stream(spark, d)))
-    run = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     names = [f.name for f in rows.schema.fields if f.name != "url_id"]
-    all_ = spark.read.parquet(f"{folder}/rows")
+    all_ = spark.read.parquet(f"{place}/rows")
     return all_.groupBy("url_id").agg(F.max_by(F.struct(*names), "epoch").alias("s")).select("url_id", "s.*")
 
 

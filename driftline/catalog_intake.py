@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.catalog import LOG_SQL, ORACLES, QUERIES, _folder, _gem, _GEM, _responses, _stream, log, query, t
+from driftline.catalog import LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, log, query, t
 from driftline.functions import formats, gemtext, parsers
 from driftline.operators import archive, crawl, documents, reports
+from driftline.shared import folder as _folder
 from driftline.sources import files, warc
 from driftline.streaming import state
 

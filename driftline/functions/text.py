@@ -7,6 +7,7 @@ import difflib
 import re
 import struct
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -34,36 +35,86 @@ def fold(word: str) -> str:
     return word.lower() if word.isascii() else "".join(map(_folded, word))
 
 
-def _cut(text: str, wanted: set[str], size: int, term: Callable[[str], str] = fold) -> str:
-    spans = [(m.start(), m.end(), term(m[0]) in wanted) for m in TERM.finditer(text)]
+#: Fixed values of the snippets: what the first phrase of its kind, a repeat, a sentence and the text's beginning count.
+NEW_PHRASE, REPEAT, SENTENCE, BEGINNING = 1000, 1, 100, 120
+
+
+def _sentences(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    """Tokens that begin a sentence: the first, and those that white space after a full stop or colon precedes."""
+    out = [0]
+    for n, (at, _) in enumerate(spans[1:], 1):
+        k = at - 1
+        while text[k] in " \t\n\r":  # a token stands before
+            k -= 1
+        if k < at - 1 and text[k] in ".:":
+            out.append(n)
+    return out
+
+
+def _window(found: list[tuple[int, int]], sizes: list[int], sentences: list[int], tokens: int, size: int) -> int:
+    """The first token of the best window. ``found`` has (token, phrase) of each place of a phrase, ascending. A window that
+    begins with a place is worth what ``value`` says and is moved so that its phrases stand in the middle; one that begins
+    with the sentence of the place has a bonus and stays. The first of the best counts."""
+
+    def within(first: int) -> list[tuple[int, int]]:
+        return found[bisect_left(found, (first,)) : bisect_left(found, (first + size,))]
+
+    def value(first: int) -> int:
+        own = [p for _, p in within(first)]
+        return NEW_PHRASE * len(set(own)) + REPEAT * (len(own) - len(set(own)))
+
+    best, start = 0, 0
+    for at, _ in found:
+        worth = value(at)
+        if worth > best:
+            end = max((a, a + sizes[p]) for a, p in within(at))[1]
+            # half of what is left over goes before; half of a negative number is cut towards zero
+            over = size - (end - at)
+            best, start = worth, max(0, min(at - (over // 2 if over >= 0 else -(-over // 2)), tokens - size))
+        if tokens > size:
+            sentence = sentences[bisect_right(sentences, at) - 1]
+            if sentence < at:
+                worth = value(sentence) + (SENTENCE if sentence else BEGINNING)
+                if worth > best:
+                    best, start = worth, sentence
+    return start
+
+
+def snippet(text: str, phrases: list[tuple[str, ...]], size: int, term: Callable[[str], str]) -> str:
+    """The window of ``size`` words that SQLite's FTS5 would show for phrases of terms, phrases in brackets."""
+    spans = [m.span() for m in TERM.finditer(text)]
+    terms = [term(text[a:z]) for a, z in spans]
     if not spans:
-        return ""
-    best, first, run = -1, 0, 0
-    for i, (_, _, hit) in enumerate(spans):
-        run += hit
-        if i >= size:
-            run -= spans[i - size][2]
-        if run > best:
-            best, first = run, max(0, i - size + 1)
-    last = min(len(spans), first + size)
-    out, at = [], spans[first][0] if first else 0
-    for a, z, hit in spans[first:last]:
-        out += [text[at:a], f"[{text[a:z]}]" if hit else text[a:z]]
-        at = z
-    tail = "" if last < len(spans) else text[at:]
-    return ("…" if first else "") + "".join(out) + tail + ("…" if last < len(spans) else "")
-
-
-def snippet_of(words: list[str], size: int = 20, term: Callable[[str], str] = fold):
-    """The stretch of at most ``size`` words with the most hits, hits in brackets; words are the same if their ``term``
-    is. Apply it after the limit."""
-    wanted = {term(w) for w in words}
+        return text
+    found = sorted((n, p) for p, words in enumerate(phrases) for n, t in enumerate(terms) if t == words[0] and tuple(terms[n : n + len(words)]) == words)
+    first = _window(found, [len(p) for p in phrases], _sentences(text, spans) if len(spans) > size else [0], len(spans), size)
+    end = min(len(spans), first + size)
+    marked: list[list[int]] = []  # first and end token of phrases, those that overlap as one
+    for at, p in found:
+        if marked and at < marked[-1][1]:
+            marked[-1][1] = max(marked[-1][1], at + len(phrases[p]))
+        else:
+            marked.append([at, at + len(phrases[p])])
+    out, at = ["…" if first else ""], spans[first][0] if first else 0
+    for a, z in marked:
+        if first <= a < end:
+            start, stop = spans[a][0], spans[min(z, end) - 1][1]
+            out += [text[at:start], "[", text[start:stop], "]"]
+            at = stop
+    rest = text[at:] if end == len(spans) else text[at : spans[end - 1][1]] + "…"
+    return "".join([*out, rest])
+
+
+def snippet_of(phrases: list[tuple[str, ...]], size: int = 20, term: Callable[[str], str] = fold):
+    """The stretch of at most ``size`` words that shows the phrases best, phrases in brackets; words are the same if their
+    ``term`` is. A null text has an empty one. Apply it after the limit."""
+    wanted = [tuple(term(w) for w in p) for p in phrases]
 
     @F.pandas_udf(T.StringType())
-    def snippet(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _cut(t or "", wanted, size, term))
+    def cut(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: snippet(t or "", wanted, size, term))
 
-    return snippet
+    return cut
 
 
 def line_changes(old: str, new: str) -> list[tuple[int | None, str, str]]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.shared import folder
+
 from .archive import MOST_STORED
 
 #: Fixed value: how many URLs a crawl asks for at most.
@@ -52,26 +51,22 @@ def followed(responses: DataFrame) -> DataFrame:
 
 def fixpoint(start: DataFrame, step, key: str) -> DataFrame:
     """All that is reached from ``start`` by ``step`` (DataFrame of new rows -> DataFrame of found rows), each key once.
-    It ends when a round finds no new key, however many rounds that takes. Rounds are Parquet in the checkpoint folder
-    (or a local one, where none is set), so plans stay as small as a round's."""
+    It ends when a round finds no new key, however many rounds that takes. Rounds are Parquet in the shared folder, so plans
+    stay as small as a round's."""
     spark = start.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or f"file://{tempfile.mkdtemp(prefix='driftline-')}"
-    folder = f"{base}/fixpoint-{uuid.uuid4().hex}"
+    place = folder(spark, "fixpoint")
 
     def written(rows: DataFrame, n: int) -> DataFrame:
-        rows.write.parquet(f"{folder}/r{n}")
-        return spark.read.schema(start.schema).parquet(f"{folder}/r{n}")
+        rows.write.parquet(f"{place}/r{n}")
+        return spark.read.schema(start.schema).parquet(f"{place}/r{n}")
 
     n, fresh = 0, written(start.dropDuplicates([key]), 0)
     while not fresh.isEmpty():
-        done = spark.read.schema(start.schema).parquet(f"{folder}/r*").select(F.col(key).alias("_done"))
+        done = spark.read.schema(start.schema).parquet(f"{place}/r*").select(F.col(key).alias("_done"))
         # a null key is found once like others
         found = step(fresh).select(start.columns).dropDuplicates([key])
         n, fresh = n + 1, written(found.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti"), n + 1)
-    return spark.read.schema(start.schema).parquet(f"{folder}/r*")
+    return spark.read.schema(start.schema).parquet(f"{place}/r*")
 
 
 def image_terms(images: DataFrame, link_texts: DataFrame, words_of_path: Column) -> DataFrame:

@@ -153,8 +153,8 @@ def text_search(docs: DataFrame, q: UserQuery, page: Page = Page(1), stemmed: bo
     by_terms = q.expression is not None or q.title
     order = [F.asc("total_rank"), F.asc("url")] if by_terms else [F.desc("external_inbound_links"), F.asc("url")]
     shown = hits.orderBy(*order).offset(page.offset).limit(page.size)
-    words = [w for p in q.phrases for w in p.words]
-    return shown.withColumn("snippet", snippet_of(words, term=term if stemmed else fold)("body") if words else F.substring("body", F.lit(1), F.least(F.lit(100), F.length("body")) - 1)).drop("body")
+    phrases = [p.words for p in q.phrases]
+    return shown.withColumn("snippet", snippet_of(phrases, term=term if stemmed else fold)("body") if phrases else F.substring("body", F.lit(1), F.least(F.lit(100), F.length("body")) - 1)).drop("body")
 
 
 def image_search(images: DataFrame, q: UserQuery, page: Page = Page(1), stemmed: bool = True) -> DataFrame:

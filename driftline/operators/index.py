@@ -1,23 +1,37 @@
-"""A written full-text index and searches that answer from it.
-
-``build`` writes two tables. ``postings`` has a row per field, term and document, with the term's positions; a document's
-rows are made where its text is read, and only they are shuffled, by a bucket of the term and a slice of the documents,
-so that a frequent term is spread over files. Within a file rows stand by term. ``pages`` has what searches show and
-scope by, without the texts. A search reads the row groups of its own terms: no text is read but those of the hits on the
-page that it shows.
-
-Terms are those of FTS5's tokenizer 'porter unicode61'; see ``functions.stem``. A null text has no terms.
+"""A written full-text index that takes updates, and searches that answer from it.
+
+An index is a row of generations, oldest first. A generation is written once and never changed: ``postings`` has a row per
+field, term and document, with the term's positions; ``pages`` has what searches show and scope by, without the texts;
+``hidden`` has the ids that it replaces or removes, which hides their rows in all older generations. ``build`` writes the
+first generation, ``update`` adds one from a batch of index actions, ``merge`` makes one of several (from their postings, no
+text is read), ``vacuum`` deletes what no longer belongs to the index.
+
+What an index consists of is one row in ``manifest``: its generations, and how many documents and terms are alive in all of them.
+So a search knows the mean length without reading a row per document, and what a stopped update or merge left behind is
+never seen. A row is written at the end of each step under the next version's name, so of two writers at once the later one
+fails. An ``Index`` is one version: it stays as it is while others write.
+
+A document's rows are made where its text is read, and only they are shuffled, by a bucket of the term and a slice of the
+documents, so that a frequent term is spread over files. Within a file rows stand by term. A search reads the row groups of
+its own terms: no text is read but those of the hits on the page that it shows.
+
+Terms are those of FTS5's tokenizer 'porter unicode61'; see ``functions.stem``. A null text has no terms. Rows with a null id
+are not in an index. A build's ids are those of a document table, each once; of a batch's rows with the same id that with the
+greatest ``seq`` counts (any of them where there is no such column).
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions import formats
 from driftline.functions.stem import analyzed, term
@@ -28,33 +42,90 @@ from driftline.plans.userquery import Page, Phrase, UserQuery, phrase
 #: Fields of a posting; each document has a row of ALL with the empty term, for its length.
 ALL, TITLE, BODY = 0, 1, 2
 BUCKETS = 32
+#: A merge takes a generation in when it has at most so many times the rows of all later ones.
+FAN = 2
 _SCHEMA = "field tinyint, term string, url_id bigint, length int, positions array<int>"
 
 
+@dataclass(frozen=True)
+class Generation:
+    """``part`` names its folders. ``order`` says what it hides: rows of generations of lower order. ``hidden`` counts the ids
+    that it hides; ``rows`` its documents, hidden ones included."""
+
+    part: str
+    order: int
+    rows: int
+    hidden: int
+
+
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
     path: str
+    version: int
+    generations: tuple[Generation, ...]
+    #: Documents that are alive, and their terms.
+    rows: int
+    terms: int
+    page_columns: T.StructType
+    #: The last batch taken from each source.
+    taken: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def mean_length(self) -> float:
+        return self.terms / self.rows if self.rows else 0.0
+
+    def _read(self, what: str, schema: T.StructType, generations: tuple[Generation, ...] | None = None) -> DataFrame:
+        """Rows of the generations, with ``order``."""
+        generations = self.generations if generations is None else generations
+        schema = T.StructType([*schema.fields, T.StructField("part", T.StringType())])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/part={g.part}" for g in generations])
+        orders = F.create_map(*[F.lit(x) for g in generations for x in (g.part, g.order)])
+        return rows.withColumn("order", F.element_at(orders, F.col("part"))).drop("part")
+
+    def _hidden(self, generations: tuple[Generation, ...] | None = None) -> DataFrame | None:
+        """The ids that generations hide, and up to which order; None if there is none."""
+        own = tuple(g for g in (self.generations if generations is None else generations) if g.hidden)
+        if not own:
+            return None
+        return self._read("hidden", _HIDDEN, own).groupBy("url_id").agg(F.max("order").alias("below"))
+
+    def alive(self, rows: DataFrame, generations: tuple[Generation, ...] | None = None) -> DataFrame:
+        """Of rows with url_id and order those that no later generation hides."""
+        hidden = self._hidden(generations)
+        if hidden is None:
+            return rows
+        return rows.join(hidden, "url_id", "left").where(F.col("below").isNull() | (F.col("order") >= F.col("below"))).drop("below")
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(f"{_SCHEMA}, bucket int").parquet(f"{self.path}/postings")
+        """All rows of all generations, hidden ones too; see ``alive``."""
+        return self._read("postings", _POSTINGS)
 
     @property
     def pages(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/pages")
+        """The pages that are alive."""
+        return self.alive(self._read("pages", self.page_columns)).drop("order")
 
     def of(self, terms: list[tuple[int, str]]) -> DataFrame:
-        """The postings of (field, term)s: directories by bucket and row groups by term are pruned."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in {w for _, w in terms}], "term string").select(_bucket()).collect()]
+        """The postings of (field, term)s: folders by bucket and row groups by term are pruned."""
+        words = sorted({w for _, w in terms})
+        buckets = [_bucket(F.lit(w)) for w in words]
         wanted = F.lit(False)
-        for field, word in terms:
-            wanted = wanted | ((F.col("term") == word) & (F.col("field") == field))
-        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin([w for _, w in terms]) & wanted)
+        for number, word in terms:
+            wanted = wanted | ((F.col("term") == word) & (F.col("field") == number))
+        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(words) & wanted)
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+_POSTINGS = (
+    T.StructType().add("field", T.ByteType()).add("term", T.StringType()).add("url_id", T.LongType()).add("length", T.IntegerType())
+    .add("positions", T.ArrayType(T.IntegerType())).add("bucket", T.IntegerType())
+)
+_HIDDEN = T.StructType([T.StructField("url_id", T.LongType())])
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,14 +139,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fields.append(ALL)
                 terms.append("")
                 sizes.append(0)
-                for field, words in ((TITLE, head), (BODY, rest)):
+                for number, words in ((TITLE, head), (BODY, rest)):
                     found: dict[str, list[int]] = {}
                     for n, w in enumerate(words):
                         if w in found:
                             found[w].append(n)
                         else:
                             found[w] = [n]
-                    fields += [field] * len(found)
+                    fields += [number] * len(found)
                     terms += found
                     for own in found.values():
                         sizes.append(len(own))
@@ -88,19 +159,164 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def build(docs: DataFrame, path: str) -> Index:
-    """Writes the index of ``docs`` (url_id, title, body and what pages show) under ``path``."""
+def _with_ids(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("url_id").isNotNull()).withColumn("url_id", F.col("url_id").cast("bigint"))
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """A row per id: that with the greatest seq, if there is one."""
+    rows = _with_ids(rows)
+    if "seq" not in rows.columns:
+        return rows.dropDuplicates(["url_id"])
+    rest = [c for c in rows.columns if c not in ("url_id", "seq")]
+    last = rows.groupBy("url_id").agg(F.max_by(F.struct(*rest), F.struct(F.col("seq").isNotNull(), "seq")).alias("last"))
+    return last.select("url_id", "last.*")
+
+
+def _write_postings(rows: DataFrame, where: str, slices: int) -> None:
+    """A file holds the terms of a bucket in one slice of the documents."""
+    dealt = rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("url_id"), F.lit(slices)))
+    dealt.sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(where)
+
+
+def _write(docs: DataFrame, path: str, part: str, page_columns: list[str] | None = None) -> T.StructType:
+    """Postings and pages of ``docs`` as a generation; gives the pages' columns."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("url_id").cast("bigint").alias("url_id"), "title", "body")
+    texts = docs.select("url_id", "title", "body")
     read, cores = texts.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     if read < cores:  # a small table in few files: its texts are dealt out, so that all cores split them
         texts = texts.repartition(cores, "url_id")
-    # a file holds the terms of a bucket in one slice of the documents
-    slices = max(1, read // BUCKETS)
-    rows = texts.mapInArrow(_postings, _SCHEMA).withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("url_id"), F.lit(slices)))
-    rows.sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    docs.withColumn("lead", formats.lead(F.col("body"))).drop("body").write.mode("overwrite").parquet(f"{path}/pages")
-    return Index(spark, path)
+    where = f"{path}/postings/part={part}"
+    _write_postings(texts.mapInArrow(_postings, _SCHEMA), where, max(1, read // BUCKETS))
+    pages = docs.withColumn("lead", formats.lead(F.col("body"))).drop("body")
+    pages = pages.select(*[f"`{c}`" for c in page_columns]) if page_columns else pages
+    pages.sortWithinPartitions("url_id").write.mode("overwrite").parquet(f"{path}/pages/part={part}")
+    return pages.schema
+
+
+def _lengths(spark: SparkSession, path: str, part: str) -> tuple[int, int]:
+    """Documents and terms of a generation."""
+    rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/part={part}").where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == ""))
+    found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
+    return found["n"], found["terms"]
+
+
+def _commit(index: Index) -> Index:
+    """Writes the version's row; an error if there is one already."""
+    row = {
+        "version": index.version, "rows": index.rows, "terms": index.terms, "pages": index.page_columns.json(), "taken": json.dumps(index.taken),
+        "generations": json.dumps([[g.part, g.order, g.rows, g.hidden] for g in index.generations]),
+    }
+    index.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("error").json(f"{index.path}/manifest/{index.version:012d}")
+    return index
+
+
+_MANIFEST = "version bigint, rows bigint, terms bigint, pages string, taken string, generations string"
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """The latest version of the index under ``path``."""
+    row = spark.read.schema(_MANIFEST).option("recursiveFileLookup", True).json(f"{path}/manifest").orderBy(F.desc("version")).first()
+    generations = tuple(Generation(*g) for g in json.loads(row["generations"]))
+    return Index(spark, path, row["version"], generations, row["rows"], row["terms"], T.StructType.fromJson(json.loads(row["pages"])), json.loads(row["taken"]))
+
+
+def build(docs: DataFrame, path: str) -> Index:
+    """Writes the index of ``docs`` (url_id, title, body and what pages show) under ``path``, where none is."""
+    spark, part = docs.sparkSession, uuid.uuid4().hex
+    columns = _write(_with_ids(docs), path, part)
+    rows, terms = _lengths(spark, path, part)
+    return _commit(Index(spark, path, 0, (Generation(part, 0, rows, 0),), rows, terms, columns))
+
+
+def update(index: Index, actions: DataFrame, source: str = "", batch: int | None = None) -> Index:
+    """The index after a batch of (url_id, action, title, body and what its pages show): AddCurrent and RefreshWithCurrent put
+    a document in place of what is there under its id, DeletePrevious removes it, all others leave it. A numbered batch
+    that was taken from the source before is left out, so a stream may repeat it. Reads lengths of the ids that the
+    batch changes, and rewrites nothing."""
+    if batch is not None and index.taken.get(source, -1) >= batch:
+        return index
+    spark, path, part = index.spark, index.path, uuid.uuid4().hex
+    changes = _one_each(actions).where(F.col("action").isin("DeletePrevious", "AddCurrent", "RefreshWithCurrent"))
+    hides = f"{path}/hidden/part={part}"
+    changes.select("url_id").write.mode("overwrite").parquet(hides)
+    ids = spark.read.schema(_HIDDEN).parquet(hides)
+    # what was alive under these ids
+    lost = index.alive(index.of([(ALL, "")]).join(ids, "url_id", "left_semi").select("url_id", "order", "length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
+    _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, index.page_columns.names)
+    rows, terms = _lengths(spark, path, part)
+    order = max((g.order for g in index.generations), default=-1) + 1
+    taken = index.taken if batch is None else {**index.taken, source: batch}
+    generations = (*index.generations, Generation(part, order, rows, ids.count()))
+    return _commit(Index(spark, path, index.version + 1, generations, index.rows - lost["n"] + rows, index.terms - lost["terms"] + terms, index.page_columns, taken))
+
+
+def remove(index: Index, ids: DataFrame, source: str = "", batch: int | None = None) -> Index:
+    """The index without the documents of ``ids`` (url_id)."""
+    shown = [F.lit(None).cast(f.dataType).alias(f.name) for f in index.page_columns.fields if f.name not in ("url_id", "lead", "title", "body")]
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("title", "body")]
+    return update(index, ids.select("url_id", F.lit("DeletePrevious").alias("action"), *shown, *nothing), source, batch)
+
+
+def due(index: Index, fan: int = FAN) -> int:
+    """The first of the generations that a merge should make one: it has at most ``fan`` times the rows of all later ones,
+    so that each row is rewritten a logarithmic number of times. Their number if none is due."""
+    later = 0
+    first = len(index.generations)
+    for n in range(len(index.generations) - 1, -1, -1):
+        own = index.generations[n]
+        if n < len(index.generations) - 1 and own.rows + own.hidden <= fan * later:
+            first = n
+        later += own.rows + own.hidden
+    return first
+
+
+def merge(index: Index, first: int = 0) -> Index:
+    """The generations from the ``first`` on as one, without the rows that are hidden among them. From 0 on nothing is left
+    to hide. Their files stay for who reads an older version, until ``vacuum``."""
+    own = index.generations[first:]
+    if len(own) < 2:
+        return index
+    part, order = uuid.uuid4().hex, own[-1].order
+    rows = index.alive(index._read("postings", _POSTINGS, own), own).drop("order", "bucket")
+    parts = index._read("postings", _POSTINGS, own).rdd.getNumPartitions()
+    _write_postings(rows, f"{index.path}/postings/part={part}", max(1, parts // BUCKETS))
+    pages = index.alive(index._read("pages", index.page_columns, own), own).drop("order").select(*[f"`{c}`" for c in index.page_columns.names])
+    pages.sortWithinPartitions("url_id").write.mode("overwrite").parquet(f"{index.path}/pages/part={part}")
+    hidden, count = index._hidden(own) if first else None, 0
+    if hidden is not None:
+        hidden.select("url_id").write.mode("overwrite").parquet(f"{index.path}/hidden/part={part}")
+        count = index.spark.read.schema(_HIDDEN).parquet(f"{index.path}/hidden/part={part}").count()
+    made = Generation(part, order, _lengths(index.spark, index.path, part)[0], count)
+    return _commit(Index(index.spark, index.path, index.version + 1, (*index.generations[:first], made), index.rows, index.terms, index.page_columns, index.taken))
+
+
+def vacuum(index: Index) -> int:
+    """Deletes the folders that this version doesn't name: merged generations, and what stopped steps left. Gives their
+    number. No one may be writing, or reading an older version."""
+    jvm = index.spark._jvm
+    conf = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()
+    named, gone = {f"part={g.part}" for g in index.generations}, 0
+    for what in ("postings", "pages", "hidden"):
+        root = jvm.org.apache.hadoop.fs.Path(f"{index.path}/{what}")
+        files = root.getFileSystem(conf)
+        for found in files.listStatus(root) if files.exists(root) else ():
+            if found.getPath().getName() not in named:
+                files.delete(found.getPath(), True)
+                gone += 1
+    return gone
+
+
+def taking(path: str, source: str, merging: bool = True):
+    """For foreachBatch: takes each batch of index actions into the index under ``path``, once, and merges small
+    generations."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        index = update(opened(batch.sparkSession, path), batch, source, number)
+        if merging:
+            merge(index, due(index))
+
+    return take
 
 
 def _frequency(p: Phrase, field: int, place: dict[tuple[int, str], Column]) -> Column:
@@ -119,7 +335,7 @@ def _frequency(p: Phrase, field: int, place: dict[tuple[int, str], Column]) -> C
 
 
 def hits(index: Index, q: UserQuery) -> DataFrame:
-    """url_id and rank of the documents that match the terms of ``q``."""
+    """url_id, order of the generation, and rank of the documents that match the terms of ``q``."""
     body = list(dict.fromkeys(fts.analyzed_phrase(p, True) for p in q.phrases))
     head = [Phrase((term(w),)) for w in (phrase(q.title).words if q.title else ())]
     asked = [(BODY, p) for p in body] + [(TITLE, p) for p in head]
@@ -135,28 +351,28 @@ def hits(index: Index, q: UserQuery) -> DataFrame:
         if (f, w) in placed:
             aggs.append(F.max(F.when(mine, F.col("positions"))).alias(f"p{n}"))
             many[f, w] = F.col(f"p{n}")
-    docs = index.of(sorted(counted | placed)).groupBy("url_id").agg(*aggs)
+    docs = index.alive(index.of(sorted(counted | placed)).groupBy("url_id", "order").agg(*aggs))
     names = [f"f{n}" for n in range(len(asked))]
-    docs = docs.select("url_id", "length", *[_frequency(p, f, single if len(p.words) == 1 else many).alias(c) for (f, p), c in zip(asked, names, strict=True)])
+    docs = docs.select("url_id", "order", "length", *[_frequency(p, f, single if len(p.words) == 1 else many).alias(c) for (f, p), c in zip(asked, names, strict=True)])
     found = docs.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]).first()  # a number per phrase
-    all_ = index.of([(ALL, "")]).agg(F.count("*").alias("rows"), F.avg("length").alias("mean")).first()
     rank = F.lit(0.0)
     for c in names:
-        rank = rank + fts.bm25(F.col(c), F.col("length"), all_["mean"] or 1.0, fts.idf(all_["rows"], found[c]))
+        rank = rank + fts.bm25(F.col(c), F.col("length"), index.mean_length or 1.0, fts.idf(index.rows, found[c]))
     keep = F.lit(True)
     for c in names[len(body) :]:
         keep = keep & (F.col(c) > 0)
     if q.expression is not None:
         count = {p: F.col(names[body.index(fts.analyzed_phrase(p, True))]) for p in q.phrases}
         keep = keep & fts.matches(q.expression, count)
-    return docs.where(keep).select("url_id", rank.alias("rank"))
+    return docs.where(keep).select("url_id", "order", rank.alias("rank"))
 
 
 def matched(index: Index, q: UserQuery) -> DataFrame:
     """The pages that match, with rank (null without terms)."""
     if q.expression is None and not q.title:
         return fts.scoped(index.pages, q).withColumn("rank", F.lit(None).cast("double"))
-    return fts.scoped(index.pages.join(hits(index, q), "url_id"), q)
+    # a hit is alive, and so is the page of its generation
+    return fts.scoped(index._read("pages", index.page_columns).join(hits(index, q), ["url_id", "order"]).drop("order"), q)
 
 
 def _page(found: DataFrame, q: UserQuery, page: Page) -> DataFrame:
@@ -169,11 +385,11 @@ def text_search(index: Index, q: UserQuery, page: Page = Page(1), texts: DataFra
     for which the texts of the page's rows alone are read; without terms it's the page's first characters."""
     total = fts.total_rank(F.col("rank"), F.col("popularity_rank"), F.col("content_type"))
     shown = _page(matched(index, q).withColumn("total_rank", total), q, page)
-    words = [w for p in q.phrases for w in p.words]
-    if texts is None or not words:
+    phrases = [p.words for p in q.phrases]
+    if texts is None or not phrases:
         return shown.withColumnRenamed("lead", "snippet")
     ids = [r["url_id"] for r in shown.select("url_id").collect()]  # a page of ids
-    own = texts.where(F.col("url_id").isin(ids)).select("url_id", snippet_of(words, term=term)("body").alias("snippet"))
+    own = texts.where(F.col("url_id").isin(ids)).select("url_id", snippet_of(phrases, term=term)("body").alias("snippet"))
     return shown.drop("lead").join(own, "url_id", "left")
 
 
@@ -183,20 +399,31 @@ def image_search(index: Index, q: UserQuery, page: Page = Page(1)) -> DataFrame:
 
 
 def result_count(index: Index, q: UserQuery) -> DataFrame:
-    return matched(index, q).agg(F.count("*").alias("n"))
+    """How many pages match: of the postings alone, unless a scope asks for what pages have."""
+    found = hits(index, q) if (q.expression is not None or q.title) and not any((q.site, q.filetype, q.url)) else matched(index, q)
+    return found.agg(F.count("*").alias("n"))
+
+
+def stored(index: Index, ids: list[int], column: str) -> DataFrame:
+    """What the pages of a few ids have in a column, as it was written: for an image the text that it is found by. Row groups
+    without the ids are left out."""
+    return index.pages.where(F.col("url_id").isin(ids)).select("url_id", column)
+
+
+def with_favicons(pages: DataFrame, favicons: DataFrame) -> DataFrame:
+    """Pages with the favicon of their site, if there is one."""
+    return pages.join(_emoji(favicons), ["protocol", "domain", "port"], "left")
 
 
-def terms_of(index: Index, url_id: int) -> DataFrame:
-    """The stored terms of one document, in order of field and place: for an image, what it is found by."""
-    own = index.postings.where((F.col("url_id") == url_id) & (F.col("field") != ALL))
-    return own.select("field", F.explode("positions").alias("position"), "term")
+def _emoji(favicons: DataFrame) -> DataFrame:
+    return favicons.select("protocol", "domain", "port", F.col("emoji").alias("favicon"))
 
 
 def image_pages(images: DataFrame, documents: DataFrame, favicons: DataFrame) -> DataFrame:
     """What an image search shows and searches: images (url_id, width, height, image_type, terms) with their documents'
     columns and the favicon of their site, if there is one."""
-    rows = images.join(documents, "url_id").join(favicons.select("protocol", "domain", "port", F.col("emoji").alias("favicon")), ["protocol", "domain", "port"], "left")
-    return rows.withColumn("title", F.lit(None).cast("string")).withColumnRenamed("terms", "body")
+    rows = with_favicons(images.join(documents, "url_id"), favicons)
+    return rows.withColumn("title", F.lit(None).cast("string")).withColumn("body", F.col("terms"))
 
 
-__all__ = ["Index", "build", "hits", "image_pages", "image_search", "matched", "result_count", "terms_of", "text_search"]
+__all__ = ["Generation", "Index", "build", "due", "hits", "image_pages", "image_search", "matched", "merge", "opened", "remove", "result_count", "stored", "taking", "text_search", "update", "vacuum", "with_favicons"]

@@ -1,10 +1,13 @@
 import math
+import random
 import sqlite3
 
 import pytest
-from driftline.functions.stem import analyzed
+from driftline.functions.stem import term
+from driftline.functions.text import snippet
 from driftline.operators import fts, index
 from driftline.plans.userquery import Page, parse
+from pyspark.sql import functions as F
 
 TEXTS = [
     ("Cafés", "cats were running over the hills"), ("two cats", "a cat runs; the café is closed, the cat runs again"), ("three", "Straßen und Wege, cafés and naïve connections"),
@@ -62,16 +65,13 @@ def test_only_asked_rows_are_read(built):
     assert "PartitionFilters: [" in plan and "In(term, [cat])" in plan.replace("EqualTo(term,cat)", "In(term, [cat])") and "body" not in plan
 
 
-def test_stored_terms(built):
-    assert [(r.position, r.term) for r in index.terms_of(built, 1).where("field = 2").orderBy("position").collect()] == list(enumerate(analyzed(TEXTS[1][1])))
-
-
 def test_images_join_documents_and_favicons(spark, tmp_path):
     images = spark.createDataFrame([(1, 10, "cat pictures"), (2, 20, "dog"), (3, 30, "cats")], "url_id long, width int, terms string")
     documents = spark.createDataFrame([(n, "gemini", h, 1965, f"u{n}", n, 0.5) for n, h in ((1, "a"), (2, "b"), (4, "a"))], "url_id long, protocol string, domain string, port int, url string, external_inbound_links int, popularity_rank double")
     favicons = spark.createDataFrame([("gemini", "a", 1965, "A"), ("gemini", "a", 1, "X")], "protocol string, domain string, port int, emoji string")
     built = index.build(index.image_pages(images, documents, favicons), f"file://{tmp_path}/images")
     assert [(r.url_id, r.width, r.favicon) for r in index.image_search(built, parse("picture")).collect()] == [(1, 10, "A")]
+    assert sorted(map(tuple, index.stored(built, [2, 1, 4], "terms").collect())) == [(1, "cat pictures"), (2, "dog")]
     assert index.result_count(built, parse("cat")).first().n == 1
 
 
@@ -85,3 +85,161 @@ def test_workload(spark):
 def test_empty_table(docs, tmp_path):
     built = index.build(docs.limit(0), f"file://{tmp_path}/none")
     assert index.matched(built, parse("cat OR dog")).count() == 0 and index.text_search(built, parse("site:a")).count() == 0
+
+
+RAWS = ["cats", "cat OR hill OR dog", '"cat run" OR new', "new NOT cat", "cat AND run", "gone OR back"]
+
+
+def agrees(held, lite, raws=RAWS):
+    """Every search of the index gives the matches, ranks and counts of SQLite's."""
+    for raw in raws:
+        want = {i: r for i, r in lite.execute("select rowid, bm25(fts) from fts where body match ?", (raw,))}
+        got = {r.url_id: r["rank"] for r in index.matched(held, parse(raw)).collect()}
+        assert got.keys() == want.keys(), raw
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in got), raw
+        assert index.result_count(held, parse(raw)).first().n == len(want)
+    n, length = lite.execute("select count(*) from fts").fetchone()[0], sum(len(term_list(x)) for x in lite.execute("select title, body from fts"))
+    assert (held.rows, held.terms) == (n, length) and held.pages.count() == n
+
+
+def term_list(row):
+    from driftline.functions.stem import analyzed
+
+    return [w for text in row for w in analyzed(text)]
+
+
+def told(con, rows):
+    for i, action, title, body in rows:
+        if action in ("DeletePrevious", "AddCurrent", "RefreshWithCurrent"):
+            con.execute("delete from fts where rowid = ?", (i,))
+        if action in ("AddCurrent", "RefreshWithCurrent"):
+            con.execute("insert into fts(rowid, title, body) values (?, ?, ?)", (i, title, body))
+
+
+BATCHES = [
+    [(0, "DeletePrevious", None, None), (3, "RefreshWithCurrent", "new", "new cat"), (20, "AddCurrent", "t", "a new cat runs on"), (5, "Nothing", "x", "x"), (99, "DeletePrevious", None, None)],
+    [(0, "AddCurrent", "back", "back on the hill, cats"), (20, "RefreshWithCurrent", "t", "dogs"), (7, "DeletePrevious", None, None)],
+    [(21, "AddCurrent", None, None), (3, "DeletePrevious", None, None), (0, "DeletePrevious", None, None), (22, "AddCurrent", "cat", "gone cat run")],
+    [(0, "AddCurrent", "again", "cat cat run new")],
+]
+
+
+def as_actions(spark, rows):
+    full = [(i, a, t_, b, f"u{i}", "ab"[i % 2], f"/{i}", "gmi", i, 0.01 * i, 1) for i, a, t_, b in rows]
+    return spark.createDataFrame(full, "url_id long, action string, title string, body string, url string, domain string, path string, file_extension string, external_inbound_links int, popularity_rank double, content_type int")
+
+
+def files(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_updates_as_sqlite(spark, docs, tmp_path):
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table fts using fts5(title, body, tokenize='porter')")
+    told(con, [(i, "AddCurrent", *r) for i, r in enumerate(TEXTS)])
+    path = f"file://{tmp_path}/i"
+    first = held = index.build(docs, path)
+    agrees(held, con)
+    before = index.matched(first, parse("cats")).count()
+    for n, rows in enumerate(BATCHES):
+        old = files(tmp_path)
+        held = index.update(held, as_actions(spark, rows), "crawl", n)
+        told(con, rows)
+        agrees(held, con)
+        now = files(tmp_path)
+        assert all(now[p] == t for p, t in old.items())  # nothing is rewritten
+        assert index.update(held, as_actions(spark, rows), "crawl", n) is held  # the batch comes again
+        assert index.opened(spark, path) == held
+    # an older version stays as it was
+    assert index.matched(first, parse("cats")).count() == before
+    # the last generations as one, then all
+    held = index.merge(held, 2)
+    assert len(held.generations) == 3 and held.generations[2].hidden > 0
+    agrees(held, con)
+    held = index.remove(held, spark.createDataFrame([(22,), (1,), (500,)], "url_id long"))
+    told(con, [(22, "DeletePrevious", None, None), (1, "DeletePrevious", None, None)])
+    agrees(held, con)
+    held = index.merge(held)
+    assert len(held.generations) == 1 and held.generations[0].hidden == 0 and held.generations[0].rows == held.rows
+    agrees(held, con)
+    # scopes and pages of what is left
+    q = parse("site:a")
+    assert {r.url_id for r in index.matched(held, q).collect()} == {i for (i,) in con.execute("select rowid from fts") if i % 2 == 0}
+    assert index.vacuum(held) > 0 and {p.name for p in (tmp_path / "i" / "postings").iterdir()} == {f"part={held.generations[0].part}"}
+    agrees(index.opened(spark, path), con)
+
+
+def test_a_stopped_update_is_not_seen(spark, docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/i"
+    held = index.build(docs, path)
+    monkeypatch.setattr(index, "_commit", lambda _: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        index.update(held, as_actions(spark, BATCHES[0]), "crawl", 0)
+    monkeypatch.undo()
+    assert index.opened(spark, path) == held and index.matched(held, parse("new")).count() == 0
+    after = index.update(index.opened(spark, path), as_actions(spark, BATCHES[0]), "crawl", 0)
+    assert {r.url_id for r in index.matched(after, parse("new")).collect()} == {3, 20}
+    # of two writers that start from the same version the later one fails
+    with pytest.raises(Exception, match="(?i)exists"):
+        index.update(held, as_actions(spark, BATCHES[1]), "other", 0)
+    assert index.opened(spark, path) == after
+    assert index.vacuum(after) == 6  # postings, pages and ids of two steps
+
+
+def test_the_greatest_seq_of_a_batch_counts(spark, docs, tmp_path):
+    held = index.build(docs, f"file://{tmp_path}/i")
+    rows = as_actions(spark, [(4, "DeletePrevious", None, None), (4, "AddCurrent", "t", "fresh words"), (2, "AddCurrent", "t", "fresh"), (2, "DeletePrevious", None, None)])
+    held = index.update(held, rows.coalesce(1).withColumn("seq", F.monotonically_increasing_id()))
+    assert [r.url_id for r in index.matched(held, parse("fresh")).collect()] == [4] and held.rows == len(TEXTS) - 1
+
+
+def test_merges_are_few(spark, docs):
+    def of(*rows):
+        return index.Index(spark, "", 0, tuple(index.Generation(str(k), k, n, 0) for k, n in enumerate(rows)), 0, 0, docs.schema)
+
+    assert [index.due(of(*x)) for x in ((100,), (100, 10), (100, 10, 5), (100, 10, 5, 2), (100, 60, 3), (100, 40, 20, 11), (5, 5))] == [1, 2, 1, 1, 0, 0, 0]
+
+
+def test_stream_of_actions(spark, docs, tmp_path):
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table fts using fts5(title, body, tokenize='porter')")
+    told(con, [(i, "AddCurrent", *r) for i, r in enumerate(TEXTS)])
+    path = f"file://{tmp_path}/i"
+    index.build(docs, path)
+    for rows in BATCHES:
+        batch = as_actions(spark, rows)
+        batch.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(batch.schema).parquet(f"file://{tmp_path}/in")
+        stream.writeStream.foreachBatch(index.taking(path, "crawl")).option("checkpointLocation", f"file://{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
+        told(con, rows)
+        agrees(index.opened(spark, path), con)
+
+
+def test_snippets_of_sqlite():
+    rnd = random.Random(11)
+    words = ["cat", "cats", "running", "run", "dog", "hill", "café", "x", "the", "over", "closed", "nowhere"] + [f"w{k}" for k in range(30)]
+    texts = []
+    for _ in range(500):
+        body = "".join(rnd.choice(words if rnd.random() < 0.5 else words[12:]) + rnd.choice([" "] * 8 + [". ", ": ", ".\n", ", ", " .. ", ".", "  ", "! "]) for _ in range(rnd.choice([0, 1, 3, 10, 19, 20, 21, 25, 60, 200])))
+        texts.append(rnd.choice(["", " ", "- "]) + body)
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(title, body, tokenize='porter')")
+    con.executemany("insert into f(rowid, title, body) values (?, 't', ?)", list(enumerate(texts)))
+    compared = 0
+    for raw in ("cat", "cats OR dog", "cat AND run", '"cat run"', '"the cat" OR hill OR dog', "cat NOT dog", "(cat OR hill) AND x", '"cat cat"', "cat OR cats"):
+        phrases = [tuple(term(w) for w in p.words) for p in parse(raw).phrases]
+        for i, want in con.execute("select rowid, snippet(f, 1, '[', ']', '…', 20) from f where f match ?", (f"body: ({raw})",)):
+            assert snippet(texts[i], phrases, 20, term) == want
+            compared += 1
+    assert compared > 1000
+
+
+def test_snippets_of_a_page(built, docs, lite):
+    got = {r.url_id: r.snippet for r in index.text_search(built, parse("cats OR dogs"), texts=docs).collect()}
+    want = dict(lite.execute("select rowid, snippet(fts, 1, '[', ']', '…', 20) from fts where body match 'cats OR dogs'"))
+    assert got == want and len(got) == 6
+
+
+def test_count_reads_postings_alone(built):
+    plan = index.result_count(built, parse("cats"))._jdf.queryExecution().toString()
+    assert "/pages" not in plan and "Python" not in plan
