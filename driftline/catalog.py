@@ -691,6 +691,21 @@ def block_rules(spark, d):
     return rules.blocked_by(_entries(spark, d), _rules(spark)).select("url_id", "blocked_by")
 
 
+@query(f"""WITH {DOCS_SQL}, ruled AS (
+    SELECT p_partkey AS n, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE 'src' || p_partkey % 20 END AS site, 'gemini://src' || p_partkey % 20 || '/' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.en' ELSE '' END AS pattern,
+        p_partkey % 7 = 0 AND p_partkey % 50 <> 0 AS nosub FROM part),
+hit AS (
+    SELECT url_id, arg_min(pattern || CASE WHEN site IS NULL THEN '*' WHEN nosub THEN '$' ELSE '' END, CASE WHEN site IS NULL THEN 0 ELSE 1000000000 END + n) AS blocked_by
+    FROM docs JOIN ruled ON (site IS NULL OR site = domain) AND starts_with(url, pattern) AND (NOT nosub OR url <> pattern) GROUP BY url_id)
+SELECT url_id, blocked_by FROM docs LEFT JOIN hit USING (url_id)""")
+def block_many_rules(spark, d):
+    """URLs looked up among as many rules as there are parts, of sites and of all sites."""
+    n = F.col("p_partkey")
+    line = F.concat(F.lit("gemini://src"), n % 20, F.lit("/"), n, F.when(n % 3 == 0, ".en").otherwise(""), F.when(n % 50 == 0, "*").when(n % 7 == 0, "$").otherwise(""))
+    ruled = rules.parse_block_rules(t(spark, d, "part").select(n.alias("line_no"), line.alias("line")))
+    return rules.blocked_by(docs(spark, d).withColumn("authority", F.col("domain")), ruled).select("url_id", "blocked_by")
+
+
 @query(f"""WITH {DOCS_SQL} SELECT url_id, CASE WHEN url_id % 10 = 3 THEN 'seen' WHEN domain = 'src9' THEN 'scope' WHEN url_id % 23 <> 0 AND url_id % 40 >= 25 THEN 'depth' WHEN {_BLOCKED} IS NOT NULL THEN 'block' END AS rejection FROM docs""")
 def frontier_chain(spark, d):
     rows = _entries(spark, d)

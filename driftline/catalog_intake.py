@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, log, query, t
-from driftline.functions import formats, gemtext, parsers
-from driftline.operators import archive, crawl, documents, reports
+from driftline.functions import formats, gemtext, parsers, robots
+from driftline.operators import archive, crawl, documents, reports, rules
 from driftline.shared import folder as _folder
 from driftline.sources import files, warc
 from driftline.streaming import state
@@ -281,13 +281,78 @@ def bar_charts(spark, d):
     return reports.bar_chart(t(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")), "kind", "n")
 
 
-@query(r"""SELECT page_id AS authority, page_id % 3 = 0 AS found, page_id % 2 = 0 AS is_plain_text, page_id % 5 <> 0 AS has_body, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 + page_id % 2 END AS warnings,
-    CASE WHEN page_id % 5 = 0 THEN 0 ELSE 2 END AS rules FROM pages""")
+#: Robots files of events: a file per user, a line per event, and what each line says.
+_ROBOTS_SQL = """
+said AS (
+    SELECT user_id AS authority, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_number, CASE event_id % 10 WHEN 0 THEN 'User-agent: *' WHEN 1 THEN 'USER-AGENT : Archiver # x'
+        WHEN 2 THEN 'Disallow: ' || event_id % 50 || '*' WHEN 3 THEN 'Disallow: /a*b' WHEN 4 THEN 'Allow: /' WHEN 5 THEN 'crawl-delay: 3' WHEN 6 THEN 'Sitemap: x' WHEN 7 THEN 'nonsense'
+        WHEN 8 THEN 'disallow:' ELSE '# about' END AS line FROM events),
+agents AS (
+    SELECT *, event_id % 10 < 2 AS is_agent, event_id % 10 IN (2, 3, 8) AS is_deny FROM said),
+grouped AS (
+    SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY authority ORDER BY line_number) AS g FROM (
+        SELECT *, is_agent AND NOT coalesce(lag(is_agent) OVER (PARTITION BY authority, is_agent OR is_deny ORDER BY line_number), false) AS starts FROM agents)),
+ruled AS (
+    SELECT r.authority, CASE a.event_id % 10 WHEN 0 THEN '*' ELSE 'archiver' END AS user_agent, CASE r.event_id % 10 WHEN 2 THEN '/' || r.event_id % 50 ELSE '' END AS path, r.line, r.line_number
+    FROM grouped r JOIN grouped a ON r.authority = a.authority AND r.g = a.g AND r.is_deny AND a.is_agent AND r.event_id % 10 <> 3),
+warned AS (
+    SELECT authority, line_number, CASE event_id % 10 WHEN 4 THEN 'allow' WHEN 5 THEN 'crawl-delay' WHEN 6 THEN 'sitemap' WHEN 7 THEN 'no_colon' ELSE CASE WHEN g = 0 THEN 'no_agent' ELSE 'wildcard' END END AS kind
+    FROM grouped WHERE event_id % 10 IN (4, 5, 6, 7) OR event_id % 10 = 3 OR is_deny AND g = 0)"""
+
+
+def _robots_files(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    said = ["User-agent: *", "USER-AGENT : Archiver # x", None, "Disallow: /a*b", "Allow: /", "crawl-delay: 3", "Sitemap: x", "nonsense", "disallow:", "# about"]
+    line = F.when(e % 10 == 2, F.concat(F.lit("Disallow: "), e % 50, F.lit("*")))
+    for k, text in enumerate(said):
+        line = line.when(e % 10 == k, text) if text else line
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
+    return t(spark, d, "events").groupBy(F.col("user_id").alias("authority")).agg(F.array_join(lines, "\n").alias("content"))
+
+
+@query(f"WITH {_ROBOTS_SQL} SELECT * FROM ruled")
+def robots_rules(spark, d):
+    return rules.parse_robots(_robots_files(spark, d))
+
+
+@query(f"WITH {_ROBOTS_SQL} SELECT authority, line_number, kind FROM warned")
+def robots_warnings(spark, d):
+    return robots.robots_warnings(_robots_files(spark, d)).select("authority", "line_number", "kind")
+
+
+@query(f"""WITH {_ROBOTS_SQL}, denied AS (SELECT DISTINCT authority, path FROM ruled WHERE path <> ''), asked AS (SELECT event_id, user_id AS authority, '/' || event_id % 1000 AS path FROM events)
+SELECT event_id, NOT EXISTS (SELECT 1 FROM denied d WHERE d.authority = a.authority AND starts_with(a.path, d.path)) AS allowed FROM asked a""")
+def robots_many_rules(spark, d):
+    """Requests looked up among the denied paths of their sites."""
+    asked = t(spark, d, "events").select("event_id", F.col("user_id").alias("authority"), F.concat(F.lit("/"), F.col("event_id") % 1000).alias("path"))
+    return rules.robots_allowed(asked, rules.parse_robots(_robots_files(spark, d)), "archiver").select("event_id", "allowed")
+
+
+@query(f"""WITH {_ROBOTS_SQL}, counts AS (SELECT authority, count(*) AS n, count(DISTINCT user_agent) AS agents FROM ruled GROUP BY 1), warns AS (SELECT authority, count(*) AS n, min(line_number) AS first FROM warned GROUP BY 1)
+SELECT authority, authority % 3 = 0 AS found, authority % 2 = 0 AS is_plain_text, true AS has_body, coalesce(w.n, 0) AS warnings, w.first AS first_warning, coalesce(c.n, 0) AS rules, coalesce(c.agents, 0) AS agents,
+    authority % 6 = 0 AND c.n IS NOT NULL AS valid FROM (SELECT DISTINCT authority FROM said) LEFT JOIN counts c USING (authority) LEFT JOIN warns w USING (authority)""")
 def robots_reports(spark, d):
-    n = F.col("page_id")
-    content = F.concat(F.lit("# about\nUser-agent: *\nDisallow: /a\nCrawl-delay: 3\nDisallow: /b/*\n"), F.when(n % 2 == 1, "what is this\n").otherwise(""))
-    rows = t(spark, d, "pages").select(n.alias("authority"), F.when(n % 3 == 0, 20).otherwise(51).alias("status_code"), F.when(n % 2 == 0, "text/plain; charset=utf-8").otherwise("text/gemini").alias("meta"), F.when(n % 5 != 0, content).alias("content"))
-    return parsers.robots_report(rows)
+    n = F.col("authority")
+    rows = _robots_files(spark, d).select("authority", F.when(n % 3 == 0, 20).otherwise(51).alias("status_code"), F.when(n % 2 == 0, "text/plain; charset=utf-8").otherwise("text/gemini").alias("meta"), "content")
+    got = parsers.robots_report(rows)
+    return got.select(
+        "authority", "found", "is_plain_text", "has_body", F.size("warnings").cast("bigint").alias("warnings"), F.get("warnings", F.lit(0))["line_number"].cast("bigint").alias("first_warning"),
+        F.size("rules").cast("bigint").alias("rules"), F.size(F.array_distinct(F.transform("rules", lambda r: r["user_agent"]))).cast("bigint").alias("agents"), "valid",
+    )
+
+
+@query("""WITH said AS (
+    SELECT user_id AS authority, event_id AS seq, event_id % 7 = 0 AS fetched, '/' || event_id % 10 AS path, CASE event_id % 3 WHEN 1 THEN '/' || event_id % 5 END AS denied FROM events),
+known AS (
+    SELECT *, max(CASE WHEN fetched THEN seq END) OVER (PARTITION BY authority ORDER BY seq) AS last FROM said)
+SELECT k.authority, k.seq, k.path, f.denied IS NULL OR NOT starts_with(k.path, f.denied) AS allowed, k.last IS NULL OR (f.denied IS NOT NULL AND NOT starts_with(k.path, f.denied)) AS allowed_offline
+FROM known k LEFT JOIN said f ON k.last = f.seq AND k.authority = f.authority WHERE NOT k.fetched""")
+def stream_robots_answers(spark, d):
+    """Requests answered from the state of their sites' robots files: rules, none, or a failed fetch."""
+    e = F.col("seq")
+    content = F.when(e % 3 == 1, F.concat(F.lit("User-agent: *\nDisallow: /"), e % 5)).when(e % 3 == 2, "nothing")
+    rows = _stream(spark, d).select("authority", "seq", F.when(e % 7 != 0, F.concat(F.lit("/"), e % 10)).alias("path"), F.when(e % 7 == 0, content).alias("content"))
+    return state.replay(state.robots_answers(rows), _folder(spark, "robots-answers"))
 
 
 @query("""SELECT url, page_id % 13 <> 0 AS connected, CASE WHEN page_id % 13 = 0 THEN 49 ELSE 20 END AS status_code, 'm' AS meta,
@@ -333,21 +398,21 @@ SELECT authority AS url_id, * EXCLUDE (authority, n) FROM s QUALIFY row_number()
 ORACLES["doc_latest_upsert"] = _FOLDED
 
 
-@query(_FOLDED.replace("* EXCLUDE (authority, n)", "* EXCLUDE (authority, n, action)"))
+@query(_FOLDED)
 def stream_documents(spark, d):
     from driftline.catalog import _latest_state
 
-    return _latest_state(spark, d).drop("action")
+    return _latest_state(spark, d)
 
 
-@query(f"WITH {LOG_SQL} SELECT DISTINCT authority FROM log")
+@query(f"WITH {LOG_SQL} SELECT authority, min(seq) AS seq FROM log GROUP BY 1")
 def stream_robots_fetches(spark, d):
-    return state.replay(state.robots_fetches(_stream(spark, d)), _folder(spark, "robots")).select("authority")
+    return state.replay(state.robots_fetches(_stream(spark, d)), _folder(spark, "robots"))
 
 
-@query(f"WITH {LOG_SQL} SELECT DISTINCT authority AS url_id FROM log")
+@query(f"WITH {LOG_SQL} SELECT authority AS url_id, seq, status_code, failed FROM log QUALIFY row_number() OVER (PARTITION BY authority ORDER BY seq) = 1")
 def stream_first_seen(spark, d):
-    rows = _stream(spark, d).select(F.col("authority").alias("url_id"))
+    rows = _stream(spark, d).select(F.col("authority").alias("url_id"), "seq", "status_code", "failed")
     return state.replay(state.first_seen(rows), _folder(spark, "first-seen"))
 
 

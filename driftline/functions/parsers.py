@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import formats, gemtext
+from .robots import WARNINGS, robots_rows
 from .text import image_header
 
 #: Kinds of content.
@@ -190,14 +191,17 @@ def archive_links(lines: Column, base: Column, ticks: Column) -> Column:
 
 
 def robots_report(responses: DataFrame) -> DataFrame:
-    """What is right and wrong with a site's robots file: status, type, body, and how many rules it gives."""
-    from driftline.operators.rules import parse_robots
-
-    n = parse_robots(responses.select("authority", "content")).groupBy("authority").agg(F.count("*").alias("rules"))
-    lines = F.split(F.coalesce("content", F.lit("")), "\n")
-    known = F.size(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~F.lower(F.trim(x)).rlike("^(user-agent|disallow)\\s*:")))
-    df = responses.join(n, "authority", "left")
-    return df.select("authority", (F.col("status_code") == 20).alias("found"), (F.substring_index("meta", ";", 1) == "text/plain").alias("is_plain_text"), (F.coalesce("content", F.lit("")) != "").alias("has_body"), known.alias("warnings"), F.coalesce("rules", F.lit(0)).alias("rules"))
+    """What is right and wrong with a site's robots file: status, type, body, its rules by user agent (those that deny
+    nothing too), and its warnings in order of lines."""
+    rows = robots_rows(responses.select("authority", "content"))
+    message = F.element_at(F.create_map(*[F.lit(x) for pair in WARNINGS.items() for x in pair]), F.col("what"))
+    said = F.when(F.col("what") != "rule", F.struct("line_number", F.col("what").alias("kind"), message.alias("message")))
+    rule = F.when(F.col("what") == "rule", F.struct("user_agent", "line_number", "path"))
+    found = rows.groupBy("authority").agg(F.sort_array(F.collect_list(said)).alias("warnings"), F.sort_array(F.collect_list(rule)).alias("rules"))
+    df = responses.join(found, "authority", "left")
+    found_ok, plain, body = F.col("status_code") == 20, F.substring_index("meta", ";", 1) == "text/plain", F.coalesce("content", F.lit("")) != ""
+    empty = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("warnings", "rules")]
+    return df.select("authority", found_ok.alias("found"), plain.alias("is_plain_text"), body.alias("has_body"), *empty, (found_ok & plain & F.coalesce(F.size("rules") > 0, F.lit(False))).alias("valid"))
 
 
 def url_report(responses: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators import rules
 from driftline.shared import folder
 
 from .archive import MOST_STORED
@@ -45,8 +46,7 @@ def retried(log: DataFrame, slow_down: int = 44, most: int = 5) -> DataFrame:
 
 def followed(responses: DataFrame) -> DataFrame:
     """Responses whose links are followed: a body not seen before, and no file that was asked for unasked."""
-    n = F.row_number().over(Window.partitionBy("data_hash").orderBy("seq"))
-    return responses.where(~F.col("is_proactive")).withColumn("_n", n).where(F.col("data_hash").isNull() | (F.col("_n") == 1)).drop("_n")
+    return rules.content_seen(responses.where(~F.col("is_proactive")), "data_hash", "seq").where("not seen").drop("seen")
 
 
 def fixpoint(start: DataFrame, step, key: str) -> DataFrame:

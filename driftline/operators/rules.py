@@ -1,7 +1,7 @@
 """URL rules: block lists, robots policies, depth, seen URLs and bodies, and the chain that a frontier applies.
 
-Rule tables are small next to URL tables, but they grow with the sites known, so rules of a site are joined on the
-site's authority; only rules that hold everywhere are compared with each URL.
+Rules grow with the sites known, so none but regular expressions are collected or compared with a URL one by one: a URL gives
+its beginnings of the lengths that the rules of its site have, and a hash join finds those that are rules.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.robots import robots_rows
+
 #: How deep a crawl goes, and how many URLs a site may add.
 MOST_DEPTH, MOST_PER_SITE = 25, 15_000
 
@@ -26,59 +28,69 @@ def parse_block_rules(lines: DataFrame) -> DataFrame:
     return lines.where((x != "") & ~x.startswith("#")).select(F.col("line_no").alias("rule_no"), x.alias("definition"), kind.alias("kind"), authority.alias("authority"), pattern.alias("pattern"))
 
 
-def _hit(url: Column) -> Column:
-    return F.when(F.col("kind") == "regex", url.rlike(F.col("pattern"))).when(F.col("kind") == "nosub", url.startswith(F.col("pattern")) & (url != F.col("pattern"))).otherwise(url.startswith(F.col("pattern")))
+def _least_rule(tried: DataFrame, patterns: DataFrame, by: list[str]) -> DataFrame:
+    """The least rule of each text (``by``, _text) whose first _n characters are a pattern. Where a pattern's ``_whole`` is
+    false the text has to go on after it."""
+    keyed = patterns.groupBy(*by, "_pattern").agg(F.min(F.when(F.col("_whole"), F.col("_rule"))).alias("_at_end"), F.min("_rule").alias("_before"))
+    met = tried.withColumn("_pattern", F.substr("_text", F.lit(1), "_n")).join(keyed, [*by, "_pattern"])
+    rule = F.when(F.col("_n") < F.length("_text"), F.col("_before")).otherwise(F.col("_at_end"))
+    return met.groupBy(*by, "_text").agg(F.min(rule).alias("_rule")).where("_rule is not null")
 
 
-def blocked_by(urls: DataFrame, rules: DataFrame, url: str = "url", authority: str = "authority") -> DataFrame:
-    """``urls`` with blocked_by: the definition of the first rule that hits, those for all sites before a site's own."""
-    everywhere = rules.where("authority is null").select(F.lit(0).alias("scope"), "rule_no", "definition", "kind", "pattern").orderBy("rule_no").collect()  # the short list that every URL has to pass
-    first = F.coalesce(*[F.when(_literal_hit(F.col(url), r["kind"], r["pattern"]), r["definition"]) for r in everywhere], F.lit(None).cast("string"))
-    own = rules.where("authority is not null").groupBy("authority").agg(F.sort_array(F.collect_list(F.struct("rule_no", "definition", "kind", "pattern"))).alias("_rules"))
+def _first_prefix(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``texts`` (_site, _text) that begin with patterns (_site, _pattern, _rule, _whole) of their site, with the least rule. Each
+    text is tried at the lengths that its site's patterns have, at most as many as the longest has characters. Only hits
+    are gathered for the minimum; the URLs of a large site meet its patterns by the pattern, not in one place."""
+    sizes = patterns.groupBy("_site").agg(F.collect_set(F.length("_pattern")).alias("_sizes"))
+    tried = texts.join(sizes, "_site").select("_site", "_text", F.explode(F.filter("_sizes", lambda n: n <= F.length("_text"))).alias("_n"))
+    return _least_rule(tried, patterns, ["_site"])
 
-    def hit(r: Column) -> Column:
-        return F.col(url).startswith(r["pattern"]) & ((r["kind"] != "nosub") | (F.col(url) != r["pattern"]))
 
-    joined = urls.join(own, authority, "left")
-    of_site = F.filter(F.coalesce("_rules", F.array().cast(own.schema["_rules"].dataType)), hit)
-    return joined.withColumn("blocked_by", F.coalesce(first, F.when(F.size(of_site) > 0, of_site[0]["definition"]))).drop("_rules")
+def _first_prefix_everywhere(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """As _first_prefix, for patterns of all sites: _text and _rule."""
+    sizes = sorted(r[0] for r in patterns.select(F.length("_pattern")).distinct().collect())  # numbers up to the longest pattern's length
+    lengths = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+    tried = texts.select("_text", F.explode(F.filter(lengths, lambda n: n <= F.length("_text"))).alias("_n"))
+    return _least_rule(tried, patterns, [])
 
 
-def _literal_hit(url: Column, kind: str, pattern: str) -> Column:
-    return url.rlike(pattern) if kind == "regex" else url.startswith(pattern)
+def blocked_by(urls: DataFrame, rules: DataFrame, url: str = "url", authority: str = "authority") -> DataFrame:
+    """``urls`` with blocked_by: the definition of the first rule that hits, those for all sites before a site's own. Regular
+    expressions hold for all sites and are tried one by one; other rules are looked up, however many there are. A null URL
+    is not blocked, and one without an authority by the rules for all sites alone."""
+    said = F.struct(F.when(F.col("authority").isNull(), 0).otherwise(1).alias("scope"), F.col("rule_no").cast("bigint").alias("rule_no"), "definition")
+    patterns = rules.where("kind <> 'regex'").select("authority", F.col("pattern").alias("_pattern"), said.alias("_rule"), (F.col("kind") != "nosub").alias("_whole"))
+    everywhere = patterns.where("authority is null").drop("authority")
+    of_all = _first_prefix_everywhere(urls.select(F.col(url).alias("_text")).where("_text is not null"), everywhere)
+    own = _first_prefix(urls.select(F.col(authority).alias("_site"), F.col(url).alias("_text")).where("_site is not null and _text is not null"), patterns.where("authority is not null").withColumnRenamed("authority", "_site"))
+    regex = rules.where("kind = 'regex'").orderBy("rule_no").collect()
+    first = F.coalesce(*[F.when(F.col(url).rlike(r["pattern"]), F.struct(F.lit(0).alias("scope"), F.lit(r["rule_no"]).cast("bigint").alias("rule_no"), F.lit(r["definition"]).alias("definition"))) for r in regex], F.lit(None).cast("struct<scope:int,rule_no:bigint,definition:string>"))
+    joined = urls.join(of_all.withColumnRenamed("_rule", "_of_all"), F.col(url) == F.col("_text"), "left").drop("_text")
+    joined = joined.join(own.withColumnRenamed("_rule", "_own"), (F.col(url) == F.col("_text")) & (F.col(authority) == F.col("_site")), "left")
+    # null rules are left out of the least
+    return joined.withColumn("blocked_by", F.least(first, F.col("_of_all"), F.col("_own"))["definition"]).drop("_of_all", "_own", "_site", "_text")
 
 
 def parse_robots(files: DataFrame) -> DataFrame:
-    """authority, user_agent, path, line, line_number of each deny rule of ``files`` (authority, content).
+    """authority, user_agent, path, line, line_number of each deny rule of ``files`` (authority, content); see
+    ``functions.robots``. A rule with an empty path, which denies nothing, is one too."""
+    return robots_rows(files).where("what = 'rule'").select("authority", "user_agent", "path", "line", "line_number")
 
-    User-agent lines in a row share the rules below them. A ``*`` at the end of a path is cut; a rule with one in the
-    middle is left out, as are empty paths, allow, crawl-delay, sitemap and unknown lines.
-    """
-    start = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("ruled"), F.array().cast("array<struct<user_agent:string,path:string,line:string,line_number:int>>").alias("rules"), F.lit(0).alias("n"))
-
-    def step(acc: Column, raw: Column) -> Column:
-        line = F.trim(F.substring_index(raw, "#", 1))
-        name = F.lower(F.trim(F.substring_index(line, ":", 1)))
-        value = F.when(line.contains(":"), F.trim(F.regexp_replace(line, "^[^:]*:", ""))).otherwise("")
-        n = acc["n"] + 1
-        agent, deny = (name == "user-agent") & (value != ""), (name == "disallow") & (value != "")
-        path = F.regexp_replace(value, r"\*$", "")
-        path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-        usable = deny & ~path.contains("*")
-        added = F.transform(acc["agents"], lambda a: F.struct(a.alias("user_agent"), path.alias("path"), line.alias("line"), n.alias("line_number")))
-        agents = F.when(agent & acc["ruled"], F.array(F.lower(value))).when(agent, F.concat(acc["agents"], F.array(F.lower(value)))).otherwise(acc["agents"])
-        ruled = F.when(agent, False).when(name.isin("disallow", "allow"), True).otherwise(acc["ruled"])
-        return F.struct(agents.alias("agents"), ruled.alias("ruled"), F.when(usable, F.concat(acc["rules"], added)).otherwise(acc["rules"]).alias("rules"), n.alias("n"))
-
-    rules = F.aggregate(F.split(F.regexp_replace("content", "\r", ""), "\n"), start, step, lambda acc: acc["rules"])
-    return files.select("authority", F.explode(rules).alias("r")).select("authority", "r.*")
+
+def robots_valid(files: DataFrame) -> DataFrame:
+    """``files`` (authority, content) with valid: it gives at least one rule."""
+    found = parse_robots(files).select("authority").distinct().withColumn("_valid", F.lit(True))
+    return files.join(found, "authority", "left").withColumn("valid", F.coalesce("_valid", F.lit(False))).drop("_valid")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """``urls`` (authority, path) with allowed. Rules for all agents hold even for one with rules of its own."""
-    own = rules.where(F.col("user_agent").isin("*", agent.lower()) & (F.col("path") != "")).groupBy("authority").agg(F.collect_set("path").alias("_denied"))
-    joined = urls.join(own, "authority", "left")
-    return joined.withColumn("allowed", ~F.coalesce(F.exists("_denied", lambda p: F.col("path").startswith(p)), F.lit(False))).drop("_denied")
+    """``urls`` (authority, path) with allowed: no denied path of the site begins the URL's. Rules for all agents hold even for one
+    with rules of its own. Denied paths are looked up, however many a site has."""
+    denied = rules.where(F.col("user_agent").isin("*", agent.lower()) & (F.col("path") != ""))
+    denied = denied.select(F.col("authority").alias("_site"), F.col("path").alias("_pattern"), F.lit(1).alias("_rule"), F.lit(True).alias("_whole"))
+    hits = _first_prefix(urls.select(F.col("authority").alias("_site"), F.col("path").alias("_text")).where("_site is not null and _text is not null"), denied)
+    joined = urls.join(hits, (F.col("authority") == F.col("_site")) & (F.col("path") == F.col("_text")), "left")
+    return joined.withColumn("allowed", F.col("_rule").isNull()).drop("_site", "_text", "_rule")
 
 
 def within_depth(entries: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
@@ -96,9 +108,10 @@ def first_seen(entries: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def content_seen(rows: DataFrame, digest: str, order: str) -> DataFrame:
-    """``rows`` with seen: an earlier row has the same digest; null digests are never seen."""
-    n = F.row_number().over(Window.partitionBy(digest).orderBy(order))
-    return rows.withColumn("seen", F.col(digest).isNotNull() & (n > 1))
+    """``rows`` with seen: an earlier row has the same digest; null digests are never seen. Digests are summed up before they are
+    shuffled, and a digest of many rows is met by each of them, not gathered."""
+    first = rows.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("_digest")).agg(F.min(order).alias("_first"))
+    return rows.join(first, F.col(digest) == F.col("_digest"), "left").withColumn("seen", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_digest", "_first")
 
 
 def frontier_chain(entries: DataFrame, seen: DataFrame, seeds: DataFrame | None, rules: DataFrame) -> DataFrame:

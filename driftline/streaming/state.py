@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftline.functions.robots import robots_lines
 from driftline.operators.reports import DOWN_SHARE, FIRST_WAIT, LONGEST_WAIT, SAMPLES, SLOW_DOWN
 
 _DOC = "url_id bigint, first_seen timestamp, last_visit timestamp, last_successful_visit timestamp, last_time_updated timestamp, status_code int, response_hash string, seq bigint, action string"
@@ -84,15 +86,61 @@ def politeness(log: DataFrame) -> DataFrame:
     return log.groupBy("authority").applyInPandasWithState(_politeness, "authority bigint, seq bigint, wait_ms bigint", "n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_seen(urls: DataFrame) -> DataFrame:
-    """Each URL when it first comes. No watermark: rows are in any order of time, so the state keeps every url_id."""
-    return urls.dropDuplicates(["url_id"])
+def _firsts(order: str):
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in frames:  # one row of each is kept
+            best = pd.concat([x for x in (best, frame) if x is not None]).nsmallest(1, order)
+        if not state.exists and best is not None:
+            state.update((True,))
+            yield best
+
+    return first
+
+
+def _first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key in the batch in which it first comes. The state is a flag per key."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(_firsts(order), schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_seen(urls: DataFrame, key: str = "url_id", order: str = "seq") -> DataFrame:
+    """Each URL when it first comes, with all its columns. No watermark: rows are in any order of time, so the state keeps every
+    key. Null keys are left out."""
+    return _first_of(urls, key, order)
 
 
 def robots_fetches(requests: DataFrame) -> DataFrame:
     """For each site the first request of it (authority, seq): the one for which the robots file is fetched; what it says
-    is kept for all later ones. The state is a flag per site."""
-    return requests.select("authority", "seq").dropDuplicates(["authority"])
+    is kept for all later ones, see ``robots_answers``."""
+    return _first_of(requests.select("authority", "seq"), "authority", "seq")
+
+
+def _robots(agent: str):
+    def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asked, denied = (True, state.get[0]) if state.exists else (False, None)
+        out = []
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
+            if r.path is None:  # the answer to a fetch
+                found = [(a, p) for _, what, a, p, _ in robots_lines(r.content) if what == "rule"] if r.content is not None else []
+                asked, denied = True, sorted({p for a, p in found if a in ("*", agent) and p}) if found else None
+            else:
+                free = denied is None or not any(r.path.startswith(p) for p in denied)
+                out.append((key[0], r.seq, r.path, free, not asked or (denied is not None and free)))
+        if asked:
+            state.update((None if denied is None else list(denied),))
+        yield pd.DataFrame(out, columns=["authority", "seq", "path", "allowed", "allowed_offline"])
+
+    return answer
+
+
+def robots_answers(rows: DataFrame, agent: str = "indexer") -> DataFrame:
+    """Requests answered from what is kept of their sites' robots files. ``rows`` (authority, seq, path, content) are requests, and
+    with a null path what a fetch of a site's file gave: its content, or null where it failed. A site's state is the paths
+    that it denies, or nothing where the fetch failed or gave no rule. ``allowed`` refuses denied paths only;
+    ``allowed_offline``, for who may not fetch, allows sites that weren't asked and refuses those whose fetch gave nothing."""
+    known = "authority bigint" if rows.schema["authority"].dataType.simpleString() == "bigint" else "authority string"
+    return rows.select("authority", "seq", "path", "content").groupBy("authority").applyInPandasWithState(_robots(agent.lower()), f"{known}, seq bigint, path string, allowed boolean, allowed_offline boolean", "denied array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def captures(responses: DataFrame, event_time: str = "captured") -> DataFrame:
@@ -131,4 +179,4 @@ def replay(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-__all__ = ["captures", "connectivity", "documents", "first_seen", "link_changes_per_batch", "politeness", "replay", "robots_fetches", "upsert_into"]
+__all__ = ["captures", "connectivity", "documents", "first_seen", "link_changes_per_batch", "politeness", "replay", "robots_answers", "robots_fetches", "upsert_into"]

@@ -1,10 +1,11 @@
-from datetime import datetime, timedelta
-
 import gzip
+import random
+import re
+from datetime import datetime, timedelta
 
 import pytest
-from driftline.functions import parsers
-from driftline.operators import archive, documents, graph, reports, rules
+from driftline.functions import parsers, robots
+from driftline.operators import archive, crawl, documents, graph, reports, rules
 from driftline.sources import files, warc
 from pyspark.sql import functions as F
 
@@ -15,11 +16,65 @@ def test_robots(spark):
     content = "# c\nUser-agent: a\nUser-agent: B\nDisallow: /x*\nDisallow:\nDisallow: /a*b\nAllow: /\nCrawl-delay: 3\n\nUser-agent: *\nDisallow: private\nnonsense"
     df = spark.createDataFrame([("h", content), ("g", "Disallow: /before-any-agent")], "authority string, content string")
     got = {(r.user_agent, r.path, r.line_number) for r in rules.parse_robots(df).collect()}
-    assert got == {("a", "/x", 4), ("b", "/x", 4), ("*", "/private", 11)}
+    assert got == {("a", "/x", 4), ("b", "/x", 4), ("a", "", 5), ("b", "", 5), ("*", "/private", 11)}
     urls = spark.createDataFrame([("h", "/x1"), ("h", "/private/2"), ("h", "/ok"), ("z", "/x")], "authority string, path string")
     assert {(r.path, r.allowed) for r in rules.robots_allowed(urls, rules.parse_robots(df), "a").collect() if r.authority == "h"} == {("/x1", False), ("/private/2", False), ("/ok", True)}
     report = parsers.robots_report(df.withColumn("status_code", F.lit(20)).withColumn("meta", F.lit("text/plain"))).collect()
-    assert {r.authority: (r.rules, r.warnings) for r in report} == {"h": (3, 3), "g": (0, 0)}
+    assert {r.authority: ([w.kind for w in r.warnings], [w.line_number for w in r.warnings], len(r.rules), r.valid) for r in report} == {
+        "h": (["wildcard", "allow", "crawl-delay", "no_colon"], [6, 7, 8, 12], 5, True), "g": (["no_agent"], [1], 0, False)
+    }
+    odd = spark.createDataFrame([("n", None), ("e", ""), ("c", "#only\r\n\r\n"), ("o", "User-agent:\nDisallow: **\nFoo: 1\r\nAllow: x\nUser-agent: q\r\nDisallow: a # b")], "authority string, content string")
+    assert {(r.authority, r.line_number, r.kind) for r in robots.robots_warnings(odd).collect()} == {("o", 2, "wildcard"), ("o", 3, "unknown"), ("o", 4, "allow")}
+    assert [(r.user_agent, r.path) for r in rules.parse_robots(odd).collect()] == [("q", "/a")]
+    assert {(r.authority, r.valid) for r in rules.robots_valid(odd).collect()} == {("n", False), ("e", False), ("c", False), ("o", True)}
+    assert robots.robots_warnings(odd.limit(0)).count() == 0
+
+
+def test_many_rules_against_plain(spark):
+    """Prefixes of prefixes, rules that spare themselves, rules of all sites: the first one that hits, by scope and number."""
+    rnd = random.Random(6)
+    lines = ["regex:x{3}$", "regex:^gemini://s9/"]
+    for _ in range(400):
+        path = "".join(rnd.choice("ab/") for _ in range(rnd.randint(0, 4)))
+        lines.append(f"gemini://s{rnd.randrange(4)}/{path}{rnd.choice(['', '', '$', '*' if rnd.random() < 0.05 else ''])}")
+    urls = [(f"gemini://s{k}/{''.join(rnd.choice('ab/') for _ in range(rnd.randint(0, 6)))}", f"s{k}") for k in (rnd.randrange(5) for _ in range(300))]
+    urls += [("gemini://s1/xxx", "s1"), ("gemini://s9/a", "s9"), (None, "s1"), ("gemini://s1/ab", None)] + urls[:20]
+    parsed = rules.parse_block_rules(spark.createDataFrame(list(enumerate(lines)), "line_no int, line string"))
+
+    def hits(line, url, site):
+        if line.startswith("regex:"):
+            return re.search(line[6:], url) is not None
+        pattern = line.rstrip("*$")
+        return (line.endswith("*") or site == pattern.split("/")[2]) and url.startswith(pattern) and (not line.endswith("$") or url != pattern)
+
+    def first(url, site):
+        found = [(not (x.startswith("regex:") or x.endswith("*")), n) for n, x in enumerate(lines) if url is not None and hits(x, url, site)]
+        return lines[min(found)[1]] if found else None
+
+    df = spark.createDataFrame(urls, "url string, authority string")
+    got = sorted(((r.url, r.authority, r.blocked_by) for r in rules.blocked_by(df, parsed).collect()), key=str)
+    assert got == sorted(((u, a, first(u, a)) for u, a in urls), key=str)
+    assert {r.blocked_by for r in rules.blocked_by(df, parsed.limit(0)).collect()} == {None}
+    plan = rules.blocked_by(df, parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # no array of rules
+
+
+def test_paths_of_many_rules(spark):
+    rnd = random.Random(8)
+    denied = [(f"h{rnd.randrange(3)}", rnd.choice(["*", "a", "b"]), "".join(rnd.choice("/xy") for _ in range(rnd.randint(0, 4)))) for _ in range(80)]
+    urls = [(f"h{rnd.randrange(4)}", "".join(rnd.choice("/xy") for _ in range(rnd.randint(0, 6)))) for _ in range(200)] + [("h0", None), (None, "/x")]
+    df, said = spark.createDataFrame(urls, "authority string, path string"), spark.createDataFrame(denied, "authority string, user_agent string, path string")
+    got = sorted(((r.authority, r.path, r.allowed) for r in rules.robots_allowed(df, said, "A").collect()), key=str)
+    want = [(h, p, not any(h == s and g in ("*", "a") and d and p is not None and p.startswith(d) for s, g, d in denied)) for h, p in urls]
+    assert got == sorted(want, key=str)
+    assert all(r.allowed for r in rules.robots_allowed(df, said.limit(0), "a").collect())
+
+
+def test_seen_digests(spark):
+    rows = [(1, "a"), (2, None), (3, "a"), (4, None), (5, "b"), (3, "a")]
+    df = spark.createDataFrame(rows, "seq long, data_hash string").withColumn("is_proactive", F.lit(False))
+    assert sorted((r.seq, r.data_hash, r.seen) for r in rules.content_seen(df, "data_hash", "seq").collect() if r.data_hash) == [(1, "a", False), (3, "a", True), (3, "a", True), (5, "b", False)]
+    assert sorted(r.seq for r in crawl.followed(df).collect()) == [1, 2, 4, 5]
 
 
 def test_block_rules(spark):

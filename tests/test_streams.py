@@ -4,7 +4,7 @@ import pytest
 from driftline.streaming import state
 
 
-@pytest.mark.parametrize("form", [state.captures, state.first_seen])
+@pytest.mark.parametrize("form", [state.captures, lambda rows: state.first_seen(rows, order="captured")])
 def test_old_rows_in_a_later_batch(spark, tmp_path, form):
     new, old = datetime(2023, 1, 1), datetime(2019, 1, 1)
     batches = [[(1, new), (1, new), (2, new + timedelta(days=400))], [(3, old), (3, old), (1, new)], [(4, old), (3, old)]]
@@ -13,7 +13,13 @@ def test_old_rows_in_a_later_batch(spark, tmp_path, form):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{source}")
         # each call goes on from the state of the one before
         got = state.replay(form(spark.readStream.schema(schema).parquet(f"file://{source}")), f"file://{tmp_path}/out")
-        want = {r for b in batches[: n + 1] for r in b}
+        want, seen = set(), set()
+        for b in batches[: n + 1]:
+            own = sorted(set(b), key=lambda r: r[1])
+            if form is not state.captures:
+                own = [r for k, r in enumerate(own) if r[0] not in seen | {x[0] for x in own[:k]}]
+            want |= set(own)
+            seen |= {r[0] for r in own}
         assert sorted((r.url_id, r.captured) for r in got.collect()) == sorted(want)
 
 
@@ -32,6 +38,22 @@ def test_robots_are_fetched_once(spark, tmp_path):
         assert sorted(map(tuple, got)) == sorted(seen)
 
 
+def test_robots_answers_from_state(spark, tmp_path):
+    """Three sites, a good file, a failed fetch and one without rules, asked before and after, batch by batch."""
+    batches = [
+        [("good", 1, "/x/1", None), ("bad", 2, "/x", None), ("none", 3, "/x", None), ("good", 4, None, "User-agent: *\nDisallow: /x\nUser-agent: indexer\nDisallow: /y\nUser-agent: other\nDisallow: /"), ("good", 5, "/x/1", None)],
+        [("bad", 6, None, None), ("bad", 7, "/x", None), ("good", 8, "/y", None), ("good", 9, "/z", None), ("none", 10, None, "no file")],
+        [("none", 12, "/x", None), ("bad", 13, "/y", None), ("good", 11, "/x", None), ("new", 14, "/", None), ("bad", 15, None, "User-agent: *\nDisallow:"), ("bad", 16, "/x", None)],
+    ]
+    want = {
+        1: (True, True), 2: (True, True), 3: (True, True), 5: (False, False), 7: (True, False), 8: (False, False), 9: (True, True), 12: (True, False), 13: (True, False), 11: (False, False), 14: (True, True), 16: (True, True),
+    }
+    for n, stream in enumerate(_files(spark, tmp_path / "in", batches, "authority string, seq long, path string, content string")):
+        got = {r.seq: (r.allowed, r.allowed_offline) for r in state.replay(state.robots_answers(stream), f"file://{tmp_path}/out").collect()}
+        asked = {r[1] for b in batches[: n + 1] for r in b if r[2] is not None}
+        assert got == {k: v for k, v in want.items() if k in asked}
+
+
 def test_state_goes_on_from_batch_to_batch(spark, tmp_path):
     """Connectivity, politeness and documents over several batches are those of all rows in one batch form."""
     from driftline.operators import documents, reports
