@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.functions import formats, gemtext, urls
+from driftline.functions import formats, gemtext, parsers, urls
 from driftline.operators import archive, crawl, documents, fts, graph, index, reports, rules
 from driftline.shared import folder
+from driftline.sources import pack
 from driftline.plans.userquery import Page, parse, suggestion
 from driftline.streaming import state
 
@@ -454,10 +455,13 @@ def archive_blobs(spark, d):
     return archive.blobs(snapshots(spark, d).withColumn("body", F.lit(b""))).select("data_hash", "prefix")
 
 
-@query("""SELECT doc_id FROM documents WHERE (lang IN ('en', 'de') AND n_chars > 0 AND n_chars < 5242880) OR lang = 'fr'""")
+@query("""SELECT doc_id FROM documents WHERE (lang IN ('en', 'de') AND n_chars > 0 AND (doc_id % 3 <> 0 OR (n_chars * 1000 <= 5242880 AND doc_id % 4 <> 0))) OR lang = 'fr'""")
 def archive_storable(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "fr", 30).when(F.col("lang") == "es", 51).otherwise(20).alias("status_code"), F.lit("text/gemini").alias("mime_type"), F.col("n_chars").alias("size"), F.lit(False).alias("is_body_truncated"))
-    return archive.storable(rows.where("size < 5242880")).select("doc_id")
+    """Text of any size, and other bodies that aren't cut, up to a size; sizes are a thousand times those of the texts."""
+    n, status = F.col("doc_id"), F.when(F.col("lang") == "fr", 30).when(F.col("lang") == "es", 51).otherwise(20)
+    mime = F.when(n % 3 == 0, "image/png").otherwise("text/gemini")
+    rows = t(spark, d, "documents").select("doc_id", status.alias("status_code"), mime.alias("mime_type"), (F.col("n_chars") * 1000).alias("size"), (n % 4 == 0).alias("is_body_truncated"))
+    return archive.storable(rows).select("doc_id")
 
 
 @query("SELECT DISTINCT user_id AS url_id, ts AS captured FROM events WHERE (user_id, ts) NOT IN (SELECT (user_id, ts) FROM events WHERE event_id % 5 = 0)")
@@ -469,9 +473,9 @@ def archive_idempotent(spark, d):
 @query("""WITH v AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations)
 SELECT conv_id, count(*) AS versions, count(*) FILTER (old = text) AS same FROM v WHERE old IS NOT NULL GROUP BY conv_id""")
 def archive_version_pairs(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    v = t(spark, d, "conversations").withColumn("old", F.lag("text").over(w)).where("old is not null")
-    return v.groupBy("conv_id").agg(F.count("*").alias("versions"), F.count_if(F.col("old") == F.col("text")).alias("same"))
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("url_id"), F.col("turn").alias("captured"), F.col("turn").alias("seq"), "text")
+    pairs = archive.version_pairs(rows).where("old is not null")
+    return pairs.groupBy(F.col("url_id").alias("conv_id")).agg(F.count("*").alias("versions"), F.count_if(F.col("old") == F.col("text")).alias("same"))
 
 
 @query()
@@ -785,12 +789,12 @@ def proactive_links(spark, d):
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""")
 def link_extract(spark, d):
-    return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    return t(spark, d, "pages").select("page_id", F.explode(parsers.html_links(F.col("html"))).alias("target"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
 def page_title(spark, d):
-    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return t(spark, d, "pages").select("page_id", parsers.html_title(F.col("html")).alias("title"))
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS protocol, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS domain,
@@ -951,12 +955,15 @@ def followed_responses(spark, d):
     return crawl.followed(rows).select("seq")
 
 
-@query("""WITH RECURSIVE r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT (node * 7 + k) % 1000 FROM r, (SELECT unnest([3, 11]) AS k)) SELECT node FROM r""")
+@query(f"""WITH RECURSIVE {LINKS_SQL}, r(node) AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT target_url_id FROM r JOIN links ON source_url_id = node AND NOT is_external) SELECT node FROM r""")
 def pending_fixpoint(spark, d):
+    """Pages reached by internal links from every fiftieth order, each put on the list once."""
+    inner = links(spark, d).where("not is_external").select("source_url_id", "target_url_id").distinct()
+
     def step(new: DataFrame) -> DataFrame:
-        return new.select(F.explode(F.array((F.col("node") * 7 + 3) % 1000, (F.col("node") * 7 + 11) % 1000)).alias("node"))
+        return new.join(inner, F.col("node") == F.col("source_url_id")).select(F.col("target_url_id").alias("node"))
 
-    return crawl.fixpoint(spark.createDataFrame([(0,)], "node bigint"), step, "node")
+    return crawl.fixpoint(t(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("node")), step, "node")
 
 
 @query(f"""WITH {SNAPSHOTS_SQL} SELECT url_id, seq, captured, lag(captured) OVER w AS old, lag(captured, 2) OVER w AS before_old, lead(captured) OVER w AS after FROM flagged WHERE NOT is_duplicate WINDOW w AS (PARTITION BY url_id ORDER BY captured, seq) QUALIFY lag(captured) OVER w IS NOT NULL""")
@@ -964,10 +971,14 @@ def diff_navigation(spark, d):
     return crawl.diff_navigation(flagged(spark, d).where("not is_duplicate"))
 
 
-@query("SELECT count(*) AS blobs, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT DISTINCT text FROM documents)")
+@query("SELECT count(*) AS blobs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, true AS all_on_disk FROM (SELECT DISTINCT text FROM documents)")
 def pack_size(spark, d):
-    rows = t(spark, d, "documents").select(F.sha2("text", 256).alias("data_hash"), F.col("text").cast("binary").alias("body"))
-    return crawl.pack_size(archive.blobs(rows))
+    """Bodies in packs, their bytes, and whether the files are as long as their records."""
+    place = folder(spark, "packs")
+    rows = t(spark, d, "documents").select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("data_hash"), F.col("text").cast("binary").alias("body"))
+    held = pack.store(rows, place)
+    notes = len(pack.record(pack.INFO, pack.NOTE))
+    return held.agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"), (F.sum(F.col("stored") + 8) + notes * F.countDistinct("file") == pack.disk_size(spark, place)).alias("all_on_disk"))
 
 
 @query("SELECT o_orderkey AS url_id, count(l_orderkey) AS n, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_day FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

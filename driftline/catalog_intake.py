@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, log, query, t
-from driftline.functions import formats, gemtext, parsers, robots
+from driftline.functions import formats, gemtext, parsers, robots, urls
 from driftline.operators import archive, crawl, documents, reports, rules
 from driftline.shared import folder as _folder
-from driftline.sources import files, warc
+from driftline.sources import files, pack, warc
 from driftline.streaming import state
 
 # --- archives -------------------------------------------------------------------------------------------------------
@@ -37,43 +37,56 @@ def _captures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _archive(spark: SparkSession, d: str, one_file: bool = True) -> DataFrame:
-    """The records of the captures, written as WARC files and read again."""
-    folder, rows = _folder(spark, "warc"), _captures(spark, d)
+def _archive(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the captures, written as WARC files by all tasks and read again."""
+    place, rows = _folder(spark, "warc"), warc.certificates_once(_captures(spark, d))
     warc.register(spark)
-    (rows.coalesce(1) if one_file else rows.repartition(4, "url")).write.format("warc").mode("append").save(folder)
-    return warc.read(spark, folder)
+    rows.repartition(4, "url").write.format("warc").mode("append").save(place)
+    return warc.read(spark, place)
 
 
 @query(f"""WITH {_CAPTURES_SQL}
 SELECT url, status_code, meta, CASE status_code WHEN 20 THEN 'text/gemini' END AS mime_type, CASE status_code WHEN 20 THEN 'utf-8' END AS charset, CASE status_code WHEN 20 THEN 'en' END AS language,
     1600000000 + page_id AS received, CASE status_code WHEN 20 THEN sha256(body) ELSE sha256('') END AS body_hash, is_body_truncated FROM told""")
 def warc_responses(spark, d):
-    got = warc.responses(_archive(spark, d, one_file=False))
+    got = warc.responses(_archive(spark, d))
     return got.select("url", "status_code", "meta", "mime_type", "charset", "language", F.unix_timestamp("received").alias("received"), F.sha2(F.coalesce("body", F.lit(b"")), 256).alias("body_hash"), "is_body_truncated")
 
 
-@query(f"""WITH {_CAPTURES_SQL}
-SELECT record_type, count(*) AS n, count(*) FILTER (record_type <> 'metadata') AS with_tls FROM (
-    SELECT unnest(['request', 'response']) AS record_type FROM captures UNION ALL SELECT DISTINCT ON (site) 'metadata' FROM captures) r GROUP BY 1""")
+#: What a site's first capture writes besides: its certificate.
+_RECORDS_SQL = """
+firsts AS (SELECT page_id FROM captures QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1),
+records AS (
+    SELECT page_id, url, site, status_code, body, unnest(CASE WHEN page_id IN (SELECT page_id FROM firsts) THEN ['request', 'response', 'metadata'] ELSE ['request', 'response'] END) AS record_type FROM captures)"""
+
+
+@query(f"WITH {_CAPTURES_SQL}, {_RECORDS_SQL} SELECT record_type, count(*) AS n, count(*) FILTER (record_type <> 'metadata') AS with_tls, count(DISTINCT site) AS sites FROM records GROUP BY 1")
 def warc_records(spark, d):
-    """What a writer's file holds: a request and a response a capture, and each site's certificate once."""
-    tls = F.col("headers")["warc-cipher-suite"].isNotNull() & F.col("headers")["warc-protocol"].isNotNull()
-    return _archive(spark, d).groupBy("record_type").agg(F.count("*").alias("n"), F.count_if(tls).alias("with_tls"))
+    """What the files hold: a request and a response a capture, and each site's certificate once in all of them."""
+    tls = (F.col("headers")["warc-cipher-suite"] == "AES") & (F.col("headers")["warc-protocol"] == "TLSv1.3")
+    return _archive(spark, d).groupBy("record_type").agg(F.count("*").alias("n"), F.count_if(tls).alias("with_tls"), F.countDistinct(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("sites"))
 
 
-@query(f"""WITH {_CAPTURES_SQL}, down AS (SELECT DISTINCT site FROM captures WHERE status_code = 49)
-SELECT url, unnest(['request', 'response']) AS record_type, count(*) AS n FROM captures GROUP BY url
-UNION ALL SELECT 'metadata', 'metadata', count(DISTINCT site) FROM captures WHERE site NOT IN (SELECT site FROM down)""")
+@query(f"""WITH {_CAPTURES_SQL}, {_RECORDS_SQL}, down AS (SELECT DISTINCT site FROM captures WHERE status_code = 49)
+SELECT url, record_type, count(*) AS n, count(*) FILTER (record_type <> 'metadata') AS with_tls, CAST(0 AS BIGINT) AS old_names,
+    count(*) FILTER (record_type = 'response' AND status_code = 20 AND body <> '' AND NOT ends_with(url, '0')) AS with_digest
+FROM records WHERE record_type <> 'metadata' OR site NOT IN (SELECT site FROM down) GROUP BY url, record_type""")
 def warc_cleaned(spark, d):
-    got = warc.cleaned(_archive(spark, d))
-    url = F.when(F.col("record_type") == "metadata", "metadata").otherwise(F.col("url"))
-    return got.groupBy(url.alias("url"), "record_type").agg(F.count("*").alias("n"))
+    """Records with the names of older writers and digests of nothing, made as they should be."""
+    old = F.transform_keys("headers", lambda k, v: F.when(k == "warc-cipher-suite", "tls-cipher").when(k == "warc-protocol", "tls-version").otherwise(k))
+    nothing = F.transform_values(old, lambda k, v: F.when(k.endswith("digest") & F.col("url").endswith("0"), "sha256:null").otherwise(v))
+    got, h = warc.cleaned(_archive(spark, d).withColumn("headers", nothing)), F.col("headers")
+    return got.groupBy("url", "record_type").agg(
+        F.count("*").alias("n"), F.count_if((h["warc-cipher-suite"] == "AES") & (h["warc-protocol"] == "TLSv1.3")).alias("with_tls"), F.count_if(h["tls-cipher"].isNotNull() | h["tls-version"].isNotNull()).alias("old_names"),
+        F.count_if(F.coalesce(h["warc-payload-digest"], F.lit("")).startswith("sha256:")).alias("with_digest"),
+    )
 
 
-@query("SELECT unnest([0, 1, 2, 3, 4]) AS record_no, unnest(['request', 'response', 'metadata', 'request', 'response']) AS record_type")
+@query(f"WITH {_CAPTURES_SQL}, {_RECORDS_SQL} SELECT url, record_type FROM records ORDER BY page_id, CASE record_type WHEN 'request' THEN 1 WHEN 'response' THEN 2 ELSE 3 END LIMIT 100")
 def warc_first_records(spark, d):
-    return warc.first_records(_archive(spark, d), 5).select("record_no", "record_type")
+    """The first hundred records by date, of all files."""
+    url = F.regexp_replace("url", r"(/robots\.txt)\?.*$", "$1")
+    return warc.first_records(_archive(spark, d), 100, "record_date", "record_no").select(url.alias("url"), "record_type")
 
 
 @query(f"""WITH {_CAPTURES_SQL}
@@ -159,11 +172,11 @@ def stored_objects(spark, d):
     return files.with_bodies(rows.select("url_id"), objects).select(F.col("url_id").alias("doc_id"), "key", "body")
 
 
-@query("SELECT event_type, value FROM events WHERE event_id % 4 = 0")
+@query("SELECT event_type, value FROM events")
 def log_lines(spark, d):
     """Values with tabs and breaks in them, written as a log and read again."""
     folder = _folder(spark, "log")
-    files.write_log(t(spark, d, "events").where("event_id % 4 = 0").select(F.concat("event_type", F.lit("\t\n")).alias("event_type"), "value"), folder)
+    files.write_log(t(spark, d, "events").select(F.concat("event_type", F.lit("\t\n")).alias("event_type"), "value"), folder)
     return spark.read.schema("event_type string, value double").csv(folder, sep="\t").select(F.rtrim("event_type").alias("event_type"), "value")
 
 
@@ -189,12 +202,18 @@ def blob_store(spark, d):
     return spark.read.schema("data_hash string, body binary, prefix string").parquet(folder).select("data_hash", "prefix", F.octet_length("body").cast("bigint").alias("bytes"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest, strlen(text) > 200 AS packed FROM documents WHERE strlen(text) > 200 OR strlen(text) < 20")
+@query("""SELECT doc_id, sha256(text) AS digest, count(*) OVER (PARTITION BY text) AS shared, CASE WHEN strlen(text) > 200 THEN 'DATZ' WHEN strlen(text) < 20 THEN 'DATA' ELSE 'either' END AS packed FROM documents""")
 def packed_bodies(spark, d):
-    """Compressed where that saves a tenth, and whole again."""
-    packed = parsers.gzipped_if_smaller(F.encode("text", "UTF-8"))
-    rows = t(spark, d, "documents").where("octet_length(text) > 200 or octet_length(text) < 20").select("doc_id", packed.alias("p"))
-    return rows.select("doc_id", F.sha2(parsers.gunzipped("p"), 256).alias("digest"), F.hex(F.substring("p", 1, 2)).eqNullSafe("1F8B").alias("packed"))
+    """All texts in pack files, and read back at their offsets: copies share a place; long ones are compressed, short ones never
+    (how those between come out, SQL can't say)."""
+    place = _folder(spark, "packs")
+    rows = t(spark, d, "documents").select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("data_hash"), F.encode("text", "UTF-8").alias("body"))
+    where = pack.placed(rows.select("doc_id", "data_hash"), pack.store(rows, place))
+    kinds = pack.index(spark, place).select("file", "offset", "type", "size")
+    back = pack.bodies(where, place).join(kinds, ["file", "offset"])
+    shared = where.groupBy("file", "offset").agg(F.count("*").alias("shared"))
+    packed = F.when((F.col("size") > 200) | (F.col("size") < 20), F.col("type")).otherwise("either")
+    return back.join(shared, ["file", "offset"]).select("doc_id", F.sha2("body", 256).alias("digest"), "shared", packed.alias("packed"))
 
 
 # --- bodies ---------------------------------------------------------------------------------------------------------
@@ -246,11 +265,10 @@ def archived_pages(spark, d):
     return _gem(spark, d).select("doc_id", F.sha2(F.array_join(new, "\n"), 256).alias("digest"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE least(n_chars, 100) END AS kept, doc_id % 2 <> 0 AND n_chars > 100 AS cut, least(n_chars, 200) AS archived, n_chars > 200 AS archived_cut
-FROM documents WHERE strlen(text) = n_chars""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN strlen(text) ELSE least(strlen(text), 100) END AS kept, doc_id % 2 <> 0 AND strlen(text) > 100 AS cut, least(strlen(text), 200) AS archived, strlen(text) > 200 AS archived_cut
+FROM documents""")
 def cut_bodies(spark, d):
-    rows = t(spark, d, "documents").where("octet_length(text) = n_chars")
-    rows = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("application/x").alias("mime_type"), F.encode("text", "UTF-8").alias("body"), F.lit(False).alias("is_body_truncated"))
+    rows = t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("application/x").alias("mime_type"), F.encode("text", "UTF-8").alias("body"), F.lit(False).alias("is_body_truncated"))
     stored = crawl.stored(rows, 100).select("doc_id", F.octet_length("body").cast("bigint").alias("kept"), F.col("is_body_truncated").alias("cut"))
     return stored.join(archive.truncated(rows, 200).select("doc_id", F.octet_length("body").cast("bigint").alias("archived"), F.col("is_body_truncated").alias("archived_cut")), "doc_id")
 
@@ -416,13 +434,18 @@ def stream_first_seen(spark, d):
     return state.replay(state.first_seen(rows), _folder(spark, "first-seen"))
 
 
-@query(r"""WITH each AS (SELECT page_id, regexp_extract(url, '^[a-z]+(://[^/?#]*)', 1) AS site, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
-SELECT page_id, split_part(url, '://', 1) || site || target AS target FROM each JOIN (SELECT page_id, url FROM pages) p USING (page_id) WHERE starts_with(target, '/')""")
+@query(r"""WITH each AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
+parts AS (
+    SELECT *, page_id % 9 AS k, 'gemini' || regexp_extract(url, '^[a-z]+(://[^/?#]*)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query, substr(target, 2) AS word,
+        regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM each)
+SELECT page_id, CASE k WHEN 0 THEN site || target WHEN 1 THEN site || folder || word WHEN 2 THEN site || regexp_replace(folder, '[^/]*/$', '') || word WHEN 3 THEN site || folder || word || '?q' WHEN 4 THEN site || path || '?' || word
+    WHEN 5 THEN 'gemini://other' || target WHEN 6 THEN 'gemini://h' || target WHEN 7 THEN site || path || query || '#' || word END AS target FROM parts""")
 def absolute_links(spark, d):
-    from driftline.catalog import link_extract
-
-    links = link_extract(spark, d).where("target like '/%'")
-    return links.join(t(spark, d, "pages").select("page_id", "url"), "page_id").select("page_id", parsers.absolute("url", "target").alias("target"))
-
-
-__all__ = ["QUERIES"]
+    """Targets of all kinds: from the site, the folder, the one above, with and without a query, of other hosts, a part of the
+    page, and one that isn't a URL."""
+    each = t(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+:", "gemini:").alias("url"), F.explode(parsers.html_links(F.col("html"))).alias("target"))
+    k, word = F.col("page_id") % 9, F.substring("target", 2, 1 << 20)
+    said = F.when(k == 0, F.col("target"))
+    for n, begin, own, end in ((1, "", word, ""), (2, "../", word, ""), (3, "./x/../", word, "?q"), (4, "?", word, ""), (5, "//other", F.col("target"), ""), (6, "gemini://h", F.col("target"), ""), (7, "#", word, ""), (8, "mailto:", word, "")):
+        said = said.when(k == n, F.concat(F.lit(begin), own, F.lit(end)))
+    return each.select("page_id", urls.resolve(F.col("url"), said).alias("target"))

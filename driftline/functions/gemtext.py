@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The format's line forms, and the forms of dates, tags and names that documents are known by.
-LINK = r"^=>\s*(\S+)\s*(.*)"
+LINK = r"(?s)^=>\s*(\S+)\s*(.*)"
 HEADING = r"^(#+)\s*([^\n]+)"
 FENCE = "```"
 DATE = r"^\d{4}\-[01]\d\-[0123]\d"
@@ -20,12 +22,31 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r", ""), "\n")
 
 
+#: A block between fences in a text that starts and ends with a line break; one that isn't closed takes the rest.
+BLOCK = r"(?s)\n```[^\n]*(?=\n)(?:(?:(?!\n```).)*+\n```[^\n]*(?=\n)|.*(?=\n\z))"
+
+
+def _framed(lines_: Column) -> Column:
+    return F.concat(F.lit("\n"), F.array_join(lines_, "\n", ""), F.lit("\n"))
+
+
+def _unframed(text: Column) -> Column:
+    return F.when(F.length(text) > 1, F.split(F.substring(text, F.lit(2), F.length(text) - 2), "\n")).otherwise(F.array().cast("array<string>"))
+
+
 def outside_fences(lines_: Column) -> Column:
     """The lines outside preformatted blocks; a block that isn't closed takes the rest."""
     # joined and split again, so that the work follows the text's length: a block runs from a fence to the next one
-    text = F.concat(F.lit("\n"), F.array_join(lines_, "\n", ""), F.lit("\n"))
-    rest = F.regexp_replace(text, r"(?s)\n```[^\n]*(?=\n)(?:(?:(?!\n```).)*+\n```[^\n]*(?=\n)|.*(?=\n\z))", "")
-    return F.when(F.length(rest) > 1, F.split(F.substring(rest, F.lit(2), F.length(rest) - 2), "\n")).otherwise(F.array().cast("array<string>"))
+    return _unframed(F.regexp_replace(_framed(lines_), BLOCK, ""))
+
+
+def changed_outside_fences(lines_: Column, change: Callable[[Column], Column]) -> Column:
+    """The lines with ``change`` made to those outside preformatted blocks; the work follows the text's length."""
+    parts = F.split(_framed(lines_), BLOCK, -1)
+    blocks = F.concat(F.regexp_extract_all(_framed(lines_), F.lit(BLOCK), F.lit(0)), F.array(F.lit("")))
+    # a part is empty or starts with a break; the last one ends with one
+    made = F.transform(parts, lambda p: F.array_join(F.transform(F.split(p, "\n", -1), lambda x: F.when(x == "", x).otherwise(change(x))), "\n"))
+    return _unframed(F.array_join(F.zip_with(made, blocks, lambda p, b: F.concat(p, b)), ""))
 
 
 def links(lines_: Column) -> Column:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
 import html.parser
-import zlib
-from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,24 +17,6 @@ from .text import image_header
 UNKNOWN, GEMTEXT, IMAGE, BINARY, PLAIN = range(5)
 
 
-def resolved(base: str, target: str) -> str | None:
-    """The absolute URL of a link; None where there is none. Gemini URLs resolve as web ones do."""
-    try:
-        parts = urlsplit(target)
-        if parts.scheme:
-            return target if parts.netloc else None
-        web = urljoin("http" + base[base.index("://") :], target)
-        urlsplit(web).port  # noqa: B018  a wrong port raises
-        return base[: base.index("://")] + web[4:]
-    except ValueError:
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def absolute(base: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([resolved(b, t) if b and t is not None else None for b, t in zip(base, target, strict=True)])
-
-
 def content_type(status: Column, mime: Column, body_hex: Column, image_type: Column) -> Column:
     """Redirects and failures are plain, then images by their header, binaries, gemtext and plain text by MIME type."""
     ok, text = status.between(20, 29) & (body_hex != ""), formats.is_text(body_hex)
@@ -68,9 +47,9 @@ def _special(url: Column) -> Column:
 
 def found_links(responses: DataFrame) -> DataFrame:
     """source url, target url, whether it leaves the site, link text; links that don't resolve are left out."""
-    from .urls import authority
+    from .urls import authority, resolve
 
-    each = parsed(responses).select("url", F.explode("links").alias("l")).withColumn("target", absolute("url", F.col("l.target")))
+    each = parsed(responses).select("url", F.explode("links").alias("l")).withColumn("target", resolve(F.col("url"), F.col("l.target")))
     each = each.where(F.col("target").startswith("gemini://"))
     return each.select("url", "target", (authority(F.col("url")) != authority(F.col("target"))).alias("is_external"), F.col("l.link_text").alias("link_text"))
 
@@ -151,43 +130,27 @@ def html_to_gemtext(text: pd.Series) -> pd.Series:
     return text.map(reversed_html)
 
 
-@F.pandas_udf(T.BinaryType())
-def gunzipped(body: pd.Series) -> pd.Series:
-    def one(b):
-        try:
-            return None if b is None else gzip.decompress(bytes(b)) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)
-        except (OSError, EOFError, zlib.error):
-            return None
-
-    return body.map(one)
-
+def archive_links(lines: Column, base: Column, ticks: Column) -> Column:
+    """Link lines outside preformatted blocks pointed at the archive's copy, at the same time."""
+    from .urls import resolve
 
-@F.pandas_udf(T.BinaryType())
-def gzipped_if_smaller(body: pd.Series) -> pd.Series:
-    """Compressed where that takes less than nine tenths of the size."""
+    def pointed(line: Column) -> Column:
+        target = F.regexp_extract(line, gemtext.LINK, 1)
+        link = line.rlike(gemtext.LINK) & (~target.contains("://") | target.startswith("gemini://"))
+        copy = F.concat(F.lit("=> /archive/cached?url="), F.url_encode(resolve(base, target)), F.lit("&t="), ticks.cast("string"), F.lit(" "), F.regexp_extract(line, gemtext.LINK, 2))
+        return F.coalesce(F.when(link, copy), line)
 
-    def one(b):
-        if b is None:
-            return None
-        packed = gzip.compress(bytes(b), mtime=0)
-        return packed if len(packed) < 0.9 * len(b) else bytes(b)
+    return gemtext.changed_outside_fences(lines, pointed)
 
-    return body.map(one)
 
+def html_links(html: Column) -> Column:
+    """The targets of a page's links, in order."""
+    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
 
-def archive_links(lines: Column, base: Column, ticks: Column) -> Column:
-    """Link lines outside preformatted blocks pointed at the archive's copy, at the same time."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fence = line.startswith(gemtext.FENCE)
-        target = F.regexp_extract(line, gemtext.LINK, 1)
-        whole = F.when(target.startswith("gemini://"), target).when(target.startswith("/"), F.concat(F.regexp_extract(base, "^([a-z]+://[^/]+)", 1), target)).otherwise(F.concat(F.regexp_replace(base, "[^/]*$", ""), target))
-        link = line.rlike(gemtext.LINK) & ~acc["inside"] & (~target.contains("://") | target.startswith("gemini://"))
-        new = F.when(link, F.concat(F.lit("=> /archive/cached?url="), F.url_encode(whole), F.lit("&t="), ticks.cast("string"), F.lit(" "), F.regexp_extract(line, gemtext.LINK, 2))).otherwise(line)
-        return F.struct(F.concat(acc["out"], F.array(new)).alias("out"), F.when(fence, ~acc["inside"]).otherwise(acc["inside"]).alias("inside"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+def html_title(html: Column) -> Column:
+    """The page's title as it is written; empty if there is none."""
+    return F.regexp_extract(html, "<title>([^<]*)</title>", 1)
 
 
 def robots_report(responses: DataFrame) -> DataFrame:

@@ -54,6 +54,32 @@ def normalized(url: Column, default: int = DEFAULT_PORT) -> Column:
     return F.concat(protocol(url), F.lit("://"), domain(url), shown, path(url), F.regexp_extract(url, _URL, 5))
 
 
+def _without_dots(path_: Column) -> Column:
+    """The path without . and .. segments, as RFC 3986 removes them; it starts with a slash."""
+
+    def step(acc: Column, segment: Column) -> Column:
+        return F.when(segment == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(segment == ".", acc).otherwise(F.concat(acc, F.array(segment)))
+
+    kept = F.aggregate(F.split(F.substring(path_, 2, 1 << 30), "/"), F.array(F.lit("")), step)
+    ends_in_dots = path_.rlike(r"/\.{1,2}$")
+    dotted = F.concat(F.array_join(kept, "/"), F.when(ends_in_dots, "/").otherwise(""))
+    return F.when(path_.rlike(r"/\.{1,2}(/|$)"), F.when(dotted == "", "/").otherwise(dotted)).otherwise(path_)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute URL of a link by RFC 3986, whatever the scheme; null where it has a scheme but no host, or either is null.
+    A target that names another host keeps its path as it is."""
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
+    site = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    own, query_ = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    said, tail = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(own, "[^/]*$", "")
+    merged = F.when(said.startswith("/"), said).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), said))
+    relative = F.when(said != "", F.concat(site, _without_dots(merged), tail)).when(tail.startswith("?"), F.concat(site, own, tail)).otherwise(F.concat(site, own, query_, tail))
+    named = target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")
+    return F.when(named, F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]"), target)).when(target.startswith("//"), F.when(target.rlike("^//[^/?#]"), F.concat(scheme, F.lit(":"), target))).otherwise(F.when(site != "", relative))
+
+
 def url_id(url: Column, default: int = DEFAULT_PORT) -> Column:
     return F.xxhash64(normalized(url, default))
 

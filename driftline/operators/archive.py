@@ -114,10 +114,15 @@ def blobs(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("data_hash").agg(F.any_value("body").alias("body")).withColumn("prefix", F.substring(F.regexp_replace("data_hash", "^[^:]*:", ""), 1, 2))
 
 
+def version_pairs(snapshots: DataFrame) -> DataFrame:
+    """Each version of a URL (url_id, captured, seq, text) with the text of the one before, ``old``; the first has none and is left
+    out."""
+    w = Window.partitionBy("url_id").orderBy("captured", "seq")
+    return snapshots.withColumn("old", F.lag("text").over(w)).withColumn("_n", F.row_number().over(w)).where("_n > 1").drop("_n")
+
+
 def versions_diff(snapshots: DataFrame) -> DataFrame:
     """Line by line what changed from each version of a URL to the next."""
     from driftline.functions.text import line_diff
 
-    w = Window.partitionBy("url_id").orderBy("captured", "seq")
-    pairs = snapshots.withColumn("_old", F.lag("text").over(w)).where("_old is not null")
-    return pairs.withColumn("c", F.explode(line_diff("_old", "text"))).select("url_id", "captured", "c.position", "c.change", "c.line")
+    return version_pairs(snapshots).withColumn("c", F.explode(line_diff("old", "text"))).select("url_id", "captured", "c.position", "c.change", "c.line")

@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 #: Types of records, and the share of a body's size below which it's compressed.
 DATA, ZIPPED, INFO, SHARE = "DATA", "DATZ", "INFO", 0.9
+#: What the first record of a file says.
+NOTE = b"bodies by hash"
 _HEAD = struct.Struct("<4sI")
 INDEX_SCHEMA = "data_hash string, file string, offset bigint, type string, stored bigint, size bigint"
 RECORD_SCHEMA = "file string, offset bigint, type string, data binary"
@@ -79,7 +81,7 @@ def _writer(path: str):
                         store, base = _open(path)
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{base}/{name}")
-                        at = out.write(record(INFO, b"bodies by hash"))
+                        at = out.write(record(INFO, NOTE))
                     kind, data = packed(body.as_py())
                     rows.append((key, name, at, kind, len(data), len(body.as_py())))
                     at += out.write(record(kind, data))

@@ -173,8 +173,19 @@ def cleaned(records_: DataFrame) -> DataFrame:
     return joined.where("record_type <> 'metadata'").unionByName(joined.where("record_type = 'metadata'").join(failed, "_site", "left_anti").select(joined.columns)).drop("_site")
 
 
-def first_records(records_: DataFrame, n: int) -> DataFrame:
-    return records_.orderBy("file", "record_no").limit(n)
+def first_records(records_: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first records, as they lie in the files or in another order; each task keeps n of its own, so nothing is gathered but these."""
+    return records_.orderBy(*(order or ("file", "record_no"))).limit(n)
+
+
+def certificates_once(captures: DataFrame) -> DataFrame:
+    """``captures`` with the certificate of each site at its first capture alone, so that a writer's files together have it once,
+    however they are dealt out. One row per site is shuffled."""
+    site = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    first = captures.where("certificate_pem is not null").groupBy(site.alias("_site")).agg(F.min(F.struct("received", "url")).alias("_first"))
+    joined = captures.join(first, site == F.col("_site"), "left")
+    mine = F.struct("received", "url").eqNullSafe(F.col("_first"))
+    return joined.withColumn("certificate_pem", F.when(mine, F.col("certificate_pem"))).drop("_site", "_first")
 
 
 def record_id(kind: str, url: str | None, date: datetime) -> str:

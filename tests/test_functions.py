@@ -1,6 +1,4 @@
-import gzip
 import struct
-import zlib
 
 from driftline.functions import formats, gemtext, parsers, text, urls
 from pyspark.sql import functions as F
@@ -42,7 +40,31 @@ def test_urls(spark):
     assert one(spark, "gemini://h", urls.normalized) == "gemini://h/" and one(spark, "gemini://h/robots.txt", urls.is_special) is True
     assert one(spark, "/pics/myCat-photo_Big.PNG", urls.path_words) == ["my", "Cat", "photo", "Big", "pics"]
     assert one(spark, "/NASA/a%2Db", urls.path_words) == ["a", "b", "NASA"]
-    assert parsers.resolved("gemini://h/a/b", "../c") == "gemini://h/c" and parsers.resolved("gemini://h/a/b", "c?d") == "gemini://h/a/c?d" and parsers.resolved("gemini://h/", "mailto:x") is None
+
+
+def test_resolved_links(spark):
+    """As the standard library resolves links of the web, for which it knows the rules."""
+    from urllib.parse import urljoin
+
+    bases = ["h", "h/", "h/a", "h/a/b", "h/a/b/", "h/a/../b/c?q=1#f", "h:70/x?y/z#t/u", "h?q"]
+    targets = ["", "c", "c/", "./c", "../c", "../../../c", "..", ".", "./", "../", "c/./d/../e", "/c", "/c/../d", "/..", "?x", "c?x/../y", "#f", "c#f/..", "?x#y", "//o/p", "//o", "c;p=1", "c d", "é", "...", "/.", "a/..", "../a/.", ".c"]
+    pairs = [(f"http://{b}", x) for b in bases for x in targets]
+    df = spark.createDataFrame(pairs, "base string, target string")
+    got = {(r.base, r.target): r.url for r in df.select("base", "target", urls.resolve(F.col("base"), F.col("target")).alias("url")).collect()}
+    for (b, x), url in got.items():
+        assert url == urljoin(b, x) or (x in ("", "#f") and url.split("#")[0] == b.split("#")[0]), (b, x, url, urljoin(b, x))
+    odd = spark.createDataFrame([("gemini://h/a", "mailto:x"), ("gemini://h/a", "gemini://o/../x"), ("gemini://h/a", "gemini:///x"), ("none", "c"), (None, "c"), ("gemini://h/", None), ("gemini://h/a", "//"), ("gemini://h/a", "x:y"), ("gemini://h/", "a//../b"), ("gemini://h", "/a//b")], "b string, t string")
+    assert [r.url for r in odd.select(urls.resolve(F.col("b"), F.col("t")).alias("url")).collect()] == [None, "gemini://o/../x", None, None, None, None, None, None, "gemini://h/a/b", "gemini://h/a//b"]
+
+
+def test_archived_links(spark):
+    lines = ["=> c text", "```", "=> c inside", "```x", "=> ../d", "plain", "", "=> https://web/ w", "=> gemini://o/p q\u2028r", "```", "=> open"]
+    got = spark.createDataFrame([(lines,), ([],), ([""],), (["```"],), (["=> /x"],)], "l array<string>").select(parsers.archive_links(F.col("l"), F.lit("gemini://h/a/b"), F.lit(5)).alias("x")).collect()
+    to = "=> /archive/cached?url=gemini%3A%2F%2F{}&t=5 "
+    assert got[0].x == [to.format("h%2Fa%2Fc") + "text", *lines[1:4], to.format("h%2Fd"), "plain", "", lines[7], to.format("o%2Fp") + "q\u2028r", "```", "=> open"]
+    assert [r.x for r in got[1:]] == [[""], [""], ["```"], [to.format("h%2Fx")]]
+    many = ["=> /x y", "```", "=> /in", "```"] * 20000
+    assert len(spark.createDataFrame([(many,)], "l array<string>").select(parsers.archive_links(F.col("l"), F.lit("gemini://h/"), F.lit(1)).alias("x")).first().x) == 80000
 
 
 def test_formats(spark):
@@ -56,8 +78,8 @@ def test_formats(spark):
 
 
 def test_text():
-    assert text._cut("alpha beta gamma delta", {"gamma"}, 2) == "…beta [gamma]…"
-    assert text._cut("Café au lait", {"cafe"}, 20) == "[Café] au lait"
+    assert text.snippet("alpha beta gamma delta", [("gamma",)], 2, text.fold) == "…[gamma] delta"
+    assert text.snippet("Café au lait", [("cafe",)], 20, text.fold) == "[Café] au lait" and text.snippet("", [("x",)], 20, text.fold) == ""
     changes = text.line_changes("a\nb\nc", "a\nx\nc\nd")
     assert changes == [(1, "Unchanged", "a"), (None, "Deleted", "b"), (2, "Inserted", "x"), (3, "Unchanged", "c"), (4, "Inserted", "d")]
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 7, 5, 8, 6, 0, 0, 0)
@@ -89,8 +111,6 @@ def test_html_and_archive(spark):
     assert parsers.reversed_html("<h2>Head</h2><p>Some <b>text</b> and <a href='/x'>a link</a></p><p><a href='/y'>alone</a></p><ul><li>one</li></ul><pre>a\n b</pre><script>no</script>") == "## Head\nSome text and a link\n=> /x a link\n=> /y alone\n* one\n```\na\n b\n```"
     lines = one(spark, "=> /a First\n```\n=> /b\n```\n=> https://w/ web", lambda x: parsers.archive_links(F.split(x, "\n"), F.lit("gemini://h/d/e"), F.lit(5)))
     assert lines == ["=> /archive/cached?url=gemini%3A%2F%2Fh%2Fa&t=5 First", "```", "=> /b", "```", "=> https://w/ web"]
-    packed = spark.createDataFrame([(bytearray(gzip.compress(b"hello")),), (bytearray(b"raw"),), (bytearray(b"\x1f\x8bbad"),)], "b binary").select(parsers.gunzipped("b").alias("y")).collect()
-    assert [None if r.y is None else bytes(r.y) for r in packed] == [b"hello", b"raw", None] and zlib
 
 
 def test_fourteen_languages():
