@@ -142,8 +142,8 @@ def scoped(df: DataFrame, q: UserQuery) -> DataFrame:
 
 
 def total_rank(rank: Column, popularity: Column, content_type: Column | None = None) -> Column:
-    """Rank lifted by popularity, and by gemtext where a content type is given."""
-    base = rank + rank * POPULARITY_WEIGHT * popularity
+    """Rank lifted by popularity (none counts as 0), and by gemtext where a content type is given."""
+    base = rank + rank * POPULARITY_WEIGHT * F.coalesce(popularity, F.lit(0.0))
     return base if content_type is None else base * F.when(content_type == GEMTEXT, GEMTEXT_BOOST).otherwise(1.0)
 
 

@@ -15,6 +15,11 @@ A document's rows are made where its text is read, and only they are shuffled, b
 documents, so that a frequent term is spread over files. Within a file rows stand by term. A search reads the row groups of
 its own terms: no text is read but those of the hits on the page that it shows.
 
+The documents of a generation are dealt into blocks. ``bounds`` has, for a term of bodies and a block, how many of its documents have
+the term and the most that it can add to a document's total rank. A search for a page of single words reads the blocks that may
+rank highest first, and ends when what is left can't reach the page (``best_blocks``): top documents of a word stand in as many
+blocks as the page has rows at most.
+
 Terms are those of FTS5's tokenizer 'porter unicode61'; see ``functions.stem``. A null text has no terms. Rows with a null id
 are not in an index. A build's ids are those of a document table, each once; of a batch's rows with the same id that with the
 greatest ``seq`` counts (any of them where there is no such column).
@@ -37,25 +42,31 @@ from driftline.functions import formats
 from driftline.functions.stem import analyzed, term
 from driftline.functions.text import snippet_of
 from driftline.operators import fts
-from driftline.plans.userquery import Page, Phrase, UserQuery, phrase
+from driftline.plans.userquery import Expression, Page, Phrase, UserQuery, phrase
 
 #: Fields of a posting; each document has a row of ALL with the empty term, for its length.
 ALL, TITLE, BODY = 0, 1, 2
 BUCKETS = 32
 #: A merge takes a generation in when it has at most so many times the rows of all later ones.
 FAN = 2
-_SCHEMA = "field tinyint, term string, url_id bigint, length int, positions array<int>"
+#: Documents of a block, and blocks of a generation at most.
+PER_BLOCK, BLOCKS = 64, 4096
+#: The index's own columns, beside those of the pages: which generation a row is of, and the block of its document.
+ORDER, BLOCK = "order_of_generation", "block_of_index"
+_SCHEMA = "field tinyint, term string, url_id bigint, length int, boost double, positions array<int>"
 
 
 @dataclass(frozen=True)
 class Generation:
     """``part`` names its folders. ``order`` says what it hides: rows of generations of lower order. ``hidden`` counts the ids
-    that it hides; ``rows`` its documents, hidden ones included."""
+    that it hides; ``rows`` its documents, hidden ones included. ``mean`` is the length for which its bounds were made."""
 
     part: str
     order: int
     rows: int
     hidden: int
+    blocks: int = 1
+    mean: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -76,36 +87,39 @@ class Index:
         return self.terms / self.rows if self.rows else 0.0
 
     def _read(self, what: str, schema: T.StructType, generations: tuple[Generation, ...] | None = None) -> DataFrame:
-        """Rows of the generations, with ``order``."""
+        """Rows of the generations, with ORDER."""
         generations = self.generations if generations is None else generations
         schema = T.StructType([*schema.fields, T.StructField("part", T.StringType())])
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/part={g.part}" for g in generations])
         orders = F.create_map(*[F.lit(x) for g in generations for x in (g.part, g.order)])
-        return rows.withColumn("order", F.element_at(orders, F.col("part"))).drop("part")
+        return rows.withColumn(ORDER, F.element_at(orders, F.col("part"))).drop("part")
 
     def _hidden(self, generations: tuple[Generation, ...] | None = None) -> DataFrame | None:
         """The ids that generations hide, and up to which order; None if there is none."""
         own = tuple(g for g in (self.generations if generations is None else generations) if g.hidden)
         if not own:
             return None
-        return self._read("hidden", _HIDDEN, own).groupBy("url_id").agg(F.max("order").alias("below"))
+        return self._read("hidden", _HIDDEN, own).groupBy("url_id").agg(F.max(ORDER).alias("below"))
 
     def alive(self, rows: DataFrame, generations: tuple[Generation, ...] | None = None) -> DataFrame:
-        """Of rows with url_id and order those that no later generation hides."""
+        """Of rows with url_id and ORDER those that no later generation hides."""
         hidden = self._hidden(generations)
         if hidden is None:
             return rows
-        return rows.join(hidden, "url_id", "left").where(F.col("below").isNull() | (F.col("order") >= F.col("below"))).drop("below")
+        return rows.join(hidden, "url_id", "left").where(F.col("below").isNull() | (F.col(ORDER) >= F.col("below"))).drop("below")
 
     @property
     def postings(self) -> DataFrame:
         """All rows of all generations, hidden ones too; see ``alive``."""
         return self._read("postings", _POSTINGS)
 
+    def _pages_by_block(self) -> DataFrame:
+        return self._read("pages", T.StructType([*self.page_columns.fields, T.StructField(BLOCK, T.IntegerType())]))
+
     @property
     def pages(self) -> DataFrame:
         """The pages that are alive."""
-        return self.alive(self._read("pages", self.page_columns)).drop("order")
+        return self.alive(self._read("pages", self.page_columns)).drop(ORDER)
 
     def of(self, terms: list[tuple[int, str]]) -> DataFrame:
         """The postings of (field, term)s: folders by bucket and row groups by term are pruned."""
@@ -116,11 +130,17 @@ class Index:
             wanted = wanted | ((F.col("term") == word) & (F.col("field") == number))
         return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(words) & wanted)
 
+    def bounds(self, words: list[str]) -> list[tuple[int, str, int, float, int]]:
+        """(order, word, block, most, documents) of the words: at most as many rows as words times blocks."""
+        rows = self._read("bounds", _BOUNDS).where(F.col("bucket").isin([_bucket(F.lit(w)) for w in words]) & F.col("term").isin(words))
+        return [tuple(r) for r in rows.select(ORDER, "term", BLOCK, "most", "n").collect()]
+
 
 _POSTINGS = (
-    T.StructType().add("field", T.ByteType()).add("term", T.StringType()).add("url_id", T.LongType()).add("length", T.IntegerType())
-    .add("positions", T.ArrayType(T.IntegerType())).add("bucket", T.IntegerType())
+    T.StructType().add("field", T.ByteType()).add("term", T.StringType()).add("url_id", T.LongType()).add("length", T.IntegerType()).add("boost", T.DoubleType())
+    .add("positions", T.ArrayType(T.IntegerType())).add(BLOCK, T.IntegerType()).add("bucket", T.IntegerType())
 )
+_BOUNDS = T.StructType().add("term", T.StringType()).add(BLOCK, T.IntegerType()).add("most", T.DoubleType()).add("n", T.LongType()).add("bucket", T.IntegerType())
 _HIDDEN = T.StructType([T.StructField("url_id", T.LongType())])
 
 
@@ -132,8 +152,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            fields, terms, ids, lengths, sizes, places = [], [], [], [], [], []
-            for key, title, body in zip(*(part.column(n).to_pylist() for n in ("url_id", "title", "body")), strict=True):
+            fields, terms, ids, lengths, boosts, sizes, places = [], [], [], [], [], [], []
+            for key, title, body, boost in zip(*(part.column(n).to_pylist() for n in ("url_id", "title", "body", "boost")), strict=True):
                 head, rest = analyzed(title), analyzed(body)
                 first = len(terms)
                 fields.append(ALL)
@@ -153,9 +173,11 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         places += own
                 ids += [key] * (len(terms) - first)
                 lengths += [len(head) + len(rest)] * (len(terms) - first)
+                boosts += [boost] * (len(terms) - first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fields, pa.int8()), pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32()))], ["field", "term", "url_id", "length", "positions"]
+                [pa.array(fields, pa.int8()), pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(boosts, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32()))],
+                ["field", "term", "url_id", "length", "boost", "positions"],
             )
 
 
@@ -173,39 +195,68 @@ def _one_each(rows: DataFrame) -> DataFrame:
     return last.select("url_id", "last.*")
 
 
-def _write_postings(rows: DataFrame, where: str, slices: int) -> None:
-    """A file holds the terms of a bucket in one slice of the documents."""
-    dealt = rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("url_id"), F.lit(slices)))
-    dealt.sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(where)
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("url_id"), F.lit(blocks)).cast("int")
+
+
+def _write_postings(rows: DataFrame, where: str, slices: int, blocks: int) -> None:
+    """A file holds the terms of a bucket in one slice of the blocks."""
+    dealt = rows.withColumn(BLOCK, _block(blocks)).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(BLOCK, F.lit(slices)))
+    dealt.sortWithinPartitions("bucket", "term", "field", BLOCK).write.mode("overwrite").partitionBy("bucket").parquet(where)
+
+
+def _write_bounds(spark: SparkSession, path: str, part: str, mean: float) -> None:
+    """Of each term and block the most that it adds to a total rank, but for its idf. A term's rows of a block stand in one file, so
+    a row for each is what is shuffled."""
+    rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/part={part}").where(F.col("field") == BODY)
+    most = F.max(-fts.bm25(F.size("positions"), F.col("length"), mean or 1.0, 1.0) * F.col("boost"))
+    found = rows.groupBy("bucket", "term", BLOCK).agg(most.alias("most"), F.count("*").alias("n"))
+    found.repartition("bucket").sortWithinPartitions("bucket", "term", BLOCK).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds/part={part}")
+
 
+def _boost(columns: list[str]) -> Column:
+    """What popularity and type make of a rank, at most."""
+    popularity = F.greatest(F.coalesce("popularity_rank", F.lit(0.0)), F.lit(0.0)) if "popularity_rank" in columns else F.lit(0.0)
+    return (1 + fts.POPULARITY_WEIGHT * popularity) * (F.when(F.col("content_type") == fts.GEMTEXT, fts.GEMTEXT_BOOST).otherwise(1.0) if "content_type" in columns else F.lit(1.0))
 
-def _write(docs: DataFrame, path: str, part: str, page_columns: list[str] | None = None) -> T.StructType:
-    """Postings and pages of ``docs`` as a generation; gives the pages' columns."""
-    spark = docs.sparkSession
-    texts = docs.select("url_id", "title", "body")
+
+def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, page_columns: list[str] | None = None) -> tuple[Generation, int, T.StructType]:
+    """``docs`` as a generation; gives it with the number of its terms, and the pages' columns."""
+    spark, blocks = docs.sparkSession, _blocks_of(docs.select("url_id").count())
+    texts = docs.select("url_id", "title", "body", _boost(docs.columns).alias("boost"))
     read, cores = texts.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     if read < cores:  # a small table in few files: its texts are dealt out, so that all cores split them
         texts = texts.repartition(cores, "url_id")
-    where = f"{path}/postings/part={part}"
-    _write_postings(texts.mapInArrow(_postings, _SCHEMA), where, max(1, read // BUCKETS))
+    _write_postings(texts.mapInArrow(_postings, _SCHEMA), f"{path}/postings/part={part}", max(1, read // BUCKETS), blocks)
     pages = docs.withColumn("lead", formats.lead(F.col("body"))).drop("body")
     pages = pages.select(*[f"`{c}`" for c in page_columns]) if page_columns else pages
-    pages.sortWithinPartitions("url_id").write.mode("overwrite").parquet(f"{path}/pages/part={part}")
-    return pages.schema
+    _write_pages(pages, f"{path}/pages/part={part}", blocks)
+    return *_finish(spark, path, part, order, hidden, blocks), pages.schema
+
 
+def _write_pages(pages: DataFrame, where: str, blocks: int) -> None:
+    """A block is in one file, by id."""
+    pages.withColumn(BLOCK, _block(blocks)).repartition(BLOCK).sortWithinPartitions(BLOCK, "url_id").write.mode("overwrite").parquet(where)
 
-def _lengths(spark: SparkSession, path: str, part: str) -> tuple[int, int]:
-    """Documents and terms of a generation."""
+
+def _finish(spark: SparkSession, path: str, part: str, order: int, hidden: int, blocks: int) -> tuple[Generation, int]:
+    """Bounds of a generation whose postings are written; gives it with the number of its terms."""
     rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/part={part}").where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == ""))
     found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
-    return found["n"], found["terms"]
+    mean = found["terms"] / found["n"] if found["n"] else 1.0
+    _write_bounds(spark, path, part, mean)
+    return Generation(part, order, found["n"], hidden, blocks, mean), found["terms"]
+
+
+def _blocks_of(rows: int) -> int:
+    return max(1, min(BLOCKS, rows // PER_BLOCK))
 
 
 def _commit(index: Index) -> Index:
     """Writes the version's row; an error if there is one already."""
     row = {
         "version": index.version, "rows": index.rows, "terms": index.terms, "pages": index.page_columns.json(), "taken": json.dumps(index.taken),
-        "generations": json.dumps([[g.part, g.order, g.rows, g.hidden] for g in index.generations]),
+        "generations": json.dumps([[g.part, g.order, g.rows, g.hidden, g.blocks, g.mean] for g in index.generations]),
     }
     index.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("error").json(f"{index.path}/manifest/{index.version:012d}")
     return index
@@ -223,10 +274,8 @@ def opened(spark: SparkSession, path: str) -> Index:
 
 def build(docs: DataFrame, path: str) -> Index:
     """Writes the index of ``docs`` (url_id, title, body and what pages show) under ``path``, where none is."""
-    spark, part = docs.sparkSession, uuid.uuid4().hex
-    columns = _write(_with_ids(docs), path, part)
-    rows, terms = _lengths(spark, path, part)
-    return _commit(Index(spark, path, 0, (Generation(part, 0, rows, 0),), rows, terms, columns))
+    generation, terms, columns = _write(_with_ids(docs), path, uuid.uuid4().hex, 0)
+    return _commit(Index(docs.sparkSession, path, 0, (generation,), generation.rows, terms, columns))
 
 
 def update(index: Index, actions: DataFrame, source: str = "", batch: int | None = None) -> Index:
@@ -242,13 +291,11 @@ def update(index: Index, actions: DataFrame, source: str = "", batch: int | None
     changes.select("url_id").write.mode("overwrite").parquet(hides)
     ids = spark.read.schema(_HIDDEN).parquet(hides)
     # what was alive under these ids
-    lost = index.alive(index.of([(ALL, "")]).join(ids, "url_id", "left_semi").select("url_id", "order", "length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
-    _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, index.page_columns.names)
-    rows, terms = _lengths(spark, path, part)
+    lost = index.alive(index.of([(ALL, "")]).join(ids, "url_id", "left_semi").select("url_id", ORDER, "length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
     order = max((g.order for g in index.generations), default=-1) + 1
+    made, terms, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, ids.count(), index.page_columns.names)
     taken = index.taken if batch is None else {**index.taken, source: batch}
-    generations = (*index.generations, Generation(part, order, rows, ids.count()))
-    return _commit(Index(spark, path, index.version + 1, generations, index.rows - lost["n"] + rows, index.terms - lost["terms"] + terms, index.page_columns, taken))
+    return _commit(Index(spark, path, index.version + 1, (*index.generations, made), index.rows - lost["n"] + made.rows, index.terms - lost["terms"] + terms, index.page_columns, taken))
 
 
 def remove(index: Index, ids: DataFrame, source: str = "", batch: int | None = None) -> Index:
@@ -277,17 +324,16 @@ def merge(index: Index, first: int = 0) -> Index:
     own = index.generations[first:]
     if len(own) < 2:
         return index
-    part, order = uuid.uuid4().hex, own[-1].order
-    rows = index.alive(index._read("postings", _POSTINGS, own), own).drop("order", "bucket")
-    parts = index._read("postings", _POSTINGS, own).rdd.getNumPartitions()
-    _write_postings(rows, f"{index.path}/postings/part={part}", max(1, parts // BUCKETS))
-    pages = index.alive(index._read("pages", index.page_columns, own), own).drop("order").select(*[f"`{c}`" for c in index.page_columns.names])
-    pages.sortWithinPartitions("url_id").write.mode("overwrite").parquet(f"{index.path}/pages/part={part}")
+    part, order, blocks = uuid.uuid4().hex, own[-1].order, _blocks_of(sum(g.rows for g in own))
+    read = index._read("postings", _POSTINGS, own)
+    _write_postings(index.alive(read, own).drop(ORDER, "bucket", BLOCK), f"{index.path}/postings/part={part}", max(1, read.rdd.getNumPartitions() // BUCKETS), blocks)
+    pages = index.alive(index._read("pages", index.page_columns, own), own).select(*[f"`{c}`" for c in index.page_columns.names])
+    _write_pages(pages, f"{index.path}/pages/part={part}", blocks)
     hidden, count = index._hidden(own) if first else None, 0
     if hidden is not None:
         hidden.select("url_id").write.mode("overwrite").parquet(f"{index.path}/hidden/part={part}")
         count = index.spark.read.schema(_HIDDEN).parquet(f"{index.path}/hidden/part={part}").count()
-    made = Generation(part, order, _lengths(index.spark, index.path, part)[0], count)
+    made, _ = _finish(index.spark, index.path, part, order, count, blocks)
     return _commit(Index(index.spark, index.path, index.version + 1, (*index.generations[:first], made), index.rows, index.terms, index.page_columns, index.taken))
 
 
@@ -297,7 +343,7 @@ def vacuum(index: Index) -> int:
     jvm = index.spark._jvm
     conf = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()
     named, gone = {f"part={g.part}" for g in index.generations}, 0
-    for what in ("postings", "pages", "hidden"):
+    for what in ("postings", "bounds", "pages", "hidden"):
         root = jvm.org.apache.hadoop.fs.Path(f"{index.path}/{what}")
         files = root.getFileSystem(conf)
         for found in files.listStatus(root) if files.exists(root) else ():
@@ -334,8 +380,9 @@ def _frequency(p: Phrase, field: int, place: dict[tuple[int, str], Column]) -> C
     return F.coalesce(F.size(F.filter(first, follows)), F.lit(0))
 
 
-def hits(index: Index, q: UserQuery) -> DataFrame:
-    """url_id, order of the generation, and rank of the documents that match the terms of ``q``."""
+def hits(index: Index, q: UserQuery, among: Column | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """url_id, ORDER and rank of the documents that match the terms of ``q``. With ``among`` only those whose postings it selects;
+    then ``counts`` has to say how many documents have each word."""
     body = list(dict.fromkeys(fts.analyzed_phrase(p, True) for p in q.phrases))
     head = [Phrase((term(w),)) for w in (phrase(q.title).words if q.title else ())]
     asked = [(BODY, p) for p in body] + [(TITLE, p) for p in head]
@@ -351,10 +398,14 @@ def hits(index: Index, q: UserQuery) -> DataFrame:
         if (f, w) in placed:
             aggs.append(F.max(F.when(mine, F.col("positions"))).alias(f"p{n}"))
             many[f, w] = F.col(f"p{n}")
-    docs = index.alive(index.of(sorted(counted | placed)).groupBy("url_id", "order").agg(*aggs))
+    rows = index.of(sorted(counted | placed))
+    docs = index.alive((rows if among is None else rows.where(among)).groupBy("url_id", ORDER).agg(*aggs))
     names = [f"f{n}" for n in range(len(asked))]
-    docs = docs.select("url_id", "order", "length", *[_frequency(p, f, single if len(p.words) == 1 else many).alias(c) for (f, p), c in zip(asked, names, strict=True)])
-    found = docs.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]).first()  # a number per phrase
+    docs = docs.select("url_id", ORDER, "length", *[_frequency(p, f, single if len(p.words) == 1 else many).alias(c) for (f, p), c in zip(asked, names, strict=True)])
+    if counts is None:
+        found = docs.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]).first().asDict()  # a number per phrase
+    else:
+        found = {c: counts.get(p.words[0], 0) for (_, p), c in zip(asked, names, strict=True)}
     rank = F.lit(0.0)
     for c in names:
         rank = rank + fts.bm25(F.col(c), F.col("length"), index.mean_length or 1.0, fts.idf(index.rows, found[c]))
@@ -364,27 +415,92 @@ def hits(index: Index, q: UserQuery) -> DataFrame:
     if q.expression is not None:
         count = {p: F.col(names[body.index(fts.analyzed_phrase(p, True))]) for p in q.phrases}
         keep = keep & fts.matches(q.expression, count)
-    return docs.where(keep).select("url_id", "order", rank.alias("rank"))
+    return docs.where(keep).select("url_id", ORDER, rank.alias("rank"))
 
 
-def matched(index: Index, q: UserQuery) -> DataFrame:
+def matched(index: Index, q: UserQuery, among: Column | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """The pages that match, with rank (null without terms)."""
     if q.expression is None and not q.title:
         return fts.scoped(index.pages, q).withColumn("rank", F.lit(None).cast("double"))
     # a hit is alive, and so is the page of its generation
-    return fts.scoped(index._read("pages", index.page_columns).join(hits(index, q), ["url_id", "order"]).drop("order"), q)
-
-
-def _page(found: DataFrame, q: UserQuery, page: Page) -> DataFrame:
+    pages = index._pages_by_block()
+    pages = (pages if among is None else pages.where(among)).drop(BLOCK)
+    return fts.scoped(pages.join(hits(index, q, among, counts), ["url_id", ORDER]).drop(ORDER), q)
+
+
+def _may_match(e: Expression, there: set[str]) -> bool:
+    """Whether a document of a block that has these words may match."""
+    if isinstance(e, Phrase):
+        return term(e.words[0]) in there
+    left = _may_match(e.left, there)
+    return left or _may_match(e.right, there) if e.kind == "OR" else left and (e.kind == "NOT" or _may_match(e.right, there))
+
+
+def word_counts(index: Index, words: list[str], bounds: list[tuple]) -> dict[str, int]:
+    """How many documents have each word: by the bounds, or counted where some are hidden."""
+    if any(g.hidden for g in index.generations):
+        rows = index.alive(index.of([(BODY, w) for w in words]).select("term", "url_id", ORDER)).groupBy("term").count()
+        return {r["term"]: r["count"] for r in rows.collect()}  # a row per word
+    found: dict[str, int] = {}
+    for _, word, _, _, n in bounds:
+        found[word] = found.get(word, 0) + n
+    return found
+
+
+def best_blocks(index: Index, q: UserQuery, bounds: list[tuple], counts: dict[str, int]) -> list[tuple[float, int, int]]:
+    """(the most that a total rank can be, order, block) of the blocks that may hold matches, the highest first."""
+    weight = {w: fts.idf(index.rows, n) for w, n in counts.items()}
+    # bounds were made for the mean length of their generation; a greater one adds at most in proportion
+    scale = {g.order: max(1.0, index.mean_length / (g.mean or 1.0)) for g in index.generations}
+    most: dict[tuple[int, int], float] = {}
+    there: dict[tuple[int, int], set[str]] = {}
+    for order, word, block, value, _ in bounds:
+        most[order, block] = most.get((order, block), 0.0) + weight.get(word, fts.LEAST_IDF) * value * scale[order]
+        there.setdefault((order, block), set()).add(word)
+    return sorted(((m, *key) for key, m in most.items() if _may_match(q.expression, there[key])), reverse=True)
+
+
+def _within(blocks: list[tuple[float, int, int]]) -> Column:
+    """Rows of the blocks."""
+    among = F.lit(False)
+    for order in sorted({o for _, o, _ in blocks}):
+        among = among | ((F.col(ORDER) == order) & F.col(BLOCK).isin([b for _, o, b in blocks if o == order]))
+    return among
+
+
+def _bounded(q: UserQuery) -> bool:
+    return q.expression is not None and not q.title and all(len(p.words) == 1 for p in q.phrases)
+
+
+def _best(index: Index, q: UserQuery, page: Page, total: Column, read: list | None = None) -> DataFrame:
+    """The rows of a page, from the blocks that can reach it. Blocks are read in rounds, each of twice as many; ``read`` takes
+    (blocks read, blocks in all)."""
+    words = sorted({term(p.words[0]) for p in q.phrases})
+    bounds = index.bounds(words)
+    counts = word_counts(index, words, bounds)
+    left = every = best_blocks(index, q, bounds, counts)
+    wanted, take, best = page.offset + page.size, 2 * page.size, []
+    shape = matched(index, q, F.lit(False), counts).withColumn("total_rank", total).schema
+    while left and (len(best) < wanted or left[0][0] * (1 + 1e-9) >= -best[-1]["total_rank"]):
+        now, left, take = left[:take], left[take:], 2 * take
+        found = matched(index, q, _within(now), counts).withColumn("total_rank", total).orderBy("total_rank", "url").limit(wanted)
+        best = sorted([*best, *found.collect()], key=lambda r: (r["total_rank"], r["url"] is not None, r["url"]))[:wanted]  # the rows up to the page's end
+    if read is not None:
+        read.append((len(every) - len(left), len(every)))
+    return index.spark.createDataFrame(best[page.offset :], shape)
+
+
+def _page(index: Index, q: UserQuery, page: Page, total: Column, read: list | None = None) -> DataFrame:
+    if _bounded(q):
+        return _best(index, q, page, total, read)
     order = [F.asc("total_rank"), F.asc("url")] if q.expression is not None or q.title else [F.desc("external_inbound_links"), F.asc("url")]
-    return found.orderBy(*order).offset(page.offset).limit(page.size)
+    return matched(index, q).withColumn("total_rank", total).orderBy(*order).offset(page.offset).limit(page.size)
 
 
-def text_search(index: Index, q: UserQuery, page: Page = Page(1), texts: DataFrame | None = None) -> DataFrame:
+def text_search(index: Index, q: UserQuery, page: Page = Page(1), texts: DataFrame | None = None, read: list | None = None) -> DataFrame:
     """A page of hits by total rank; without terms by inbound links. With ``texts`` (url_id, body) hits have a snippet,
     for which the texts of the page's rows alone are read; without terms it's the page's first characters."""
-    total = fts.total_rank(F.col("rank"), F.col("popularity_rank"), F.col("content_type"))
-    shown = _page(matched(index, q).withColumn("total_rank", total), q, page)
+    shown = _page(index, q, page, fts.total_rank(F.col("rank"), F.col("popularity_rank"), F.col("content_type")), read)
     phrases = [p.words for p in q.phrases]
     if texts is None or not phrases:
         return shown.withColumnRenamed("lead", "snippet")
@@ -395,7 +511,7 @@ def text_search(index: Index, q: UserQuery, page: Page = Page(1), texts: DataFra
 
 def image_search(index: Index, q: UserQuery, page: Page = Page(1)) -> DataFrame:
     """As text_search over image terms, without the gemtext boost."""
-    return _page(matched(index, q).withColumn("total_rank", fts.total_rank(F.col("rank"), F.col("popularity_rank"))), q, page)
+    return _page(index, q, page, fts.total_rank(F.col("rank"), F.col("popularity_rank")))
 
 
 def result_count(index: Index, q: UserQuery) -> DataFrame:
@@ -405,9 +521,14 @@ def result_count(index: Index, q: UserQuery) -> DataFrame:
 
 
 def stored(index: Index, ids: list[int], column: str) -> DataFrame:
-    """What the pages of a few ids have in a column, as it was written: for an image the text that it is found by. Row groups
-    without the ids are left out."""
-    return index.pages.where(F.col("url_id").isin(ids)).select("url_id", column)
+    """What the pages of a few ids have in a column, as it was written: for an image the text that it is found by. Files and row
+    groups of other blocks are left out."""
+    among = F.lit(False)
+    for g in index.generations:
+        blocks = [F.pmod(F.xxhash64(F.lit(i).cast("bigint")), F.lit(g.blocks)).cast("int") for i in ids]
+        among = among | ((F.col(ORDER) == g.order) & F.col(BLOCK).isin(blocks))
+    found = index._pages_by_block().where(among & F.col("url_id").isin(ids)).select("url_id", ORDER, column)
+    return index.alive(found).drop(ORDER)
 
 
 def with_favicons(pages: DataFrame, favicons: DataFrame) -> DataFrame:
@@ -426,4 +547,4 @@ def image_pages(images: DataFrame, documents: DataFrame, favicons: DataFrame) ->
     return rows.withColumn("title", F.lit(None).cast("string")).withColumn("body", F.col("terms"))
 
 
-__all__ = ["Generation", "Index", "build", "due", "hits", "image_pages", "image_search", "matched", "merge", "opened", "remove", "result_count", "stored", "taking", "text_search", "update", "vacuum", "with_favicons"]
+__all__ = ["Generation", "Index", "best_blocks", "build", "due", "hits", "image_pages", "image_search", "matched", "merge", "opened", "remove", "result_count", "stored", "taking", "text_search", "update", "vacuum", "with_favicons"]
