@@ -53,6 +53,20 @@ def warc_responses(spark, d):
     return got.select("url", "status_code", "meta", "mime_type", "charset", "language", F.unix_timestamp("received").alias("received"), F.sha2(F.coalesce("body", F.lit(b"")), 256).alias("body_hash"), "is_body_truncated")
 
 
+@query(f"""WITH {_CAPTURES_SQL}, kept AS (SELECT * FROM captures WHERE site NOT LIKE '%.org' AND url NOT LIKE '%7' OR url LIKE '%/robots.txt')
+SELECT page_id, url, status_code FROM kept""")
+def warc_admitted(spark, d):
+    """Responses from a stream of WARC files in two parts, less those that block rules name; robots files are always taken."""
+    place, rows = _folder(spark, "warc"), _captures(spark, d)
+    warc.register(spark)
+    for part in (rows.where("pmod(hash(url), 2) = 0"), rows.where("pmod(hash(url), 2) = 1")):
+        part.repartition(2, "url").write.format("warc").mode("append").save(f"{place}/in/{part.semanticHash()}")
+    got = state.replay(warc.responses(warc.read_stream(spark, f"{place}/in")), f"{place}/out")
+    lines = spark.createDataFrame([(0, "# sites"), (1, r"regex:^gemini://[^/]*\.org/"), (2, "regex:7$")], "line_no int, line string")
+    taken = crawl.admitted(got.withColumn("authority", urls.authority(F.col("url"))), rules.parse_block_rules(lines))
+    return taken.select((F.unix_timestamp("received") - 1_600_000_000).alias("page_id"), "url", "status_code")
+
+
 #: What a site's first capture writes besides: its certificate.
 _RECORDS_SQL = """
 firsts AS (SELECT page_id FROM captures QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1),

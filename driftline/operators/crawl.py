@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.urls import is_special
 from driftline.operators import rules
 from driftline.shared import folder
 
@@ -106,3 +107,10 @@ def payload_fixed(records: DataFrame) -> DataFrame:
     """Payload type and digest filled in where they are missing."""
     digest = F.concat(F.lit("sha256:"), F.sha2("block", 256))
     return records.withColumn("content_type", F.coalesce("content_type", F.lit("application/octet-stream"))).withColumn("payload_digest", F.coalesce(F.col("headers")["warc-payload-digest"], digest))
+
+
+def admitted(responses: DataFrame, block_rules: DataFrame) -> DataFrame:
+    """Responses that are taken in: no block rule holds for their URL (url, authority); files that crawlers ask for without a
+    link are taken whatever the rules say."""
+    judged = rules.blocked_by(responses, block_rules)
+    return judged.where(F.col("blocked_by").isNull() | is_special(F.col("url"))).drop("blocked_by")

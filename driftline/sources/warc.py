@@ -1,8 +1,14 @@
 """WARC archives: records of files, responses of records, and a writer.
 
-``read`` streams files of stores that Arrow reads (a task per file, a record at a time, whatever the file's size);
-``read_whole`` takes any store that Spark reads, a file at a time as one row. Both inflate and parse piece by piece. A
-damaged end of a file ends that file; what came before is kept.
+``read`` and ``read_stream`` take files of stores that Arrow reads, a record at a time, whatever the file's size: a task per
+file, and several for a large gzip file of many members, each of which looks for the first member from its part on that
+begins a record. The stream's offset is the files taken so far, so files may come in any order of time; each is read once.
+``read_whole`` takes any store that Spark reads, a file at a time as one row. All inflate and parse piece by piece. A
+damaged place ends its task's part of the file; what came before, and other parts, are kept. ``record_no`` is ascending within a file: the
+byte at which a record's member (of other files, the record) begins, and one more for each further record of a member.
+
+A body that is a gzip WARC file itself, stored in a member without being compressed, may be taken for members of the file
+where a part begins within it; ``split`` set to 0 reads each file in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from itertools import islice
@@ -17,7 +24,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RECORD_SCHEMA = "file string, record_no bigint, record_type string, url string, record_date timestamp, content_type string, truncated string, headers map<string,string>, block binary"
 _ROWS = 200
@@ -25,35 +32,61 @@ _ROWS = 200
 
 #: Bytes read at a time, and the longest header.
 _PIECE, _HEAD = 1 << 20, 1 << 20
-
-
-def _inflated(pieces: Iterable[bytes]) -> Iterator[bytes]:
-    """What the members of a gzip file hold, one after the other; other files as they are."""
-    d, start = None, b""
-    for piece in pieces:
-        if start is not None:
-            start += piece
-            if len(start) < 2:
-                continue
-            piece, start = start, None
-            d = zlib.decompressobj(31) if piece[:2] == b"\x1f\x8b" else None
-        while d is not None and piece:
-            try:
-                yield d.decompress(piece)
-            except zlib.error:
-                return
-            piece = d.unused_data if d.eof else b""
-            if d.eof:
-                d = zlib.decompressobj(31)
-        if d is None:
-            yield piece
-    if start:
-        yield start
-
-
-def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each whole record of a file's bytes."""
-    more, buffer = iter(_inflated(pieces)), bytearray()
+#: Bytes of a gzip file that a task reads.
+SPLIT = 256 << 20
+
+
+class _Inflated:
+    """What a file holds from a place on, inflated member by member; other files as they are."""
+
+    def __init__(self, pieces: Iterable[bytes], start: int = 0):
+        self.pieces, self.start, self.zipped = pieces, start, False
+        #: (place in what came out, byte of the file) at which members begin.
+        self.members: deque[tuple[int, int]] = deque()
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, head, fed, out = None, b"", self.start, 0
+        for piece in self.pieces:
+            if head is not None:
+                head += piece
+                if len(head) < 2:
+                    continue
+                piece, head = head, None
+                self.zipped = piece[:2] == b"\x1f\x8b"
+                if self.zipped:
+                    d = zlib.decompressobj(31)
+                    self.members.append((0, fed))
+            fed += len(piece)
+            while d is not None and piece:
+                try:
+                    more = d.decompress(piece)
+                except zlib.error:
+                    return
+                out += len(more)
+                yield more
+                piece = d.unused_data if d.eof else b""
+                if d.eof:
+                    d = zlib.decompressobj(31)
+                    self.members.append((out, fed - len(piece)))
+            if d is None:
+                yield piece
+        if head:
+            yield head
+
+    def place(self, at: int) -> int:
+        """The byte of the file at which the member begins that has place ``at``; of other files the place itself."""
+        if not self.zipped:
+            return self.start + at
+        while len(self.members) > 1 and self.members[1][0] <= at:
+            self.members.popleft()
+        return self.members[0][1]
+
+
+def located(pieces: Iterable[bytes], start: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(byte at which its member begins, headers by lower-case name, block) of each whole record of a file's bytes from
+    ``start`` on."""
+    source = _Inflated(pieces, start)
+    more, buffer, gone = iter(source), bytearray(), 0
 
     def filled(size: int) -> bool:
         while len(buffer) < size:
@@ -66,6 +99,7 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     while filled(2):
         if buffer[:2] == b"\r\n":
             del buffer[:2]
+            gone += 2
             continue
         seen = 0
         while (end := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0 and len(buffer) < _HEAD:
@@ -79,8 +113,14 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         size = headers.get("content-length", "")
         if not size.isdigit() or not filled(end + 4 + int(size)):
             return
-        yield headers, bytes(buffer[end + 4 : end + 4 + int(size)])
+        yield source.place(gone), headers, bytes(buffer[end + 4 : end + 4 + int(size)])
         del buffer[: end + 4 + int(size)]
+        gone += end + 4 + int(size)
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each whole record of a file's bytes."""
+    return ((h, block) for _, h, block in located(pieces))
 
 
 def _date(text: str | None) -> datetime | None:
@@ -93,10 +133,15 @@ def _date(text: str | None) -> datetime | None:
 _NAMES = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
 
-def _rows(file: str, pieces: Iterable[bytes]) -> Iterator[tuple]:
-    for n, (h, block) in enumerate(records(pieces)):
+def _rows(file: str, pieces: Iterable[bytes], start: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """The records whose members begin from ``start`` on and before ``end``."""
+    last, k = -1, 0
+    for place, h, block in located(pieces, start):
+        if end is not None and place >= end:
+            return
+        last, k = place, k + 1 if place == last else 0
         url = h.get("warc-target-uri", "").strip("<>") or None
-        yield file, n, h.get("warc-type"), url, _date(h.get("warc-date")), h.get("content-type"), h.get("warc-truncated"), h, block
+        yield file, place + k, h.get("warc-type"), url, _date(h.get("warc-date")), h.get("content-type"), h.get("warc-truncated"), h, block
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -112,37 +157,123 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORD_SCHEMA)
 
 
-class _File(InputPartition):
-    def __init__(self, file: str):
-        self.file = file
+class _Part(InputPartition):
+    """Bytes ``start`` to ``end`` of a file; without an end all of it."""
 
+    def __init__(self, file: str, start: int = 0, end: int | None = None):
+        self.file, self.start, self.end = file, start, end
 
-class _Reader(DataSourceReader):
-    """A task per file, which holds a piece of it and a record at a time."""
-
-    def __init__(self, path: str):
-        self.path = path
 
-    def partitions(self):
+def _first_member(stream, start: int, end: int) -> int | None:
+    """The first place from ``start`` on, before ``end``, at which a gzip member begins that begins a record."""
+    stream.seek(start)
+    held, at = b"", start
+    while at < end:
+        piece = stream.read(_PIECE)
+        held += piece
+        k = held.find(b"\x1f\x8b\x08")
+        while k >= 0 and at + k < end:
+            try:
+                # what follows may not be read yet
+                begun = zlib.decompressobj(31).decompress(held[k : k + 4096], 5)
+            except zlib.error:
+                begun = None
+            if begun == b"WARC/":
+                return at + k
+            if begun is not None and len(held) - k < 4096 and piece:
+                break
+            k = held.find(b"\x1f\x8b\x08", k + 1)
+        if not piece:
+            return None
+        keep = len(held) - k if k >= 0 else 2
+        at, held = at + len(held) - keep, held[-keep:]
+    return None
+
+
+class _Files:
+    """The files of a folder, and the parts that tasks read."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+
+    def sizes(self) -> dict[str, int]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(base)
         files = [found] if found.is_file else store.get_file_info(fs.FileSelector(base, recursive=True))
-        return [_File(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
+        return {f.path: f.size for f in files if f.is_file and not f.base_name.startswith(("_", "."))}
 
-    def read(self, partition):
+    def parts(self, files: dict[str, int]) -> list[_Part]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(self.path)
+        out = []
+        for file, size in sorted(files.items()):
+            if not 0 < self.split < size:
+                out.append(_Part(file))
+                continue
+            with store.open_input_file(file) as stream:
+                zipped = stream.read(2) == b"\x1f\x8b"
+            out += [_Part(file, a, min(a + self.split, size)) for a in range(0, size, self.split)] if zipped else [_Part(file)]
+        return out
+
+    def rows(self, part: _Part) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(partition.file, compression=None) as stream:
-            yield from _rows(partition.file, iter(lambda: stream.read(_PIECE), b""))
+        with store.open_input_file(part.file) as stream:
+            start = 0 if not part.start else _first_member(stream, part.start, part.end)
+            if start is not None:
+                stream.seek(start)
+                yield from _rows(part.file, iter(lambda: stream.read(_PIECE), b""), start, part.end)
+
+
+class _Reader(DataSourceReader):
+    """A task per part of a file, which holds a piece of it and a record at a time."""
+
+    def __init__(self, options: dict[str, str]):
+        self.files = _Files(options)
+
+    def partitions(self):
+        return self.files.parts(self.files.sizes()) or [_Part("")]
+
+    def read(self, partition):
+        if partition.file:
+            yield from self.files.rows(partition)
+
 
+class _StreamReader(DataSourceStreamReader):
+    """Files as they come. The offset has the names and sizes of those that were there."""
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record; see RECORD_SCHEMA. ``path`` is the URI of a file or folder."""
+    def __init__(self, options: dict[str, str]):
+        self.files = _Files(options)
+
+    def initialOffset(self):
+        return {"files": {}}
+
+    def latestOffset(self):
+        return {"files": self.files.sizes()}
+
+    def partitions(self, start, end):
+        return self.files.parts({f: n for f, n in end["files"].items() if f not in start["files"]}) or [_Part("")]
+
+    def read(self, partition):
+        if partition.file:
+            yield from self.files.rows(partition)
+
+
+def read(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """One row a record; see RECORD_SCHEMA. ``path`` is the URI of a file or folder; gzip files of more than ``split`` bytes are
+    read in parts of that size."""
     register(spark)
-    return spark.read.format("warc").option("path", path).load()
+    return spark.read.format("warc").option("path", path).option("split", SPLIT if split is None else split).load()
+
+
+def read_stream(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """As ``read``, of a folder into which files come. A file has to be whole when it comes under its name."""
+    register(spark)
+    return spark.readStream.format("warc").option("path", path).option("split", SPLIT if split is None else split).load()
 
 
 def responses(records_: DataFrame) -> DataFrame:
@@ -276,7 +407,10 @@ class Warc(DataSource):
         return RECORD_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], overwrite)
