@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, log, query, t
-from driftline.functions import formats, gemtext, parsers, robots, urls
+from driftline.functions import formats, gemtext, parsers, robots, signatures, urls
 from driftline.operators import archive, crawl, documents, reports, rules
 from driftline.shared import folder as _folder
 from driftline.sources import files, pack, warc
-from driftline.streaming import state
+from driftline.streaming import state, store
 
 # --- archives -------------------------------------------------------------------------------------------------------
 
@@ -463,3 +463,59 @@ def absolute_links(spark, d):
     for n, begin, own, end in ((1, "", word, ""), (2, "../", word, ""), (3, "./x/../", word, "?q"), (4, "?", word, ""), (5, "//other", F.col("target"), ""), (6, "gemini://h", F.col("target"), ""), (7, "#", word, ""), (8, "mailto:", word, "")):
         said = said.when(k == n, F.concat(F.lit(begin), own, F.lit(end)))
     return each.select("page_id", urls.resolve(F.col("url"), said).alias("target"))
+
+
+#: Heads of bodies and what they are, as a page of a crawl may have them.
+_HEADS = [
+    ("89504E470D0A1A0A0000", "image/png"), ("FFD8FFE000104A464946", "image/jpeg"), ("474946383961", "image/gif"), ("424D3600", "image/bmp"), ("49492A0008", "image/tiff"), ("255044462D312E", "application/pdf"),
+    ("7B5C72746631", "application/rtf"), ("1F8B0800", "application/gzip"), ("425A6839", "application/x-bzip2"), ("FD377A585A0000", "application/x-xz"), ("28B52FFD04", "application/zstd"), ("377ABCAF271C00", "application/x-7z-compressed"),
+    ("526172211A0700", "application/vnd.rar"), ("7F454C4602", "application/x-elf"), ("4D5A9000", "application/x-msdownload"), ("CAFEBABE0000", "application/java-vm"), ("0061736D01", "application/wasm"),
+    ("53514C69746520666F726D61742033001000", "application/vnd.sqlite3"), ("49443304", "audio/mpeg"), ("664C614300", "audio/flac"), ("4D546864000000", "audio/midi"), ("774F463200", "font/woff2"), ("4F54544F00", "font/otf"),
+    ("504B0304140000", "application/zip"), ("504B030414000000" + b"mimetypeapplication/epub+zip".hex(), "application/epub+zip"), ("504B030414000000" + b"[Content_Types].xml word/document.xml".hex(), "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("504B030414000000" + b"META-INF/MANIFEST.MF".hex(), "application/java-archive"), ("D0CF11E0A1B11AE1" + "WordDocument".encode("utf-16-le").hex(), "application/msword"), ("D0CF11E0A1B11AE100", "application/x-ole-storage"),
+    ("0000001C667479706D703432", "video/mp4"), ("0000001C667479704D344120", "audio/mp4"), ("0000001866747970686569632020", "image/heic"), ("524946460000000057415645666D7420", "audio/wav"), ("524946460000000057454250565038", "image/webp"),
+    ("1A45DFA39F4286810142F7810142F2810442F381084282847765626D", "video/webm"), ("4F6767530002" + "00" * 22 + b"OpusHead".hex(), "audio/ogg"), ("41" * 257 + "7573746172", "application/x-tar"), ("", None), ("0102030405", None),
+]
+
+
+@query(f"""SELECT doc_id, CASE doc_id % {len(_HEADS)} {" ".join(f"WHEN {n} THEN '{m}'" for n, (_, m) in enumerate(_HEADS) if m)} END AS mime FROM documents""")
+def binary_types(spark, d):
+    """Bodies that begin as files of many formats do, then go on with a text."""
+    k = F.col("doc_id") % len(_HEADS)
+    head = F.lit(None).cast("binary")
+    for n, (digits, _) in enumerate(_HEADS):
+        head = F.when(k == n, F.unhex(F.lit(digits))).otherwise(head)
+    # what follows has no word that a container's parts have
+    rest = F.encode(F.concat(F.lit(" "), F.translate("text", "/wWmMAPX", "-")), "UTF-8")
+    return t(spark, d, "documents").select("doc_id", signatures.detected_type(F.concat(head, rest)).alias("mime"))
+
+
+def _stored(spark: SparkSession, d: str) -> store.Store:
+    """The log as responses with a link each, taken into a store in three batches."""
+    e, kind = F.col("seq"), F.substring_index("response_hash", "-", 1)
+    link = F.array(F.struct((e % 50).alias("target_url_id"), (kind == "error").alias("is_external"), kind.alias("link_text")))
+    image = F.when(e % 5 == 0, F.struct((e % 100).cast("int").alias("width"), F.lit(1).alias("height"), F.lit("PNG").alias("image_type"), F.lit(False).alias("is_transparent")))
+    site = {"protocol": F.lit("gemini"), "domain": F.concat(F.lit("h"), F.col("url_id") % 10), "port": F.lit(1965), "path": F.when(F.col("url_id") % 10 == F.col("url_id"), "/favicon.txt").otherwise("/x")}
+    rows = _responses(log(spark, d)).withColumns({**site, "is_proactive": F.col("url_id") < 10, "content": kind, "links": link, "image": image})
+    held, step = store.opened(spark, _folder(spark, "store")), rows.agg(F.max("seq")).first()[0] // 3 + 1
+    for n in range(3):
+        held = store.take(held, rows.where((e >= n * step) & (e < (n + 1) * step)), "log", n)
+    return held
+
+
+_LATEST_SQL = "latest AS (SELECT user_id AS url_id, event_id AS seq, event_type, event_type = 'error' AS failed FROM events WHERE (user_id, event_id) IN (SELECT (url_id, seq) FROM folded))"
+
+
+@query(_FOLDED.replace("* EXCLUDE (authority, n)", "* EXCLUDE (authority, n, action)"))
+def store_documents(spark, d):
+    """Documents that three batches leave in the store."""
+    return _stored(spark, d).table("documents").drop("action", "is_new", "is_changed")
+
+
+@query(f"""WITH folded AS ({_FOLDED.strip()}), {_LATEST_SQL}
+SELECT url_id AS source_url_id, seq % 50 AS target_url_id, failed AS is_external, event_type AS link_text, CASE WHEN l.seq % 5 = 0 AND f.status_code BETWEEN 20 AND 29 THEN l.seq % 100 ELSE -1 END AS width FROM latest l JOIN (SELECT url_id, status_code FROM folded) f USING (url_id)""")
+def store_links(spark, d):
+    """Links and images of the contents that count last."""
+    held = _stored(spark, d)
+    links = held.table("links").join(held.table("images").select(F.col("url_id").alias("source_url_id"), "width"), "source_url_id", "left")
+    return links.withColumn("width", F.coalesce("width", F.lit(-1)))

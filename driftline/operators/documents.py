@@ -16,8 +16,9 @@ FILE, IMAGE, POPULARITY = 1, 2, 4
 _STATE = "struct<first_seen:timestamp,last_visit:timestamp,last_successful_visit:timestamp,last_time_updated:timestamp,status_code:int,response_hash:string,seq:bigint,action:string>"
 
 
-def fold(responses: DataFrame) -> DataFrame:
-    """url_id and state after all of ``responses`` (url_id, seq, received, status_code, response_hash, is_text)."""
+def fold(responses: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """url_id and state after all of ``responses`` (url_id, seq, received, status_code, response_hash, is_text), from nothing or
+    from what is ``known`` (url_id and state, one row each); ``action`` is that of these responses alone."""
     one = F.struct("seq", "received", "status_code", "response_hash", "is_text")
 
     def step(s: Column, r: Column) -> Column:
@@ -38,7 +39,12 @@ def fold(responses: DataFrame) -> DataFrame:
         return F.when(new, fresh).when(same_time, s).when(older, back).when(same, seen).otherwise(fresh)
 
     ordered = F.array_sort(F.collect_list(one))
-    return responses.groupBy("url_id").agg(F.aggregate(ordered, F.lit(None).cast(_STATE), step).alias("_s")).select("url_id", "_s.*")
+    if known is None:
+        return responses.groupBy("url_id").agg(F.aggregate(ordered, F.lit(None).cast(_STATE), step).alias("_s")).select("url_id", "_s.*")
+    names = [x.split(":")[0] for x in _STATE[7:-1].split(",")]
+    state = F.struct(*[(F.lit("Nothing") if n == "action" else F.col(n)).alias(n) for n in names]).cast(_STATE)
+    met = responses.groupBy("url_id").agg(ordered.alias("_rows")).join(known.select("url_id", state.alias("_known")), "url_id", "left")
+    return met.select("url_id", F.aggregate("_rows", F.col("_known"), step).alias("_s")).select("url_id", "_s.*")
 
 
 def by_authority(responses: DataFrame, path: str, valid: Column) -> DataFrame:

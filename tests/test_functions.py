@@ -133,3 +133,13 @@ def test_fourteen_languages():
     }
     assert {k: text.language_of(v) for k, v in texts.items()} == {k: k for k in texts}
     assert text.language_of("1234 5678 " * 20) is None and text.language_of(texts["en"][:149]) is None
+
+
+def test_signatures(spark):
+    from driftline.functions import signatures
+
+    rows = [(None, None), (b"", None), (b"plain text", None), (b"\xff\xd8\xff", "image/jpeg"), (b"\xff\xfb\x90", "audio/mpeg"), (b"\xff\xd8", None), (b"GIF87a", "image/gif"), (b"PK\x03\x04" + b"-" * 5000 + b"word/", "application/zip"), (b"PK\x03\x04 xl/", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), (b"0123ftypzzzz", "video/mp4"), (b"\x00\x01\x00\x00\x00", "font/ttf"), (b"\x00\x00\x01\xba", "video/mpeg"), (b"a" * 257 + b"ustar", "application/x-tar")]
+    df = spark.createDataFrame([(n, b) for n, (b, _) in enumerate(rows)], "n int, b binary")
+    assert [r.m for r in df.select("n", signatures.detected_type(F.col("b")).alias("m")).orderBy("n").collect()] == [m for _, m in rows]
+    for digits, mime in signatures.SIGNATURES:  # none is hidden by a shorter one
+        assert not [d for d, m in signatures.SIGNATURES if m != mime and len(d) >= len(digits) and d.startswith(digits)] or len(digits) < 16
