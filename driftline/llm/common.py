@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.shared import delete, shared_dir
+
 #: Rows that a Python operator holds as Python objects at a time. Spark cuts Arrow batches at 64 MB as well
 #: (spark.sql.execution.arrow.maxBytesPerBatch), so that is the most, or one row if that is longer.
 ROWS = 256
@@ -33,16 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a session of one machine (tests) gets a
-    temporary folder; on a cluster that would lose tables, so it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
-    return spark.sparkContext.getCheckpointDir()
+#: The scratch folders made since ``owned`` began, by run: other threads have their own.
+_OWNED: ContextVar[list | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list]:
+    """The scratch folders that are made within, by this run alone."""
+    token = _OWNED.set([])
+    try:
+        yield _OWNED.get()
+    finally:
+        _OWNED.reset(token)
 
 
 class Scratch:
@@ -54,6 +59,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.live.append(self)
+        own = _OWNED.get()
+        if own is not None:
+            own.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path, before = f"{self.root}/{name}", self.spark.conf.get(_BATCH)
@@ -66,18 +74,13 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._delete(f"{self.root}/{name}")
+            delete(self.spark, f"{self.root}/{name}")
 
     def remove(self) -> None:
-        self._delete(self.root)
+        delete(self.spark, self.root)
         if self in self.live:
             self.live.remove(self)
 
-    def _delete(self, where: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(path, True)
-
 
 def clear(since: int = 0) -> None:
     """Deletes the tables of all but the first ``since`` scratch folders of this program."""
@@ -106,9 +109,10 @@ def screen(rows: DataFrame, key: str) -> DataFrame:
 def screened(rows: DataFrame, key: str, screen_: DataFrame, within: bool = True) -> DataFrame:
     """The rows whose key may be among the screen's; with ``within`` false those whose key can't be, nulls too. Neither
     moves a row; an exact join of the few that may be follows."""
-    placed = rows.withColumn("__h", _place(key)).withColumn("__word", F.expr("__h div 64"))
-    met = placed.join(F.broadcast(screen_), "__word", "left")
-    may = F.coalesce(F.getbit("__bits", F.expr("cast(__h % 64 as int)")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    place, word, bits = (fresh(rows.columns, n) for n in ("screen_place", "screen_word", "screen_bits"))
+    placed = rows.withColumn(place, _place(key)).withColumn(word, F.expr(f"{place} div 64"))
+    met = placed.join(F.broadcast(screen_.select(F.col("__word").alias(word), F.col("__bits").alias(bits))), word, "left")
+    may = F.coalesce(F.getbit(bits, F.expr(f"cast({place} % 64 as int)")) == 1, F.lit(False)) & F.col(key).isNotNull()
     return met.where(may if within else ~may).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 

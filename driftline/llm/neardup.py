@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, screen, screened, slices, texts
+from .common import Scratch, fresh, screen, screened, slices, texts
 from .components import components
 from .shingles import WORDS, mixed, shingle_sets
 
@@ -223,9 +223,9 @@ def _links(docs: DataFrame, spokes: DataFrame, scratch: Scratch, block: int) ->
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (it is the row's own) and digest of the set
-    (null: empty) of each row."""
+    (null: empty) of each row. Ids have to be integers."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = _checked(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     drawn = scratch.keep(sketches(docs), "sketches")
     known = drawn.where("doc_id is not null and digest is not null")
     # equal sets have equal keys, so any copy's will do; a group of copies is one row before it is shuffled
@@ -244,26 +244,49 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest")
 
 
+def _checked(docs: DataFrame) -> DataFrame:
+    """The ids have to be integers: others would be cut to one, and meet."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"doc_id has to be an integer, not {kind.simpleString()}")
+    return docs
+
+
+def _order(rows: DataFrame) -> F.Column:
+    """What rows are compared by: their columns, or their JSON where a column has no order."""
+
+    def ordered(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(ordered(f.dataType) for f in kind.fields)
+        return ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return whole if all(ordered(f.dataType) for f in rows.schema.fields) else F.to_json(whole)
+
+
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that near_duplicates keeps, one for each group; of rows with a repeated id, those whose own
-    set is kept, and one of those alike in id and set (the least, by all columns). Rows with a null id all stay."""
+    set is kept, and one of those alike in id and set (the least, by all columns, or by their JSON where one of them, as a map,
+    has no order). Rows with a null id all stay. Ids have to be integers."""
     scratch = Scratch(docs.sparkSession, "deduplicated")
     found = scratch.keep(near_duplicates(docs, block).select("doc_id", "kept", F.coalesce("digest", F.lit("").cast("binary")).alias("digest")), "found")
+    id_, again_, digest = (fresh(docs.columns, n) for n in ("own_id", "is_again", "own_digest"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     # ids that aren't simply kept: most rows have another one and stay where they are
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
-    unsure = scratch.keep(ids.where("rows > 1 or stay = 0").select(F.col("doc_id").alias("__id"), (F.col("rows") > 1).alias("__again")), "unsure")
-    marks = screen(unsure, "__id")
-    known = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
-    met = screened(known, "__id", marks).join(unsure, "__id", "left")
-    sure = screened(known, "__id", marks, within=False).select(docs.columns).unionByName(met.where("__again is null").select(docs.columns))
+    unsure = scratch.keep(ids.where("rows > 1 or stay = 0").select(F.col("doc_id").alias(id_), (F.col("rows") > 1).alias(again_)), "unsure")
+    marks = screen(unsure, id_)
+    known = docs.withColumn(id_, F.col("doc_id").cast("bigint"))
+    met = screened(known, id_, marks).join(unsure, id_, "left")
+    sure = screened(known, id_, marks, within=False).select(columns).unionByName(met.where(F.col(again_).isNull()).select(columns))
 
     def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(texts(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(s) or b"" for s in sets], pa.binary())], [*b.schema.names, "__digest"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(s) or b"" for s in sets], pa.binary())], [*b.schema.names, digest])
 
-    again = met.where("__again").drop("__again")
-    again = again.mapInArrow(with_digest, T.StructType([*again.schema.fields, T.StructField("__digest", T.BinaryType())]))
-    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    one = again.join(stay, ["__id", "__digest"], "left_semi").groupBy("__id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    again = met.where(again_).drop(again_)
+    again = again.mapInArrow(with_digest, T.StructType([*again.schema.fields, T.StructField(digest, T.BinaryType())]))
+    stay = found.where("kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct()
+    one = again.join(stay, [id_, digest], "left_semi").groupBy(id_, digest).agg(F.min_by(F.struct(*columns), _order(docs)).alias("row"))
     return sure.unionByName(one.select("row.*"))

@@ -1,7 +1,8 @@
 """Quality classifier: Bradley-Terry scores learned from preference pairs, thresholded by a score quantile.
 
 A labelled sample of at most ``sample`` documents (the documented bound; one row each, whatever repeats) gives pairs of
-a good and a bad document.
+a good and a bad document: all of them, or where there are more than ``pairs`` of them that many, spread evenly (the other
+documented bound).
 The chance that the good one is preferred is sigmoid(s(good) - s(bad)), s linear in the features; the weights
 minimise the logistic loss on feature differences. The threshold is the quantile of the sample's scores at the
 share of bad rows, in the middle of the gap there; ``score`` is a sigmoid that takes 0.7 at the threshold.
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 from .common import slices, texts
 
+#: Labelled documents, and pairs of them, that the weights are learned from at most.
 SAMPLE = 6000
 PAIRS = 40_000
 CUT = 0.7

@@ -1,7 +1,8 @@
 import corpus_pipeline
 from driftline.llm import quality, queries, secrets
-from driftline.llm.common import table
+from driftline.llm.common import Scratch, owned, table
 from driftline.llm.encode import Encoder, public
+from pyspark.sql import functions as F
 
 from .test_neardup import brute
 
@@ -66,3 +67,37 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, df, DIR).columns == df.columns
         assert stage(spark, df.limit(0), DIR).count() == 0
     assert corpus_pipeline.packed(spark, df, DIR).count() == len(rows)
+
+
+def test_columns_of_any_name_and_type(spark):
+    """Columns named as the operators' own, maps, and ids that are no integers."""
+    import pytest
+
+    rows = [(1, "a b c d e f", {"k": 2}, 9), (1, "a b c d e f", {"k": 1}, 9), (2, "a b c d e f", {"k": 3}, 9), (3, "other words", {}, 9)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, own_id map<string,int>, screen_word int").withColumns({"own_digest": F.lit("x"), "is_again": F.lit(1), "screen_place": F.lit(2), "SCREEN_BITS": F.lit(3)})
+    got = corpus_pipeline.one_of_each(spark, df, DIR)
+    assert got.columns == df.columns and sorted((r.doc_id, str(r.own_id)) for r in got.collect()) == [(1, "{'k': 1}"), (3, "{}")]
+    for kind in ("string", "double", "decimal(10,2)"):
+        with pytest.raises(TypeError):
+            corpus_pipeline.one_of_each(spark, df.withColumn("doc_id", F.col("doc_id").cast(kind)), DIR)
+
+
+def test_runs_side_by_side_keep_their_tables(spark):
+    """What one run deletes is its own."""
+    from threading import Thread
+
+    mine = Scratch(spark, "mine").keep(spark.range(3), "rows")
+    counts = []
+
+    def other():
+        with owned() as made:
+            Scratch(spark, "theirs").keep(spark.range(5), "rows")
+        counts.append(len(made))
+        for own in made:
+            own.remove()
+
+    with owned() as made:
+        thread = Thread(target=other)
+        thread.start()
+        thread.join()
+    assert counts == [1] and made == [] and mine.count() == 3
