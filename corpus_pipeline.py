@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import neardup, packing, quality, secrets
-from driftline.llm.common import Scratch, clear, table
+from driftline.llm.common import Scratch, owned, table
 from driftline.llm.encode import public
 from driftline.llm.queries import PACKED
 
@@ -47,9 +47,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, last = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before = len(Scratch.live)
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        clear(before)  # what the stage's rows were read from
+        with owned() as made:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        for own in made:  # what the stage's rows were read from
+            own.remove()
         if last:
             scratch.drop(last)
         last = name
