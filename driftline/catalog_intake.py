@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.catalog import LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, log, query, t
+from driftline.catalog import LINKS_SQL, LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, links, log, query, t
 from driftline.functions import formats, gemtext, parsers, robots, signatures, urls
-from driftline.operators import archive, crawl, documents, reports, rules
+from driftline.operators import archive, crawl, documents, graph, reports, rules
+from driftline.plans import userquery
 from driftline.shared import folder as _folder
 from driftline.sources import files, pack, warc
 from driftline.streaming import state, store
@@ -519,3 +520,72 @@ def store_links(spark, d):
     held = _stored(spark, d)
     links = held.table("links").join(held.table("images").select(F.col("url_id").alias("source_url_id"), "width"), "source_url_id", "left")
     return links.withColumn("width", F.coalesce("width", F.lit(-1)))
+
+
+@query(r"""WITH asked AS (
+    SELECT item_id, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, item_id % 6 AS k FROM benchmark WHERE regexp_matches(text, '^[a-zA-Z]+ [a-zA-Z]+ '))
+SELECT item_id, k <> 4 AS valid_for_text, k NOT IN (2, 4) AS valid_for_images, k = 0 AS is_simple, k = 0 AS wants_encyclopedia, CASE k WHEN 1 THEN 'host.org' END AS site, CASE k WHEN 3 THEN 'gmi' END AS filetype,
+    CASE k WHEN 2 THEN lower(a) END AS title, CASE k WHEN 5 THEN lower(b) END AS url, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 5 THEN 3 ELSE 0 END AS phrases FROM asked""")
+def search_strings(spark, d):
+    """What search strings of all kinds ask for."""
+    a, b, k = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)), F.col("item_id") % 6
+    raw = F.when(k == 0, F.concat_ws(" ", a, b)).when(k == 1, F.concat(F.lit("site:Host.org "), a)).when(k == 2, F.concat(F.lit(" intitle:"), a)).when(k == 3, "filetype:GMI").when(k == 4, "  ").otherwise(F.concat(a, F.lit(" inurl:"), b, F.lit(" "), a, F.lit(" x")))
+    rows = t(spark, d, "benchmark").where(F.col("text").rlike("^[a-zA-Z]+ [a-zA-Z]+ "))
+    return rows.select("item_id", userquery.kinds(raw).alias("q")).select("item_id", "q.*")
+
+
+@query(r"""WITH each AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, page_id % 5 AS k FROM pages)
+SELECT page_id, k < 3 AS is_special, k NOT IN (2, 4) AS is_name FROM each""")
+def special_names(spark, d):
+    """Files that are asked for without a link, and names that may be a capsule's."""
+    k, site = F.col("page_id") % 5, F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    path = F.when(k == 0, "/favicon.txt").when(k == 1, "/robots.txt?q").when(k == 2, "/.well-known/security.txt").when(k == 3, "/x/robots.txt").otherwise("/")
+    name = F.when(k == 2, F.lit("localhost")).when(k == 4, F.concat(F.lit("-"), site)).otherwise(site)
+    return t(spark, d, "pages").select("page_id", urls.is_special(F.concat(F.lit("gemini://"), site, path)).alias("is_special"), urls.is_site_name(name).alias("is_name"))
+
+
+@query("SELECT user_id AS authority, count(*) AS entries, 1 AS workers, true AS within FROM events GROUP BY 1")
+def frontier_workers(spark, d):
+    """All entries of a site go to one of seven workers."""
+    dealt = crawl.by_worker(t(spark, d, "events").select(F.col("user_id").alias("authority")), 7)
+    return dealt.groupBy("authority").agg(F.count("*").alias("entries"), F.countDistinct("worker").cast("int").alias("workers"), F.bool_and(F.col("worker").between(0, 6)).alias("within"))
+
+
+@query(f"""WITH {LINKS_SQL}, texts AS (SELECT target_url_id, string_agg(DISTINCT link_text, ' ' ORDER BY link_text) AS texts FROM links GROUP BY 1)
+SELECT p_partkey AS url_id, texts || ' ' || replace(p_brand, '#', ' ') AS terms FROM part JOIN texts ON p_partkey = target_url_id WHERE p_size % 2 = 0""")
+def image_index_terms(spark, d):
+    """Images that links describe, with the links' texts and the words of their path; others aren't in the index."""
+    images = t(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("url_id"), "p_brand")
+    return crawl.image_terms(images, graph.link_texts(links(spark, d)), F.split("p_brand", "#")).select("url_id", "terms")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<a href')) AS links, len(regexp_extract_all(html, '<h1>')) AS first_headings, len(regexp_extract_all(html, '<h2>')) AS second_headings, false AS has_tags FROM pages""")
+def html_lines(spark, d):
+    """Lines of pages as gemtext: a line for each link, one for each heading, no tags, no scripts or styles."""
+    lines = F.split(parsers.html_to_gemtext("html"), "\n")
+    rows = t(spark, d, "pages").select("page_id", lines.alias("l"))
+    count = lambda p: F.size(F.filter("l", lambda x: x.rlike(p))).cast("bigint")
+    return rows.select("page_id", count("^=> ").alias("links"), count("^# ").alias("first_headings"), count("^## ").alias("second_headings"), F.exists("l", lambda x: x.rlike(r"</?(p|script|style|html|body|title)\b|track\(0\)|margin:0")).alias("has_tags"))
+
+
+@query(r"""WITH old AS (
+    SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'gemini://300:de6b::d:1965/' ELSE 'gemini://' || source || '/' || doc_id END AS url, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN 51 ELSE 20 END AS status, doc_id % 11 = 0 AS given_up, doc_id % 13 = 0 AS failed,
+        doc_id % 19 = 0 AS broken, doc_id % 3 <> 0 AS has_body, strlen(text) AS n FROM documents)
+SELECT url, CASE WHEN status = 0 OR status = 20 AND failed AND NOT given_up THEN 49 ELSE status END AS status_code, CASE WHEN status = 20 AND given_up THEN 'text/gemini; x' WHEN status = 20 THEN 'text/gemini' ELSE 'no' END AS meta,
+    CASE WHEN status = 20 AND (given_up OR NOT failed) THEN 'text/gemini' ELSE '' END AS mime_type, status = 20 AND (given_up OR NOT has_body AND NOT failed) AS is_body_truncated, CASE WHEN has_body THEN n ELSE -1 END AS size
+FROM old WHERE url NOT LIKE '%::%' AND NOT (status = 20 AND broken AND NOT given_up)
+UNION ALL SELECT 'gemini://src' || s_suppkey || path, 20, 'text/plain', 'text/plain', false, strlen(s_name) FROM supplier, (SELECT unnest(['/favicon.txt', '/robots.txt']) AS path) WHERE s_suppkey % 4 <> 0 AND (path = '/robots.txt' OR s_suppkey % 2 = 0)""")
+def crawl_database(spark, d):
+    """Captures out of the tables of an older crawl."""
+    n, source = F.col("doc_id"), t(spark, d, "documents")
+    given_up, status = n % 11 == 0, F.when(n % 5 == 0, 0).when(n % 7 == 0, 51).otherwise(20)
+    said = F.when(status != 20, " no ").when(given_up, "Requestor aborting due to reaching max download").when(n % 19 == 0, "text/gemini\nx").otherwise("text/gemini; charset=x")
+    rows = source.select(
+        n.alias("url_id"), F.when(n % 17 == 0, "gemini://300:de6b::d:1965/").otherwise(F.concat(F.lit("gemini://"), "source", F.lit("/"), n)).alias("url"), F.timestamp_seconds(n).alias("first_seen"), status.alias("status_code"), said.alias("meta"),
+        F.lit("text/gemini; x").alias("mime_type"), (n % 13 == 0).alias("connect_failed"),
+    )
+    objects = source.where("doc_id % 3 <> 0").select(files.object_key(n).alias("key"), F.encode("text", "UTF-8").alias("body"))
+    k = F.col("s_suppkey")
+    domains = t(spark, d, "supplier").select(F.concat(F.lit("src"), k).alias("domain"), F.lit(1965).alias("port"), (k % 4 != 0).alias("is_reachable"), F.when(k % 2 == 0, F.col("s_name")).alias("favicon_text"), F.col("s_name").alias("robots_text"), F.lit(None).cast("string").alias("security_text"))
+    got = files.crawl_database(rows, objects, domains)
+    return got.select("url", "status_code", "meta", "mime_type", "is_body_truncated", F.coalesce(F.octet_length("body"), F.lit(-1)).alias("size"))

@@ -83,7 +83,10 @@ class _Reverser(html.parser.HTMLParser):
             self.flush()
             self.pre = True
             self.lines.append("```")
-        elif tag in ("p", "div", "br", "ul", "ol", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article"):
+        elif tag == "hr":
+            self.flush()
+            self.lines.append("-" * 5)
+        elif tag in ("p", "div", "figure", "figcaption", "br", "ul", "ol", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article"):
             self.flush()
             self.start = {"li": "* ", "blockquote": "> "}.get(tag, "#" * min(int(tag[1]), 3) + " " if tag[0] == "h" and tag[1:].isdigit() else self.start)
         elif tag == "a":
@@ -101,7 +104,7 @@ class _Reverser(html.parser.HTMLParser):
             if self.href:
                 self.links.append((self.href, self.link_text))
             self.href = None
-        elif tag in ("p", "div", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr"):
+        elif tag in ("p", "div", "figure", "figcaption", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr"):
             self.flush()
 
     def handle_data(self, data):

@@ -89,6 +89,11 @@ def is_special(url: Column) -> Column:
     return path(url).isin(FAVICON, ROBOTS, SECURITY)
 
 
+def is_site_name(name: Column) -> Column:
+    """Whether a text may be a capsule's name: letters, digits, dots and hyphens, with a dot, neither end a dot or hyphen."""
+    return F.coalesce(name.contains(".") & name.rlike(r"^[a-zA-Z0-9][a-zA-Z0-9.\-]*[a-zA-Z0-9]$"), F.lit(False))
+
+
 def path_words(path_: Column) -> Column:
     """Words of a path, last segment first: decoded, image endings dropped, cut at - _ . , and before capitals."""
     segments = F.reverse(F.filter(F.split(path_, "/"), lambda s: s != ""))

@@ -11,6 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from driftline.functions.text import TERM
 
 _SCOPES = (("title", r'\bintitle:([^\s"]+)'), ("title", r'\bintitle:"([^"]*)"'), ("site", r"\bsite:(\S+)"), ("filetype", r"\bfiletype:(\S+)"), ("url", r"\binurl:(\S+)"))
@@ -187,6 +191,23 @@ def wants_encyclopedia(q: UserQuery, page: int = 1) -> bool:
     return page == 1 and q.is_simple and len(q.terms.split()) <= 2
 
 
+_KINDS = T.StructType()
+for _name in ("valid_for_text", "valid_for_images", "is_simple", "wants_encyclopedia"):
+    _KINDS = _KINDS.add(_name, T.BooleanType())
+for _name in ("site", "filetype", "title", "url"):
+    _KINDS = _KINDS.add(_name, T.StringType())
+_KINDS = _KINDS.add("phrases", T.IntegerType())
+
+
+@F.pandas_udf(_KINDS)
+def kinds(raw: pd.Series) -> pd.DataFrame:
+    """What many search strings ask for, a row each: whether text and image searches take them, whether they are simple, their
+    scopes, and how many phrases they have. A null string asks for nothing."""
+    found = [parse(x or "") for x in raw]
+    rows = [(q.valid_for_text, q.valid_for_images, q.is_simple, wants_encyclopedia(q), q.site, q.filetype, q.title, q.url, len(q.phrases)) for q in found]
+    return pd.DataFrame(rows, columns=_KINDS.names)
+
+
 PAGE = 15
 
 

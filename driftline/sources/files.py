@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions import formats, urls
+from driftline.operators import reports
+
 
 def _fields(spark: SparkSession, path: str, sep: str) -> tuple[DataFrame, Column]:
     return spark.read.text(path), F.split("value", sep)
@@ -89,3 +92,23 @@ def write_mime_csv(rows: DataFrame, path: str) -> None:
 def write_blobs(blobs: DataFrame, path: str) -> None:
     """Bodies by the first two digits of their hash, compressed."""
     blobs.write.mode("append").partitionBy("prefix").option("compression", "zstd").parquet(path)
+
+
+def crawl_database(documents: DataFrame, objects: DataFrame, domains: DataFrame) -> DataFrame:
+    """Captures of an older crawl's tables: documents (url_id, url, first_seen, status_code, meta, mime_type, connect_failed), their
+    bodies in an object store (key, body), and what its domains (domain, port, is_reachable and the texts of special files) keep.
+    Rows with a URL that isn't one, or a line break in a success's meta, are left out; status and meta are as they are
+    written now; a success without a body counts as cut, as does one whose fetch was given up for its size."""
+    status, meta = formats.legacy_status(F.col("status_code"), F.col("meta"))
+    given_up = F.col("meta").startswith("Requestor aborting due to reaching max download")
+    ok = status.between(20, 29)
+    failed = ok & F.col("connect_failed") & ~given_up
+    kept = documents.where(F.col("url").rlike(r"^[a-z]+://[^/?#:]+(:[0-9]{1,5})?([/?#]|$)") & ~(F.col("status_code").between(20, 29) & F.col("meta").contains("\n")))
+    rows = kept.select("url_id", "url", F.col("first_seen").alias("received"), F.when(failed, 49).otherwise(status).alias("status_code"), F.when(ok & given_up, F.col("mime_type")).otherwise(meta).alias("meta"), "mime_type", (ok & given_up).alias("_given_up"))
+    ok = F.col("status_code").between(20, 29)
+    found = with_bodies(rows, objects).withColumn("mime_type", F.when(ok, F.lower(F.trim(F.substring_index("mime_type", ";", 1)))).otherwise(""))
+    found = found.withColumn("is_body_truncated", F.coalesce(F.col("_given_up") | (ok & F.col("body").isNull()), F.lit(False))).drop("key", "_given_up", "url_id")
+    special = reports.special_captures(domains, documents.select(*[urls_of(F.col("url")).alias(c) for c, urls_of in (("domain", urls.domain), ("port", urls.port))], "first_seen"))
+    address = F.concat(F.lit("gemini://"), "domain", F.when(F.col("port") == urls.DEFAULT_PORT, "").otherwise(F.concat(F.lit(":"), "port")), "path")
+    texts = special.select(address.alias("url"), F.col("first_seen").alias("received"), F.lit(20).alias("status_code"), F.lit("text/plain").alias("meta"), F.lit("text/plain").alias("mime_type"), F.encode("content", "UTF-8").alias("body"), F.lit(False).alias("is_body_truncated"))
+    return found.select(texts.columns).unionByName(texts)
