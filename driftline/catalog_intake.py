@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import LINKS_SQL, LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, links, log, query, t
-from driftline.functions import formats, gemtext, parsers, robots, signatures, urls
+from driftline.functions import formats, gemtext, parsers, portal, robots, signatures, urls
 from driftline.operators import archive, crawl, documents, graph, reports, rules
 from driftline.plans import userquery
 from driftline.shared import folder as _folder
@@ -589,3 +589,28 @@ def crawl_database(spark, d):
     domains = t(spark, d, "supplier").select(F.concat(F.lit("src"), k).alias("domain"), F.lit(1965).alias("port"), (k % 4 != 0).alias("is_reachable"), F.when(k % 2 == 0, F.col("s_name")).alias("favicon_text"), F.col("s_name").alias("robots_text"), F.lit(None).cast("string").alias("security_text"))
     got = files.crawl_database(rows, objects, domains)
     return got.select("url", "status_code", "meta", "mime_type", "is_body_truncated", F.coalesce(F.octet_length("body"), F.lit(-1)).alias("size"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, doc_id % 7 AS k, source, text FROM documents)
+SELECT doc_id, 'gemini://' || source || '/' || doc_id AS url, CASE WHEN k IN (0, 1, 2) THEN 20 WHEN k = 3 THEN 51 ELSE -1 END AS status_code, CASE k WHEN 0 THEN 'text/gemini; lang=en' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/png' WHEN 3 THEN 'not here' ELSE '' END AS meta,
+    CASE k WHEN 0 THEN sha256('# Title ' || doc_id || chr(10) || text || chr(10) || '=> /x y z' || chr(10) || '=> gemini://other/ o' || chr(10) || '---' || chr(10) || '* one' || chr(10) || '* two' || chr(10) || '```' || chr(10) || 'pre <' || doc_id || '>' || chr(10) || '```' || chr(10) || '> a' || chr(10) || '> b' || chr(10) || '=> /i.png alt' || chr(10))
+        WHEN 1 THEN sha256(text) WHEN 2 THEN sha256(text) ELSE '' END AS body_hash, CASE k WHEN 4 THEN sha256(text) ELSE '' END AS fingerprint, CASE WHEN k IN (0, 6) THEN 1 ELSE 0 END AS more, CASE WHEN k = 5 AND doc_id % 2 = 0 THEN 'no response line' ELSE '' END AS problem FROM p""")
+def portal_captures(spark, d):
+    """Archived portal pages of texts, images, failures and certificates, back to responses."""
+    n, web = F.col("doc_id"), "/web/20200102030405id_/https://portal.example"
+    k = n % 7
+    said = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    meta = F.when(k == 0, "text/gemini; lang=en").when(k == 1, "text/plain").when(k == 3, "not here").otherwise("image/png")
+    status = F.when(k == 3, "51 NOT FOUND").when(k == 5, "").otherwise("20 SUCCESS")
+    gem = F.concat(
+        F.lit("<h1>Title "), n, F.lit("</h1> <p>"), said, F.lit(f"</p><br><a href='{web}/gemini/"), "source", F.lit(f"/x'>y z</a><br><a href='{web}/gemini/other/'>o</a><br/><hr><ul><li>one<li>two</ul><pre>pre &lt;"), n,
+        F.lit(f"></pre><blockquote>a\nb</blockquote><figure><img alt=alt src='{web}/gemini/"), "source", F.lit("/i.png'></figure>"),
+    )
+    data = F.base64(F.encode("text", "UTF-8"))
+    body = F.when(k == 0, F.concat(F.lit("<div class=gemini>"), gem, F.lit("</div>"))).when(k == 1, F.concat(F.lit("<pre>"), said, F.lit("</pre>"))).when(k == 2, F.concat(F.lit("<img src='data:image/png;base64,"), data, F.lit("'>"))).when(k == 6, "<img src='i.png'>").otherwise("")
+    page = F.concat(F.lit("<html><body><div class=top><table><tr><td>Status<td>"), status, F.lit("<tr><td>Meta</td><td> "), meta, F.lit(" </td></tr></table></div><div class='a body'>"), body, F.lit("</div></body></html>"))
+    page = F.when(k == 4, F.concat(F.lit("<pre>about\n-----BEGIN CERTIFICATE-----\n"), data, F.lit("\n-----END CERTIFICATE-----\n</pre>"))).when((k == 5) & (n % 2 == 0), "<table><tr><td>1</table>").otherwise(page)
+    capture = F.concat(F.lit(f"https://web.archive.org{web}/gemini/"), "source", F.lit("/"), n, F.when(k == 4, "?crt=1").otherwise(""))
+    got = portal.captures(t(spark, d, "documents").select("doc_id", capture.alias("capture"), page.alias("html")))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return got.select("doc_id", "url", F.coalesce("status_code", F.lit(-1)).alias("status_code"), text("meta").alias("meta"), text(F.sha2("body", 256)).alias("body_hash"), text("fingerprint").alias("fingerprint"), F.size("more").alias("more"), text("problem").alias("problem"))

@@ -143,3 +143,18 @@ def test_signatures(spark):
     assert [r.m for r in df.select("n", signatures.detected_type(F.col("b")).alias("m")).orderBy("n").collect()] == [m for _, m in rows]
     for digits, mime in signatures.SIGNATURES:  # none is hidden by a shorter one
         assert not [d for d, m in signatures.SIGNATURES if m != mime and len(d) >= len(digits) and d.startswith(digits)] or len(digits) < 16
+
+
+def test_portal_pages():
+    from driftline.functions import portal
+
+    at = "https://web.archive.org/web/20200102030405id_/https://p/gemini/h/dir/page"
+    assert portal.content(None, None)[5] == portal.content(at, "")[5] == portal.content(at, "<table><td>1<td>xx<td>2<td>m</table>")[5] == "no response line"
+    assert portal.content(at, "<table><td>s<td> 20 OK<td>m<td>text/gemini</table>")[5] == "no body" and portal.content(at + "?crt=1", "<pre>x</pre>")[5] == "no certificate"
+    assert portal.content(at, "<table><td>s<td> <td>m<td></table>") == (None, None, None, None, [], None)
+    assert portal.content(at, "<table><td>s<td>20<td>m<td>text/plain; charset=latin-1</table><div class=body><pre>\u00e9 &amp; x")[2] == b"\xe9 & x"
+    assert portal.content(at, "<table><td>s<td>20<td>m<td>image/png</table><div class=body><img src='data:image/png,x'>")[5] == "no body"
+    for target, want in (("/web/20200102030405/https://p/gemini/h/a%20b", "/a b"), ("/web/20200102030405/https://p/gemini/o/a", "gemini://o/a"), ("/web/20200102030405/https://x.org/y?z", "https://x.org/y?z"), ("/gemini/o/z", "gemini://o/z"), ("https://x.org/", "https://x.org/"), ("mailto:a", "mailto:a")):
+        assert portal.link_of(at, target)[0] == want
+    page = portal.tree("<div class='x body'><p>one<p>two<ul><li>a<li>b</ul></div>text</b><div class=body><pre>z")
+    assert [n.text() for n in page.all("p")] == ["one", "two"] and [n.text() for n in page.all("li")] == ["a", "b"] and page.first(("div", "body"), ("pre", None)).text() == "z" and page.first(("div", "y")) is None
