@@ -266,6 +266,15 @@ def fts_postings(spark, d):
     return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
+@query(rf"""WITH {DOCS_SQL}, split AS (SELECT url_id, regexp_extract_all(lower(title), {_WORDS}) AS h, regexp_extract_all(lower(body), {_WORDS}) AS b FROM docs)
+SELECT url_id, CAST(len(h) AS BIGINT) AS title_terms, CAST(len(b) AS BIGINT) AS body_terms, CAST(greatest(len(h), len(b)) AS BIGINT) - 1 AS last_place, CAST(len(h) + len(b) AS BIGINT) AS length FROM split""")
+def fts_index_rows(spark, d):
+    """What the written index has of each document: places of its title and body, the last one, and its length."""
+    rows = text_index(spark, d).postings
+    size = lambda field: F.coalesce(F.sum(F.when(F.col("field") == field, F.size("positions"))), F.lit(0)).cast("bigint")
+    return rows.groupBy("url_id").agg(size(index.TITLE).alias("title_terms"), size(index.BODY).alias("body_terms"), F.coalesce(F.max(F.array_max("positions")), F.lit(-1)).cast("bigint").alias("last_place"), F.max("length").cast("bigint").alias("length"))
+
+
 @query(f"WITH {DOCS_SQL} SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(lower(body), {_WORDS})) + len(regexp_extract_all(lower(title), {_WORDS}))) AS BIGINT) AS terms FROM docs")
 def fts_index_build(spark, d):
     """Writes the index anew and counts what is in it: pages, and places of terms."""

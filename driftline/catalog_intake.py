@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import LINKS_SQL, LOG_SQL, ORACLES, QUERIES, _gem, _GEM, _responses, _stream, links, log, query, t
-from driftline.functions import formats, gemtext, parsers, portal, robots, signatures, urls
+from driftline.functions import formats, gemtext, parsers, portal, robots, signatures, text, urls
 from driftline.operators import archive, crawl, documents, graph, reports, rules
 from driftline.plans import userquery
 from driftline.shared import folder as _folder
@@ -614,3 +614,25 @@ def portal_captures(spark, d):
     got = portal.captures(t(spark, d, "documents").select("doc_id", capture.alias("capture"), page.alias("html")))
     text = lambda c: F.coalesce(c, F.lit(""))
     return got.select("doc_id", "url", F.coalesce("status_code", F.lit(-1)).alias("status_code"), text("meta").alias("meta"), text(F.sha2("body", 256)).alias("body_hash"), text("fingerprint").alias("fingerprint"), F.size("more").alias("more"), text("problem").alias("problem"))
+
+
+#: Texts of favicon files, and whether they are one emoji.
+_FAVICONS = [("\U0001f680", True), ("\U0001f1e9\U0001f1ea", True), ("\U0001f468\u200d\U0001f469\u200d\U0001f467", True), ("\U0001f44d\U0001f3fd", True), ("1\ufe0f\u20e3", True), ("\u2615", True), ("\u2764\ufe0f", True), ("a", False), ("1", False), ("", False), ("\U0001f680\U0001f680", False), ("\U0001f680 ", False), ("\u00e9", False)]
+
+
+@query(f"""SELECT event_id, CASE event_id % {len(_FAVICONS)} {" ".join(f"WHEN {n} THEN {str(x).lower()}" for n, (_, x) in enumerate(_FAVICONS))} END AS is_favicon FROM events""")
+def favicon_texts(spark, d):
+    """Favicon files that hold one emoji, and others."""
+    k, said = F.col("event_id") % len(_FAVICONS), F.lit("")
+    for n, (x, _) in enumerate(_FAVICONS):
+        said = F.when(k == n, F.lit(x)).otherwise(said)
+    return t(spark, d, "events").select("event_id", text.is_one_emoji(said).alias("is_favicon"))
+
+
+@query("""WITH v AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations QUALIFY old IS NOT NULL)
+SELECT conv_id AS url_id, turn AS captured, CAST(len(string_split(old, chr(10))) AS BIGINT) AS old_lines, CAST(len(string_split(text, chr(10))) AS BIGINT) AS new_lines, old = text AS same FROM v""")
+def line_diff_counts(spark, d):
+    """How many lines the differences account for: all of both versions, and no change where there is none."""
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("url_id"), F.col("turn").alias("captured"), F.col("turn").alias("seq"), "text")
+    found = archive.versions_diff(rows).groupBy("url_id", "captured")
+    return found.agg(F.count_if(F.col("change") != "Inserted").alias("old_lines"), F.count_if(F.col("change") != "Deleted").alias("new_lines"), (F.count_if(F.col("change") != "Unchanged") == 0).alias("same"))

@@ -3,7 +3,6 @@ differences, languages, image headers, emoji."""
 
 from __future__ import annotations
 
-import difflib
 import re
 import struct
 import unicodedata
@@ -13,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,16 +117,70 @@ def snippet_of(phrases: list[tuple[str, ...]], size: int = 20, term: Callable[[s
     return cut
 
 
+def _furthest(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """The stretch of equal lines in the middle of a shortest edit of a into b: where it starts and ends in both. Paths are
+    grown from both ends, edit by edit, until two meet (E. W. Myers, 1986); the memory is that of two rows."""
+    n, m = len(a), len(b)
+    odd, most = (n - m) % 2, (n + m + 1) // 2
+    on, back = {1: 0}, {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            x = on[k + 1] if k == -d or (k != d and on.get(k - 1, -1) < on.get(k + 1, -1)) else on[k - 1] + 1
+            y = start = x - k
+            while x < n and y < m and a[x] == b[y]:
+                x, y = x + 1, y + 1
+            on[k] = x
+            other = n - m - k
+            if odd and -d < other < d and x + back.get(other, -1) >= n:
+                return x - (y - start), start, x, y
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back.get(k - 1, -1) < back.get(k + 1, -1)) else back[k - 1] + 1
+            y = start = x - k
+            while x < n and y < m and a[n - 1 - x] == b[m - 1 - y]:
+                x, y = x + 1, y + 1
+            back[k] = x
+            other = n - m - k
+            if not odd and -d <= other <= d and x + on.get(other, -1) >= n:
+                return n - x, m - y, n - x + (y - start), m - start
+    raise AssertionError("two paths meet")
+
+
+def common_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of the lines, ascending. Lines that one side alone has can't be in it and go first;
+    the time grows with the lines left times their differences."""
+    numbers: dict[str, int] = {}
+    a, b = ([numbers.setdefault(x, len(numbers)) for x in lines] for lines in (old, new))
+    both = set(a) & set(b)
+    at_a, at_b = ([n for n, x in enumerate(lines) if x in both] for lines in (a, b))
+    a, b = [a[n] for n in at_a], [b[n] for n in at_b]
+    out, left = [], [(0, len(a), 0, len(b))]
+    while left:
+        a0, a1, b0, b1 = left.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((at_a[a0], at_b[b0]))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((at_a[a1], at_b[b1]))
+        if a0 < a1 and b0 < b1:
+            x0, y0, x1, y1 = _furthest(a[a0:a1], b[b0:b1])
+            out += [(at_a[a0 + x0 + n], at_b[b0 + y0 + n]) for n in range(x1 - x0)]
+            left += [(a0, a0 + x0, b0, b0 + y0), (a0 + x1, a1, b0 + y1, b1)]
+    return sorted(out)
+
+
 def line_changes(old: str, new: str) -> list[tuple[int | None, str, str]]:
-    """(position in the new text, Unchanged, Inserted or Deleted, line) in reading order."""
+    """(position in the new text, Unchanged, Inserted or Deleted, line) in reading order, as few changes as there can be; where lines
+    are replaced the old ones come first."""
     a, b = old.split("\n"), new.split("\n")
     out: list[tuple[int | None, str, str]] = []
-    for kind, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [(j + 1, "Unchanged", b[j]) for j in range(b0, b1)]
-        else:
-            out += [(None, "Deleted", x) for x in a[a0:a1]]
-            out += [(j + 1, "Inserted", b[j]) for j in range(b0, b1)]
+    i = j = 0
+    for x, y in [*common_lines(a, b), (len(a), len(b))]:
+        out += [(None, "Deleted", line) for line in a[i:x]]
+        out += [(n + 1, "Inserted", b[n]) for n in range(j, y)]
+        if x < len(a):
+            out.append((y + 1, "Unchanged", b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -163,19 +217,21 @@ def image_header(body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([r or (None, None, None, None) for r in rows], columns=["width", "height", "image_type", "is_transparent"]).astype({"width": "Int32", "height": "Int32"})
 
 
-@F.pandas_udf(T.BooleanType())
-def is_one_emoji(text: pd.Series) -> pd.Series:
-    """Whether the text is a single emoji as readers see it: joined sequences, flags, keycaps and skin tones count as one."""
-    import regex
-
-    base = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|[0-9#*]️?⃣")
+#: The characters that Unicode (15) calls extended pictographic, in ranges.
+PICTOGRAPHIC = (
+    "©®‼⁉™ℹ↔-↙↩-↪⌚-⌛⌨⎈⏏⏩-⏳⏸-⏺Ⓜ▪-▫▶◀◻-◾☀-★☇-☒☔-⚅⚐-✅"
+    "✈-✒✔✖✝✡✨✳-✴❄❇❌❎❓-❕❗❣-❧➕-➗➡➰➿⤴-⤵⬅-⬇⬛-⬜⭐⭕〰〽㊗㊙"
+    "\U0001f000-\U0001f0ff\U0001f10d-\U0001f10f\U0001f12f\U0001f16c-\U0001f171\U0001f17e-\U0001f17f\U0001f18e\U0001f191-\U0001f19a\U0001f1ad-\U0001f1e5\U0001f201-\U0001f20f\U0001f21a\U0001f22f\U0001f232-\U0001f23a\U0001f23c-\U0001f23f"
+    "\U0001f249-\U0001f3fa\U0001f400-\U0001f53d\U0001f546-\U0001f64f\U0001f680-\U0001f6ff\U0001f774-\U0001f77f\U0001f7d5-\U0001f7ff\U0001f80c-\U0001f80f\U0001f848-\U0001f84f\U0001f85a-\U0001f85f\U0001f888-\U0001f88f\U0001f8ae-\U0001f8ff"
+    "\U0001f90c-\U0001f93a\U0001f93c-\U0001f945\U0001f947-\U0001faff\U0001fc00-\U0001fffd"
+)
+_EMOJI = rf"^(?:[{PICTOGRAPHIC}]|[\x{{1f1e6}}-\x{{1f1ff}}]|[0-9#*]\x{{fe0f}}?\x{{20e3}})"
 
-    def one(t: str | None) -> bool:
-        if not t or any(c.isspace() for c in t):
-            return False
-        return len(regex.findall(r"\X", t)) == 1 and base.match(t) is not None
 
-    return text.map(one)
+def is_one_emoji(text: Column) -> Column:
+    """Whether the text is a single emoji as readers see it: joined sequences, flags, keycaps and skin tones count as one. A null
+    text isn't one."""
+    return F.coalesce(text.rlike(r"^\X\z") & text.rlike(_EMOJI), F.lit(False))
 
 
 #: A sentence or more and the frequent words of the 14 languages, from which their profiles are made.

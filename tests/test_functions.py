@@ -1,3 +1,4 @@
+import random
 import struct
 
 from driftline.functions import formats, gemtext, parsers, text, urls
@@ -89,7 +90,7 @@ def test_text():
 
 def test_emoji(spark):
     rows = ["🚀", "👨‍👩‍👧", "🇩🇪", "1️⃣", "👍🏽", "🚀🚀", "ab", "", " 🚀", "é"]
-    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").select("i", text.is_one_emoji("x").alias("y")).orderBy("i").collect()
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").select("i", text.is_one_emoji(F.col("x")).alias("y")).orderBy("i").collect()
     assert [r.y for r in got] == [True] * 5 + [False] * 5
 
 
@@ -158,3 +159,41 @@ def test_portal_pages():
         assert portal.link_of(at, target)[0] == want
     page = portal.tree("<div class='x body'><p>one<p>two<ul><li>a<li>b</ul></div>text</b><div class=body><pre>z")
     assert [n.text() for n in page.all("p")] == ["one", "two"] and [n.text() for n in page.all("li")] == ["a", "b"] and page.first(("div", "body"), ("pre", None)).text() == "z" and page.first(("div", "y")) is None
+
+
+def test_pictographic_ranges():
+    import re
+    import sys
+
+    import regex
+
+    mine, known = re.compile(f"[{text.PICTOGRAPHIC}]"), regex.compile(r"\p{Extended_Pictographic}")
+    own, theirs = ({c for c in range(0x20, sys.maxunicode) if p.match(chr(c))} for p in (mine, known))
+    # later versions of Unicode took some characters out that never were shown as emoji
+    assert theirs <= own and len(own) < 1.3 * len(theirs)
+
+
+def test_line_changes_are_few():
+    rnd = random.Random(5)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        return row[-1]
+
+    for _ in range(600):
+        kinds = rnd.choice(["a", "ab", "abc", "abcdefgh"])
+        a, b = ([rnd.choice(kinds) for _ in range(rnd.randint(0, 25))] for _ in range(2))
+        if rnd.random() < 0.5:
+            b = [x for x in a if rnd.random() < 0.8] + b[:3]
+        found = text.common_lines(a, b)
+        assert len(found) == longest(a, b) and all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+        changes = text.line_changes("\n".join(a), "\n".join(b))
+        assert [x for _, c, x in changes if c != "Inserted"] == "\n".join(a).split("\n") and [(p, x) for p, c, x in changes if c != "Deleted"] == list(enumerate("\n".join(b).split("\n"), 1))
+    big = [str(n % 50) for n in range(20000)]
+    assert len(text.common_lines(big, [*big[:9000], "x", *big[9100:]])) == 19900
+    assert text.common_lines([str(n) for n in range(30000)], [f"x{n}" for n in range(30000)]) == []
