@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from driftline.functions.stem import analyzed, stems, term
 from driftline.functions.text import fold, snippet_of
 from driftline.plans.userquery import Expression, Page, Phrase, UserQuery, phrase
+from driftline.shared import folder
 
 #: Fixed values of the ranking: BM25's k1 and b, the least idf, weights of popularity and of gemtext.
 K1, B, LEAST_IDF, POPULARITY_WEIGHT, GEMTEXT_BOOST = 1.2, 0.75, 1e-6, 0.3, 1.03
@@ -190,7 +191,11 @@ def from_postings(index: DataFrame, terms: list[str], rows: int, mean_length: fl
 
 def matched_workload(asked: DataFrame, words: DataFrame) -> DataFrame:
     """item_id, doc_id: documents (doc_id, own: distinct words) with all words of a query (item_id, ws). A query looks up
-    its rarest word only, and each candidate's words are compared in its own row."""
+    its rarest word only, and each candidate's words are compared in its own row. The word sets are written once to the shared
+    folder, as they are read three times."""
+    place = folder(words.sparkSession, "word-sets")
+    words.select("doc_id", "own").write.parquet(place)
+    words = words.sparkSession.read.schema(words.select("doc_id", "own").schema).parquet(place)
     each = asked.select(F.explode("ws").alias("word")).distinct()
     # how many documents have each asked word: a row per asked word
     known = words.select(F.explode("own").alias("word")).join(each, "word", "left_semi").groupBy("word").count()
