@@ -91,6 +91,11 @@ def _case(branches: list[tuple[Column, Column]]) -> Column:
 def detected_type(body: Column) -> Column:
     """The MIME type that the body's first bytes show; null where none is known, and for empty and null bodies."""
     head = F.decode(F.substring(body, 1, HEAD), "ISO-8859-1")
+    # the head is decoded once, whatever is compared with it
+    return F.transform(F.array(head), _type_of)[0]
+
+
+def _type_of(head: Column) -> Column:
     # first by the first byte, so that a body is compared with the few signatures that begin with its own
     by_byte: dict[str, list[tuple[str, str]]] = {}
     for digits, mime in sorted(SIGNATURES, key=lambda s: -len(s[0])):

@@ -211,7 +211,7 @@ def _write_bounds(spark: SparkSession, path: str, part: str, mean: float) -> Non
     rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/part={part}").where(F.col("field") == BODY)
     most = F.max(-fts.bm25(F.size("positions"), F.col("length"), mean or 1.0, 1.0) * F.col("boost"))
     found = rows.groupBy("bucket", "term", BLOCK).agg(most.alias("most"), F.count("*").alias("n"))
-    found.repartition("bucket").sortWithinPartitions("bucket", "term", BLOCK).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds/part={part}")
+    found.repartition("bucket").sortWithinPartitions("bucket", "term", BLOCK).write.mode("overwrite").parquet(f"{path}/bounds/part={part}")
 
 
 def _boost(columns: list[str]) -> Column:
@@ -473,16 +473,16 @@ def _bounded(q: UserQuery) -> bool:
 
 
 def _best(index: Index, q: UserQuery, page: Page, total: Column, read: list | None = None) -> DataFrame:
-    """The rows of a page, from the blocks that can reach it. Blocks are read in rounds, each of twice as many; ``read`` takes
+    """The rows of a page, from the blocks that can reach it. Blocks are read in rounds, each of four times as many; ``read`` takes
     (blocks read, blocks in all)."""
     words = sorted({term(p.words[0]) for p in q.phrases})
     bounds = index.bounds(words)
     counts = word_counts(index, words, bounds)
     left = every = best_blocks(index, q, bounds, counts)
-    wanted, take, best = page.offset + page.size, 2 * page.size, []
+    wanted, take, best = page.offset + page.size, max(2 * page.size, len(every) // 4), []
     shape = matched(index, q, F.lit(False), counts).withColumn("total_rank", total).schema
     while left and (len(best) < wanted or left[0][0] * (1 + 1e-9) >= -best[-1]["total_rank"]):
-        now, left, take = left[:take], left[take:], 2 * take
+        now, left, take = left[:take], left[take:], 4 * take
         found = matched(index, q, _within(now), counts).withColumn("total_rank", total).orderBy("total_rank", "url").limit(wanted)
         best = sorted([*best, *found.collect()], key=lambda r: (r["total_rank"], r["url"] is not None, r["url"]))[:wanted]  # the rows up to the page's end
     if read is not None:

@@ -28,30 +28,34 @@ def parse_block_rules(lines: DataFrame) -> DataFrame:
     return lines.where((x != "") & ~x.startswith("#")).select(F.col("line_no").alias("rule_no"), x.alias("definition"), kind.alias("kind"), authority.alias("authority"), pattern.alias("pattern"))
 
 
-def _least_rule(tried: DataFrame, patterns: DataFrame, by: list[str]) -> DataFrame:
-    """The least rule of each text (``by``, _text) whose first _n characters are a pattern. Where a pattern's ``_whole`` is
-    false the text has to go on after it."""
-    keyed = patterns.groupBy(*by, "_pattern").agg(F.min(F.when(F.col("_whole"), F.col("_rule"))).alias("_at_end"), F.min("_rule").alias("_before"))
+def _keyed(patterns: DataFrame, by: list[str]) -> DataFrame:
+    """A row per pattern (``by``, _pattern): the least rule of a text that is the pattern, and of one that goes on after it."""
+    return patterns.groupBy(*by, "_pattern").agg(F.min(F.when(F.col("_whole"), F.col("_rule"))).alias("_at_end"), F.min("_rule").alias("_before"))
+
+
+def _least_rule(tried: DataFrame, keyed: DataFrame, by: list[str]) -> DataFrame:
+    """The least rule of each text (``by``, _text) whose first _n characters are a pattern."""
     met = tried.withColumn("_pattern", F.substr("_text", F.lit(1), "_n")).join(keyed, [*by, "_pattern"])
     rule = F.when(F.col("_n") < F.length("_text"), F.col("_before")).otherwise(F.col("_at_end"))
     return met.groupBy(*by, "_text").agg(F.min(rule).alias("_rule")).where("_rule is not null")
 
 
 def _first_prefix(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``texts`` (_site, _text) that begin with patterns (_site, _pattern, _rule, _whole) of their site, with the least rule. Each
-    text is tried at the lengths that its site's patterns have, at most as many as the longest has characters. Only hits
-    are gathered for the minimum; the URLs of a large site meet its patterns by the pattern, not in one place."""
-    sizes = patterns.groupBy("_site").agg(F.collect_set(F.length("_pattern")).alias("_sizes"))
+    """``texts`` (_site, _text) that begin with patterns (_site, _pattern, _rule, _whole) of their site, with the least rule; where
+    ``_whole`` is false the text has to go on after the pattern. Each text is tried at the lengths that its site's patterns
+    have, at most as many as the longest has characters. Only hits are gathered for the minimum; the URLs of a large site
+    meet its patterns by the pattern, not in one place."""
+    keyed = _keyed(patterns, ["_site"])
+    sizes = keyed.groupBy("_site").agg(F.collect_set(F.length("_pattern")).alias("_sizes"))
     tried = texts.join(sizes, "_site").select("_site", "_text", F.explode(F.filter("_sizes", lambda n: n <= F.length("_text"))).alias("_n"))
-    return _least_rule(tried, patterns, ["_site"])
+    return _least_rule(tried, keyed, ["_site"])
 
 
-def _first_prefix_everywhere(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """As _first_prefix, for patterns of all sites: _text and _rule."""
-    sizes = sorted(r[0] for r in patterns.select(F.length("_pattern")).distinct().collect())  # numbers up to the longest pattern's length
-    lengths = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+def _first_prefix_everywhere(texts: DataFrame, patterns: DataFrame, sizes: list[int]) -> DataFrame:
+    """As _first_prefix, for patterns of all sites, which have ``sizes``: _text and _rule."""
+    lengths = F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")
     tried = texts.select("_text", F.explode(F.filter(lengths, lambda n: n <= F.length("_text"))).alias("_n"))
-    return _least_rule(tried, patterns, [])
+    return _least_rule(tried, _keyed(patterns, []), [])
 
 
 def blocked_by(urls: DataFrame, rules: DataFrame, url: str = "url", authority: str = "authority") -> DataFrame:
@@ -61,11 +65,14 @@ def blocked_by(urls: DataFrame, rules: DataFrame, url: str = "url", authority: s
     said = F.struct(F.when(F.col("authority").isNull(), 0).otherwise(1).alias("scope"), F.col("rule_no").cast("bigint").alias("rule_no"), "definition")
     patterns = rules.where("kind <> 'regex'").select("authority", F.col("pattern").alias("_pattern"), said.alias("_rule"), (F.col("kind") != "nosub").alias("_whole"))
     everywhere = patterns.where("authority is null").drop("authority")
-    of_all = _first_prefix_everywhere(urls.select(F.col(url).alias("_text")).where("_text is not null"), everywhere)
+    # the regular expressions, and numbers up to the longest pattern's length
+    own_regex = F.when(F.col("kind") == "regex", F.struct("rule_no", "definition", "pattern"))
+    known = rules.agg(F.collect_set(F.when((F.col("kind") != "regex") & F.col("authority").isNull(), F.length("pattern"))).alias("sizes"), F.sort_array(F.collect_list(own_regex)).alias("regex")).first()
+    of_all = _first_prefix_everywhere(urls.select(F.col(url).alias("_text")).where("_text is not null"), everywhere, known["sizes"]) if known["sizes"] else None
     own = _first_prefix(urls.select(F.col(authority).alias("_site"), F.col(url).alias("_text")).where("_site is not null and _text is not null"), patterns.where("authority is not null").withColumnRenamed("authority", "_site"))
-    regex = rules.where("kind = 'regex'").orderBy("rule_no").collect()
-    first = F.coalesce(*[F.when(F.col(url).rlike(r["pattern"]), F.struct(F.lit(0).alias("scope"), F.lit(r["rule_no"]).cast("bigint").alias("rule_no"), F.lit(r["definition"]).alias("definition"))) for r in regex], F.lit(None).cast("struct<scope:int,rule_no:bigint,definition:string>"))
-    joined = urls.join(of_all.withColumnRenamed("_rule", "_of_all"), F.col(url) == F.col("_text"), "left").drop("_text")
+    first = F.coalesce(*[F.when(F.col(url).rlike(r["pattern"]), F.struct(F.lit(0).alias("scope"), F.lit(r["rule_no"]).cast("bigint").alias("rule_no"), F.lit(r["definition"]).alias("definition"))) for r in known["regex"]], F.lit(None).cast("struct<scope:int,rule_no:bigint,definition:string>"))
+    none = F.lit(None).cast("struct<scope:int,rule_no:bigint,definition:string>")
+    joined = urls.withColumn("_of_all", none) if of_all is None else urls.join(of_all.withColumnRenamed("_rule", "_of_all"), F.col(url) == F.col("_text"), "left").drop("_text")
     joined = joined.join(own.withColumnRenamed("_rule", "_own"), (F.col(url) == F.col("_text")) & (F.col(authority) == F.col("_site")), "left")
     # null rules are left out of the least
     return joined.withColumn("blocked_by", F.least(first, F.col("_of_all"), F.col("_own"))["definition"]).drop("_of_all", "_own", "_site", "_text")
