@@ -37,10 +37,11 @@ def record(kind: str, data: bytes) -> bytes:
     return _HEAD.pack(kind.ljust(4).encode("ascii"), len(data)) + data
 
 
-def packed(body: bytes) -> tuple[str, bytes]:
-    """Type and data of a body: compressed where that takes less than nine tenths of it."""
+def packed(body: bytes, always: int | None = None) -> tuple[str, bytes]:
+    """Type and data of a body: compressed where that takes less than nine tenths of it, and where it has more than ``always``
+    bytes."""
     small = gzip.compress(body, mtime=0)
-    return (ZIPPED, small) if len(small) < len(body) * SHARE else (DATA, body)
+    return (ZIPPED, small) if len(small) < len(body) * SHARE or (always is not None and len(body) > always) else (DATA, body)
 
 
 def unpacked(kind: str, data: bytes) -> bytes | None:
@@ -68,7 +69,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _writer(path: str):
+def _writer(path: str, always: int | None):
     """Per task one file; a row per body says where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def _writer(path: str):
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{base}/{name}")
                         at = out.write(record(INFO, NOTE))
-                    kind, data = packed(body.as_py())
+                    kind, data = packed(body.as_py(), always)
                     rows.append((key, name, at, kind, len(data), len(body.as_py())))
                     at += out.write(record(kind, data))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -105,15 +106,16 @@ def _is_there(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).exists(where)
 
 
-def store(snapshots: DataFrame, path: str) -> DataFrame:
+def store(snapshots: DataFrame, path: str, always: int | None = None) -> DataFrame:
     """Writes the bodies of ``snapshots`` (data_hash, body) that aren't in the packs under ``path`` yet, each hash once; rows with a
-    null in either are left out. Gives the index: data_hash, file, offset, type, stored and whole size."""
+    null in either are left out. Bodies of more than ``always`` bytes are compressed whatever that saves. Gives the index: data_hash,
+    file, offset, type, stored and whole size."""
     spark = snapshots.sparkSession
     new = snapshots.select("data_hash", "body").where("data_hash is not null and body is not null")
     if _is_there(spark, f"{path}/index"):
         new = new.join(index(spark, path).select("data_hash"), "data_hash", "left_anti")
     each = new.groupBy("data_hash").agg(F.any_value("body").alias("body"))
-    each.mapInArrow(_writer(f"{path}/packs"), INDEX_SCHEMA).write.mode("append").parquet(f"{path}/index")
+    each.mapInArrow(_writer(f"{path}/packs", always), INDEX_SCHEMA).write.mode("append").parquet(f"{path}/index")
     return index(spark, path)
 
 

@@ -81,3 +81,19 @@ def test_a_record_of_another_type(spark):
     assert pack.record("AB", b"xyz") == b"AB  \x03\x00\x00\x00xyz" and pack.unpacked("DATZ", b"bad") is None
     with pytest.raises(ValueError):
         pack.record("ABCDE", b"")
+
+
+def test_packed_bodies_as_sql_on_odd_texts(spark, tmp_path):
+    """Long texts that hardly shrink are compressed too, and null texts have a row."""
+    import duckdb
+    from driftline import catalog
+
+    rnd = random.Random(7)
+    hard = ["".join(chr(rnd.randrange(0x800, 0xD7FF)) for _ in range(n)) for n in (70, 75)]
+    rows = [(k, t) for k, t in enumerate([*hard, hard[0], None, None, "", "short", "word " * 30, "word " * 300])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, catalog.QUERIES["packed_bodies"](spark, f"file://{tmp_path}").select("doc_id", "digest", "shared", "packed").collect()))
+    assert got == sorted(con.sql(catalog.ORACLES["packed_bodies"]).fetchall())
+    assert all(len(gzip.compress(t.encode(), mtime=0)) >= 0.9 * len(t.encode()) > 180 for t in hard)
