@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions import formats
-from driftline.functions.stem import analyzed, term
+from driftline.functions.stem import analyzed, plain, plain_words, term
 from driftline.functions.text import snippet_of
 from driftline.operators import fts
 from driftline.plans.userquery import Expression, Page, Phrase, UserQuery, phrase
@@ -81,6 +81,14 @@ class Index:
     page_columns: T.StructType
     #: The last batch taken from each source.
     taken: dict[str, int] = field(default_factory=dict)
+    #: None: terms are porter stems. Else they are words in lower case, and the forms listed here as the word that they are given.
+    forms: dict[str, str] | None = None
+
+    def term(self, word: str) -> str:
+        return _term_of(self.forms)(word)
+
+    def analyzed(self, p: Phrase) -> Phrase:
+        return Phrase(tuple(self.term(w) for w in p.words))
 
     @property
     def mean_length(self) -> float:
@@ -148,13 +156,19 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _term_of(forms: dict[str, str] | None):
+    """The term of a word, as an index with these forms has it."""
+    return term if forms is None else lambda word: plain(word, forms)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], forms: dict[str, str] | None) -> Iterator[pa.RecordBatch]:
+    split = analyzed if forms is None else lambda text: plain_words(text, forms)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             fields, terms, ids, lengths, boosts, sizes, places = [], [], [], [], [], [], []
             for key, title, body, boost in zip(*(part.column(n).to_pylist() for n in ("url_id", "title", "body", "boost")), strict=True):
-                head, rest = analyzed(title), analyzed(body)
+                head, rest = split(title), split(body)
                 first = len(terms)
                 fields.append(ALL)
                 terms.append("")
@@ -220,14 +234,14 @@ def _boost(columns: list[str]) -> Column:
     return (1 + fts.POPULARITY_WEIGHT * popularity) * (F.when(F.col("content_type") == fts.GEMTEXT, fts.GEMTEXT_BOOST).otherwise(1.0) if "content_type" in columns else F.lit(1.0))
 
 
-def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, page_columns: list[str] | None = None) -> tuple[Generation, int, T.StructType]:
+def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, page_columns: list[str] | None = None, forms: dict[str, str] | None = None) -> tuple[Generation, int, T.StructType]:
     """``docs`` as a generation; gives it with the number of its terms, and the pages' columns."""
     spark, blocks = docs.sparkSession, _blocks_of(docs.select("url_id").count())
     texts = docs.select("url_id", "title", "body", _boost(docs.columns).alias("boost"))
     read, cores = texts.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     if read < cores:  # a small table in few files: its texts are dealt out, so that all cores split them
         texts = texts.repartition(cores, "url_id")
-    _write_postings(texts.mapInArrow(_postings, _SCHEMA), f"{path}/postings/part={part}", max(1, read // BUCKETS), blocks)
+    _write_postings(texts.mapInArrow(lambda batches: _postings(batches, forms), _SCHEMA), f"{path}/postings/part={part}", max(1, read // BUCKETS), blocks)
     pages = docs.withColumn("lead", formats.lead(F.col("body"))).drop("body")
     pages = pages.select(*[f"`{c}`" for c in page_columns]) if page_columns else pages
     _write_pages(pages, f"{path}/pages/part={part}", blocks)
@@ -255,27 +269,28 @@ def _blocks_of(rows: int) -> int:
 def _commit(index: Index) -> Index:
     """Writes the version's row; an error if there is one already."""
     row = {
-        "version": index.version, "rows": index.rows, "terms": index.terms, "pages": index.page_columns.json(), "taken": json.dumps(index.taken),
+        "version": index.version, "rows": index.rows, "terms": index.terms, "pages": index.page_columns.json(), "taken": json.dumps(index.taken), "forms": None if index.forms is None else json.dumps(index.forms),
         "generations": json.dumps([[g.part, g.order, g.rows, g.hidden, g.blocks, g.mean] for g in index.generations]),
     }
     index.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("error").json(f"{index.path}/manifest/{index.version:012d}")
     return index
 
 
-_MANIFEST = "version bigint, rows bigint, terms bigint, pages string, taken string, generations string"
+_MANIFEST = "version bigint, rows bigint, terms bigint, pages string, taken string, generations string, forms string"
 
 
 def opened(spark: SparkSession, path: str) -> Index:
     """The latest version of the index under ``path``."""
     row = spark.read.schema(_MANIFEST).option("recursiveFileLookup", True).json(f"{path}/manifest").orderBy(F.desc("version")).first()
     generations = tuple(Generation(*g) for g in json.loads(row["generations"]))
-    return Index(spark, path, row["version"], generations, row["rows"], row["terms"], T.StructType.fromJson(json.loads(row["pages"])), json.loads(row["taken"]))
+    return Index(spark, path, row["version"], generations, row["rows"], row["terms"], T.StructType.fromJson(json.loads(row["pages"])), json.loads(row["taken"]), row["forms"] and json.loads(row["forms"]))
 
 
-def build(docs: DataFrame, path: str) -> Index:
-    """Writes the index of ``docs`` (url_id, title, body and what pages show) under ``path``, where none is."""
-    generation, terms, columns = _write(_with_ids(docs), path, uuid.uuid4().hex, 0)
-    return _commit(Index(docs.sparkSession, path, 0, (generation,), generation.rows, terms, columns))
+def build(docs: DataFrame, path: str, forms: dict[str, str] | None = None) -> Index:
+    """Writes the index of ``docs`` (url_id, title, body and what pages show) under ``path``, where none is: of stems, or with
+    ``forms`` of words as they are."""
+    generation, terms, columns = _write(_with_ids(docs), path, uuid.uuid4().hex, 0, forms=forms)
+    return _commit(Index(docs.sparkSession, path, 0, (generation,), generation.rows, terms, columns, forms=forms))
 
 
 def update(index: Index, actions: DataFrame, source: str = "", batch: int | None = None) -> Index:
@@ -293,9 +308,9 @@ def update(index: Index, actions: DataFrame, source: str = "", batch: int | None
     # what was alive under these ids
     lost = index.alive(index.of([(ALL, "")]).join(ids, "url_id", "left_semi").select("url_id", ORDER, "length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
     order = max((g.order for g in index.generations), default=-1) + 1
-    made, terms, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, ids.count(), index.page_columns.names)
+    made, terms, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, ids.count(), index.page_columns.names, index.forms)
     taken = index.taken if batch is None else {**index.taken, source: batch}
-    return _commit(Index(spark, path, index.version + 1, (*index.generations, made), index.rows - lost["n"] + made.rows, index.terms - lost["terms"] + terms, index.page_columns, taken))
+    return _commit(Index(spark, path, index.version + 1, (*index.generations, made), index.rows - lost["n"] + made.rows, index.terms - lost["terms"] + terms, index.page_columns, taken, index.forms))
 
 
 def remove(index: Index, ids: DataFrame, source: str = "", batch: int | None = None) -> Index:
@@ -334,7 +349,7 @@ def merge(index: Index, first: int = 0) -> Index:
         hidden.select("url_id").write.mode("overwrite").parquet(f"{index.path}/hidden/part={part}")
         count = index.spark.read.schema(_HIDDEN).parquet(f"{index.path}/hidden/part={part}").count()
     made, _ = _finish(index.spark, index.path, part, order, count, blocks)
-    return _commit(Index(index.spark, index.path, index.version + 1, (*index.generations[:first], made), index.rows, index.terms, index.page_columns, index.taken))
+    return _commit(Index(index.spark, index.path, index.version + 1, (*index.generations[:first], made), index.rows, index.terms, index.page_columns, index.taken, index.forms))
 
 
 def vacuum(index: Index) -> int:
@@ -383,8 +398,8 @@ def _frequency(p: Phrase, field: int, place: dict[tuple[int, str], Column]) -> C
 def hits(index: Index, q: UserQuery, among: Column | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """url_id, ORDER and rank of the documents that match the terms of ``q``. With ``among`` only those whose postings it selects;
     then ``counts`` has to say how many documents have each word."""
-    body = list(dict.fromkeys(fts.analyzed_phrase(p, True) for p in q.phrases))
-    head = [Phrase((term(w),)) for w in (phrase(q.title).words if q.title else ())]
+    body = list(dict.fromkeys(index.analyzed(p) for p in q.phrases))
+    head = [Phrase((index.term(w),)) for w in (phrase(q.title).words if q.title else ())]
     asked = [(BODY, p) for p in body] + [(TITLE, p) for p in head]
     # a single word needs its count, words of a phrase their places
     counted = {(f, p.words[0]) for f, p in asked if len(p.words) == 1}
@@ -413,7 +428,7 @@ def hits(index: Index, q: UserQuery, among: Column | None = None, counts: dict[s
     for c in names[len(body) :]:
         keep = keep & (F.col(c) > 0)
     if q.expression is not None:
-        count = {p: F.col(names[body.index(fts.analyzed_phrase(p, True))]) for p in q.phrases}
+        count = {p: F.col(names[body.index(index.analyzed(p))]) for p in q.phrases}
         keep = keep & fts.matches(q.expression, count)
     return docs.where(keep).select("url_id", ORDER, rank.alias("rank"))
 
@@ -428,12 +443,12 @@ def matched(index: Index, q: UserQuery, among: Column | None = None, counts: dic
     return fts.scoped(pages.join(hits(index, q, among, counts), ["url_id", ORDER]).drop(ORDER), q)
 
 
-def _may_match(e: Expression, there: set[str]) -> bool:
+def _may_match(index: Index, e: Expression, there: set[str]) -> bool:
     """Whether a document of a block that has these words may match."""
     if isinstance(e, Phrase):
-        return term(e.words[0]) in there
-    left = _may_match(e.left, there)
-    return left or _may_match(e.right, there) if e.kind == "OR" else left and (e.kind == "NOT" or _may_match(e.right, there))
+        return index.term(e.words[0]) in there
+    left = _may_match(index, e.left, there)
+    return left or _may_match(index, e.right, there) if e.kind == "OR" else left and (e.kind == "NOT" or _may_match(index, e.right, there))
 
 
 def word_counts(index: Index, words: list[str], bounds: list[tuple]) -> dict[str, int]:
@@ -457,7 +472,7 @@ def best_blocks(index: Index, q: UserQuery, bounds: list[tuple], counts: dict[st
     for order, word, block, value, _ in bounds:
         most[order, block] = most.get((order, block), 0.0) + weight.get(word, fts.LEAST_IDF) * value * scale[order]
         there.setdefault((order, block), set()).add(word)
-    return sorted(((m, *key) for key, m in most.items() if _may_match(q.expression, there[key])), reverse=True)
+    return sorted(((m, *key) for key, m in most.items() if _may_match(index, q.expression, there[key])), reverse=True)
 
 
 def _within(blocks: list[tuple[float, int, int]]) -> Column:
@@ -475,7 +490,7 @@ def _bounded(q: UserQuery) -> bool:
 def _best(index: Index, q: UserQuery, page: Page, total: Column, read: list | None = None) -> DataFrame:
     """The rows of a page, from the blocks that can reach it. Blocks are read in rounds, each of four times as many; ``read`` takes
     (blocks read, blocks in all)."""
-    words = sorted({term(p.words[0]) for p in q.phrases})
+    words = sorted({index.term(p.words[0]) for p in q.phrases})
     bounds = index.bounds(words)
     counts = word_counts(index, words, bounds)
     left = every = best_blocks(index, q, bounds, counts)
@@ -505,7 +520,7 @@ def text_search(index: Index, q: UserQuery, page: Page = Page(1), texts: DataFra
     if texts is None or not phrases:
         return shown.withColumnRenamed("lead", "snippet")
     ids = [r["url_id"] for r in shown.select("url_id").collect()]  # a page of ids
-    own = texts.where(F.col("url_id").isin(ids)).select("url_id", snippet_of(phrases, term=term)("body").alias("snippet"))
+    own = texts.where(F.col("url_id").isin(ids)).select("url_id", snippet_of(phrases, term=_term_of(index.forms))("body").alias("snippet"))
     return shown.drop("lead").join(own, "url_id", "left")
 
 
