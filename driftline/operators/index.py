@@ -11,8 +11,8 @@ So a search knows the mean length without reading a row per document, and what a
 never seen. A row is written at the end of each step under the next version's name, so of two writers at once the later one
 fails. An ``Index`` is one version: it stays as it is while others write.
 
-A document's rows are made where its text is read, and only they are shuffled, by a bucket of the term and a slice of the
-documents, so that a frequent term is spread over files. Within a file rows stand by term. A search reads the row groups of
+Texts are dealt to tasks by block; a document's rows are made there and written without a shuffle, a file per task and bucket of
+terms, so that a frequent term is spread over files. Within a file rows stand by term. A search reads the row groups of
 its own terms: no text is read but those of the hits on the page that it shows.
 
 The documents of a generation are dealt into blocks. ``bounds`` has, for a term of bodies and a block, how many of its documents have
@@ -43,14 +43,19 @@ from driftline.functions.stem import analyzed, plain, plain_words, term
 from driftline.functions.text import snippet_of
 from driftline.operators import fts
 from driftline.plans.userquery import Expression, Page, Phrase, UserQuery, phrase
+from driftline.shared import released
 
 #: Fields of a posting; each document has a row of ALL with the empty term, for its length.
 ALL, TITLE, BODY = 0, 1, 2
 BUCKETS = 32
 #: A merge takes a generation in when it has at most so many times the rows of all later ones.
 FAN = 2
+#: How the files of an index are compressed.
+CODEC = "zstd"
 #: Documents of a block, and blocks of a generation at most.
 PER_BLOCK, BLOCKS = 64, 4096
+#: Documents of a task that splits texts, so that it sorts their postings in memory.
+PER_TASK = 4096
 #: The index's own columns, beside those of the pages: which generation a row is of, and the block of its document.
 ORDER, BLOCK = "order_of_generation", "block_of_index"
 _SCHEMA = "field tinyint, term string, url_id bigint, length int, boost double, positions array<int>"
@@ -213,19 +218,19 @@ def _block(blocks: int) -> Column:
     return F.pmod(F.xxhash64("url_id"), F.lit(blocks)).cast("int")
 
 
-def _write_postings(rows: DataFrame, where: str, slices: int, blocks: int) -> None:
-    """A file holds the terms of a bucket in one slice of the blocks."""
-    dealt = rows.withColumn(BLOCK, _block(blocks)).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(BLOCK, F.lit(slices)))
-    dealt.sortWithinPartitions("bucket", "term", "field", BLOCK).write.mode("overwrite").partitionBy("bucket").parquet(where)
+def _write_postings(rows: DataFrame, where: str, blocks: int) -> None:
+    """A task writes a file per bucket, with its rows by term; they aren't shuffled."""
+    rows = rows.withColumn(BLOCK, _block(blocks)).withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "field", BLOCK)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(where, compression=CODEC)
 
 
 def _write_bounds(spark: SparkSession, path: str, part: str, mean: float) -> None:
-    """Of each term and block the most that it adds to a total rank, but for its idf. A term's rows of a block stand in one file, so
-    a row for each is what is shuffled."""
+    """Of each term and block the most that it adds to a total rank, but for its idf. A term's rows of a block stand in one file (of
+    a merge: in few), so about a row for each is what is shuffled."""
     rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/part={part}").where(F.col("field") == BODY)
     most = F.max(-fts.bm25(F.size("positions"), F.col("length"), mean or 1.0, 1.0) * F.col("boost"))
     found = rows.groupBy("bucket", "term", BLOCK).agg(most.alias("most"), F.count("*").alias("n"))
-    found.repartition("bucket").sortWithinPartitions("bucket", "term", BLOCK).write.mode("overwrite").parquet(f"{path}/bounds/part={part}")
+    found.sortWithinPartitions("bucket", "term", BLOCK).write.mode("overwrite").parquet(f"{path}/bounds/part={part}", compression=CODEC)
 
 
 def _boost(columns: list[str]) -> Column:
@@ -236,12 +241,13 @@ def _boost(columns: list[str]) -> Column:
 
 def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, page_columns: list[str] | None = None, forms: dict[str, str] | None = None) -> tuple[Generation, int, T.StructType]:
     """``docs`` as a generation; gives it with the number of its terms, and the pages' columns."""
-    spark, blocks = docs.sparkSession, _blocks_of(docs.select("url_id").count())
+    spark, rows = docs.sparkSession, docs.select("url_id").count()
+    blocks = _blocks_of(rows)
     texts = docs.select("url_id", "title", "body", _boost(docs.columns).alias("boost"))
-    read, cores = texts.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    if read < cores:  # a small table in few files: its texts are dealt out, so that all cores split them
-        texts = texts.repartition(cores, "url_id")
-    _write_postings(texts.mapInArrow(lambda batches: _postings(batches, forms), _SCHEMA), f"{path}/postings/part={part}", max(1, read // BUCKETS), blocks)
+    # texts are dealt by block, as they are a third of their postings; a block's postings are then in one file of each bucket
+    dealt = texts.repartition(max(rows // PER_TASK, spark.sparkContext.defaultParallelism), _block(blocks))
+    _write_postings(dealt.mapInArrow(lambda batches: _postings(batches, forms), _SCHEMA), f"{path}/postings/part={part}", blocks)
+    released(spark)
     pages = docs.withColumn("lead", formats.lead(F.col("body"))).drop("body")
     pages = pages.select(*[f"`{c}`" for c in page_columns]) if page_columns else pages
     _write_pages(pages, f"{path}/pages/part={part}", blocks)
@@ -250,7 +256,7 @@ def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, p
 
 def _write_pages(pages: DataFrame, where: str, blocks: int) -> None:
     """A block is in one file, by id."""
-    pages.withColumn(BLOCK, _block(blocks)).repartition(BLOCK).sortWithinPartitions(BLOCK, "url_id").write.mode("overwrite").parquet(where)
+    pages.withColumn(BLOCK, _block(blocks)).repartition(BLOCK).sortWithinPartitions(BLOCK, "url_id").write.mode("overwrite").parquet(where, compression=CODEC)
 
 
 def _finish(spark: SparkSession, path: str, part: str, order: int, hidden: int, blocks: int) -> tuple[Generation, int]:
@@ -272,6 +278,7 @@ def _commit(index: Index) -> Index:
         "version": index.version, "rows": index.rows, "terms": index.terms, "pages": index.page_columns.json(), "taken": json.dumps(index.taken), "forms": None if index.forms is None else json.dumps(index.forms),
         "generations": json.dumps([[g.part, g.order, g.rows, g.hidden, g.blocks, g.mean] for g in index.generations]),
     }
+    released(index.spark)
     index.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("error").json(f"{index.path}/manifest/{index.version:012d}")
     return index
 
@@ -303,12 +310,12 @@ def update(index: Index, actions: DataFrame, source: str = "", batch: int | None
     spark, path, part = index.spark, index.path, uuid.uuid4().hex
     changes = _one_each(actions).where(F.col("action").isin("DeletePrevious", "AddCurrent", "RefreshWithCurrent"))
     hides = f"{path}/hidden/part={part}"
-    changes.select("url_id").write.mode("overwrite").parquet(hides)
-    ids = spark.read.schema(_HIDDEN).parquet(hides)
-    # what was alive under these ids
-    lost = index.alive(index.of([(ALL, "")]).join(ids, "url_id", "left_semi").select("url_id", ORDER, "length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
+    # what is alive under these ids; others have nothing to hide
+    old = index.alive(index.of([(ALL, "")]).select("url_id", ORDER, "length"))
+    old.join(changes.select("url_id"), "url_id", "left_semi").select("url_id", "length").write.mode("overwrite").parquet(hides)
+    lost = spark.read.schema("url_id bigint, length int").parquet(hides).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
     order = max((g.order for g in index.generations), default=-1) + 1
-    made, terms, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, ids.count(), index.page_columns.names, index.forms)
+    made, terms, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, lost["n"], index.page_columns.names, index.forms)
     taken = index.taken if batch is None else {**index.taken, source: batch}
     return _commit(Index(spark, path, index.version + 1, (*index.generations, made), index.rows - lost["n"] + made.rows, index.terms - lost["terms"] + terms, index.page_columns, taken, index.forms))
 
@@ -341,7 +348,7 @@ def merge(index: Index, first: int = 0) -> Index:
         return index
     part, order, blocks = uuid.uuid4().hex, own[-1].order, _blocks_of(sum(g.rows for g in own))
     read = index._read("postings", _POSTINGS, own)
-    _write_postings(index.alive(read, own).drop(ORDER, "bucket", BLOCK), f"{index.path}/postings/part={part}", max(1, read.rdd.getNumPartitions() // BUCKETS), blocks)
+    _write_postings(index.alive(read, own).drop(ORDER, "bucket", BLOCK), f"{index.path}/postings/part={part}", blocks)
     pages = index.alive(index._read("pages", index.page_columns, own), own).select(*[f"`{c}`" for c in index.page_columns.names])
     _write_pages(pages, f"{index.path}/pages/part={part}", blocks)
     hidden, count = index._hidden(own) if first else None, 0
@@ -368,14 +375,16 @@ def vacuum(index: Index) -> int:
     return gone
 
 
-def taking(path: str, source: str, merging: bool = True):
+def taking(path: str, source: str, merging: bool = True, alone: bool = False):
     """For foreachBatch: takes each batch of index actions into the index under ``path``, once, and merges small
-    generations."""
+    generations. With ``alone`` no one else reads or writes meanwhile, and what was merged is deleted."""
 
     def take(batch: DataFrame, number: int) -> None:
         index = update(opened(batch.sparkSession, path), batch, source, number)
         if merging:
-            merge(index, due(index))
+            merged = merge(index, due(index))
+            if alone and merged is not index:
+                vacuum(merged)
 
     return take
 

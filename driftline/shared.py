@@ -36,6 +36,12 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that no one holds any more, which it does when the driver's JVM collects them:
+    between two steps that each shuffle much."""
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _clear_at_exit() -> None:
     try:

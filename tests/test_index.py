@@ -280,3 +280,19 @@ def test_snippets_of_a_page(built, docs, lite):
 def test_count_reads_postings_alone(built):
     plan = index.result_count(built, parse("cats"))._jdf.queryExecution().toString()
     assert "/pages" not in plan and "Python" not in plan
+
+
+def test_postings_are_not_shuffled(spark, docs, tmp_path, monkeypatch):
+    """Texts are dealt to the tasks that split them; what they make is written there, in a merge too."""
+    plans, write = [], index._write_postings
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, *rest)
+
+    monkeypatch.setattr(index, "_write_postings", seen)
+    held = index.build(docs, f"file://{tmp_path}/i")
+    held = index.update(held, as_actions(spark, [(30, "AddCurrent", "t", "all new")]))
+    assert held.generations[1].hidden == 0  # nothing was there under its id
+    index.merge(held)
+    assert len(plans) == 3 and "Exchange" not in plans[2] and all("Exchange" not in p.split("MapInArrow")[0] for p in plans)
