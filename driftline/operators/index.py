@@ -54,7 +54,7 @@ FAN = 2
 CODEC = "zstd"
 #: Documents of a block, and blocks of a generation at most.
 PER_BLOCK, BLOCKS = 64, 4096
-#: Documents of a task that splits texts, so that it sorts their postings in memory.
+#: Documents of a task that splits texts, at about.
 PER_TASK = 4096
 #: The index's own columns, beside those of the pages: which generation a row is of, and the block of its document.
 ORDER, BLOCK = "order_of_generation", "block_of_index"
@@ -244,7 +244,7 @@ def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, p
     spark, rows = docs.sparkSession, docs.select("url_id").count()
     blocks = _blocks_of(rows)
     texts = docs.select("url_id", "title", "body", _boost(docs.columns).alias("boost"))
-    # texts are dealt by block, as they are a third of their postings; a block's postings are then in one file of each bucket
+    # texts are dealt by block, not their postings; a block's postings are then in one file of each bucket
     dealt = texts.repartition(max(rows // PER_TASK, spark.sparkContext.defaultParallelism), _block(blocks))
     _write_postings(dealt.mapInArrow(lambda batches: _postings(batches, forms), _SCHEMA), f"{path}/postings/part={part}", blocks)
     released(spark)
