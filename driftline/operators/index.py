@@ -88,6 +88,8 @@ class Index:
     taken: dict[str, int] = field(default_factory=dict)
     #: None: terms are porter stems. Else they are words in lower case, and the forms listed here as the word that they are given.
     forms: dict[str, str] | None = None
+    #: Documents that are alive and have no length: in an index of words those without a body, as SQL has it.
+    bodiless: int = 0
 
     def term(self, word: str) -> str:
         return _term_of(self.forms)(word)
@@ -97,7 +99,8 @@ class Index:
 
     @property
     def mean_length(self) -> float:
-        return self.terms / self.rows if self.rows else 0.0
+        known = self.rows - self.bodiless
+        return self.terms / known if known else 0.0
 
     def _read(self, what: str, schema: T.StructType, generations: tuple[Generation, ...] | None = None) -> DataFrame:
         """Rows of the generations, with ORDER."""
@@ -157,6 +160,11 @@ _BOUNDS = T.StructType().add("term", T.StringType()).add(BLOCK, T.IntegerType())
 _HIDDEN = T.StructType([T.StructField("url_id", T.LongType())])
 
 
+def _sums() -> list[Column]:
+    """Of a row per document: their number, their terms, and how many have no length."""
+    return [F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms"), F.count_if(F.col("length").isNull()).alias("bodiless")]
+
+
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
@@ -191,7 +199,7 @@ def _postings(batches: Iterator[pa.RecordBatch], forms: dict[str, str] | None) -
                         sizes.append(len(own))
                         places += own
                 ids += [key] * (len(terms) - first)
-                lengths += [len(head) + len(rest)] * (len(terms) - first)
+                lengths += [None if forms is not None and body is None else len(head) + len(rest)] * (len(terms) - first)
                 boosts += [boost] * (len(terms) - first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -239,8 +247,8 @@ def _boost(columns: list[str]) -> Column:
     return (1 + fts.POPULARITY_WEIGHT * popularity) * (F.when(F.col("content_type") == fts.GEMTEXT, fts.GEMTEXT_BOOST).otherwise(1.0) if "content_type" in columns else F.lit(1.0))
 
 
-def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, page_columns: list[str] | None = None, forms: dict[str, str] | None = None) -> tuple[Generation, int, T.StructType]:
-    """``docs`` as a generation; gives it with the number of its terms, and the pages' columns."""
+def _write(docs: DataFrame, path: str, part: str, order: int, hidden: int = 0, page_columns: list[str] | None = None, forms: dict[str, str] | None = None) -> tuple[Generation, int, int, T.StructType]:
+    """``docs`` as a generation; gives it with the number of its terms, of its documents without a length, and the pages' columns."""
     spark, rows = docs.sparkSession, docs.select("url_id").count()
     blocks = _blocks_of(rows)
     texts = docs.select("url_id", "title", "body", _boost(docs.columns).alias("boost"))
@@ -259,13 +267,14 @@ def _write_pages(pages: DataFrame, where: str, blocks: int) -> None:
     pages.withColumn(BLOCK, _block(blocks)).repartition(BLOCK).sortWithinPartitions(BLOCK, "url_id").write.mode("overwrite").parquet(where, compression=CODEC)
 
 
-def _finish(spark: SparkSession, path: str, part: str, order: int, hidden: int, blocks: int) -> tuple[Generation, int]:
-    """Bounds of a generation whose postings are written; gives it with the number of its terms."""
+def _finish(spark: SparkSession, path: str, part: str, order: int, hidden: int, blocks: int) -> tuple[Generation, int, int]:
+    """Bounds of a generation whose postings are written; gives it with the number of its terms, and of its documents without a length."""
     rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/part={part}").where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == ""))
-    found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
-    mean = found["terms"] / found["n"] if found["n"] else 1.0
+    found = rows.agg(*_sums()).first()
+    known = found["n"] - found["bodiless"]
+    mean = found["terms"] / known if known else 1.0
     _write_bounds(spark, path, part, mean)
-    return Generation(part, order, found["n"], hidden, blocks, mean), found["terms"]
+    return Generation(part, order, found["n"], hidden, blocks, mean), found["terms"], found["bodiless"]
 
 
 def _blocks_of(rows: int) -> int:
@@ -276,28 +285,28 @@ def _commit(index: Index) -> Index:
     """Writes the version's row; an error if there is one already."""
     row = {
         "version": index.version, "rows": index.rows, "terms": index.terms, "pages": index.page_columns.json(), "taken": json.dumps(index.taken), "forms": None if index.forms is None else json.dumps(index.forms),
-        "generations": json.dumps([[g.part, g.order, g.rows, g.hidden, g.blocks, g.mean] for g in index.generations]),
+        "bodiless": index.bodiless, "generations": json.dumps([[g.part, g.order, g.rows, g.hidden, g.blocks, g.mean] for g in index.generations]),
     }
     released(index.spark)
     index.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("error").json(f"{index.path}/manifest/{index.version:012d}")
     return index
 
 
-_MANIFEST = "version bigint, rows bigint, terms bigint, pages string, taken string, generations string, forms string"
+_MANIFEST = "version bigint, rows bigint, terms bigint, pages string, taken string, generations string, forms string, bodiless bigint"
 
 
 def opened(spark: SparkSession, path: str) -> Index:
     """The latest version of the index under ``path``."""
     row = spark.read.schema(_MANIFEST).option("recursiveFileLookup", True).json(f"{path}/manifest").orderBy(F.desc("version")).first()
     generations = tuple(Generation(*g) for g in json.loads(row["generations"]))
-    return Index(spark, path, row["version"], generations, row["rows"], row["terms"], T.StructType.fromJson(json.loads(row["pages"])), json.loads(row["taken"]), row["forms"] and json.loads(row["forms"]))
+    return Index(spark, path, row["version"], generations, row["rows"], row["terms"], T.StructType.fromJson(json.loads(row["pages"])), json.loads(row["taken"]), row["forms"] and json.loads(row["forms"]), row["bodiless"] or 0)
 
 
 def build(docs: DataFrame, path: str, forms: dict[str, str] | None = None) -> Index:
     """Writes the index of ``docs`` (url_id, title, body and what pages show) under ``path``, where none is: of stems, or with
     ``forms`` of words as they are."""
-    generation, terms, columns = _write(_with_ids(docs), path, uuid.uuid4().hex, 0, forms=forms)
-    return _commit(Index(docs.sparkSession, path, 0, (generation,), generation.rows, terms, columns, forms=forms))
+    generation, terms, bodiless, columns = _write(_with_ids(docs), path, uuid.uuid4().hex, 0, forms=forms)
+    return _commit(Index(docs.sparkSession, path, 0, (generation,), generation.rows, terms, columns, forms=forms, bodiless=bodiless))
 
 
 def update(index: Index, actions: DataFrame, source: str = "", batch: int | None = None) -> Index:
@@ -313,11 +322,11 @@ def update(index: Index, actions: DataFrame, source: str = "", batch: int | None
     # what is alive under these ids; others have nothing to hide
     old = index.alive(index.of([(ALL, "")]).select("url_id", ORDER, "length"))
     old.join(changes.select("url_id"), "url_id", "left_semi").select("url_id", "length").write.mode("overwrite").parquet(hides)
-    lost = spark.read.schema("url_id bigint, length int").parquet(hides).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).first()
+    lost = spark.read.schema("url_id bigint, length int").parquet(hides).agg(*_sums()).first()
     order = max((g.order for g in index.generations), default=-1) + 1
-    made, terms, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, lost["n"], index.page_columns.names, index.forms)
+    made, terms, bodiless, _ = _write(changes.where("action <> 'DeletePrevious'").drop("action"), path, part, order, lost["n"], index.page_columns.names, index.forms)
     taken = index.taken if batch is None else {**index.taken, source: batch}
-    return _commit(Index(spark, path, index.version + 1, (*index.generations, made), index.rows - lost["n"] + made.rows, index.terms - lost["terms"] + terms, index.page_columns, taken, index.forms))
+    return _commit(Index(spark, path, index.version + 1, (*index.generations, made), index.rows - lost["n"] + made.rows, index.terms - lost["terms"] + terms, index.page_columns, taken, index.forms, index.bodiless - lost["bodiless"] + bodiless))
 
 
 def remove(index: Index, ids: DataFrame, source: str = "", batch: int | None = None) -> Index:
@@ -355,8 +364,8 @@ def merge(index: Index, first: int = 0) -> Index:
     if hidden is not None:
         hidden.select("url_id").write.mode("overwrite").parquet(f"{index.path}/hidden/part={part}")
         count = index.spark.read.schema(_HIDDEN).parquet(f"{index.path}/hidden/part={part}").count()
-    made, _ = _finish(index.spark, index.path, part, order, count, blocks)
-    return _commit(Index(index.spark, index.path, index.version + 1, (*index.generations[:first], made), index.rows, index.terms, index.page_columns, index.taken, index.forms))
+    made, *_ = _finish(index.spark, index.path, part, order, count, blocks)
+    return _commit(Index(index.spark, index.path, index.version + 1, (*index.generations[:first], made), index.rows, index.terms, index.page_columns, index.taken, index.forms, index.bodiless))
 
 
 def vacuum(index: Index) -> int:
