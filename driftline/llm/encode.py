@@ -2,7 +2,8 @@
 
 White space bounds every pre-token of both vocabularies used here, so a text's ids are those of its runs of
 white space plus non-space characters, one after the other, and a run's ids can be kept. Runs not seen yet are
-encoded by merge ranks where that provably gives the library's result, else by the library itself.
+encoded by merge ranks where that provably gives the library's result, else by the library itself. Where pre-tokens
+don't hold white space, simple texts (ASCII and letters) get a space between them first, and lower case, so fewer runs are new.
 
 By merge ranks a run gets the ids that the library's merge list gives if every vocabulary entry encodes to
 itself: two neighbours that could join into entry s are then always the two that s was made of, since what
@@ -15,6 +16,7 @@ import json
 import re
 from array import array
 
+import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -26,6 +28,13 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
 LETTER, DIGIT = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\\s{LETTER}{DIGIT}]+")
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Of these, white space, ASCII and letters.
+SIMPLE = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]*")
+#: Longer texts are split at white space alone, so that no copies of them are made.
+SPACED = 1 << 20
+#: For each byte of such texts: 1 letter, 2 punctuation, 3 digit, 0 white space, and apostrophes, as contractions begin
+#: with them. Where two neighbours give 3 together a pre-token ends.
+KIND = bytes(1 if b >= 128 or chr(b).isalpha() else 3 if chr(b).isdigit() else 2 if 33 <= b != 39 else 0 for b in range(256))
 END = "</w>"
 #: Up to 128 bytes that words in lower case are written with, as codes below 128: a code with the high bit set ends a
 #: word. Punctuation, a-z, and the UTF-8 bytes of Latin letters up to U+017E.
@@ -82,6 +91,7 @@ class Encoder:
             self.ranked = tiktoken.Encoding("runs", pat_str=r"\S+" if self.words else BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
             if not self._sound(ranks):
                 self.ranked = None
+        self.one = self.ranked and self.ranked._core_bpe.encode_single_piece
         if self.words:  # the merges alone; what stands before them in the library is done in _word_ids
             self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None})).model
         self.stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in ".,;:!?"} if self.words else {}
@@ -128,10 +138,13 @@ class Encoder:
         return self.library.encode(run, add_special_tokens=False).ids
 
     def _word_ids(self, run: str) -> list[int]:
+        if self.one and run.isascii() and run.isalpha():
+            raw = run.lower().encode()
+            return self.one(raw[:-1].translate(CODES) + LAST[raw[-1]])
         if "<|" in run or not run.isascii() and not PLAIN.fullmatch(run):
             return self.library.encode(run, add_special_tokens=False).ids
         low = run.lower()
-        one = self.ranked and self.ranked._core_bpe.encode_single_piece
+        one = self.one
         if one and low.isalpha():
             raw = low.encode()
             return one(raw[:-1].translate(CODES) + LAST[raw[-1]])
@@ -147,8 +160,21 @@ class Encoder:
                 out += [x.id for x in self.merges.tokenize("".join(map(self.letters.__getitem__, raw)))]
         return out
 
+    def _spaced(self, text: str) -> str:
+        """A simple text in lower case, with a space where a pre-token ends: its ids are the same, but a word is one run
+        however it is written and whatever stands after it."""
+        raw = text.lower().encode()
+        kind = np.frombuffer(raw.translate(KIND), np.uint8)
+        out = np.full((len(raw), 2), 32, np.uint8)
+        out[:, 0] = np.frombuffer(raw, np.uint8)
+        kept = np.ones((len(raw), 2), bool)
+        np.equal(kind[:-1] | kind[1:], 3, out=kept[:-1, 1])
+        return out[kept].tobytes().decode()
+
     def _runs(self, text: str) -> list[str] | None:
         """None: the library has to take the text as a whole."""
+        if self.words and len(text) <= SPACED and "<|" not in text and SIMPLE.fullmatch(text):
+            return self._spaced(text).split()
         if ODD_SPACE.search(text):
             return None
         return text.split() if self.words else RUN.findall(text)

@@ -77,6 +77,24 @@ def test_long_runs_are_not_kept(enc, pieces):
     assert max(map(len, [*enc.by_run, *enc.n_by_run, *pieces.kept])) <= 65
 
 
+def test_simple_texts_are_the_librarys():
+    """Texts of white space, ASCII and letters, with contractions, digits, signs and special strings next to each other."""
+    enc, rnd = Encoder(public("word_bpe_49k.json")), random.Random(8)
+    parts = ["'", "'s", "'LL", "d", "Re", "é", "Œuvre", "ŸŽ", "ß", "1", "23", ".", ",", "?!", "_", "<", "|", "<|", "|>", "<|endoftext|>", "(", " ", "\n", "\t", "the"]
+    texts = ["", "'", "a", "1", "don't, 'tis", "('s 'S''s", "a1b2,3", "x.'s", "'1's1't", "É'É,é"] + ["".join(rnd.choices(parts, k=rnd.randint(1, 30))) for _ in range(3000)]
+    for t in texts:
+        assert list(array("I", enc.ids(t))) == enc.library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_word_is_made_once_however_it_is_written():
+    enc = Encoder(public("word_bpe_49k.json"))
+    made, make = [], enc.make
+    enc.make = lambda run: made.append(run) or make(run)
+    for text in ["Ndshan blorêa.", "ndshan, blorêa", "NDSHAN blorêa; ndshan?", "(Blorêa) ndshan"]:
+        assert list(array("I", enc.ids(text))) == enc.library.encode(text, add_special_tokens=False).ids
+    assert sorted(x for x in made if x[0].isalpha()) == ["blorêa", "ndshan"]
+
+
 def test_pieces_are_the_librarys(pieces):
     texts = mixed_texts(seed=2)
     for t, ids, want in zip(texts, pieces.encode(texts), pieces.library.encode(texts), strict=True):
